@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, table
+from corpusloom.llm.common import Scratch, slices, table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -38,12 +41,50 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, to)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.language import learn, predict
+
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder == 0, F.lit(False)))
+    return predict(docs, learn(docs.filter(remainder != 0)))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), word_encode(2))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path(PIECE_BPE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from corpusloom.llm.pieces import codec
+
+        c = codec(path)
+        for batch in slices(batches, "text", rows=128):
+            texts = batch.column("text").to_pylist()
+            ids = c.encode(texts)
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"),
+                "n_tokens": pa.array(map(len, ids), pa.int64()),
+                "ids_sha256": [hashlib.sha256(b",".join([c.digits[i] for i in x])).hexdigest() for x in ids],
+                "decoded_sha256": [hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids],
+                # Begins and ends of all pieces in the original bytes, as little-endian unsigned 64-bit integers.
+                "spans_crc32": pa.array([zlib.crc32(c.spans(t, x).astype("<u8").tobytes()) for t, x in zip(texts, ids, strict=True)], pa.int64()),
+            })
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.exact_dedup import DigestIndex
 
@@ -53,7 +94,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
+    "op8_simhash": op8_simhash,
+    "op9_pieces": op9_pieces,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

@@ -16,10 +16,10 @@ class WordEncoder:
     """Ids as little-endian unsigned integers of the smallest width (2 or 4 bytes) that holds the vocabulary.
 
     Strings of special tokens in a text are ordinary text. A null text counts as empty. Two generations of
-    at most `words` words each are remembered.
+    about `words` words each are remembered (some 200 bytes a word).
     """
 
-    def __init__(self, path: str, words: int = 250_000):
+    def __init__(self, path: str, words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -33,8 +33,6 @@ class WordEncoder:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, missing: set[bytes]) -> None:
-        if len(self.young) > self.words:
-            self.old, self.young = self.young, {}
         old, young, plain, tailed = self.old, self.young, [], []
         for w in missing:
             if (ids := old.get(w)) is not None:
@@ -58,6 +56,8 @@ class WordEncoder:
         """The ids of each text, followed by `end` if given. ASCII letters are lowered first, as the file's normaliser does."""
         # bytes.lower() and bytes.split() know ASCII only.
         split = [(t or "").encode().lower().split() for t in texts]
+        if len(self.young) > self.words:
+            self.old, self.young = self.young, {}
         if missing := {w for words in split for w in words}.difference(self.young):
             self._learn(missing)
         tail, of = b"" if end is None else np.array([end], dtype=self.dtype).tobytes(), self.young.__getitem__
