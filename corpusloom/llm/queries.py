@@ -55,6 +55,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_encode(2))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.simhash import near_duplicates
 
@@ -96,12 +102,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op8_simhash": op8_simhash,
     "op9_pieces": op9_pieces,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE: dict[str, str] = {
+    "op4_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        w AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d)),
+        r AS (SELECT doc_id, i FROM w WHERE win IN (SELECT win FROM w GROUP BY win HAVING count(*) > 1)),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM r),
+        k AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.j) AS kept, count(*) AS n
+              FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM d) x LEFT JOIN c ON c.doc_id = x.doc_id AND c.j = x.j
+              WHERE c.j IS NULL GROUP BY x.doc_id)
+        SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, len(d.ws)::BIGINT - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k ON k.doc_id = d.doc_id""",
     "op10_exact_dedup": r"""
         WITH n AS (SELECT doc_id, coalesce(length(text), 0) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents),
         r AS (SELECT *, row_number() OVER w AS k, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size
