@@ -61,6 +61,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.simhash import near_duplicates
 
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op7_html_text": op7_html_text,
     "op8_simhash": op8_simhash,
     "op9_pieces": op9_pieces,
     "op10_exact_dedup": op10_exact_dedup,
