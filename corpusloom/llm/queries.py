@@ -61,6 +61,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.neighbours import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.html_text import extract
 
@@ -109,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_neighbours": op5_neighbours,
     "op7_html_text": op7_html_text,
     "op8_simhash": op8_simhash,
     "op9_pieces": op9_pieces,
