@@ -89,6 +89,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = 512, size:
         yield batch.slice(begin)
 
 
+#: Rows to leave out are broadcast up to so many (two 8-byte keys each).
+BROADCAST_ROWS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows of gone (gone_id, gone_hash): those of that doc_id and xxhash64 of text."""
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left_anti")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

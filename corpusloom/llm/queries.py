@@ -68,6 +68,13 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.quality import resample
+
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "log_weight", F.col("key").alias("sampling_key"), "kept")
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.html_text import extract
 
@@ -117,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_neighbours": op5_neighbours,
+    "op6_quality": op6_quality,
     "op7_html_text": op7_html_text,
     "op8_simhash": op8_simhash,
     "op9_pieces": op9_pieces,

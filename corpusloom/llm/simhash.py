@@ -50,14 +50,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed 64-bit integer) of every row of docs (doc_id, text)."""
+    """doc_id, text_hash (xxhash64) and fp (the fingerprint as a signed 64-bit integer) of every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 @functools.cache
@@ -174,7 +175,7 @@ def links(scratch: Scratch, distinct: DataFrame, block: int = BLOCK) -> DataFram
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Every row of docs (doc_id, text): doc_id, fp (signed) and component_id, the smallest doc_id that links reach.
+    """Every row of docs (doc_id, text): doc_id, text_hash, fp (signed) and component_id, the smallest doc_id that links reach.
 
     Null texts count as empty; all texts without a word have fingerprint 0 and are linked like any others.
     Repeated rows come out as often as they go in. A null doc_id stays null and is never a component's id
@@ -187,4 +188,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     info = distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     least = info.groupBy("component").agg(F.min("first_id").alias("component_id"))
     info = scratch.table(info.join(least, "component").select(F.col("fp").alias("known"), "component_id"), "info")
-    return rows.join(info, F.col("fp") == F.col("known")).select("doc_id", "fp", "component_id")
+    return rows.join(info, F.col("fp") == F.col("known")).select("doc_id", "text_hash", "fp", "component_id")

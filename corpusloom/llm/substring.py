@@ -131,7 +131,7 @@ def _marked(docs: DataFrame, scratch: Scratch, size: int, k: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW, k: int = KMER, texts: bool = False) -> DataFrame:
-    """Every row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256, and with texts the kept text and all other columns.
+    """Every row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256, and with texts kept_text and the struct others of all other columns.
 
     A word goes if some window of `size` words that covers it also starts elsewhere, in the same text or
     another. Windows are judged on the input. kept_sha256 is of the kept words joined by one space; the kept
@@ -140,13 +140,15 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, k: int = KMER, texts: bo
     """
     scratch = Scratch(docs.sparkSession, "substring")
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL")
-    own = docs.withColumn("id", F.col("doc_id").cast("long"))
-    if not ids.isEmpty():
-        own = scratch.table(docs.withColumn("id", F.monotonically_increasing_id()), "numbered")
+    # With texts, the other columns travel in one struct, so that their names can't clash.
+    others = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("text", "doc_id"))).alias("others")] if texts and len(docs.columns) > 2 else []
+    own = docs.select("doc_id", "text", *others)
+    if ids.isEmpty():
+        own = own.withColumn("id", F.col("doc_id").cast("long"))
+    else:
+        own = scratch.table(own.withColumn("id", F.monotonically_increasing_id()), "numbered")
     spans = _marked(own, scratch, size, k)
-    # With texts, the caller's columns travel as one struct, so that their names can't clash.
-    rows = own.select("id", "text", "doc_id", *([F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("text", "doc_id"))).alias("others")] if texts and len(docs.columns) > 2 else []))
-    rows = rows.join(spans.hint("shuffle_hash"), "id", "left").drop("id")
+    rows = own.join(spans.hint("shuffle_hash"), "id", "left").drop("id")
     carried = [c for c in rows.columns if c not in ("text", "spans")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,5 +177,4 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, k: int = KMER, texts: bo
             yield pa.RecordBatch.from_pydict(columns | ({"kept_text": pa.array(kept_texts, pa.string())} if texts else {}))
 
     types = dict(rows.dtypes)
-    out = rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in carried) + ", n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
-    return out.select(*(c for c in out.columns if c != "others"), *(["others.*"] if "others" in carried else []))
+    return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in carried) + ", n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
