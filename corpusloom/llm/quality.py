@@ -23,6 +23,8 @@ from corpusloom.llm.common import Scratch, slices
 LABELS = 20_000
 #: Hash buckets of words and word pairs.
 BUCKETS = 10_000
+#: Buckets of their own, the last two, for a word that comes again at once and for one that comes again after the next token.
+AGAIN = (BUCKETS - 2, BUCKETS - 1)
 SEED = 11
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -43,11 +45,13 @@ _hasher = Hasher()
 
 
 def buckets(text: str | None) -> np.ndarray:
-    """The buckets of a text's words, marks and pairs of them, in lower case."""
+    """The buckets of a text's words, marks, pairs of them and repeated words, in lower case."""
     tokens = TOKEN.findall((text or "").lower())
     h = np.fromiter(map(_hasher.__getitem__, tokens), np.uint64, len(tokens))
     pairs = (h[:-1] * np.uint64(0x9E3779B1) + h[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)
-    return (np.concatenate([h, pairs]) % np.uint64(BUCKETS)).astype(np.int64)
+    found = (np.concatenate([h, pairs]) % np.uint64(AGAIN[0])).astype(np.int64)
+    again = [np.full(np.count_nonzero(h[gap:] == h[:-gap]), b) for gap, b in zip((1, 2), AGAIN, strict=True)]
+    return np.concatenate([found, *again])
 
 
 def log_ratio(docs: DataFrame, target: DataFrame) -> np.ndarray:
