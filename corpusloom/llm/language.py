@@ -67,44 +67,71 @@ def learn(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, size: int = PROFILE)
 
 
 class Identifier:
-    """Tells a text's language from profiles; remembers the n-grams of at most `words` words."""
+    """Tells texts' languages from profiles.
 
-    def __init__(self, profiles: Profiles, words: int = 200_000):
+    Letters are coded so that the n-grams of a whole batch of texts are found by lookups in arrays: 0 ends
+    words, 1 is a letter that no profile has, the others are those of the profiles' n-grams.
+    """
+
+    def __init__(self, profiles: Profiles):
         self.names = sorted(profiles)
-        grams_ = sorted({g for p in profiles.values() for g in p})
-        self.code = {g: i for i, g in enumerate(grams_)}
+        known = sorted({g for p in profiles.values() for g in p})
+        letters = sorted({c for g in known for c in g if c != "_"})
+        self.base, self.size = len(letters) + 2, len(known)
         self.worst = max(map(len, profiles.values()), default=0)
+        self.code = np.array([chr(i).isalpha() for i in range(0x10000)], np.int32)
+        place = {"_": 0}
+        for k, c in enumerate(letters):
+            place[c] = k + 2
+            if ord(c) < 0x10000:
+                self.code[ord(c)] = k + 2
+        #: For each length the number of the n-gram in `known` by the codes of its letters; `size` where it has none.
+        self.number = [np.full(self.base**n, self.size, np.int32) for n in range(1, LONGEST + 1)]
+        for k, g in enumerate(known):
+            self.number[len(g) - 1][sum(place[c] * self.base**i for i, c in enumerate(reversed(g)))] = k
         #: The rank of each n-gram in each profile; -1 where it has none.
-        self.rank = np.full((len(self.names), len(grams_)), -1, np.int64)
+        self.rank = np.full((len(self.names), self.size), -1, np.int32)
         for k, name in enumerate(self.names):
-            self.rank[k, [self.code[g] for g in profiles[name]]] = np.arange(len(profiles[name]))
-        self.words, self.known = words, {}
-
-    def _codes(self, word: str) -> np.ndarray:
-        return np.array([c for g in grams(word) if (c := self.code.get(g)) is not None], dtype=np.int32)
-
-    def identify(self, text: str | None) -> tuple[str, float]:
-        """The language and a score from 0 to 1: the lead over the second nearest profile. Without a letter: und, 0."""
-        if not text or not self.names:
-            return "und", 0.0
-        counts = Counter(WORD.findall(text.lower()))
-        if len(self.known) > self.words:
-            self.known.clear()
-        known = self.known
-        for w in counts.keys() - known.keys():
-            known[w] = self._codes(w)
-        codes = [known[w] for w in counts]
-        times = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), np.fromiter(map(len, codes), np.int64, len(codes)))
-        if not len(times):
-            return (self.names[0] if any(c.isalpha() for c in text) else "und"), 0.0
-        n = np.bincount(np.concatenate(codes), weights=times, minlength=len(self.code))
-        order = np.argsort(-n, kind="stable")[: min(self.worst, int(np.count_nonzero(n)))]
-        places = self.rank[:, order]
-        out = np.where(places < 0, self.worst, np.abs(places - np.arange(len(order)))).sum(axis=1)
-        near = np.argsort(out, kind="stable")
-        best = float(out[near[0]])
-        second = float(out[near[1]]) if len(near) > 1 else float(self.worst * len(order))
-        return self.names[near[0]], (second - best) / second if second else 0.0
+            self.rank[k, np.searchsorted(known, profiles[name])] = np.arange(len(profiles[name]))
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """How often each text has each known n-gram."""
+        lowered = [t.lower() for t in texts]
+        raw = np.frombuffer("\n".join(lowered).encode("utf-32-le", "replace"), "<u4")
+        code = self.code[np.minimum(raw, 0xFFFF)]
+        code[raw > 0xFFFF] = 1
+        of = np.repeat(np.arange(len(texts), dtype=np.int64), np.fromiter((len(t) + 1 for t in lowered), np.int64, len(texts)))[: len(code)]
+        # One word end between words: each end after a letter, and one before the first letter.
+        keep = np.concatenate([[True], (code[1:] > 0) | (code[:-1] > 0)]) if len(code) else np.zeros(0, bool)
+        code, of = np.concatenate([[0], code[keep], [0]]), np.concatenate([of[:1], of[keep], of[-1:]])
+        n = np.zeros(len(texts) * (self.size + 1), np.int64)
+        value = np.zeros(len(code), np.int64)
+        for k in range(LONGEST):
+            value = value[: len(code) - k] * self.base + code[k:]
+            # An n-gram belongs to the text of its first letter; texts are parted by a word end.
+            owner = of[: len(value)] if k == 0 else np.where(code[: len(value)] > 0, of[: len(value)], of[1 : len(value) + 1])
+            n += np.bincount(owner * (self.size + 1) + self.number[k][value], minlength=len(n))
+        return n.reshape(len(texts), -1)[:, : self.size]
+
+    def identify(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Of each text the language and a score from 0 to 1: the lead over the second nearest profile. Without a letter: und, 0."""
+        if not self.names:
+            return [("und", 0.0)] * len(texts)
+        n = self.counts([t or "" for t in texts])
+        rank = np.empty(n.shape, np.int32)
+        np.put_along_axis(rank, np.argsort(-n, axis=1, kind="stable"), np.arange(self.size, dtype=np.int32)[None, :], axis=1)
+        counted = (n > 0) & (rank < self.worst)
+        out = np.stack([np.where(counted, np.where(own < 0, self.worst, np.abs(own - rank)), 0).sum(axis=1) for own in self.rank])
+        near = np.argsort(out, axis=0, kind="stable")
+        found = []
+        for i, text in enumerate(texts):
+            if not counted[i].any():
+                found.append((self.names[0] if any(c.isalpha() for c in text or "") else "und", 0.0))
+                continue
+            best = float(out[near[0, i], i])
+            second = float(out[near[1, i], i]) if len(self.names) > 1 else float(self.worst * counted[i].sum())
+            found.append((self.names[near[0, i]], (second - best) / second if second else 0.0))
+        return found
 
 
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
@@ -113,8 +140,8 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = Identifier(profiles)
-        for batch in slices(batches, "text"):
-            found = [identifier.identify(t) for t in batch.column("text").to_pylist()]
+        for batch in slices(batches, "text", rows=256, size=2 << 20):
+            found = identifier.identify(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     types = dict(docs.dtypes)
