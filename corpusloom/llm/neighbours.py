@@ -25,7 +25,9 @@ from corpusloom.llm.common import Scratch
 
 #: The sample that trees are fitted on: at most so many vectors and bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 65_536, 64 << 20
-TREES, LEAF, RECALL, SEED = 8, 256, 0.97, 7
+TREES, RECALL, SEED = 8, 0.97, 7
+#: A leaf is meant to hold 256 vectors, or 4 times the root of their number: what leaves report then grows less than the pairs they compare.
+LEAF, LEAF_ROOTS = 256, 4
 #: Sample vectors that the number of probes is measured with.
 TRIALS = 256
 
@@ -142,7 +144,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, *, trees: int =
     share = min(1.0, 0.9 * bound / n)
     drawn = classes.filter(F.pmod(F.xxhash64("class_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("class_id", "embedding").limit(bound)
     sample = np.array([r.embedding for r in sorted(drawn.collect())] or [classes.head().embedding], dtype=np.float32)
-    forest = Forest(sample, trees, max(2, int(leaf * len(sample) / n)), seed)
+    forest = Forest(sample, trees, max(2, int(max(leaf, LEAF_ROOTS * n**0.5) * len(sample) / n)), seed)
     probes = forest.probes(sample, k, recall)
     forest = spark.sparkContext.broadcast(forest)
 
