@@ -11,7 +11,7 @@ from corpusloom.config import BOILERPLATE, DENY_LINK, DENY_URL, DOWNLOADED_METHO
 from corpusloom.functions import text as T
 from corpusloom.operators import budget, dedup, gates, scoring, stats, tokens, verify, web
 from corpusloom.plans.build import ORDER, build, cleaned, with_provenance
-from corpusloom.session import ship
+from corpusloom.session import ship, spread
 from corpusloom.sources import records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return with_provenance(table(spark, sf, "documents"))
+    return with_provenance(spread(table(spark, sf, "documents")))
 
 
 def clean(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,6 +26,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where its scan has fewer tasks (a small file of one row group); large tables stay as they are scanned."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.rdd().getNumPartitions() < n else df
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("corpusloom")
