@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,7 +9,10 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import ship
+from corpusloom.scratch import Scratch, scratch_root
+from corpusloom.session import ship, spread
+
+__all__ = ["SPACE_CLASS", "Scratch", "components", "partitions", "scratch_root", "slices", "table", "without"]
 
 #: Words, as the contracts define them, end at these characters (those of bytes.split()).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -21,56 +20,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@functools.cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="corpusloom-")
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only in a single local JVM."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"file://{_local_root()}"
-
-
-_scratches: list[Scratch] = []
-
-
-class Scratch:
-    """Tables of one run in the shared folder. A written table cuts lineage and outlives any executor."""
-
-    def __init__(self, spark: SparkSession, tag: str):
-        ship(spark)
-        self.spark, self.path = spark, f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-        _scratches.append(self)
-
-    def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        """Write df and read it back."""
-        to = f"{self.path}/{name}"
-        df.write.options(**{"compression": "zstd"} | options).parquet(to)
-        return self.spark.read.schema(df.schema).parquet(to)
-
-    def drop(self, name: str = "") -> None:
-        """Delete a table that nothing lazy reads any more (or, without a name, all of them)."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@atexit.register
-def _drop_all() -> None:
-    for s in _scratches:
-        try:
-            s.drop()
-        except Exception:  # the session may have ended already
-            return
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:

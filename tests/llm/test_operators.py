@@ -1,0 +1,424 @@
+"""The training-data operators on small hand-made tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+LONG = " ".join(f"w{i % 977}" for i in range(30_000))
+PASSAGE = " ".join(f"shared{i}" for i in range(60))
+TEXTS = [
+    (1, "Hello, world! It's a test. Ünïcode 12,5 – naïve"),
+    (2, None),
+    (3, ""),
+    (4, " \t\n\x0b\x0c\r "),
+    (5, "hello WORLD it's a test"),
+    (6, "Hello,world!It's a test. Ünïcode 12,5 – naïve"),
+    (7, LONG),
+    (8, LONG),
+    (9, "a b c"),
+    (10, f"alpha beta {PASSAGE} gamma"),
+    (11, f"delta {PASSAGE} epsilon zeta"),
+    (12, "漢字 かな 😀 é  x y"),
+    (13, "A b  c\n"),
+    (13, "A b  c\n"),
+    (None, "a b c"),
+    (None, None),
+]
+SCHEMA = "doc_id long, text string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(TEXTS, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def clashing(df):
+    """df with columns that operators might use themselves."""
+    return df.withColumns({c: F.lit(1) for c in ("id", "digest", "normal", "memtable", "row", "rows", "spans", "kept", "fp", "n_words", "others", "key", "start", "n_tokens", "part")})
+
+
+def key(r):
+    return tuple("" if x is None else f"{type(x).__name__}{x!r}" for x in r)
+
+
+@pytest.fixture(scope="module")
+def word_ids():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+def encode(end):
+    from corpusloom.llm.queries import word_encode
+
+    return word_encode(end)
+
+
+def crc(ids) -> int:
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+# --- 1, 3: tokens ---
+
+
+def test_word_encoder_is_the_library(word_ids):
+    from corpusloom.llm.word_bpe import WordEncoder
+
+    e = WordEncoder(public_tokenizers.path("word_bpe_49k.json"), words=5)
+    odd = ["don't DON'T we'll 'tis", "a,b c. d.. (e), f;", "x́ İ İ ß ẞ Å", "<|endoftext|> a<|startoftext|>b", " a b\x1cc", "1,000.5 ２３ ²", "ǅ ﬁ K", "...", ",", "a.", "é,", "”,", "A" * 5000]
+    for text in [t for _, t in TEXTS] + odd:
+        for _ in range(2):
+            got = np.frombuffer(e.encode([text], 7)[0], e.dtype).tolist()
+            assert got == [*word_ids(text), 7], text
+
+
+def test_token_files(spark, docs, none, word_ids):
+    from corpusloom.llm.common import Scratch
+    from corpusloom.llm.token_files import read_tokens, write_tokens
+
+    to = Scratch(spark, "t").path
+    manifest = write_tokens(clashing(docs), to, encode(1), shards=5)
+    rows = read_tokens(spark, to, ids=True).collect()
+    rows.sort(key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted((d for d, _ in TEXTS), key=lambda d: (d is not None, d or 0))
+    want = Counter((d, (*word_ids(t), 1)) for d, t in TEXTS)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in rows) == want
+    at = 0
+    for r in rows:
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(r.ids), crc(r.ids))
+        at += r.n_tokens
+    assert sum(s["tokens"] for s in manifest["shards"]) == at and manifest["dtype"] == "<u2"
+    to = Scratch(spark, "t").path
+    write_tokens(none, to, encode(1))
+    assert read_tokens(spark, to).collect() == []
+
+
+@pytest.mark.parametrize("length", [8, 4096])
+def test_packing(docs, none, word_ids, length):
+    from corpusloom.llm.packing import pack, sequences
+
+    rows = pack(clashing(docs), encode(2), length, ids=True)
+    got = rows.collect()
+    whole = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        whole[r.sequence_id].append(r)
+        assert r.ids_crc32 == crc(r.ids) and r.length == len(r.ids)
+    assert sorted(whole) == list(range(len(whole)))
+    for k, pieces in whole.items():
+        at = 0
+        for r in pieces:
+            assert r.offset == at
+            at += r.length
+        assert at == length or (k == len(whole) - 1 and at < length)
+    total = Counter()
+    for d, t in TEXTS:
+        total[d] += len(word_ids(t)) + 1
+    assert Counter({d: sum(r.length for r in got if r.doc_id == d) for d in total}) == total
+    assert all(r.doc_tokens >= r.start + r.length for r in got)
+    for s in sequences(rows, length).collect():
+        assert s.n_tokens == sum(r.length for r in whole[s.sequence_id]) and (len(s.ids) == length or s.n_tokens & (s.n_tokens - 1) == 0)
+    assert pack(none, encode(2)).collect() == []
+
+
+# --- 2: language ---
+
+
+def test_language(spark, none):
+    from corpusloom.llm.language import PROFILE, WORD, Identifier, grams, learn, predict
+
+    rows = [(i, t, lang) for i in range(40) for t, lang in ((f"the cat and the dog {i} of it", "en"), (f"le chat et les chiens {i} du roi", "fr"))]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = learn(train.unionByName(spark.createDataFrame([(None, None, "en"), (5, "x", None)], train.schema)))
+    texts = ["the dog", "les chiens", None, "", "12 !?", "漢字", " the  le\n", LONG, "the the the"]
+    got = Identifier(profiles).identify(texts)
+    known = {g for p in profiles.values() for g in p}
+
+    def slow(text):
+        counts = Counter(g for w in WORD.findall((text or "").lower()) for g in grams(w) if g in known)
+        ranks = [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))][:PROFILE]
+        if not ranks:
+            return ("en" if any(c.isalpha() for c in text or "") else "und"), 0.0
+        worst = max(map(len, profiles.values()))
+        far = sorted((sum(abs(p.index(g) - k) if g in p else worst for k, g in enumerate(ranks)), lang) for lang, p in profiles.items())
+        return far[0][1], (far[1][0] - far[0][0]) / far[1][0] if far[1][0] else 0.0
+
+    assert got == [slow(t) for t in texts]
+    out = predict(clashing(train), profiles).collect()
+    assert len(out) == 80 and all(0 <= r.score <= 1 for r in out)
+    assert predict(none, profiles).collect() == [] and learn(none.withColumn("lang", F.lit("x"))) == {}
+    assert {r.lang_pred for r in predict(train, {}).collect()} == {"und"}
+
+
+def test_language_held_out_accuracy(spark, sf):
+    from corpusloom.llm.queries import op2_language_id
+
+    found = op2_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    right, n = found.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).head()
+    assert n > 10 and right >= 0.95
+
+
+# --- 4: substrings ---
+
+
+def brute_substrings(rows, size):
+    texts = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    seen = Counter(tuple(w[i : i + size]) for w in texts for i in range(len(w) - size + 1))
+    out = []
+    for (d, _), w in zip(rows, texts, strict=True):
+        gone = {j for i in range(len(w) - size + 1) if seen[tuple(w[i : i + size])] > 1 for j in range(i, i + size)}
+        kept = [x for j, x in enumerate(w) if j not in gone]
+        out.append((d, len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    return sorted(out, key=key)
+
+
+@pytest.mark.parametrize(("size", "k"), [(35, 8), (9, 3), (4, 4)])
+def test_substrings(spark, docs, none, size, k):
+    from corpusloom.llm.substring import remove_repeats
+
+    rng = np.random.default_rng(size)
+    base = [f"v{i}" for i in rng.integers(0, 6, 4000)]
+    rows = TEXTS[:12] + [(100 + i, " ".join(base[a : a + n])) for i, (a, n) in enumerate(zip(rng.integers(0, 3500, 30).tolist(), rng.integers(0, 200, 30).tolist(), strict=True))]
+    for some in (rows, TEXTS):
+        df = spark.createDataFrame(some, SCHEMA).repartition(3)
+        assert sorted((tuple(r) for r in remove_repeats(df, size, k).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=key) == brute_substrings(some, size)
+    assert remove_repeats(none).collect() == []
+    full = remove_repeats(clashing(docs), texts=True)
+    assert full.count() == len(TEXTS)
+    texts = {r.doc_id: r.kept_text for r in full.collect()}
+    assert texts[10] == "alpha beta gamma" and texts[9] == "a b c" and texts[2] is None
+
+
+# --- 5: neighbours ---
+
+
+def test_neighbours(spark):
+    from corpusloom.llm.neighbours import nearest
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 16)).astype(np.float32)
+    x[100:400] = x[7]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    bad = [(5000, None), (5100, [0.0] * 16), (5200, [float("nan")] * 16), (5300, [None] + [1.0] * 15), (5400, [1.0] * 3), (None, [1.0] * 16), (0, x[0].tolist())]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumn("score", F.lit(0)).withColumn("ids", F.lit(0))
+    got = defaultdict(list)
+    for r in nearest(df, df.filter("vec_id % 100 = 0")).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert set(got) == set(range(0, 1500, 100))
+    hit, d64 = 0, x.astype(float)
+    for q, found in got.items():
+        found.sort()
+        far = np.sqrt(((d64 - d64[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        want = np.lexsort((np.arange(len(x)), far))[:10]
+        assert [r for r, _, _ in found] == list(range(1, 11))
+        assert all(abs(far[v] - s) < 1e-9 for _, v, s in found) and [(s, v) for _, v, s in found] == sorted((s, v) for _, v, s in found)
+        hit += len({v for _, v, _ in found} & set(want.tolist()))
+    assert hit / (10 * len(got)) >= 0.9
+    assert [v for _, v, _ in sorted(got[200])] == [7, *range(100, 109)]
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in nearest(few, few.filter("vec_id = 0")).collect()] == [(0, 1, 1, 1.0)]
+    assert nearest(few.limit(0), few).collect() == []
+
+
+# --- 6: quality ---
+
+
+def test_quality(spark, none):
+    from corpusloom.llm.quality import resample, top_k_border
+
+    good = [(i, f"the quick fox number{i} runs over lazy dogs and then sleeps") for i in range(200)]
+    bad = [(200 + i, f"BUY!!! $$$ now{i} %%% win $$$ !!!") for i in range(60)]
+    docs = spark.createDataFrame([*good, *bad, (300, None), (301, ""), (5, good[5][1]), (None, "the fox")], SCHEMA)
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 200, 2)] + [(i, 0) for i in range(200, 260, 2)] + [(3, None), (None, 1), (4, 1)], "doc_id long, quality int")
+    found = resample(clashing(docs), labels).collect()
+    assert len(found) == 264
+    kept = {r.doc_id for r in found if r.kept}
+    assert set(range(200)) <= kept and not kept & set(range(200, 260))
+    assert len({r.kept for r in found if r.doc_id == 5}) == 1
+    assert resample(none, labels).collect() == []
+    assert all(r.kept for r in resample(docs, labels.limit(0)).collect())
+    keys = spark.createDataFrame([(float(i // 3),) for i in range(30_000)], "key double")
+    assert [top_k_border(keys, k) for k in (1, 3, 4, 15_000, 30_000)] == [9999.0, 9999.0, 9998.0, 5000.0, 0.0]
+
+
+# --- 7: pages ---
+
+
+def test_html(spark):
+    from corpusloom.llm.html_text import extract
+
+    pages = [
+        (1, "u", None),
+        (2, "u", ""),
+        (3, None, "<html><head><title>T</title><style>p{}</style><script>var a='</p><p>no';</script></head><body><header><h1>Site</h1></header><nav><ul><li>Home</li></ul></nav><main><article><h1>A &eacute;&#33;&amp;</h1><p>Hello <i>wor</i>ld &nbsp; a<br>b</p><aside>side</aside><div class='ad'>Buy</div><ul><li>x</li></ul><p>End.</p></article><section class='comments'><p>many words of a reader that go on and on and on</p></section></main><footer>foot</footer></body></html>"),
+        (4, "u", "<body class='has-sidebar'><div id=header>hd</div><div class=content><h2>Title</h2><p>one two <a href=x>three</a></p><p>x</p><form>f</form><div class='cookie-banner'>We use cookies</div><ol><li>last</li></ol></div><div class=sidebar>foo bar</div><div id='footer'>c</div>"),
+        (5, "u", "<article><p>cut off <a href=\"x"),
+        (6, "u", "<nav>only</nav><!-- open"),
+        (7, "u", "<article><p>" + "word " * 50_000 + "</p></article>"),
+        (8, "u", "1 < 2 and 3 > 2"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit(1))
+    got = {r.page_id: r for r in extract(df).collect()}
+    assert {k: r.text for k, r in got.items() if k != 7} == {1: "", 2: "", 3: "A é!& Hello world a b x End.", 4: "Title one two three x last", 5: "cut off", 6: "", 8: "1 < 2 and 3 > 2"}
+    assert all(r.n_chars == len(r.text) for r in got.values()) and got[7].n_chars == 249_999 and got[3].url is None
+    assert extract(df.limit(0)).collect() == []
+
+
+# --- 8: simhash ---
+
+
+def test_golay_code_is_perfect_and_keys_meet():
+    from corpusloom.llm.simhash import SEGMENTS, decoder, keys
+
+    table = decoder()
+    assert (np.bincount(table, minlength=4096) == 2048).all()
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    for _ in range(20):
+        flips = np.zeros(len(x), np.uint64)
+        for i in range(len(x)):
+            for b in rng.choice(64, rng.integers(0, 5), replace=False):
+                flips[i] |= np.uint64(1) << np.uint64(b)
+        of = [defaultdict(set), defaultdict(set)]
+        for side, values in enumerate((x, x ^ flips)):
+            rows, found = keys(values)
+            for r, k in zip(rows.tolist(), found.tolist(), strict=True):
+                of[side][r].add(k)
+        assert all(of[0][i] & of[1][i] for i in range(len(x)))
+    assert SEGMENTS[-1][0] + SEGMENTS[-1][1] == 64
+
+
+def test_simhash(spark, docs, none):
+    import xxhash
+
+    from corpusloom.llm.common import Scratch
+    from corpusloom.llm.simhash import components, fingerprint, links, near_duplicates
+
+    def slow(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        if not words:
+            return 0
+        all_ = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or [" ".join(words)]
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in all_]
+        return sum((sum(h >> b & 1 for h in hashes) * 2 > len(hashes)) << b for b in range(64))
+
+    assert [fingerprint(t) for _, t in TEXTS] == [slow(t) for _, t in TEXTS]
+    got = near_duplicates(clashing(docs)).collect()
+    assert len(got) == len(TEXTS)
+    by = {(r.doc_id, r.fp): r.component_id for r in got}
+    signed = lambda t: int(np.array([slow(t)], np.uint64).view(np.int64)[0])
+    assert by[2, 0] == by[3, 0] == by[4, 0] == by[None, 0] == 2
+    assert by[8, signed(LONG)] == 7 and by[13, signed("a b c")] == by[None, signed("a b c")] == 9
+    assert near_duplicates(none).collect() == []
+    # A dense group, larger than a block: all linked through chains of few flips.
+    rng = np.random.default_rng(2)
+    values = [int(rng.integers(0, 1 << 62))]
+    for _ in range(300):
+        v = values[rng.integers(0, len(values))]
+        for b in rng.choice(62, rng.integers(1, 6), replace=False):
+            v ^= 1 << int(b)
+        values.append(v)
+    values = sorted(set(values))
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    scratch = Scratch(spark, "t")
+    found = {r.node: r.component for r in components(scratch, links(scratch, df, block=16)).collect()}
+    parent = {v: v for v in values}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            if (a ^ b).bit_count() <= 4 and root(a) != root(b):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert all(found.get(v, v) == root(v) for v in values)
+
+
+# --- 9: pieces ---
+
+
+def test_pieces(spark, docs, tmp_path, monkeypatch):
+    from sentencepiece import SentencePieceNormalizer, SentencePieceProcessor, sentencepiece_model_pb2
+
+    from corpusloom.llm import pieces
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(pieces, "PART", 40)
+    codec = pieces.PieceCodec(path)
+    texts = [t for _, t in TEXTS] + [" lead", "two  spaces ", "▁ ▁a", "x " * 100, "word" * 50 + " tail"]
+    for text, ids in zip(texts, codec.encode(texts), strict=True):
+        assert ids == library.encode(text or "")
+        spans, data = codec.spans(text, ids), (text or "").encode()
+        if data:
+            assert spans[0, 0] == 0 and spans[-1, 1] == len(data) and (spans[1:, 0] == spans[:-1, 1]).all()
+        assert codec.decode(ids) == library.decode(ids)
+    proto, other = sentencepiece_model_pb2.ModelProto(), sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        proto.ParseFromString(f.read())
+    other.ParseFromString(SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    proto.normalizer_spec.precompiled_charsmap = other.normalizer_spec.precompiled_charsmap
+    proto.normalizer_spec.remove_extra_whitespaces = True
+    (tmp_path / "m.model").write_bytes(proto.SerializeToString())
+    folding = pieces.PieceCodec(str(tmp_path / "m.model"))
+    for text in ["ﬁne ①②  Ａ　b  ", "  x ", "㍿ ガ", "   ", "", *[t or "" for t in texts]]:
+        normal, align = folding.normalise(text)
+        assert normal.decode() == folding.model.normalize(text) and len(align) == len(normal) + 1
+        spans = folding.spans(text, folding.model.encode(text))
+        assert (np.diff(spans.ravel()) >= 0).all()
+
+
+# --- 10: exact ---
+
+
+def brute_exact(rows):
+    groups = defaultdict(list)
+    for d, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), d is None, d or 0, d))
+    return sorted(((d, min(g)[3], len(g), hashlib.sha256(n.encode()).hexdigest()) for n, g in groups.items() for *_, d in g), key=key)
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact(docs, none, weak):
+    from corpusloom.llm import exact_dedup
+
+    # A digest of 4 bits makes collisions, which the comparison of bytes must resolve.
+    digest = (lambda c: F.unhex(F.concat(F.lit("0"), F.substring(F.sha2(c, 256), 1, 1)))) if weak else exact_dedup.sha256
+    index = exact_dedup.DigestIndex(clashing(docs), digest=digest, memtable_bits=1)
+    got = index.groups().collect()
+    want = brute_exact(TEXTS)
+    assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in got), key=key) == sorted((w[:3] for w in want), key=key)
+    assert sum(r.kept for r in got) == len({w[3] for w in want})
+    assert all(r.doc_id == r.keep_id for r in got if r.kept)
+    if not weak:
+        assert sorted(((r.doc_id, r.digest.hex()) for r in got), key=key) == sorted(((w[0], w[3]) for w in want), key=key)
+        assert {r.text for r in index.contains(docs.sparkSession.createDataFrame([("abc",), ("zzz",)], "text string")).collect()} == {"abc"}
+    assert exact_dedup.DigestIndex(none).groups().collect() == []
+
+
+@pytest.mark.parametrize("repeated", [True, False])
+def test_keep_first(spark, docs, none, repeated):
+    from corpusloom.llm.exact_dedup import keep_first
+
+    rows = TEXTS if repeated else [(d, t) for d, t in TEXTS[:13]]
+    kept = keep_first(clashing(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert len(kept) == len({w[3] for w in brute_exact(rows)}) and len(kept[0]) == len(clashing(none).columns)
+    assert keep_first(none).collect() == []
