@@ -35,19 +35,16 @@ class Hasher(dict):
     def __missing__(self, token: str) -> int:
         from xxhash import xxh32_intdigest
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[token] = h = xxh32_intdigest(token.encode())
         return h
 
 
-_hasher = Hasher()
-
-
-def buckets(text: str | None) -> np.ndarray:
+def buckets(text: str | None, hasher: Hasher) -> np.ndarray:
     """The buckets of a text's words, marks, pairs of them and repeated words, in lower case."""
     tokens = TOKEN.findall((text or "").lower())
-    h = np.fromiter(map(_hasher.__getitem__, tokens), np.uint64, len(tokens))
+    h = np.fromiter(map(hasher.__getitem__, tokens), np.uint64, len(tokens))
     pairs = (h[:-1] * np.uint64(0x9E3779B1) + h[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)
     found = (np.concatenate([h, pairs]) % np.uint64(AGAIN[0])).astype(np.int64)
     again = [np.full(np.count_nonzero(h[gap:] == h[:-gap]), b) for gap, b in zip((1, 2), AGAIN, strict=True)]
@@ -58,10 +55,10 @@ def log_ratio(docs: DataFrame, target: DataFrame) -> np.ndarray:
     """log p(target) - log p(raw) of each bucket: raw over all docs (doc_id, text), target over those whose doc_id is in target (broadcast)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, BUCKETS), np.int64)
+        n, hasher = np.zeros((2, BUCKETS), np.int64), Hasher()
         for batch in slices(batches, "text"):
             for text, good in zip(batch.column("text").to_pylist(), batch.column("good").to_pylist(), strict=True):
-                own = np.bincount(buckets(text), minlength=BUCKETS)
+                own = np.bincount(buckets(text, hasher), minlength=BUCKETS)
                 n[0] += own
                 if good:
                     n[1] += own
@@ -124,8 +121,9 @@ def resample(docs: DataFrame, labels: DataFrame, sample: int = LABELS) -> DataFr
     ratio = log_ratio(docs, known.filter("quality = 1"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for batch in slices(batches, "text"):
-            weights = [float(ratio[buckets(t)].sum()) for t in batch.column("text").to_pylist()]
+            weights = [float(ratio[buckets(t, hasher)].sum()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "log_weight": pa.array(weights, pa.float64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
