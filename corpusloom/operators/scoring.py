@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import SPACE, lines
 from corpusloom.operators.budget import label_split
 from corpusloom.operators.gates import SYMBOL_WORD, ratio
+from corpusloom.scratch import Scratch
 
 GRAM = 5
 
@@ -130,23 +131,26 @@ def distil(labelled: DataFrame, docs: DataFrame, least: int = 200, vocabulary: i
 
         return SparseVector(v.size, v.indices, 1 + np.log(v.values))
 
-    split = labelled.withColumn("part", label_split(F.col("doc_id")))
+    scratch = Scratch(docs.sparkSession, "distil")
+    split = labelled.withColumn("part", label_split(F.col("doc_id"))).withColumn("label", F.col("score").cast("double"))
     train = split.filter("part = 'train'").withColumn("grams", word_grams(F.col("text")))
     counter = CountVectorizer(inputCol="grams", outputCol="counts", minDF=2, vocabSize=vocabulary).fit(train)
 
-    def vectors(df: DataFrame) -> DataFrame:
-        return counter.transform(df.withColumn("grams", word_grams(F.coalesce("text", F.lit(""))))).withColumn("damped", damped("counts")).drop("grams", "counts")
+    def vectors(df: DataFrame, name: str) -> DataFrame:
+        # The fit reads its rows many times: counts are written once.
+        counts = counter.transform(df.withColumn("grams", word_grams(F.coalesce("text", F.lit(""))))).drop("grams", "text")
+        return scratch.table(counts, name).withColumn("damped", damped("counts")).drop("counts")
 
-    idf = IDF(inputCol="damped", outputCol="weighted").fit(vectors(split.filter("part = 'train'")))
+    rows = vectors(split, "labelled")
+    idf = IDF(inputCol="damped", outputCol="weighted").fit(rows.filter("part = 'train'"))
     unit = Normalizer(inputCol="weighted", outputCol="features")
-    rows = vectors(split.filter("part = 'train'"))
-    rows = unit.transform(idf.transform(rows)).withColumn("label", F.col("score").cast("double"))
-    size = max(1, rows.count())
-    model = LinearRegression(regParam=alpha / size, elasticNetParam=0.0, standardization=False, solver="l-bfgs", maxIter=50).fit(rows)
-    held = model.transform(unit.transform(idf.transform(vectors(split.filter("part = 'test'"))))).withColumn("label", F.col("score").cast("double"))
+    rows = unit.transform(idf.transform(rows)).select("label", "part", "features")
+    fitted = rows.filter("part = 'train'")
+    model = LinearRegression(regParam=alpha / max(1, fitted.count()), elasticNetParam=0.0, standardization=False, solver="l-bfgs", maxIter=50).fit(fitted)
+    held = model.transform(rows.filter("part = 'test'"))
     mae = RegressionEvaluator(metricName="mae").evaluate(held)
     r = held.select(F.corr("prediction", "label")).head()[0]
-    scored = model.transform(unit.transform(idf.transform(vectors(docs))))
+    scored = model.transform(unit.transform(idf.transform(vectors(docs.select("doc_id", "text"), "all"))))
     return scored.select("doc_id", F.round("prediction", 3).alias("quality_score")), {"mae": mae, "pearson_r": r, "labels": n}
 
 

@@ -447,10 +447,10 @@ def threshold_retention(spark, sf):
     return rows.groupBy("provenance_class").agg(F.count("*").alias("documents"), F.count_if(F.col("score") >= 4.5).alias("kept"))
 
 
-@query("SELECT d.doc_id, l.quality AS quality_score FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.quality >= 1, true)")
+@query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality_score FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.quality >= 1, true)")
 def threshold_apply(spark, sf):
     scores = table(spark, sf, "labels").withColumnRenamed("quality", "quality_score")
-    return scoring.apply_threshold(table(spark, sf, "documents"), scores, 1).select("doc_id", "quality_score")
+    return scoring.apply_threshold(table(spark, sf, "documents"), scores, 1).select("doc_id", F.coalesce("quality_score", F.lit(-1)).alias("quality_score"))
 
 
 @query("SELECT round(avg(abs(score / 5 - quality)), 6) AS mae, round(corr(score / 5, quality), 6) AS r FROM score JOIN labels USING (doc_id)")
@@ -498,12 +498,12 @@ def absolute_links(spark, sf):
     return web.links(table(spark, sf, "pages"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN [url] ELSE [] END AS children, CASE WHEN page_id % 3 = 0 THEN [] ELSE [url] END AS urls FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE '' END AS children, CASE WHEN page_id % 3 = 0 THEN '' ELSE url END AS urls FROM pages")
 def sitemap_parse(spark, sf):
     u = F.col("url")
     xml = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<sitemapindex><sitemap><loc> "), u, F.lit("\n</loc></sitemap></sitemapindex>"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("<urlset><url><LOC>"), u, F.lit("</LOC></url></urlset>"))).otherwise(F.concat(F.lit("# list\n "), u, F.lit("\r\n")))
     children, urls = web.sitemap(xml)
-    return table(spark, sf, "pages").select("page_id", children.alias("children"), urls.alias("urls"))
+    return table(spark, sf, "pages").select("page_id", F.array_join(children, " ").alias("children"), F.array_join(urls, " ").alias("urls"))
 
 
 @query(f"SELECT page_id, NOT regexp_matches(url, '{DENY_URL}') AS article, NOT regexp_matches(url, '{DENY_LINK}') AS follow FROM pages")

@@ -16,7 +16,7 @@ def ingest(spark: SparkSession, source: str, to: str, checkpoint: str, script: s
     """Append what is new in `source` (a folder of JSON lines) to the Parquet table `to`, once; run again to go on.
 
     Ids already seen in this or earlier runs are dropped by the stream's state. With a budget of characters,
-    no batch is written once the table holds that many; the batch that crosses it is written whole.
+    what comes once the table holds that many is read but not written; the batch that crosses it is written whole.
     """
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
     rows = rows.filter(cheap_reason(F.col("text"), script, cfg) == "ok")
@@ -24,6 +24,8 @@ def ingest(spark: SparkSession, source: str, to: str, checkpoint: str, script: s
 
     def write(batch: DataFrame, number: int) -> None:
         if budget is not None and held(batch.sparkSession, to) >= budget:
+            # The batch must be read for the stream's state to be kept.
+            batch.write.format("noop").mode("overwrite").save()
             return
         # A batch that runs again after a failure replaces its own folder.
         batch.write.mode("overwrite").parquet(f"{to}/batch={number}")
