@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, components, slices
+from corpusloom.llm.common import Scratch, components, partitions, slices
 
 SHINGLE, SEED, ERRORS = 4, 42, 4
 #: First bit and number of bits of each segment.
@@ -158,7 +158,8 @@ def links(scratch: Scratch, distinct: DataFrame, block: int = BLOCK) -> DataFram
                 rows, key = keys(part.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[rows])], names=["key", "fp"])
 
-    keyed = distinct.mapInArrow(emit, "key long, fp long")
+    # Few bytes make many keys, so the fingerprints are dealt to more tasks than their size asks for.
+    keyed = distinct.repartition(partitions(distinct.sparkSession), "fp").mapInArrow(emit, "key long, fp long")
     sizes = scratch.table(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block), "large")
     spread = keyed
     if large := sizes.count():
