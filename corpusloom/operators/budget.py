@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,19 +10,37 @@ from corpusloom.functions.text import shuffle_key
 from corpusloom.scratch import Scratch
 
 
-def running_total(df: DataFrame, order: list[str], value: str, scratch: Scratch, name: str) -> DataFrame:
-    """df with total: the sum of value up to and with each row in the order of columns, as a written table.
+def running_total(df: DataFrame, order: list[str], value: str | Column, scratch: Scratch, name: str, by: list[str] | None = None) -> DataFrame:
+    """df with total: the sum of value up to and with each row in the order of columns (within groups), as a written table.
 
-    Rows are sorted over range partitions; the sum of each partition (one row a partition) gives the next ones
-    their base, so no task sees all rows. Rows must differ in the order's columns.
+    Rows are sorted over range partitions; the sums of each partition (one row a partition, and one more a
+    group) give the next ones their base, so no task sees all rows, nor all of a large group. Rows must
+    differ in the order's columns.
     """
+    by = by or []
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = scratch.table(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), f"{name}-parts")
-    sums = sorted(parts.groupBy("_part").agg(F.sum(value).alias("s")).collect())
-    bases = dict(zip([r[0] for r in sums], accumulate((r.s for r in sums), initial=0), strict=False))
-    base = F.element_at(F.create_map(*[F.lit(x) for k, v in bases.items() for x in (k, v)]), F.col("_part")) if bases else F.lit(0)
-    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return scratch.table(parts.withColumn("total", F.sum(value).over(w) + base).drop("_part"), name)
+    rows = df.withColumn("_value", F.col(value) if isinstance(value, str) else value)
+    parts = scratch.table(rows.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id()), f"{name}-parts")
+    within = Window.partitionBy("_part", *by)
+    sums = parts.groupBy("_part", *by).agg(F.sum("_value").alias("_s"))
+    before = Window.partitionBy(*by, F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(F.col("_part").alias("_p"), *(F.col(c).alias(f"_by_{c}") for c in by), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    inner = parts.withColumn("_inner", F.sum("_value").over(within.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    total = inner.join(bases, same).withColumn("total", F.col("_inner") + F.col("_base"))
+    return scratch.table(total.select(*df.columns, "total"), name)
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str], scratch: Scratch, name: str = "ranked") -> DataFrame:
+    """df with rank (from 1) in its group and n, the group's size; large groups are spread over tasks."""
+    rows = running_total(df, order, F.lit(1), scratch, name, by).withColumnRenamed("total", "rank")
+    sizes = df.groupBy(*(F.col(c).alias(f"_by_{c}") for c in by)).agg(F.count("*").alias("n"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return rows.join(sizes, same).drop(*(f"_by_{c}" for c in by))
 
 
 def first_fit(df: DataFrame, order: list[str], size: str, budget: int) -> DataFrame:
@@ -89,12 +105,14 @@ def apply_budget(df: DataFrame, cfg: BudgetConfig = BudgetConfig(), seed: int =
 
 def stratified_split(df: DataFrame, strata: list[str], ratios: tuple[float, float, float] = (0.98, 0.01, 0.01), smallest: int = 20, seed: int = SEED) -> DataFrame:
     """df with split: in each stratum the first max(1, floor(n r)) documents of a fixed shuffle go to val, the next to test; small strata are all train."""
-    w = Window.partitionBy(*strata)
-    rank = F.row_number().over(w.orderBy(shuffle_key(F.col("doc_id"), seed), "doc_id"))
-    n = F.count("*").over(w)
-    val, test = (F.greatest(F.lit(1), F.floor(n * r)) for r in ratios[1:])
-    split = F.when(n < smallest, "train").when(rank <= val, "val").when(rank <= val + test, "test").otherwise("train")
-    return df.withColumn("split", split)
+    scratch = Scratch(df.sparkSession, "split")
+    narrow = df.select("doc_id", *strata).withColumn("_shuffle", shuffle_key(F.col("doc_id"), seed))
+    rows = ranked(narrow, strata, ["_shuffle", "doc_id"], scratch)
+    val, test = (F.greatest(F.lit(1), F.floor(F.col("n") * r)) for r in ratios[1:])
+    split = F.when(F.col("n") < smallest, "train").when(F.col("rank") <= val, "val").when(F.col("rank") <= val + test, "test").otherwise("train")
+    # Few rows aren't train, so the join back is small on one side.
+    held = rows.select(F.col("doc_id").alias("_id"), split.alias("split")).filter("split <> 'train'")
+    return df.join(held, F.col("doc_id") == F.col("_id"), "left").withColumn("split", F.coalesce("split", F.lit("train"))).drop("_id")
 
 
 def sample(df: DataFrame, n: int, seed: int = SEED) -> DataFrame:
@@ -126,14 +144,18 @@ def until_budget(df: DataFrame, order: list[str], size: str, budget: int) -> Dat
 
 def strided_windows(df: DataFrame, windows: int, budget: int, size: str = "n_chars", by: str = "doc_id") -> DataFrame:
     """Equal windows over each source in the order of `by`; from each, rows until its share of the budget is met, with the one that crosses."""
-    per = max(1, budget // windows)
-    w = df.withColumn("window", F.ntile(windows).over(Window.partitionBy("source").orderBy(by)))
-    total = F.sum(size).over(Window.partitionBy("source", "window").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
-    return w.withColumn("_t", total).filter(F.col("_t") - F.col(size) < per).drop("_t")
+    per, scratch = max(1, budget // windows), Scratch(df.sparkSession, "strided")
+    rows = ranked(df, ["source"], [by], scratch)
+    q, r = F.floor(F.col("n") / windows), F.col("n") % windows
+    # The first n % windows windows have one row more.
+    late = r + F.floor((F.col("rank") - r * (q + 1) - 1) / F.greatest(q, F.lit(1))) + 1
+    rows = rows.withColumn("window", F.when(F.col("rank") <= r * (q + 1), F.floor((F.col("rank") - 1) / (q + 1)) + 1).otherwise(late)).drop("rank", "n")
+    rows = running_total(rows, [by], size, scratch, "windows", ["source", "window"])
+    return rows.filter(F.col("total") - F.col(size) < per).drop("total")
 
 
 def interleave(df: DataFrame, group: str, key: str, seed: int = SEED) -> DataFrame:
     """df with turn and place: round-robin over groups in shuffled order, each group's keys shuffled (order by turn, place)."""
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)))
-    w = Window.partitionBy(group).orderBy(order, key)
-    return df.withColumn("turn", F.row_number().over(w)).withColumn("place", F.md5(F.concat(F.lit(f"{seed}:"), F.col(group))))
+    rows = df.withColumn("_shuffle", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key))))
+    rows = ranked(rows, [group], ["_shuffle", key], Scratch(df.sparkSession, "interleave"))
+    return rows.withColumnRenamed("rank", "turn").drop("n", "_shuffle").withColumn("place", F.md5(F.concat(F.lit(f"{seed}:"), F.col(group))))

@@ -25,10 +25,9 @@ def reason_histogram(df: DataFrame, by: list[str]) -> DataFrame:
 
 def audit(df: DataFrame) -> DataFrame:
     """documents, n_chars by class and source, by class, and by file (grouping sets; null stands for all)."""
-    df.createOrReplaceTempView("_corpusloom_audit")
-    return df.sparkSession.sql("""
-        SELECT provenance_class, source, file, count(*) AS documents, sum(length(text)) AS n_chars FROM _corpusloom_audit
-        GROUP BY GROUPING SETS ((provenance_class, source), (provenance_class), (file))""")
+    sets = [["provenance_class", "source"], ["provenance_class"], ["file"]]
+    grouped = df.groupingSets([[F.col(c) for c in s] for s in sets], "provenance_class", "source", "file")
+    return grouped.agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("n_chars"))
 
 
 def ceiling(manual_chars: Column, chars_per_token: float, fraction: float) -> dict[str, Column]:
