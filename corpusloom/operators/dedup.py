@@ -15,15 +15,15 @@ from corpusloom.scratch import Scratch
 PRIME = (1 << 31) - 1
 
 
-def exact_first(df: DataFrame, key: Column, order: list[Column | str]) -> DataFrame:
-    """df with exact_kept: whether a row is the first of its key.
+def exact_first(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
+    """df (doc_id, ...) with exact_kept: whether a row is the first of its key in order. doc_ids must be unique.
 
-    The first row of a key is found by a partial aggregate and joined back, so copies don't gather in one task.
+    The first row of a key comes from a partial aggregate and is joined back by doc_id, not by key: however
+    many copies a text has, they don't gather in one task.
     """
-    rows = df.withColumn("_key", key).withColumn("_order", F.struct(*order))
-    first = rows.groupBy(F.col("_key").alias("_first_key")).agg(F.min("_order").alias("_first"))
-    joined = rows.join(first, F.col("_key").eqNullSafe(F.col("_first_key")))
-    return joined.withColumn("exact_kept", F.col("_order") == F.col("_first")).drop("_key", "_first_key", "_order", "_first")
+    rank = F.struct(*order, F.col("doc_id").alias("_id"))
+    first = df.groupBy(key.alias("_key")).agg(F.min(rank)["_id"].alias("_first"))
+    return df.join(first.select("_first"), F.col("doc_id") == F.col("_first"), "left").withColumn("exact_kept", F.col("_first").isNotNull()).drop("_first")
 
 
 def geometry(cfg: DedupConfig = DedupConfig()) -> tuple[int, int]:
@@ -86,10 +86,12 @@ def near_first(df: DataFrame, order: list[Column | str], cfg: DedupConfig = Dedu
     for k in range(1, rounds + 1):
         if left.isEmpty():
             break
-        first = left.groupBy("bucket").agg(F.min("rank").alias("first"))
-        kept = left.join(first, "bucket").groupBy("doc_id").agg(F.min(F.col("rank") == F.col("first")).alias("all_first")).filter("all_first").select("doc_id")
-        kept = scratch.table(kept, f"kept-{k}")
-        taken = left.join(kept, "doc_id", "left_semi").select("bucket").distinct()
+        # First in all of its buckets: in as many as it has. Nothing is joined by bucket for that.
+        firsts = left.groupBy("bucket").agg(F.min("rank")["_id"].alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("firsts"))
+        has = left.groupBy("doc_id").agg(F.count("*").alias("buckets"))
+        kept = scratch.table(has.join(firsts, "doc_id").filter("buckets = firsts").select("doc_id"), f"kept-{k}")
+        # A written table, so that the join by bucket can split large buckets.
+        taken = scratch.table(left.join(kept, "doc_id", "left_semi").select("bucket").distinct(), f"taken-{k}")
         gone = left.join(taken, "bucket", "left_semi").select("doc_id").distinct().join(kept, "doc_id", "left_anti")
         gone = scratch.table(gone, f"gone-{k}")
         dropped = gone if dropped is None else dropped.union(gone)
