@@ -29,6 +29,7 @@ NULL_ID = -(1 << 63)
 
 def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
     """The file system and path of a folder given as a URI, or as an absolute path."""
+    uri = f"s3://{uri.removeprefix('s3a://')}" if uri.startswith("s3a://") else uri
     return pa.fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pa.fs.LocalFileSystem(), uri)
 
 
@@ -40,7 +41,11 @@ def put(fs: pa.fs.FileSystem, path: str, write: Callable) -> None:
     other = f"{path}.{context.taskAttemptId() if context else 'driver'}"
     with fs.open_output_stream(other) as out:
         write(out)
-    fs.move(other, path)
+    try:
+        fs.move(other, path)
+    except OSError:  # stores that don't replace files; an earlier attempt left the same one
+        fs.delete_file(path)
+        fs.move(other, path)
 
 
 def mapped(fs: pa.fs.FileSystem, path: str, dtype: str) -> np.ndarray:
