@@ -77,7 +77,8 @@ def near_first(df: DataFrame, order: list[Column | str], cfg: DedupConfig = Dedu
     are left out at once. Raises if documents are still undecided after `rounds` rounds.
     """
     scratch = Scratch(df.sparkSession, "near")
-    ordered = df.select("doc_id", F.struct(*order, F.col("doc_id").alias("_id")).alias("rank"))
+    # Rows of one doc_id are one document, which never rejects itself.
+    ordered = df.groupBy("doc_id").agg(F.min(F.struct(*order, F.col("doc_id").alias("_id"))).alias("rank"))
     member = bands(df, cfg).join(ordered, "doc_id").select("doc_id", "rank", F.xxhash64("band", "key").alias("bucket"))
     member = scratch.table(member, "members")
     shared = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
