@@ -422,3 +422,50 @@ def test_keep_first(spark, docs, none, repeated):
     kept = keep_first(clashing(spark.createDataFrame(rows, SCHEMA))).collect()
     assert len(kept) == len({w[3] for w in brute_exact(rows)}) and len(kept[0]) == len(clashing(none).columns)
     assert keep_first(none).collect() == []
+
+
+# --- the pipeline's near duplicates ---
+
+
+def test_near_dedup_of_the_pipeline_reaches_a_similarity_of_0_8(spark, docs, none):
+    import corpus_pipeline
+    from corpusloom.llm.common import Scratch, components
+    from corpusloom.llm.near import jaccard_duplicates, links, signatures
+
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(40):
+        words = [f"v{i}" for i in rng.integers(0, 500, 200)]
+        texts.append(" ".join(words))
+        for changed in (2, 4, 6, 8):
+            words[:] = [w if i not in range(0, 40 * changed // 2, 20) else f"x{rng.integers(0, 500)}" for i, w in enumerate(words)]
+            texts.append(" ".join(words))
+    sliced = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = [(j, i) for i in range(len(texts)) for j in range(i) if len(sliced[i] & sliced[j]) >= 0.8 * len(sliced[i] | sliced[j])]
+    for j, i in pairs:
+        a, b = top(i), top(j)
+        root[max(a, b)] = min(a, b)
+    want = [top(i) for i in range(len(texts))]
+    assert 40 <= len(set(want)) < len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)
+    assert {r.doc_id: r.component_id for r in jaccard_duplicates(df).collect()} == dict(enumerate(want))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == set(want)
+    # Small blocks give the same groups.
+    scratch = Scratch(spark, "t")
+    rows = scratch.table(signatures(df), "signatures")
+    ids = {r.node: r.doc_id for r in rows.collect()}
+    for block, size in ((2, 1 << 20), (2048, 2000)):
+        s = Scratch(spark, "t")
+        found = {ids[r.node]: r.component for r in components(s, links(s, df, rows, block, size)).collect()}
+        assert Counter(Counter(found.values()).values()) == Counter(n for n in Counter(want).values() if n > 1)
+    got = jaccard_duplicates(clashing(docs)).collect()
+    by = {(r.doc_id, r.text_hash): r.component_id for r in got}
+    assert len(got) == len(TEXTS) and Counter(by.values())[2] == 4 and {c for (d, _), c in by.items() if d in (7, 8)} == {7}
+    assert {c for (d, _), c in by.items() if d in (9, 13)} == {9} and jaccard_duplicates(none).collect() == []
