@@ -2,12 +2,17 @@
 
 No token of such a file crosses ASCII white space, nor does its normaliser (NFC, lower case) look across it.
 So a text's ids are those of its words in turn, and each worker encodes a word only when it meets it first.
+
+Words are remembered with their ASCII letters lowered, where that comes to the same: not before a character
+beyond ASCII, as NFC comes first and a mark may compose with the small letter only; and not in the string of
+a special token, which the library looks for in the text as it is.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 
 import numpy as np
 
@@ -15,16 +20,24 @@ import numpy as np
 class WordEncoder:
     """Ids as little-endian unsigned integers of the smallest width (2 or 4 bytes) that holds the vocabulary.
 
-    Strings of special tokens in a text are ordinary text. A null text counts as empty. Two generations of
-    about `words` words each are remembered (some 200 bytes a word).
+    Strings of special tokens in a text are ordinary text, or with `special` the ids of those tokens, as the
+    library has it by default. A null text counts as empty. Two generations of about `words` words each are
+    remembered (some 200 bytes a word).
     """
 
-    def __init__(self, path: str, words: int = 600_000):
+    def __init__(self, path: str, words: int = 600_000, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        if not special:
+            self.tokenizer.encode_special_tokens = True
+        strings = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        if any(len(s.split()) != 1 or s.strip() != s for s in strings):
+            raise ValueError("a special token holds white space")
+        self.strings = [s.lower() for s in strings]
+        #: Words that are not lowered.
+        self.apart = re.compile(b"|".join([rb"[A-Z][\x80-\xff]", *(b"(?i:%s)" % re.escape(s) for s in strings)])).search
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.words, self.young, self.old = words, {}, {}
         self.ends = {c: self._ids([chr(c)])[0] for c in b".,;:!?"}
@@ -70,10 +83,19 @@ class WordEncoder:
         for w in tailed:
             young[w] = young[w[:-1]] + self.ends[w[-1]]
 
-    def encode(self, texts: list[str | None], end: int | None = None) -> list[bytes]:
-        """The ids of each text, followed by `end` if given. ASCII letters are lowered first, as the file's normaliser does."""
+    def _split(self, text: str) -> list[bytes]:
+        """The words, with ASCII letters lowered as the file's normaliser does, but for words set apart."""
         # bytes.lower() and bytes.split() know ASCII only.
-        split = [(t or "").encode().lower().split() for t in texts]
+        data = text.encode()
+        lowered = data.lower()
+        words = lowered.split()
+        if any(s in lowered for s in self.strings) or (not text.isascii() and self.apart(data)):
+            return [a if a == b or not self.apart(b) else b for a, b in zip(words, data.split(), strict=True)]
+        return words
+
+    def encode(self, texts: list[str | None], end: int | None = None) -> list[bytes]:
+        """The ids of each text, followed by `end` if given."""
+        split = [self._split(t or "") for t in texts]
         if len(self.young) > self.words:
             self.old, self.young = self.young, {}
         if missing := {w for words in split for w in words}.difference(self.young):
@@ -84,5 +106,5 @@ class WordEncoder:
 
 @functools.cache
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each file and worker process."""
-    return WordEncoder(path)
+    """One encoder for each file and worker process, with the library's defaults."""
+    return WordEncoder(path, special=True)

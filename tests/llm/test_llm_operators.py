@@ -88,6 +88,20 @@ def test_word_encoder_is_the_library(word_ids):
             assert got == [*word_ids(text), 7], text
 
 
+def test_words_have_the_ids_of_an_untouched_tokenizer():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    of = encode(7)
+    marked = [f"{c}{below}{m}{tail}" for c in "HJTWYA" for below in ("", "\u0323") for m in "\u030c\u0331\u0308\u030a\u0301" for tail in ("", "ab", ".", " ab")]
+    special = ["<|endoftext|>", "a<|endoftext|>b", "Été<|startoftext|>Für.", "<|ENDOFTEXT|> A", "<|EndOfText|><|endoftext|>.", "x <|endoftext|>, <|startoftext|>!", "J\u030c<|endoftext|>\u030c T\u0308"]
+    plain = ["Für Möglich, PÂTÉ. Düsseldorf! Kelvin K\u030c \u212a\u030c A B c", "ab" * 3000 + "J\u030c", "a J\u030c A\u030a JA", "<|endoftext <| |>"]
+    for text in marked + special + plain + [t for _, t in TEXTS]:
+        for _ in range(2):
+            ids, kind = of([text])
+            assert np.frombuffer(ids[0], kind).tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 7], text
+
+
 def test_token_files(spark, docs, none, word_ids):
     from corpusloom.llm.common import Scratch
     from corpusloom.llm.token_files import read_tokens, write_tokens
