@@ -106,20 +106,34 @@ def near_first(df: DataFrame, order: list[Column | str], cfg: DedupConfig = Dedu
 
 
 def jaccard_pairs(df: DataFrame, cfg: DedupConfig = DedupConfig(), block: int = 1000) -> DataFrame:
-    """Pairs (a, b) that share a band key with the Jaccard similarity of their shingle sets, for reports on small sets.
+    """All pairs (a, b), a < b, that share a band key with the Jaccard similarity of their shingle sets.
 
-    Buckets of more than `block` documents would pair without bound, so they raise.
+    One document of each distinct set is paired and compared; its copies get its pairs at the end, and each
+    other. Buckets of more than `block` sets are cut into blocks that are paired block by block. The pairs
+    themselves grow with the square of a bucket.
     """
-    b = bands(df, cfg)
-    largest = b.groupBy("band", "key").count().agg(F.max("count")).head()[0]
-    if largest and largest > block:
-        raise ValueError(f"a bucket holds {largest} documents; near_first takes any number")
-    x, y = b.alias("x"), b.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    scratch = Scratch(df.sparkSession, "pairs")
     s = df.select("doc_id", words(F.col("text")).alias("ws")).select("doc_id", shingles(F.col("ws"), cfg.shingle).alias("s"))
+    # No shingle holds a line end.
+    member = s.select("doc_id", F.md5(F.concat_ws("\n", F.array_sort("s"))).alias("set"), F.size("s").alias("size"))
+    member = scratch.table(member, "sets")
+    firsts = member.groupBy("set").agg(F.min("doc_id").alias("first"))
+    member = scratch.table(member.join(firsts, "set").select("doc_id", "first", "size"), "members")
+    first = member.filter("doc_id = first").select("doc_id")
+    b = scratch.table(bands(df.join(first, "doc_id", "left_semi"), cfg), "bands")
+    shared = b.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
+    own = b.join(shared, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = scratch.table(dealt.select("band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id"), "blocks")
+    x, y = (dealt.select("band", "key", "low", "high", F.col("own").alias(f"own_{c}"), F.col("doc_id").alias(c)) for c in "ab")
+    pairs = x.join(y, ["band", "key", "low", "high"]).filter("a < b AND (low = high OR own_a <> own_b)").select("a", "b").distinct()
     pairs = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.select("a", "b", both.alias("shared"), (F.size("sa") + F.size("sb") - both).alias("either"), (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard"))
+    pairs = scratch.table(pairs.select("a", "b", both.alias("shared"), (F.size("sa") + F.size("sb") - both).alias("either")), "pairs")
+    of_a, of_b = (member.select(F.col("first").alias(c), F.col("doc_id").alias(f"{c}_id"), "size") for c in "ab")
+    other = pairs.join(of_a.drop("size"), "a").join(of_b.drop("size"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "shared", "either")
+    same = of_a.join(of_b.drop("size"), F.col("a") == F.col("b")).filter("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("size").alias("shared"), F.col("size").alias("either"))
+    return other.union(same).withColumn("jaccard", F.col("shared") / F.col("either"))
 
 
 def collisions(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:

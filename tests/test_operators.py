@@ -138,6 +138,23 @@ def test_near_duplicates_of_texts(spark):
     assert kept[1] and not kept[2] and kept[3] and kept[4] and kept[5] and not kept[6]
 
 
+def test_jaccard_pairs_of_large_buckets(spark):
+    texts = ["one two three four five six seven eight"] * 3 + [" ".join(f"w{i}" for i in range(60))] * 2
+    texts += [" ".join(f"w{i}" for i in range(60)) + f" end{k}" for k in range(12)] + ["alone among all of these texts here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    by_band = {}
+    for r in dedup.bands(df).collect():
+        by_band.setdefault((r.band, r.key), []).append(r.doc_id)
+    near = {(a, b) for ids in by_band.values() for a in ids for b in ids if a < b}
+    assert max(map(len, by_band.values())) > 5
+    want = {(a, b): (len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a, b in near}
+    for block in (2, 5, 1000):
+        rows = dedup.jaccard_pairs(df, block=block).collect()
+        assert len(rows) == len(want) and {(r.a, r.b): (r.shared, r.either) for r in rows} == want
+        assert all(r.jaccard == r.shared / r.either for r in rows)
+
+
 def test_exact_first_and_shards(spark):
     docs = spark.createDataFrame([(1, "A b।"), (2, "ab"), (3, "c"), (4, None), (5, None)], "doc_id long, text string")
     got = {r.doc_id: r.exact_kept for r in dedup.exact_first(docs, F.md5(T.hash_form(F.col("text"))), ["doc_id"]).collect()}
