@@ -72,13 +72,13 @@ PROFILES: dict[str, tuple[Profile, ...]] = {
     ),
 }
 
-# Short lines that are page furniture.
+# Short lines that are page furniture, as one pattern.
 BOILERPLATE = (
-    "^यह भी पढ", "^इसे भी पढ", "^और पढ", "^पढ़ें", "^यो पनि", "^सम्बन्धित", "^थप पढ",
-    "^शेयर", "^share", "^फॉलो कर", "^copyright", "^सर्वाधिकार", "^all rights reserved",
-    "^विज्ञापन$", "^advertisement$", "^tags?:", "^ट्याग", "^टैग", "^comments?$",
-    "^टिप्पणी$", "^प्रतिक्रिया$", r"^\p{Nd}+$",
-)
+    r"^यह भी पढ|^इसे भी पढ|^और पढ|^पढ़ें|^यो पनि|^सम्बन्धित|^थप पढ|"
+    r"^शेयर|^share|^फॉलो कर|^copyright|^सर्वाधिकार|^all rights reserved|"
+    r"^विज्ञापन$|^advertisement$|^tags?:|^ट्याग|^टैग|^comments?$|"
+    r"^टिप्पणी$|^प्रतिक्रिया$|^\p{Nd}+$"
+)
 
 # Collection methods and what they imply, names of provenance classes, and source priorities.
 MANUAL_METHODS = ("scrape", "ocr", "transcription", "typed")

@@ -1,8 +1,8 @@
 """Text functions: normalisation, furniture lines, hash forms, ids."""
 
-from __future__ import annotations
-
-from collections.abc import Iterator
+import re
+import unicodedata
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,41 +13,49 @@ from corpusloom.config import BOILERPLATE
 #: White space and line ends as Unicode (and str.split, str.splitlines) know them; the syntax is Java's and RE2's.
 SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 LINE_END = r"\x0A-\x0D\x1C-\x1E\x{85}\x{2028}\x{2029}"
-FURNITURE = "(?iu)" + "|".join(BOILERPLATE)
+FURNITURE = "(?iu)" + BOILERPLATE
 #: Everything but letters, numbers, underscore and the Devanagari block.
 NOT_WORD = r"[^\p{L}\p{N}_\x{0900}-\x{097F}]+"
 
 
-def _nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    import unicodedata
-
-    for s in parts:
-        yield s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+def _tidied(drop_first: str, drop_after: str, danda: bool) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+    first, after = (dict.fromkeys(map(ord, x)) for x in (drop_first, drop_after))
+    spaced = re.compile(r"\s*([।॥])\s*")
 
+    def tidied(text: str | None) -> str | None:
+        if text is None:
+            return None
+        plain = text.isascii()
+        if not plain:
+            if first:
+                text = text.translate(first)
+            if not unicodedata.is_normalized("NFC", text):
+                text = unicodedata.normalize("NFC", text)
+            if after:
+                text = text.translate(after)
+            if danda and ("।" in text or "॥" in text):
+                text = spaced.sub(r"\1 ", text)
+        return "\n".join([line for x in text.splitlines() if (line := " ".join(x.split()))])
 
-def nfc(df: DataFrame, column: str) -> DataFrame:
-    """df with the column in NFC. Spark has no such function; texts below U+0300 are in NFC and stay in the JVM."""
-    safe = F.coalesce(~F.col(column).rlike(r"[^\x00-\x{2FF}]"), F.lit(True))
-    return df.filter(safe).unionByName(df.filter(~safe).withColumn(column, F.pandas_udf(_nfc, "string")(column)))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield pd.Series([tidied(t) for t in s], dtype=object)
 
-
-def tidy(text: Column, danda: bool = True) -> Column:
-    """Lines trimmed, inner white space collapsed, empty lines dropped; with danda, one space after each danda and none before."""
-    if danda:
-        text = F.regexp_replace(text, rf"[{SPACE}]*([।॥])[{SPACE}]*", "$1 ")
-    text = F.regexp_replace(text, rf"[{SPACE}]*[{LINE_END}][{SPACE}]*", "\n")
-    return F.btrim(F.regexp_replace(text, rf"[{SPACE}&&[^\n]]+", " "), F.lit(" \n"))
+    return run
 
 
 def normalize(df: DataFrame, column: str = "text") -> DataFrame:
-    """Without zero-width characters and soft hyphens, in NFC, tidied."""
-    df = df.withColumn(column, F.regexp_replace(column, r"[\x{FEFF}\x{200B}\x{AD}]", ""))
-    return nfc(df, column).withColumn(column, tidy(F.col(column)))
+    """Without zero-width characters and soft hyphens, in NFC, dandas with one space after and none before, lines trimmed, white space collapsed, empty lines dropped.
+
+    Spark has no NFC. One Arrow UDF makes all of it in one pass over the scan: splitting by lines and words
+    there takes about a fifth of the CPU time of the JVM's regular expressions over Unicode white space.
+    """
+    return df.withColumn(column, F.pandas_udf(_tidied("\ufeff\u200b\xad", "", True), "string")(column))
 
 
 def normalize_fetched(df: DataFrame, column: str = "text") -> DataFrame:
     """The form of fetched pages: NFC first, then without zero-width characters, tidied without regard to dandas."""
-    return nfc(df, column).withColumn(column, tidy(F.regexp_replace(column, r"[\x{200B}\x{FEFF}]", ""), danda=False))
+    return df.withColumn(column, F.pandas_udf(_tidied("", "\u200b\ufeff", False), "string")(column))
 
 
 def lines(text: Column) -> Column:
@@ -55,8 +63,18 @@ def lines(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Words of a tidied text."""
-    return F.filter(F.split(text, "[ \n]"), lambda w: w != "")
+    """Words of a tidied text: single spaces and line ends part them."""
+    return F.filter(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "), lambda w: w != "")
+
+
+def dense(text: Column) -> Column:
+    """A tidied text without its spaces and line ends."""
+    return F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
+
+
+def count_chars(text: Column, of: str) -> Column:
+    """How many characters of a text a character class has, by what is left without its runs."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{of}+", ""))
 
 
 def strip_boilerplate(text: Column) -> tuple[Column, Column]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,30 +47,49 @@ def ranked(df: DataFrame, by: list[str], order: list[str], scratch: Scratch, nam
     return rows.join(sizes, same).drop(*(f"_by_{c}" for c in by))
 
 
-def first_fit(df: DataFrame, order: list[str], size: str, budget: int) -> DataFrame:
+def _fill(gap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = gap
+        for batch in batches:
+            take = []
+            for n in batch.column("_size").to_pylist():
+                take.append(n <= left)
+                left -= n if take[-1] else 0
+            yield batch.filter(pa.array(take, pa.bool_())).drop_columns(["_size"])
+
+    return run
+
+
+#: So many rows that may still fit one task fills at once, in order.
+FILLED_AT_ONCE = 200_000
+
+
+def first_fit(df: DataFrame, order: list[str], size: str, budget: int, at_once: int = FILLED_AT_ONCE) -> DataFrame:
     """The rows that a greedy fill takes: each in turn if it still fits, later ones too when one doesn't.
 
-    All rows before the first that doesn't fit are taken at once by a running total; of the rows after it only
-    those can fit that are no larger than what is left, and they are filled in the same way again.
+    If all fit together, all are taken. Else all rows before the first that doesn't fit are taken at once by a
+    running total; of the rows after it only those can fit that are no larger than what is left, and they are
+    filled in the same way again, in as many rounds as it takes. Once few are left, one task fills them in order.
     """
     scratch = Scratch(df.sparkSession, "fit")
     left, gap, taken = df.filter(F.col(size) <= budget), budget, []
-    for k in range(10_000):
+    for k in itertools.count():
+        n, total = left.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).head()
+        if total <= gap or n <= at_once:
+            if n and total > gap:
+                one = left.withColumn("_size", F.col(size).cast("long")).repartition(1).sortWithinPartitions(*order)
+                left = one.mapInArrow(_fill(gap), left.schema)
+            taken.append(left)
+            break
         rows = running_total(left, order, size, scratch, f"r{k}")
         fits = rows.filter(F.col("total") <= gap)
         stop = rows.filter(F.col("total") > gap).agg(F.min(F.struct(*order))).head()[0]
         # Sizes of 0 after the stop have a larger total, so what fits is all before it.
         taken.append(fits.drop("total"))
-        if stop is None:
-            break
         gap -= fits.agg(F.coalesce(F.sum(size), F.lit(0))).head()[0]
         types = dict(rows.dtypes)
         after = F.struct(*order) > F.struct(*(F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, stop, strict=True)))
-        left = rows.filter(after & (F.col(size) <= gap)).drop("total")
-        if left.isEmpty():
-            break
-    else:
-        raise RuntimeError("first_fit: too many rounds")
+        left = scratch.table(rows.filter(after & (F.col(size) <= gap)).drop("total"), f"left{k}")
     out = taken[0]
     for t in taken[1:]:
         out = out.unionByName(t)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,14 +19,16 @@ PRIME = (1 << 31) - 1
 
 
 def exact_first(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """df (doc_id, ...) with exact_kept: whether a row is the first of its key in order. doc_ids must be unique.
+    """doc_id and exact_kept of every row of df: whether it is the first of its key in order. doc_ids must be unique.
 
-    The first row of a key comes from a partial aggregate and is joined back by doc_id, not by key: however
-    many copies a text has, they don't gather in one task.
+    df is read once: its ids, order and key are written as a narrow table, whose first row of each key comes
+    from a partial aggregate and is joined back by doc_id, not by key. So however many copies a text has, they
+    don't gather in one task.
     """
-    rank = F.struct(*order, F.col("doc_id").alias("_id"))
-    first = df.groupBy(key.alias("_key")).agg(F.min(rank)["_id"].alias("_first"))
-    return df.join(first.select("_first"), F.col("doc_id") == F.col("_first"), "left").withColumn("exact_kept", F.col("_first").isNotNull()).drop("_first")
+    carried = list(dict.fromkeys(["doc_id", *order]))
+    keys = Scratch(df.sparkSession, "exact").table(df.select(*carried, key.alias("_key")), "keys")
+    first = keys.groupBy("_key").agg(F.min(F.struct(*order, F.col("doc_id").alias("_id")))["_id"].alias("_first"))
+    return keys.join(first.select("_first"), F.col("doc_id") == F.col("_first"), "left").select("doc_id", F.col("_first").isNotNull().alias("exact_kept"))
 
 
 def geometry(cfg: DedupConfig = DedupConfig()) -> tuple[int, int]:
@@ -51,89 +56,137 @@ def shingle_hash(s: Column) -> Column:
     return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long") % (PRIME + 1)
 
 
-def signatures(df: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
-    """doc_id and m0, m1, ...: the least permuted hash of its shingles for each permutation that bands use.
+def signatures(df: DataFrame, cfg: DedupConfig = DedupConfig(), carried: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id and m0, m1, ...: the least permuted hash of its shingles for each permutation that bands use; and the least of each carried column.
 
-    The minima are one aggregate over exploded hashes; as a document's shingles lie together, it shuffles a row for each document.
+    The minima are one aggregate over exploded hashes; as a document's shingles lie together, it shuffles a row
+    for each document. The words come from a generator: an optimizer that merged projections would else make
+    them again for every shingle.
     """
     b, r = geometry(cfg)
-    hashed = df.select("doc_id", words(F.col("text")).alias("ws")).select("doc_id", F.explode(shingles(F.col("ws"), cfg.shingle)).alias("s")).select("doc_id", shingle_hash(F.col("s")).alias("h"))
-    return hashed.groupBy("doc_id").agg(*(F.min((F.col("h") * a + c) % PRIME).alias(f"m{i}") for i, (a, c) in enumerate(permutations(b * r))))
+    carried = carried or {}
+    rows = df.select("doc_id", *(c.alias(k) for k, c in carried.items()), F.inline(F.array(F.struct(words(F.col("text")).alias("ws")))))
+    hashed = rows.select("doc_id", *carried, F.explode(shingles(F.col("ws"), cfg.shingle)).alias("s")).select("doc_id", *carried, shingle_hash(F.col("s")).alias("h"))
+    minima = [F.min((F.col("h") * a + c) % PRIME).alias(f"m{i}") for i, (a, c) in enumerate(permutations(b * r))]
+    return hashed.groupBy("doc_id").agg(*minima, *(F.min(k).alias(k) for k in carried))
 
 
-def bands(df: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
-    """doc_id, band, key: equal keys of a band propose near duplicates."""
+def bands(df: DataFrame, cfg: DedupConfig = DedupConfig(), carried: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, what is carried, band, key: equal keys of a band propose near duplicates."""
     b, r = geometry(cfg)
     keys = F.array(*(F.struct(F.lit(k).alias("band"), F.md5(F.concat_ws(",", *(f"m{i}" for i in range(k * r, k * r + r)))).alias("key")) for k in range(b)))
-    return signatures(df, cfg).select("doc_id", F.inline(keys))
+    return signatures(df, cfg, carried).select("doc_id", *(carried or {}), F.inline(keys))
+
+
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, bucket) with a document's rows together, documents in order: those that share a bucket with an earlier one that stays."""
+    owned: set[int] = set()
+    held, doc = [], None
+    started = False
+
+    def rejected() -> bool:
+        if owned.isdisjoint(held):
+            owned.update(held)
+            return False
+        return True
+
+    for batch in batches:
+        gone = []
+        for d, bucket in zip(batch.column("doc_id").to_pylist(), batch.column("bucket").to_pylist(), strict=True):
+            if started and d == doc:
+                held.append(bucket)
+                continue
+            if started and rejected():
+                gone.append(doc)
+            started, doc, held = True, d, [bucket]
+        yield pa.RecordBatch.from_arrays([pa.array(gone, batch.schema.field("doc_id").type)], names=["doc_id"])
+        kind = batch.schema.field("doc_id").type
+    if started and rejected():
+        yield pa.RecordBatch.from_arrays([pa.array([doc], kind)], names=["doc_id"])
+
+
+#: So many undecided rows (document, bucket) one task settles at once, in order (some 50 MB).
+SETTLED_AT_ONCE = 200_000
 
 
-def near_first(df: DataFrame, order: list[Column | str], cfg: DedupConfig = DedupConfig(), rounds: int = 200) -> DataFrame:
+def near_first(df: DataFrame, order: list[str], cfg: DedupConfig = DedupConfig(), among: DataFrame | None = None, at_once: int = SETTLED_AT_ONCE) -> DataFrame:
     """doc_id and near_kept of every document: the greedy choice in order, where a rejected one rejects none.
 
     A document stays unless an earlier one that stays shares a band key. Each round keeps, of the undecided
     documents, those that come first in all of their buckets, then drops those that share a bucket with
-    a kept one: the outcome is that of the one-by-one pass for any partitioning. Buckets of one document
-    are left out at once. Raises if documents are still undecided after `rounds` rounds.
+    a kept one: the outcome is that of the one-by-one pass for any partitioning. Every round decides at least
+    the first undecided document, so the rounds end; and once few rows are left (long chains of documents take
+    a round for each two), one task makes the pass itself over them. Buckets of one document are left out at
+    once. among: only these doc_ids take part, and are in the result.
     """
     scratch = Scratch(df.sparkSession, "near")
-    # Rows of one doc_id are one document, which never rejects itself.
-    ordered = df.groupBy("doc_id").agg(F.min(F.struct(*order, F.col("doc_id").alias("_id"))).alias("rank"))
-    member = bands(df, cfg).join(ordered, "doc_id").select("doc_id", "rank", F.xxhash64("band", "key").alias("bucket"))
+    # Rows of one doc_id are one document, which never rejects itself. The rank travels with the signature: df is read once.
+    rank = F.struct(*order, F.col("doc_id").alias("_id"))
+    member = bands(df, cfg, {"rank": rank}).select("doc_id", "rank", F.xxhash64("band", "key").alias("bucket"))
+    if among is not None:
+        member = member.join(among.select("doc_id"), "doc_id", "left_semi")
     member = scratch.table(member, "members")
-    shared = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    every = member.select("doc_id").distinct()
+    shared = member.groupBy("bucket").agg(F.count_distinct("doc_id").alias("n")).filter("n > 1").select("bucket")
     left = scratch.table(member.join(shared, "bucket"), "left-0")
     dropped = None
-    for k in range(1, rounds + 1):
-        if left.isEmpty():
+    for k in itertools.count(1):
+        n = left.count()
+        if not n:
+            break
+        if n <= at_once:
+            kind = dict(member.dtypes)["doc_id"]
+            gone = left.repartition(1).sortWithinPartitions("rank").select("doc_id", "bucket").mapInArrow(_one_by_one, f"doc_id {kind}")
+            gone = scratch.table(gone, f"gone-{k}")
+            dropped = gone if dropped is None else dropped.union(gone)
             break
         # First in all of its buckets: in as many as it has. Nothing is joined by bucket for that.
         firsts = left.groupBy("bucket").agg(F.min("rank")["_id"].alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("firsts"))
-        has = left.groupBy("doc_id").agg(F.count("*").alias("buckets"))
+        has = left.groupBy("doc_id").agg(F.count_distinct("bucket").alias("buckets"))
         kept = scratch.table(has.join(firsts, "doc_id").filter("buckets = firsts").select("doc_id"), f"kept-{k}")
         # A written table, so that the join by bucket can split large buckets.
         taken = scratch.table(left.join(kept, "doc_id", "left_semi").select("bucket").distinct(), f"taken-{k}")
         gone = left.join(taken, "bucket", "left_semi").select("doc_id").distinct().join(kept, "doc_id", "left_anti")
         gone = scratch.table(gone, f"gone-{k}")
         dropped = gone if dropped is None else dropped.union(gone)
-        decided = kept.union(gone)
-        left = scratch.table(left.join(decided, "doc_id", "left_anti"), f"left-{k}")
-    else:
-        raise RuntimeError(f"near_first: documents are undecided after {rounds} rounds")
+        left = scratch.table(left.join(kept.union(gone), "doc_id", "left_anti"), f"left-{k}")
     if dropped is None:
-        return df.select("doc_id", F.lit(True).alias("near_kept"))
-    return df.select("doc_id").join(dropped.withColumn("near_kept", F.lit(False)), "doc_id", "left").withColumn("near_kept", F.coalesce("near_kept", F.lit(True)))
+        return every.select("doc_id", F.lit(True).alias("near_kept"))
+    return every.join(dropped.withColumn("near_kept", F.lit(False)), "doc_id", "left").withColumn("near_kept", F.coalesce("near_kept", F.lit(True)))
+
+
+def shingle_classes(df: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
+    """doc_id, class_id, class_size and n_shingles of every document: those with equal shingle sets are a class, named by its smallest doc_id."""
+    rows = df.select("doc_id", F.inline(F.array(F.struct(words(F.col("text")).alias("ws"))))).select("doc_id", shingles(F.col("ws"), cfg.shingle).alias("s"))
+    # No shingle holds a line end.
+    member = Scratch(df.sparkSession, "classes").table(rows.select("doc_id", F.md5(F.concat_ws("\n", F.array_sort("s"))).alias("set"), F.size("s").cast("long").alias("n_shingles")), "sets")
+    classes = member.groupBy("set").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return member.join(classes, "set").select("doc_id", "class_id", "class_size", "n_shingles")
 
 
 def jaccard_pairs(df: DataFrame, cfg: DedupConfig = DedupConfig(), block: int = 1000) -> DataFrame:
-    """All pairs (a, b), a < b, that share a band key with the Jaccard similarity of their shingle sets.
+    """Pairs (a, b), a < b, of class representatives that share a band key, with the Jaccard similarity of their shingle sets.
 
-    One document of each distinct set is paired and compared; its copies get its pairs at the end, and each
-    other. Buckets of more than `block` sets are cut into blocks that are paired block by block. The pairs
-    themselves grow with the square of a bucket.
+    Documents of one set are one class (see shingle_classes, which tells the members): copies are never paired,
+    and no link between different sets is lost. Buckets of more than `block` classes are cut into blocks that
+    are paired block by block.
     """
     scratch = Scratch(df.sparkSession, "pairs")
-    s = df.select("doc_id", words(F.col("text")).alias("ws")).select("doc_id", shingles(F.col("ws"), cfg.shingle).alias("s"))
-    # No shingle holds a line end.
-    member = s.select("doc_id", F.md5(F.concat_ws("\n", F.array_sort("s"))).alias("set"), F.size("s").alias("size"))
-    member = scratch.table(member, "sets")
-    firsts = member.groupBy("set").agg(F.min("doc_id").alias("first"))
-    member = scratch.table(member.join(firsts, "set").select("doc_id", "first", "size"), "members")
-    first = member.filter("doc_id = first").select("doc_id")
-    b = scratch.table(bands(df.join(first, "doc_id", "left_semi"), cfg), "bands")
+    # Written: what it is joined with twice reads it, not df again.
+    first = scratch.table(shingle_classes(df, cfg).filter("doc_id = class_id").select("doc_id"), "first")
+    rows = df.select("doc_id", "text").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = scratch.table(rows.select("doc_id", "text", F.inline(F.array(F.struct(words(F.col("text")).alias("ws"))))).select("doc_id", "text", shingles(F.col("ws"), cfg.shingle).alias("s")), "rows")
+    b = scratch.table(bands(rows.select("doc_id", "text"), cfg), "bands")
     shared = b.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
     own = b.join(shared, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = scratch.table(dealt.select("band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id"), "blocks")
     x, y = (dealt.select("band", "key", "low", "high", F.col("own").alias(f"own_{c}"), F.col("doc_id").alias(c)) for c in "ab")
     pairs = x.join(y, ["band", "key", "low", "high"]).filter("a < b AND (low = high OR own_a <> own_b)").select("a", "b").distinct()
-    pairs = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    pairs = scratch.table(pairs.select("a", "b", both.alias("shared"), (F.size("sa") + F.size("sb") - both).alias("either")), "pairs")
-    of_a, of_b = (member.select(F.col("first").alias(c), F.col("doc_id").alias(f"{c}_id"), "size") for c in "ab")
-    other = pairs.join(of_a.drop("size"), "a").join(of_b.drop("size"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "shared", "either")
-    same = of_a.join(of_b.drop("size"), F.col("a") == F.col("b")).filter("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("size").alias("shared"), F.col("size").alias("either"))
-    return other.union(same).withColumn("jaccard", F.col("shared") / F.col("either"))
+    of_a, of_b = (rows.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    pairs = pairs.join(of_a, "a").join(of_b, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")).cast("long"))
+    pairs = pairs.select("a", "b", "shared", (F.size("sa") + F.size("sb") - F.col("shared")).cast("long").alias("either"))
+    return pairs.withColumn("jaccard", F.col("shared") / F.col("either"))
 
 
 def collisions(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:

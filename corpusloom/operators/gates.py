@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.config import DEVANAGARI, FETCH_HINDI, FETCH_NEPALI, PROFILES, SYMBOLS, GateConfig, IngestConfig, Profile
-from corpusloom.functions.text import SPACE, lines, words
+from corpusloom.functions.text import SPACE, count_chars, dense, lines, words
 
 SYMBOL_WORD = "[" + re.sub(r"([\\\\^\]\[-])", r"\\\1", SYMBOLS) + "]"
 
@@ -34,48 +34,51 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def gated(df: DataFrame, group: str = "latin", cfg: GateConfig = GateConfig()) -> DataFrame:
-    """df (tidied text, lang) with reason.
+    """df (tidied text, lang) with reason: why a text is not for the corpus, by the profile of its language in the group.
 
-    Words and the text without spaces are columns of their own, so that they are made once. The reason comes
-    from a generator, which filters on it don't pass: pushed down, they would repeat all expressions below.
+    Each measure is a column that is made once, in one pass over the rows: the words, those that are markers
+    of any language, and the number of markers of each. The reason comes from a generator, which filters on it
+    don't pass: pushed down, they would repeat all expressions below. A language outside the group has no
+    script or markers, and is rejected as low_script.
     """
-    rows = df.withColumns({"_words": words(F.col("text")), "_dense": F.regexp_replace("text", f"[{SPACE}]+", "")})
-    rows = rows.withColumn("_bare", trimmed(F.col("_words"), PROFILES[group][0]))
-    reason = gate_reason(F.col("text"), F.col("lang"), F.col("_words"), F.col("_bare"), F.col("_dense"), group, cfg)
-    return rows.select("*", F.inline(F.array(F.struct(reason.alias("reason"))))).drop("_words", "_bare", "_dense")
-
+    profiles = PROFILES[group]
+    every = sorted({m for p in profiles for m in p.markers})
+    rows = df.withColumns({"_words": words(F.col("text")), "_total": F.length(dense(F.col("text")))})
+    rows = rows.withColumn("_markers", F.filter(trimmed(F.col("_words"), profiles[0]), lambda w: w.isin(*every)))
+    rows = rows.withColumn("_counts", F.struct(*(marker_count(F.col("_markers"), p).alias(p.lang) for p in profiles)))
+    reason = gate_reason(F.col("text"), F.col("lang"), F.col("_words"), {p.lang: F.col("_counts")[p.lang] for p in profiles}, F.col("_total"), group, cfg)
+    return rows.select("*", F.inline(F.array(F.struct(reason.alias("reason"))))).drop("_words", "_markers", "_counts", "_total")
 
-def gate_reason(text: Column, lang: Column, ws: Column, bare: Column, dense: Column, group: str = "latin", cfg: GateConfig = GateConfig()) -> Column:
-    """Why a tidied text is not for the corpus, with the profile of its language chosen from the group.
 
-    ws: its words; bare: those without marks around them; dense: the text without spaces. A language outside the group has no script or markers, and
-    is rejected as low_script.
-    """
+def gate_reason(text: Column, lang: Column, ws: Column, counts: dict[str, Column], total: Column, group: str = "latin", cfg: GateConfig = GateConfig()) -> Column:
+    """The cascade over a tidied text, its words, the markers of each language among them, and its characters without spaces."""
     profiles = PROFILES[group]
-    n, total = F.size(ws), F.length(dense)
+    n = F.size(ws)
+
+    def of_lang(values: dict[str, Column], otherwise: int | float) -> Column:
+        pairs = list(values.items())
+        return reduce(lambda c, p: c.when(lang == p[0], p[1]), pairs[1:], F.when(lang == pairs[0][0], pairs[0][1])).otherwise(otherwise) if pairs else F.lit(otherwise)
 
     def share(kind: str) -> Column:
-        patterns = [(p.lang, getattr(p, kind)) for p in profiles if getattr(p, kind)]
-        if not patterns:
-            return F.lit(0.0)
-        case = reduce(lambda c, p: c.when(lang == p[0], F.regexp_count(dense, F.lit(p[1]))), patterns[1:], F.when(lang == patterns[0][0], F.regexp_count(dense, F.lit(patterns[0][1])))).otherwise(0)
-        return ratio(case, total)
-
-    counts = {p.lang: marker_count(bare, p) for p in profiles}
-    own = reduce(lambda c, p: c.when(lang == p.lang, counts[p.lang]), profiles[1:], F.when(lang == profiles[0].lang, counts[profiles[0].lang])).otherwise(0)
-    all_markers = reduce(lambda a, b: a + b, counts.values())
-    best_other = F.greatest(*(F.when(lang == p.lang, F.lit(-1)).otherwise(counts[p.lang]) for p in profiles))
+        patterns = {p.lang: getattr(p, kind) for p in profiles if getattr(p, kind)}
+        by_pattern = {k: [lg for lg, q in patterns.items() if q == k] for k in dict.fromkeys(patterns.values())}
+        found = [(lang.isin(*langs), count_chars(text, k)) for k, langs in by_pattern.items()]
+        return ratio(reduce(lambda c, p: c.when(*p), found[1:], F.when(*found[0])).otherwise(0), total) if found else F.lit(0.0)
+
+    own = of_lang(counts, 0)
+    best_other = F.greatest(*(F.when(lang == k, F.lit(-1)).otherwise(c) for k, c in counts.items()))
+    symbols = F.when(text.rlike(SYMBOL_WORD), F.size(F.filter(ws, lambda w: w.rlike(SYMBOL_WORD)))).otherwise(0)
     return cascade(
         ("too_short_chars", F.length(text) < cfg.min_chars),
         ("too_few_words", n < cfg.min_words),
         ("empty", total == 0),
         ("low_script", share("script") < cfg.min_script_ratio),
         ("code_mixed", share("foreign") > cfg.max_foreign_ratio),
-        ("no_language_markers", all_markers < cfg.min_markers),
+        ("no_language_markers", reduce(lambda a, b: a + b, counts.values()) < cfg.min_markers),
         ("wrong_language", own <= best_other),
         ("repetitive", ratio(F.size(F.array_distinct(ws)), n) < cfg.min_unique_word_ratio),
         ("bad_mean_word_length", ~ratio(total, n).between(cfg.min_mean_word, cfg.max_mean_word)),
-        ("symbol_heavy", ratio(F.size(F.filter(ws, lambda w: w.rlike(SYMBOL_WORD))), n) > cfg.max_symbol_ratio),
+        ("symbol_heavy", ratio(symbols, n) > cfg.max_symbol_ratio),
         ("duplicate_lines", 1 - ratio(F.size(F.array_distinct(lines(text))), F.size(lines(text))) > cfg.max_duplicate_line_ratio),
     )
 
@@ -95,14 +98,14 @@ def cheap_reason(text: Column, script: str = DEVANAGARI, cfg: IngestConfig = Ing
 
 def fetched_reason(text: Column, lang: str, cfg: GateConfig = GateConfig()) -> Column:
     """The check of a fetched page in Devanagari, against the shorter marker lists."""
-    ws, dense = words(text), F.regexp_replace(text, f"[{SPACE}]+", "")
+    ws, packed = words(text), F.regexp_replace(text, f"[{SPACE}]+", "")
     of_hindi, of_nepali = Profile("hindi", DEVANAGARI, None, FETCH_HINDI), Profile("nepali", DEVANAGARI, None, FETCH_NEPALI)
     hindi, nepali = (marker_count(trimmed(ws, p), p) for p in (of_hindi, of_nepali))
     own, other, name = (hindi, nepali, "looks_nepali") if lang == "hindi" else (nepali, hindi, "looks_hindi")
     return cascade(
-        ("empty", F.length(dense) == 0),
-        ("devanagari_ratio", ratio(F.regexp_count(dense, F.lit(DEVANAGARI)), F.length(dense)) < cfg.min_script_ratio),
-        ("latin_ratio", ratio(F.regexp_count(dense, F.lit("[A-Za-z]")), F.length(dense)) > cfg.max_foreign_ratio),
+        ("empty", F.length(packed) == 0),
+        ("devanagari_ratio", ratio(count_chars(packed, DEVANAGARI), F.length(packed)) < cfg.min_script_ratio),
+        ("latin_ratio", ratio(count_chars(packed, "[A-Za-z]"), F.length(packed)) > cfg.max_foreign_ratio),
         ("no_language_markers", hindi + nepali < cfg.min_markers),
         (name, own <= other),
     )
@@ -110,11 +113,11 @@ def fetched_reason(text: Column, lang: str, cfg: GateConfig = GateConfig()) -> C
 
 def page_reason(text: Column, script: str = DEVANAGARI, min_chars: int = 400, min_script: float = 0.75) -> Column:
     """The gate of a recognised page: length, script, words, and words broken to pieces."""
-    ws, dense = words(text), F.regexp_replace(text, f"[{SPACE}]+", "")
+    ws, packed = words(text), F.regexp_replace(text, f"[{SPACE}]+", "")
     return cascade(
         ("too_short", F.length(text) < min_chars),
-        ("empty", F.length(dense) == 0),
-        ("low_script", ratio(F.regexp_count(dense, F.lit(script)), F.length(dense)) < min_script),
+        ("empty", F.length(packed) == 0),
+        ("low_script", ratio(count_chars(packed, script), F.length(packed)) < min_script),
         ("too_few_words", F.size(ws) < 40),
         ("fragmented", ratio(F.size(F.filter(ws, lambda w: F.length(w) <= 2)), F.size(ws)) > 0.45),
     )
@@ -122,16 +125,16 @@ def page_reason(text: Column, script: str = DEVANAGARI, min_chars: int = 400, mi
 
 def text_layer_ok(text: Column, script: str = DEVANAGARI) -> Column:
     """Whether a document's own text layer can be used: 200 characters, a quarter of them in the script."""
-    dense = F.regexp_replace(text, f"[{SPACE}]+", "")
-    return (F.length(text) >= 200) & (F.coalesce(ratio(F.regexp_count(dense, F.lit(script)), F.length(dense)), F.lit(0.0)) >= 0.25)
+    packed = F.regexp_replace(text, f"[{SPACE}]+", "")
+    return (F.length(text) >= 200) & (F.coalesce(ratio(count_chars(packed, script), F.length(packed)), F.lit(0.0)) >= 0.25)
 
 
 def clean_recognised(text: Column, script: str = DEVANAGARI) -> Column:
     """A tidied page without lines of 2 characters or fewer, mostly in another script, or of at most 2 different characters."""
 
     def good(line: Column) -> Column:
-        dense = F.replace(line, F.lit(" "))
-        return (F.length(line) > 2) & (F.regexp_count(dense, F.lit(script)) / F.length(dense) >= 0.5) & (F.size(F.array_distinct(F.split(dense, ""))) > 2)
+        packed = F.replace(line, F.lit(" "))
+        return (F.length(line) > 2) & (count_chars(packed, script) / F.length(packed) >= 0.5) & (F.size(F.array_distinct(F.split(packed, ""))) > 2)
 
     return F.array_join(F.filter(lines(text), good), "\n")
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import SPACE, lines
+from corpusloom.functions.text import SPACE, dense, lines, words
 from corpusloom.operators.budget import label_split
 from corpusloom.operators.gates import SYMBOL_WORD, ratio
 from corpusloom.scratch import Scratch
@@ -33,34 +33,57 @@ def profile(df: DataFrame) -> DataFrame:
     return df.select(flat(F.col("text")).alias("flat")).select(F.explode(grams(F.col("flat"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
-def log_probability(df: DataFrame, reference: DataFrame, head: int = 4000) -> DataFrame:
-    """doc_id and lp: the mean log-probability of the n-grams of a text's head under a profile; -20 under 10 characters.
+def log_probability(df: DataFrame, reference: DataFrame, head: int = 4000, bounded: int = 2_000_000) -> DataFrame:
+    """doc_id and lp: the mean log-probability of the n-grams of a text's head under a profile; -20 under 10 characters, 0 without a profile.
 
-    N-grams that the profile lacks count half an occurrence.
+    N-grams that the profile lacks count half an occurrence. The profile is written once; up to `bounded`
+    n-grams (some 60 MB) it is broadcast, so that the n-grams of the documents aren't shuffled to it.
     """
-    total = F.lit(reference.agg(F.sum("n")).head()[0] or 0)
-    heads = df.select("doc_id", F.substring(flat(F.col("text")), 1, head).alias("flat"))
-    own = heads.select("doc_id", F.explode_outer(grams(F.col("flat"))).alias("gram"))
-    counted = own.groupBy("doc_id", "gram").agg(F.count("*").alias("times"))
-    met = counted.join(reference, "gram", "left")
-    lp = met.groupBy("doc_id").agg((F.sum(F.col("times") * F.log(F.coalesce("n", F.lit(0.5)) / total)) / F.sum("times")).alias("lp"))
-    return heads.select("doc_id", (F.length("flat") < 10).alias("short")).join(lp, "doc_id").select("doc_id", F.when(F.coalesce("short", F.lit(True)), -20.0).otherwise(F.col("lp")).alias("lp"))
+    profile = Scratch(df.sparkSession, "profile").table(reference.select("gram", "n"), "grams")
+    size, total = profile.agg(F.count("*"), F.sum("n")).head()
+    heads = df.select("doc_id", F.inline(F.array(F.struct(F.substring(flat(F.col("text")), 1, head).alias("flat")))))
+    if not total:
+        return heads.select("doc_id", F.lit(0.0).alias("lp"))
+    own = heads.select("doc_id", (F.length("flat") < 10).alias("short"), F.explode_outer(grams(F.col("flat"))).alias("gram"))
+    met = own.join(F.broadcast(profile) if size <= bounded else profile, "gram", "left")
+    lp = met.groupBy("doc_id").agg(F.max("short").alias("short"), F.avg(F.log(F.coalesce("n", F.lit(0.5)) / F.lit(total))).alias("lp"))
+    return lp.select("doc_id", F.when(F.coalesce("short", F.lit(True)), -20.0).otherwise(F.col("lp")).alias("lp"))
+
+
+def score_all(df: DataFrame, reference: DataFrame | None = None) -> DataFrame:
+    """doc_id, provenance_class and score (heuristic, two decimals) of tidied documents; with a profile, distance to it counts too."""
+    rows = df.select("doc_id", "provenance_class", "text", words(F.col("text")).alias("ws"))
+    if reference is None:
+        return rows.select("doc_id", "provenance_class", heuristic_score(F.col("text"), F.col("ws")).alias("score"))
+    # What else the score needs is a few numbers, so no text is joined.
+    parts = rows.select("doc_id", "provenance_class", heuristic_parts(F.col("text"), F.col("ws")).alias("p"))
+    lp = log_probability(df, reference)
+    return parts.join(lp, "doc_id").select("doc_id", "provenance_class", rounded_score(F.col("p.n"), F.col("p.score"), F.col("lp")).alias("score"))
+
+
+def rounded_score(n: Column, score: Column, lp: Column | None) -> Column:
+    if lp is not None:
+        score = score - 2.0 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (-lp - 8.0) / 5.0))
+    return F.when(n < 20, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(5.0), score)), 2))
 
 
-def heuristic_score(text: Column, ws: Column, lp: Column | None = None) -> Column:
-    """0 to 5, from a tidied text and its words: words that repeat, lines that repeat, odd word lengths, symbols, and distance to a profile take points off."""
+def heuristic_parts(text: Column, ws: Column) -> Column:
+    """n (words) and score (before the profile counts, unclamped) of a tidied text and its words."""
     ls = F.filter(lines(text), lambda x: F.btrim(x) != "")
     n = F.size(ws)
     unique = ratio(F.size(F.array_distinct(ws)), n)
     dup = F.coalesce(1 - ratio(F.size(F.array_distinct(ls)), F.size(ls)), F.lit(0.0))
-    mean = ratio(F.aggregate(ws, F.lit(0), lambda a, w: a + F.length(w)), n)
-    symbols = ratio(F.size(F.filter(ws, lambda w: w.rlike(SYMBOL_WORD))), n)
+    mean = ratio(F.length(dense(text)), n)
+    symbols = ratio(F.when(text.rlike(SYMBOL_WORD), F.size(F.filter(ws, lambda w: w.rlike(SYMBOL_WORD)))).otherwise(0), n)
     score = F.lit(5.0) - F.when(unique < 0.30, 2.0).when(unique < 0.45, 1.0).otherwise(0.0)
     score = score - 2.0 * F.least(F.lit(1.0), dup / 0.3) - F.when(mean.between(2.0, 12.0), 0.0).otherwise(1.5)
-    score = score - 2.0 * F.least(F.lit(1.0), symbols / 0.10)
-    if lp is not None:
-        score = score - 2.0 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (-lp - 8.0) / 5.0))
-    return F.when(n < 20, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(5.0), score)))
+    return F.struct(n.alias("n"), (score - 2.0 * F.least(F.lit(1.0), symbols / 0.10)).alias("score"))
+
+
+def heuristic_score(text: Column, ws: Column, lp: Column | None = None) -> Column:
+    """0 to 5, from a tidied text and its words: words that repeat, lines that repeat, odd word lengths, symbols, and distance to a profile take points off."""
+    parts = heuristic_parts(text, ws)
+    return rounded_score(parts["n"], parts["score"], lp)
 
 
 class Scorer(Protocol):
@@ -118,28 +141,30 @@ def distil(labelled: DataFrame, docs: DataFrame, least: int = 200, vocabulary: i
     """
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    from pyspark.ml.linalg import VectorUDT
     from pyspark.ml.regression import LinearRegression
+    from pyspark.sql.functions import unwrap_udt
+    from pyspark.sql.types import StructField, StructType
 
     n = labelled.count()
     if n < least:
         raise ValueError(f"{n} labelled documents; {least} are needed")
 
-    @F.udf(VectorUDT())
-    def damped(v):
-        import numpy as np
-
-        return SparseVector(v.size, v.indices, 1 + np.log(v.values))
-
     scratch = Scratch(docs.sparkSession, "distil")
     split = labelled.withColumn("part", label_split(F.col("doc_id"))).withColumn("label", F.col("score").cast("double"))
     train = split.filter("part = 'train'").withColumn("grams", word_grams(F.col("text")))
     counter = CountVectorizer(inputCol="grams", outputCol="counts", minDF=2, vocabSize=vocabulary).fit(train)
 
     def vectors(df: DataFrame, name: str) -> DataFrame:
-        # The fit reads its rows many times: counts are written once.
+        # The fit reads its rows many times: counts are written once, as 1 + log, without the rows leaving the JVM.
         counts = counter.transform(df.withColumn("grams", word_grams(F.coalesce("text", F.lit(""))))).drop("grams", "text")
-        return scratch.table(counts, name).withColumn("damped", damped("counts")).drop("counts")
+        v = unwrap_udt("counts")
+        damped = F.struct(v["type"].alias("type"), v["size"].alias("size"), v["indices"].alias("indices"), F.transform(v["values"], lambda x: 1 + F.log(x)).alias("values"))
+        plain = counts.withColumn("damped", damped).drop("counts")
+        scratch.table(plain, name)
+        # A vector is stored as such a struct, so the table can be read as one of vectors.
+        schema = StructType([StructField(f.name, VectorUDT() if f.name == "damped" else f.dataType) for f in plain.schema])
+        return docs.sparkSession.read.schema(schema).parquet(f"{scratch.path}/{name}")
 
     rows = vectors(split, "labelled")
     idf = IDF(inputCol="damped", outputCol="weighted").fit(rows.filter("part = 'train'"))

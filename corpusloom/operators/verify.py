@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import content_hash
@@ -25,6 +25,19 @@ def unlabelled(df: DataFrame) -> DataFrame:
     return df.groupBy(cls.alias("provenance_class")).agg(F.count("*").alias("n")).filter(~F.col("provenance_class").isin("manual", "downloaded"))
 
 
+def cross_checks(docs: DataFrame, other: DataFrame) -> DataFrame:
+    """name, violations, passed: ids and contents that two languages' corpora (doc_id, text) share."""
+    a, b = (df.select("doc_id", content_hash(F.col("text")).alias("content")) for df in (docs, other))
+    parts = [_count(a.select(c).filter(F.col(c).isNotNull()).intersect(b.select(c)), f"no {c} in both languages") for c in ("doc_id", "content")]
+    return reduce(DataFrame.unionByName, parts).withColumn("passed", F.col("violations") == 0)
+
+
+def lineage_check(spark: SparkSession, trained_on: set[str]) -> DataFrame:
+    """name, violations, passed: splits other than train that a tokenizer's own record says it saw."""
+    n = len(trained_on - {"train"})
+    return spark.createDataFrame([("tokenizer saw train only", n, n == 0)], "name string, violations long, passed boolean")
+
+
 def checks(docs: DataFrame, other: DataFrame | None = None, tokens: DataFrame | None = None, min_fraction: float = 0.20, trained_on: set[str] | None = None) -> DataFrame:
     """name, violations, passed. docs: (doc_id, text, provenance_class, split); other: another language's; tokens: (provenance_class, n_tokens)."""
     docs = docs.withColumn("content", content_hash(F.col("text")))
@@ -33,14 +46,11 @@ def checks(docs: DataFrame, other: DataFrame | None = None, tokens: DataFrame |
         _count(in_two_splits(docs, "content"), "no content in two splits"),
         _count(unlabelled(docs), "provenance is manual or downloaded"),
     ]
-    if other is not None:
-        other = other.withColumn("content", content_hash(F.col("text")))
-        parts += [_count(docs.select(c).filter(F.col(c).isNotNull()).intersect(other.select(c)), f"no {c} in both languages") for c in ("doc_id", "content")]
     if tokens is not None:
         manual = F.sum(F.when(F.col("provenance_class") == "manual", F.col("n_tokens")).otherwise(0))
         short = F.coalesce(manual / F.nullif(F.sum("n_tokens"), F.lit(0)), F.lit(0.0)) < min_fraction
         parts.append(tokens.agg(short.cast("long").alias("violations")).select(F.lit("manual share of tokens").alias("name"), "violations"))
-    if trained_on is not None:
-        spark = docs.sparkSession
-        parts.append(spark.createDataFrame([("tokenizer saw train only", len(trained_on - {"train"}))], "name string, violations long"))
-    return reduce(DataFrame.unionByName, parts).withColumn("passed", F.col("violations") == 0)
+    found = reduce(DataFrame.unionByName, parts).withColumn("passed", F.col("violations") == 0)
+    if other is not None:
+        found = found.unionByName(cross_checks(docs, other))
+    return found if trained_on is None else found.unionByName(lineage_check(docs.sparkSession, trained_on))

@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.config import DENY_LINK, DENY_URL
+from corpusloom.config import DENY_LINK, DENY_URL, SEED
 
 DROPPED = ("script", "style", "noscript")
+#: The white space that is stripped from the ends of a text.
+STRIPPED = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 #: Character references that are decoded without leaving the JVM; &amp; last.
 REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
@@ -21,18 +23,17 @@ def paragraphs(html: Column) -> Column:
         html = F.regexp_replace(html, rf"(?is)<{tag}\b.*?</{tag}>", " ")
     found = F.regexp_extract_all(html, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1))
 
-    def plain(p: Column) -> Column:
-        p = F.regexp_replace(p, "<[^>]+>", " ")
-        for ref, to in REFERENCES:
-            p = F.replace(p, F.lit(ref), F.lit(to))
-        return F.regexp_replace(F.btrim(p, F.lit(" \t\r\n ")), "[ \t]+", " ")
-
-    return F.transform(found, plain)
+    # Many paragraphs are one string for the decoder; a record separator parts them (no page's text has one left by now).
+    bare = F.transform(found, lambda p: F.replace(F.regexp_replace(p, "<[^>]+>", " "), F.lit("\x1e"), F.lit(" ")))
+    joined = F.array_join(bare, "\x1e")
+    decoded = F.coalesce(unescape(F.when(joined.contains("&"), joined)), joined)
+    parts = F.transform(F.split(decoded, "\x1e"), lambda p: F.regexp_replace(F.btrim(p, F.lit(STRIPPED)), "[ \t]+", " "))
+    return F.when(F.size(found) > 0, parts).otherwise(F.array().cast("array<string>"))
 
 
 def paragraph_text(html: Column, least: int = 200) -> Column:
     """The paragraphs by lines; empty if they have fewer characters than `least`."""
-    text = F.btrim(F.array_join(paragraphs(html), "\n"), F.lit(" \n"))
+    text = F.btrim(F.array_join(paragraphs(html), "\n"), F.lit(STRIPPED))
     return F.when(F.length(text) >= least, text).otherwise("")
 
 
@@ -40,11 +41,11 @@ def _unescape(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     from html import unescape as decode
 
     for s in parts:
-        yield s.map(lambda t: None if t is None else decode(t))
+        yield pd.Series([None if t is None else decode(t) for t in s], dtype=object)
 
 
 def unescape(text: Column) -> Column:
-    """All character references decoded, for pages where REFERENCES don't suffice."""
+    """All character references decoded, named and numbered; Spark has no function for them."""
     return F.pandas_udf(_unescape, "string")(text)
 
 
@@ -99,28 +100,58 @@ def is_pdf(url: Column) -> Column:
     return F.lower(path(url)).endswith(".pdf")
 
 
+def unquoted(text: Column) -> Column:
+    """Percent signs decoded as UTF-8, one that doesn't begin a code stays, and bad bytes become replacement characters. A plus stays a plus."""
+    decoded = F.try_url_decode(F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25"))
+    return F.when(text.contains("%"), F.coalesce(decoded, text)).otherwise(text)
+
+
 def safe_name(url: Column) -> Column:
-    """A file name that stays readable and doesn't collide: the path's last part and 8 digits of the URL's hash."""
-    base = F.element_at(F.split(path(url), "/"), -1)
+    """A file name that stays readable and doesn't collide: the path's last part, percent signs decoded, and 8 digits of the URL's hash."""
+    base = unquoted(F.element_at(F.split(path(url), "/"), -1))
     base = F.substring(F.regexp_replace(F.when(base == "", "document.pdf").otherwise(base), "[^A-Za-z0-9._-]+", "_"), 1, 80)
     stem = F.when(F.lower(base).endswith(".pdf"), F.substring(base, F.lit(1), F.length(base) - 4)).otherwise(base)
     return F.concat(stem, F.lit("__"), F.substring(F.md5(url), 1, 8), F.lit(".pdf"))
 
 
 def fetch_outcome(status: Column, content_type: Column, size: Column) -> Column:
-    """What a fetch says of a URL: final ones are logged and not asked for again."""
+    """What a fetch says of a URL: answers below 500 are final, server errors are asked again, and only html and xml are read."""
     return (
-        F.when(status.isin(404, 410), "gone")
-        .when(status.isin(401, 403), "refused")
-        .when(status == 429, "retry_later")
-        .when(status >= 500, "retry_later")
-        .when(status != 200, "http_error")
-        .when(~F.coalesce(content_type, F.lit("")).rlike("(?i)html|xml|text/plain"), "not_text")
+        F.when(status.isNull() | (status >= 500), "retry_later")
+        .when(status.between(400, 499), F.concat(F.lit("http_"), status.cast("string")))
+        .when(~F.coalesce(content_type, F.lit("")).rlike("html|xml"), "content_type")
         .when(size == 0, "empty")
         .otherwise("ok")
     )
 
 
+def final(outcome: Column) -> Column:
+    """Whether a URL with this outcome belongs into the log of visited ones."""
+    return outcome != "retry_later"
+
+
+def unvisited(urls: DataFrame, visited: DataFrame, order: str = "forward", seed: int = SEED) -> DataFrame:
+    """urls (url, place) without those in visited (url), with turn to sort by: forward, from the tail, or shuffled anew."""
+    if order not in ("forward", "tail", "reshuffle"):
+        raise ValueError(f"unknown order: {order}")
+    turn = {"forward": F.col("place"), "tail": -F.col("place"), "reshuffle": F.xxhash64(F.lit(seed + 1), F.col("url"))}[order]
+    return urls.join(visited.select("url").distinct(), "url", "left_anti").withColumn("turn", turn.cast("long"))
+
+
+def record_visits(visited: DataFrame, fetched: DataFrame) -> DataFrame:
+    """The log of visited URLs after a run: what it held and the new final ones, each once with its outcome (the earlier one counts)."""
+    new = fetched.filter(final(F.col("outcome"))).select("url", "outcome", F.lit(1).alias("_run"))
+    both = visited.select("url", "outcome", F.lit(0).alias("_run")).unionByName(new)
+    return both.groupBy("url").agg(F.min(F.struct("_run", "outcome"))["outcome"].alias("outcome"))
+
+
+def merged_list(prior: DataFrame, found: DataFrame) -> DataFrame:
+    """url and place: a list and what was found since, each URL where it comes first (place counts on from the prior list's)."""
+    after = F.coalesce(F.lit(prior.agg(F.max("place")).head()[0]).cast("long"), F.lit(-1)) + 1
+    both = prior.select("url", F.col("place").cast("long").alias("place")).unionByName(found.select("url", (F.col("place").cast("long") + after).alias("place")))
+    return both.groupBy("url").agg(F.min("place").alias("place"))
+
+
 def valid_pdf(content: Column, least: int = 20_000) -> Column:
     """Whether a fetched file is a PDF of some size."""
     return (F.octet_length(content) >= least) & (F.hex(F.substring(content, 1, 4)) == "25504446")

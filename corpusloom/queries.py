@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.config import BOILERPLATE, DENY_LINK, DENY_URL, DOWNLOADED_METHODS, DOWNLOADED_NAMES, MANUAL_METHODS, MANUAL_NAMES, PROFILES, SEED, SOURCE_MARKERS, BudgetConfig, BuildConfig, GateConfig
+from corpusloom.config import BOILERPLATE, DENY_LINK, DENY_URL, DEVANAGARI, DOWNLOADED_METHODS, DOWNLOADED_NAMES, FETCH_HINDI, FETCH_NEPALI, HINDI, MANUAL_METHODS, MANUAL_NAMES, NEPALI, PROFILES, SEED, SOURCE_MARKERS, BudgetConfig, BuildConfig, GateConfig
 from corpusloom.functions import text as T
 from corpusloom.operators import budget, dedup, gates, scoring, stats, tokens, verify, web
 from corpusloom.plans.build import ORDER, build, cleaned, with_provenance
+from corpusloom.scratch import Scratch
 from corpusloom.session import ship, spread
 from corpusloom.sources import records
 
@@ -20,8 +21,6 @@ ORACLE: dict[str, str] = {}
 
 LATIN = "[A-Za-z\\x{C0}-\\x{FF}]"
 LADDER = (500, 1000, 2000, 4000, 8000)
-#: A small model's budget: such that on the test tables it binds.
-SMALL = BudgetConfig(manual_target_tokens=60_000, downloaded_target_tokens=400_000)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -37,10 +36,15 @@ def clean(spark: SparkSession, sf: str) -> DataFrame:
     return cleaned(documents(spark, sf))
 
 
+def written(spark: SparkSession, sf: str) -> DataFrame:
+    """clean as a written table, for what reads it more than once."""
+    return Scratch(spark, "clean").table(clean(spark, sf).select("doc_id", "provenance_class", "reason", "text"), "clean")
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    """doc_id, provenance_class and heuristic score of every document."""
-    rows = clean(spark, sf).select("doc_id", "provenance_class", "text", T.words(F.col("text")).alias("ws"))
-    return rows.select("doc_id", "provenance_class", scoring.heuristic_score(F.col("text"), F.col("ws")).alias("score"))
+    """doc_id, provenance_class and heuristic score of every document, against the profile of the trusted ones."""
+    rows = written(spark, sf)
+    return scoring.score_all(rows, scoring.profile(rows.filter("reason = 'ok' AND provenance_class = 'manual'")))
 
 
 def kept(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,7 +86,7 @@ def sql_shuffle(key: str) -> str:
 
 
 G = GateConfig()
-FURNITURE_SQL = "(?i)" + "|".join(BOILERPLATE)
+FURNITURE_SQL = "(?i)" + BOILERPLATE
 _b, _r = dedup.geometry()
 CTE: dict[str, tuple[str, tuple[str, ...]]] = {
     "d": ("SELECT *, CAST(substr(source, 4) AS INT) % 5 AS priority, CASE WHEN CAST(substr(source, 4) AS INT) % 5 = 0 THEN 'manual' ELSE 'downloaded' END AS provenance_class, (CAST(substr(source, 4) AS INT) % 5 <> 0)::INT AS class_rank FROM documents", ()),
@@ -128,12 +132,17 @@ CTE: dict[str, tuple[str, tuple[str, ...]]] = {
     "banded": (" UNION ALL ".join(f"SELECT doc_id, {k} AS band, md5(concat_ws(',', {', '.join(f'm{i}' for i in range(k * _r, k * _r + _r))})) AS key FROM signed" for k in range(_b)), ("signed",)),
     "grams": (f"SELECT doc_id, unnest(list_transform(range(1, length(flat) - 3), lambda i: substr(flat, i, 5))) AS gram FROM (SELECT doc_id, regexp_replace(text, '[{WS}]+', ' ', 'g') AS flat FROM k WHERE provenance_class = 'manual')", ("k",)),
     "profile": ("SELECT gram, count(*) AS n FROM grams GROUP BY gram", ("grams",)),
+    "lps": (
+        f"""SELECT doc_id, CASE WHEN (SELECT count(*) FROM profile) = 0 THEN 0.0 WHEN length(flat) < 10 THEN -20.0 ELSE lp END AS lp FROM (SELECT doc_id, flat, sum(times * ln(coalesce(n, 0.5) / (SELECT sum(n) FROM profile))) / sum(times) AS lp
+            FROM (SELECT doc_id, flat, gram, count(*) AS times FROM (SELECT doc_id, flat, unnest(CASE WHEN length(flat) >= 5 THEN list_transform(range(1, length(flat) - 3), lambda i: substr(flat, i, 5)) ELSE [NULL] END) AS gram FROM (SELECT doc_id, substr(regexp_replace(text, '[{WS}]+', ' ', 'g'), 1, 4000) AS flat FROM counts)) GROUP BY ALL) LEFT JOIN profile USING (gram) GROUP BY ALL)""",
+        ("counts", "profile"),
+    ),
     "score": (
-        f"""SELECT doc_id, provenance_class, CASE WHEN nw < 20 THEN 0.0 ELSE greatest(0.0, least(5.0, ((((5.0 - CASE WHEN len(list_distinct(ws)) / nw < 0.30 THEN 2.0 WHEN len(list_distinct(ws)) / nw < 0.45 THEN 1.0 ELSE 0.0 END)
+        f"""SELECT doc_id, provenance_class, CASE WHEN nw < 20 THEN 0.0 ELSE round(greatest(0.0, least(5.0, ((((5.0 - CASE WHEN len(list_distinct(ws)) / nw < 0.30 THEN 2.0 WHEN len(list_distinct(ws)) / nw < 0.45 THEN 1.0 ELSE 0.0 END)
             - 2.0::DOUBLE * least(1.0, coalesce(1 - len(list_distinct(fl)) / nullif(len(fl), 0), 0.0) / 0.3::DOUBLE)) - CASE WHEN list_sum(list_transform(ws, lambda w: length(w))) / nw BETWEEN 2.0 AND 12.0 THEN 0.0 ELSE 1.5 END)
-            - 2.0::DOUBLE * least(1.0, len(list_filter(ws, lambda w: regexp_matches(w, '{gates.SYMBOL_WORD}'))) / nw / 0.10::DOUBLE)))) END::DOUBLE AS score
-            FROM (SELECT *, list_filter(ls, lambda x: trim(x) <> '') AS fl FROM counts)""",
-        ("counts",),
+            - 2.0::DOUBLE * least(1.0, len(list_filter(ws, lambda w: regexp_matches(w, '{gates.SYMBOL_WORD}'))) / nw / 0.10::DOUBLE)) - 2.0::DOUBLE * least(1.0, greatest(0.0, (-lp - 8.0) / 5.0::DOUBLE)))), 2) END::DOUBLE AS score
+            FROM (SELECT c.*, lp, list_filter(ls, lambda x: trim(x) <> '') AS fl FROM counts c JOIN lps ON lps.doc_id = c.doc_id)""",
+        ("counts", "lps"),
     ),
     "freq": ("SELECT token, count(*) AS n FROM (SELECT unnest(ws) AS token FROM k) GROUP BY token", ("k",)),
     "ranked": ("SELECT *, row_number() OVER (ORDER BY n DESC, token) AS rank FROM freq", ("freq",)),
@@ -205,10 +214,75 @@ def cheap_reject(spark, sf):
     return table(spark, sf, "documents").select("doc_id", gates.cheap_reason(F.col("text"), "[A-Za-z]").alias("reason"))
 
 
-@query(rf"""SELECT doc_id, CASE WHEN length(dense) = 0 THEN 'empty' WHEN len(regexp_extract_all(dense, '[\x{{0900}}-\x{{097F}}]')) / length(dense) < 0.7 THEN 'devanagari_ratio' ELSE 'other' END AS reason FROM (SELECT doc_id, regexp_replace(text, '[{WS}]+', '', 'g') AS dense FROM documents)""")
+def devanagari_rows() -> list[tuple[str, str, str]]:
+    """name, language, text: one made text for each outcome of the Devanagari gates."""
+    letters = [chr(0x0915 + i) for i in range(30)]
+    plain = [f"शब्द{letters[i % 30]}{letters[i // 30]}" for i in range(80)]
+    hindi, nepali = list(HINDI), list(NEPALI)
+    rows = {
+        "short": ["क" * 10],
+        "few": ["क" * 500],
+        "latin": [f"मान{'abcdefgh'[i % 8]}{'xyzwvuts' * 2}{i}" for i in range(60)],
+        "mixed": [*plain, *hindi[:6], *["latin"] * 16],
+        "unmarked": plain,
+        "tied": [*plain, *hindi[:3], *nepali[:3]],
+        "repeats": [*hindi[:4], *["शब्दशब्द", "दूसराशब्द"] * 60],
+        "long words": [*("क" * 20 + letters[i % 30] + letters[i // 30] for i in range(60)), *hindi[:4]],
+        "symbols": [*plain[:60], *hindi[:6], *(f"चिह्न{letters[i]}#" for i in range(15))],
+        "lines": [*plain, *hindi[:6], *(f"\nछोटी पंक्ति {letters[i % 2]}" for i in range(8))],
+        "hindi": [*plain, *hindi[:6], "है।", "(था)"],
+        "nepali": [*plain, *nepali[:6], "छ।", "नेपाल"],
+        # The last two markers of each language are unknown to the check of fetched pages.
+        "fetched": [*plain, hindi[-1], nepali[-1], hindi[0], hindi[1]],
+    }
+    rows = {k: " ".join(v).replace(" \n", "\n") for k, v in rows.items()} | {"blank": " \u00a0\n", "nothing": ""}
+    return [(k, lang, t) for k, t in rows.items() for lang in ("hindi", "nepali", "other")]
+
+
+_DEV = ", ".join(f"({', '.join(chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for x in r)})" for r in devanagari_rows())
+_DEV_WORDS = f"SELECT name, lang, text, {sql_words('text')} AS ws, regexp_replace(text, '[{WS}]+', '', 'g') AS dense, string_split(text, chr(10)) AS ls FROM (VALUES {_DEV}) r(name, lang, text)"
+
+
+def sql_chars(pattern: str) -> str:
+    return f"len(regexp_extract_all(dense, '{pattern}'))"
+
+
+def sql_marked(markers: tuple[str, ...]) -> str:
+    trim = PROFILES["devanagari"][0].trim.replace("'", "''")
+    return f"len(list_filter(ws, lambda w: trim(w, '{trim}') IN {quoted(markers)}))"
+
+
+def made(spark: SparkSession) -> DataFrame:
+    ship(spark)
+    return spark.createDataFrame(devanagari_rows(), "name string, lang string, text string")
+
+
+@query(f"""SELECT name, lang, CASE WHEN length(text) < {G.min_chars} THEN 'too_short_chars' WHEN len(ws) < {G.min_words} THEN 'too_few_words' WHEN length(dense) = 0 THEN 'empty'
+        WHEN lang = 'other' OR {sql_chars(DEVANAGARI)} / length(dense) < {G.min_script_ratio} THEN 'low_script' WHEN {sql_chars('[A-Za-z]')} / length(dense) > {G.max_foreign_ratio} THEN 'code_mixed'
+        WHEN hi + ne < {G.min_markers} THEN 'no_language_markers' WHEN CASE lang WHEN 'hindi' THEN hi <= ne ELSE ne <= hi END THEN 'wrong_language'
+        WHEN len(list_distinct(ws)) / len(ws) < {G.min_unique_word_ratio} THEN 'repetitive' WHEN NOT (length(dense) / len(ws) BETWEEN {G.min_mean_word} AND {G.max_mean_word}) THEN 'bad_mean_word_length'
+        WHEN len(list_filter(ws, lambda w: regexp_matches(w, '{gates.SYMBOL_WORD}'))) / len(ws) > {G.max_symbol_ratio} THEN 'symbol_heavy' WHEN 1 - len(list_distinct(ls)) / len(ls) > {G.max_duplicate_line_ratio} THEN 'duplicate_lines' ELSE 'ok' END AS reason
+    FROM (SELECT *, {sql_marked(HINDI)} AS hi, {sql_marked(NEPALI)} AS ne FROM ({_DEV_WORDS}))""")
+def devanagari_gates(spark, sf):
+    """Every reason of the cascade, over made texts."""
+    return gates.gated(made(spark), "devanagari").select("name", "lang", "reason")
+
+
+def sql_fetched(lang: str) -> str:
+    own, other, name = ("hi", "ne", "looks_nepali") if lang == "hindi" else ("ne", "hi", "looks_hindi")
+    return f"""CASE WHEN length(dense) = 0 THEN 'empty' WHEN {sql_chars(DEVANAGARI)} / length(dense) < 0.7 THEN 'devanagari_ratio' WHEN {sql_chars('[A-Za-z]')} / length(dense) > 0.12 THEN 'latin_ratio'
+        WHEN hi + ne < 3 THEN 'no_language_markers' WHEN {own} <= {other} THEN '{name}' ELSE 'ok' END"""
+
+
+@query(f"SELECT name, lang, {sql_fetched('hindi')} AS for_hindi, {sql_fetched('nepali')} AS for_nepali FROM (SELECT *, {sql_marked(FETCH_HINDI)} AS hi, {sql_marked(FETCH_NEPALI)} AS ne FROM ({_DEV_WORDS}))")
+def fetched_devanagari(spark, sf):
+    """Every reason of the check of fetched pages, over made texts."""
+    return made(spark).select("name", "lang", gates.fetched_reason(F.col("text"), "hindi").alias("for_hindi"), gates.fetched_reason(F.col("text"), "nepali").alias("for_nepali"))
+
+
+@query(f"SELECT doc_id, {sql_fetched('hindi')} AS reason FROM (SELECT *, {sql_marked(FETCH_HINDI)} AS hi, {sql_marked(FETCH_NEPALI)} AS ne FROM (SELECT doc_id, {sql_words('text')} AS ws, regexp_replace(text, '[{WS}]+', '', 'g') AS dense FROM documents))")
 def fetched_gate(spark, sf):
-    reason = gates.fetched_reason(F.col("text"), "hindi")
-    return table(spark, sf, "documents").select("doc_id", F.when(reason.isin("empty", "devanagari_ratio"), reason).otherwise("other").alias("reason"))
+    return table(spark, sf, "documents").select("doc_id", gates.fetched_reason(F.col("text"), "hindi").alias("reason"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN length(text) < 400 THEN 'too_short' WHEN length(dense) = 0 THEN 'empty' WHEN len(regexp_extract_all(dense, '{LATIN}')) / length(dense) < 0.75 THEN 'low_script'
@@ -236,7 +310,7 @@ def provenance_validation(spark, sf):
 
 @query(rf"""SELECT doc_id, row_number() OVER (PARTITION BY md5(regexp_replace(regexp_replace(lower(text), '[\x{{964}}\x{{965}}\x{{970}}]', '', 'g'), '{NW}', '', 'g')) ORDER BY class_rank, priority, source, doc_id) = 1 AS exact_kept FROM k""")
 def exact_dedup(spark, sf):
-    return dedup.exact_first(kept(spark, sf), F.md5(T.hash_form(F.col("text"))), ORDER).select("doc_id", "exact_kept")
+    return dedup.exact_first(kept(spark, sf), F.md5(T.hash_form(F.col("text"))), ORDER)
 
 
 @query(f"SELECT doc_id, substr(md5(regexp_replace(lower(text), '{NW}', '', 'g')), 1, 20) AS content_id FROM norm")
@@ -255,15 +329,25 @@ def minhash_bands(spark, sf):
     return dedup.bands(kept(spark, sf))
 
 
-@query()
+@query("""SELECT unnest(f.kept).doc_id AS doc_id, unnest(f.kept).near_kept AS near_kept FROM (SELECT list_reduce(list({'doc_id': doc_id, 'keys': keys} ORDER BY class_rank, priority, source, doc_id),
+        lambda acc, x: CASE WHEN list_has_any(acc.owned, x.keys) THEN {'owned': acc.owned, 'kept': list_append(acc.kept, {'doc_id': x.doc_id, 'near_kept': false})}
+            ELSE {'owned': list_concat(acc.owned, x.keys), 'kept': list_append(acc.kept, {'doc_id': x.doc_id, 'near_kept': true})} END,
+        {'owned': []::VARCHAR[], 'kept': []::STRUCT(doc_id BIGINT, near_kept BOOLEAN)[]}) AS f
+    FROM (SELECT k.doc_id, class_rank, priority, source, keys FROM k JOIN (SELECT doc_id, list(band || ':' || key) AS keys FROM banded GROUP BY doc_id) b ON b.doc_id = k.doc_id))""")
 def near_dup_kept(spark, sf):
     return dedup.near_first(kept(spark, sf), ORDER)
 
 
+@query("SELECT doc_id, min(doc_id) OVER w AS class_id, count(*) OVER w AS class_size, len(s) AS n_shingles FROM shingled WINDOW w AS (PARTITION BY list_sort(s))")
+def shingle_classes(spark, sf):
+    return dedup.shingle_classes(kept(spark, sf))
+
+
 @query("""SELECT a, b, shared, either, shared / either AS jaccard FROM (SELECT a, b, len(list_intersect(x.s, y.s)) AS shared, len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)) AS either
-    FROM (SELECT DISTINCT l.doc_id AS a, r.doc_id AS b FROM banded l JOIN banded r ON l.band = r.band AND l.key = r.key AND l.doc_id < r.doc_id) JOIN shingled x ON x.doc_id = a JOIN shingled y ON y.doc_id = b)""")
+    FROM (SELECT DISTINCT l.doc_id AS a, r.doc_id AS b FROM banded l JOIN banded r ON l.band = r.band AND l.key = r.key AND l.doc_id < r.doc_id
+          WHERE l.doc_id IN (SELECT min(doc_id) FROM shingled GROUP BY list_sort(s)) AND r.doc_id IN (SELECT min(doc_id) FROM shingled GROUP BY list_sort(s))) JOIN shingled x ON x.doc_id = a JOIN shingled y ON y.doc_id = b)""")
 def jaccard_pairs(spark, sf):
-    return dedup.jaccard_pairs(kept(spark, sf)).select("a", "b", F.col("shared").cast("long").alias("shared"), F.col("either").cast("long").alias("either"), "jaccard")
+    return dedup.jaccard_pairs(kept(spark, sf))
 
 
 @query(f"SELECT DISTINCT c AS content FROM (SELECT md5(regexp_replace(lower(text), '{NW}', '', 'g')) AS c, class_rank FROM norm) l WHERE class_rank = 0 AND EXISTS (SELECT 1 FROM (SELECT md5(regexp_replace(lower(text), '{NW}', '', 'g')) AS c2, class_rank AS cr FROM norm) r WHERE c2 = c AND cr = 1)")
@@ -292,10 +376,24 @@ def budget_prefix(spark, sf):
     return budget.until_budget(rows, ORDER, "n_chars", 400_000).select("doc_id", "n_chars")
 
 
-@query()
+def sql_fill(rows: str, limit: str) -> str:
+    """The greedy fill as a fold over the ordered rows: (doc_id, n) lists go in, the ids that fit come out."""
+    return f"""SELECT unnest(f.kept) AS doc_id FROM (SELECT list_reduce(list({{'doc_id': doc_id, 'n': n_chars, 'most': {limit}}} ORDER BY priority, source, {sql_shuffle('doc_id')}, doc_id),
+        lambda acc, x: CASE WHEN acc.total + x.n <= x.most THEN {{'total': acc.total + x.n, 'kept': list_append(acc.kept, x.doc_id)}} ELSE acc END, {{'total': 0::BIGINT, 'kept': []::BIGINT[]}}) AS f FROM {rows})"""
+
+
+_budget = BudgetConfig()
+_f = _budget.min_manual_fraction + _budget.margin
+_manual = int(_budget.manual_target_tokens * _budget.manual_chars_per_token)
+_other = f"least({int(_budget.downloaded_target_tokens * _budget.downloaded_chars_per_token)}, (SELECT floor(sum(n_chars) / {_budget.manual_chars_per_token}::DOUBLE * {1 - _f}::DOUBLE / {_f}::DOUBLE * {_budget.downloaded_chars_per_token}::DOUBLE)::BIGINT FROM k WHERE doc_id IN (SELECT doc_id FROM manual)))"
+
+
+@query(f"""SELECT doc_id, n_chars, provenance_class, priority, source FROM k WHERE doc_id IN (WITH manual AS MATERIALIZED ({sql_fill("k WHERE provenance_class = 'manual'", str(_manual))}),
+    cap AS MATERIALIZED (SELECT {_other} AS n), other AS ({sql_fill("k, cap WHERE provenance_class <> 'manual'", "cap.n")})
+    SELECT doc_id FROM manual UNION ALL SELECT doc_id FROM other)""")
 def budget_fill(spark, sf):
     rows = kept(spark, sf).select("doc_id", "n_chars", "provenance_class", "priority", "source")
-    return budget.apply_budget(rows, SMALL)[0]
+    return budget.apply_budget(rows, BudgetConfig())[0]
 
 
 @query("SELECT doc_id, split FROM split")
@@ -415,6 +513,27 @@ def verification(spark, sf):
     return verify.checks(rows, tokens=counted)
 
 
+def sql_shared(column: str) -> str:
+    one, other = (f"SELECT {column} FROM norm WHERE lang {w}" for w in ("IN ('en', 'de')", "NOT IN ('en', 'es')"))
+    return f"(SELECT count(*) FROM ({one} INTERSECT {other}))"
+
+
+_CONTENT = f"md5(regexp_replace(lower(text), '{NW}', '', 'g'))"
+
+
+@query(f"SELECT name, violations, violations = 0 AS passed FROM (SELECT 'no doc_id in both languages' AS name, {sql_shared('doc_id')} AS violations UNION ALL SELECT 'no content in both languages', {sql_shared(_CONTENT)})")
+def cross_language_checks(spark, sf):
+    """Two corpora that overlap in one language."""
+    rows = T.normalize(documents(spark, sf))
+    return verify.cross_checks(rows.filter("lang IN ('en', 'de')"), rows.filter("lang NOT IN ('en', 'es')"))
+
+
+@query("SELECT 'tokenizer saw train only' AS name, 1::BIGINT AS violations, false AS passed")
+def training_lineage(spark, sf):
+    ship(spark)
+    return verify.lineage_check(spark, {"train", "val"})
+
+
 # --- quality scores ---
 
 
@@ -423,16 +542,15 @@ def ngram_profile(spark, sf):
     return scoring.profile(kept(spark, sf).filter("provenance_class = 'manual'"))
 
 
-@query(f"""SELECT doc_id, round(CASE WHEN length(flat) < 10 THEN -20.0 ELSE lp END, 6) AS lp FROM (SELECT doc_id, flat, sum(times * ln(coalesce(n, 0.5) / (SELECT sum(n) FROM profile))) / sum(times) AS lp
-    FROM (SELECT doc_id, flat, gram, count(*) AS times FROM (SELECT doc_id, flat, unnest(list_transform(range(1, length(flat) - 3), lambda i: substr(flat, i, 5))) AS gram FROM (SELECT doc_id, substr(regexp_replace(text, '[{WS}]+', ' ', 'g'), 1, 4000) AS flat FROM k)) GROUP BY ALL) LEFT JOIN profile USING (gram) GROUP BY ALL)""")
+@query("SELECT doc_id, round(lp, 6) AS lp FROM lps")
 def ngram_log_probability(spark, sf):
-    rows = kept(spark, sf)
-    return scoring.log_probability(rows, scoring.profile(rows.filter("provenance_class = 'manual'"))).select("doc_id", F.round("lp", 6).alias("lp"))
+    rows = written(spark, sf)
+    return scoring.log_probability(rows, scoring.profile(rows.filter("reason = 'ok' AND provenance_class = 'manual'"))).select("doc_id", F.round("lp", 6).alias("lp"))
 
 
-@query("SELECT doc_id, round(score, 6) AS score FROM score")
+@query("SELECT doc_id, score FROM score")
 def heuristic_score(spark, sf):
-    return scored(spark, sf).select("doc_id", F.round("score", 6).alias("score"))
+    return scored(spark, sf).select("doc_id", "score")
 
 
 @query("SELECT provenance_class, floor(score)::INT AS points, count(*) AS documents, round(avg(score), 6) AS mean_score FROM score GROUP BY ALL")
@@ -459,9 +577,9 @@ def held_out_fit(spark, sf):
     return rows.agg(F.round(F.avg(F.abs(F.col("p") - F.col("quality"))), 6).alias("mae"), F.round(F.corr("p", F.col("quality").cast("double")), 6).alias("r"))
 
 
-@query("SELECT doc_id, CAST(nullif(regexp_extract(substr(text, 1, 400), '[0-5]'), '') AS DOUBLE) AS rating FROM documents")
+@query("SELECT doc_id, CAST(nullif(regexp_extract(text, '[0-5]'), '') AS DOUBLE) AS rating FROM documents")
 def parse_rating(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", scoring.parse_rating(F.substring("text", 1, 400)).alias("rating"))
+    return table(spark, sf, "documents").select("doc_id", scoring.parse_rating(F.col("text")).alias("rating"))
 
 
 @query()
@@ -476,11 +594,19 @@ def distil_ridge(spark, sf):
 _CUT = "html"
 for _t in web.DROPPED:
     _CUT = f"regexp_replace({_CUT}, '(?is)<{_t}\\b.*?</{_t}>', ' ', 'g')"
-_PLAIN = "regexp_replace(x, '<[^>]+>', ' ', 'g')"
-for _f, _to in web.REFERENCES:
-    _PLAIN = f"replace({_PLAIN}, '{_f}', '{_to.replace(chr(39), chr(39) * 2)}')"
-_PLAIN = f"regexp_replace(trim({_PLAIN}, chr(9) || chr(10) || chr(13) || ' '), '[ \\t]+', ' ', 'g')"
-_TEXT = f"trim(array_to_string(list_transform(regexp_extract_all({_CUT}, '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda x: {_PLAIN}), chr(10)), ' ' || chr(10))"
+_PLAIN = f"regexp_replace(trim(html_unescape_all(regexp_replace(x, '<[^>]+>', ' ', 'g')), sp), '[ \\t]+', ' ', 'g')"
+
+
+def sql_unescape(t: str) -> str:
+    """Named references that the pages have, and all numbered ones (by their decimal and hexadecimal forms)."""
+    out = f"array_to_string(list_transform(range(1, len(string_split({t}, '&#')) + 1), lambda i: CASE WHEN i = 1 THEN string_split({t}, '&#')[i] WHEN regexp_matches(string_split({t}, '&#')[i], '^[0-9]+;') THEN chr(CAST(regexp_extract(string_split({t}, '&#')[i], '^[0-9]+') AS INT)) || regexp_replace(string_split({t}, '&#')[i], '^[0-9]+;', '') ELSE '&#' || string_split({t}, '&#')[i] END), '')"
+    for name, to in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", "\u00a0"), ("copy", "©"), ("middot", "·"), ("eacute", "é"), ("ndash", "–"), ("mdash", "—"), ("hellip", "…"), ("rsquo", "’"), ("amp", "&")):
+        out = f"replace({out}, '&{name};', '{to}')"
+    return out
+
+
+_PLAIN = _PLAIN.replace("html_unescape_all(regexp_replace(x, '<[^>]+>', ' ', 'g'))", sql_unescape("regexp_replace(x, '<[^>]+>', ' ', 'g')"))
+_TEXT = f"trim(array_to_string(list_transform(regexp_extract_all({_CUT}, '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda x: {_PLAIN.replace(', sp)', f', {chr(39)}' + web.STRIPPED + f'{chr(39)})')}), chr(10)), '{web.STRIPPED}')"
 
 
 @query(f"SELECT page_id, CASE WHEN length(t) >= 200 THEN t ELSE '' END AS text FROM (SELECT page_id, {_TEXT} AS t FROM pages)")
@@ -512,9 +638,46 @@ def url_deny(spark, sf):
 
 
 @query("""SELECT page_id, lower(p) LIKE '%.pdf' AS pdf, CASE WHEN lower(b) LIKE '%.pdf' THEN substr(b, 1, length(b) - 4) ELSE b END || '__' || substr(md5(url), 1, 8) || '.pdf' AS name
-    FROM (SELECT page_id, url, p, substr(regexp_replace(CASE WHEN string_split(p, '/')[-1] = '' THEN 'document.pdf' ELSE string_split(p, '/')[-1] END, '[^A-Za-z0-9._-]+', '_', 'g'), 1, 80) AS b FROM (SELECT page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM pages))""")
+    FROM (SELECT page_id, url, p, substr(regexp_replace(CASE WHEN string_split(p, '/')[-1] = '' THEN 'document.pdf' ELSE url_decode(string_split(p, '/')[-1]) END, '[^A-Za-z0-9._-]+', '_', 'g'), 1, 80) AS b
+    FROM (SELECT page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '/My%20Report%202020.pdf' WHEN 1 THEN '/caf%C3%A9+notes.PDF?x=1' WHEN 2 THEN '/' ELSE '' END AS url FROM pages)))""")
 def safe_names(spark, sf):
-    return table(spark, sf, "pages").select("page_id", web.is_pdf(F.col("url")).alias("pdf"), web.safe_name(F.col("url")).alias("name"))
+    """File names for the pages' URLs, some of them with percent signs."""
+    r = F.col("page_id") % 4
+    url = F.concat("url", F.when(r == 0, "/My%20Report%202020.pdf").when(r == 1, "/caf%C3%A9+notes.PDF?x=1").when(r == 2, "/").otherwise(""))
+    return table(spark, sf, "pages").withColumn("url", url).select("page_id", web.is_pdf(F.col("url")).alias("pdf"), web.safe_name(F.col("url")).alias("name"))
+
+
+@query("""SELECT page_id, CASE WHEN status >= 500 OR status IS NULL THEN 'retry_later' WHEN status >= 400 THEN 'http_' || status WHEN NOT contains(kind, 'html') AND NOT contains(kind, 'xml') THEN 'content_type' WHEN n = 0 THEN 'empty' ELSE 'ok' END AS outcome, coalesce(status < 500, false) AS final
+    FROM (SELECT page_id, [200, 404, 429, 503, 301, 200, NULL][page_id % 7 + 1] AS status, ['text/html', 'text/plain', 'application/xhtml+xml', 'image/png'][page_id % 4 + 1] AS kind, CASE WHEN page_id % 11 = 0 THEN 0 ELSE length(html) END AS n FROM pages)""")
+def fetch_outcomes(spark, sf):
+    """The outcome of fetches of the pages with made status codes and types, and whether it is final."""
+    statuses, kinds = F.array(*(F.lit(x) for x in (200, 404, 429, 503, 301, 200, None))), F.array(*(F.lit(x) for x in ("text/html", "text/plain", "application/xhtml+xml", "image/png")))
+    size = F.when(F.col("page_id") % 11 == 0, 0).otherwise(F.length("html"))
+    rows = table(spark, sf, "pages").select("page_id", web.fetch_outcome(statuses[(F.col("page_id") % 7).cast("int")], kinds[(F.col("page_id") % 4).cast("int")], size).alias("outcome"))
+    return rows.select("page_id", "outcome", web.final(F.col("outcome")).alias("final"))
+
+
+@query("""SELECT url, CASE WHEN url IN (SELECT url FROM pages WHERE page_id % 3 = 0) THEN 'old' ELSE 'ok' END AS outcome FROM pages WHERE page_id % 3 = 0 OR page_id % 5 <> 0 GROUP BY url""")
+def visited_log(spark, sf):
+    """What a log of visited URLs holds after a run that met some of them again, and some server errors."""
+    rows = table(spark, sf, "pages")
+    old = rows.filter("page_id % 3 = 0").select("url", F.lit("old").alias("outcome"))
+    new = rows.select("url", F.when(F.col("page_id") % 5 == 0, "retry_later").otherwise("ok").alias("outcome"))
+    return web.record_visits(old, new)
+
+
+@query(f"SELECT page_id, -page_id AS tail FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+def resume_order(spark, sf):
+    """The URLs that are left to visit, from the tail."""
+    rows = table(spark, sf, "pages").select("page_id", "url", F.col("page_id").alias("place"))
+    return web.unvisited(rows, rows.filter("page_id % 3 = 0"), "tail").select("page_id", F.col("turn").alias("tail"))
+
+
+@query("SELECT url, min(place) AS place FROM (SELECT url, page_id AS place FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, page_id + (SELECT max(page_id) + 1 FROM pages WHERE page_id % 2 = 0) FROM pages) GROUP BY url")
+def merged_list(spark, sf):
+    """A list of URLs merged with one that holds all of them."""
+    rows = table(spark, sf, "pages").select("url", F.col("page_id").alias("place"))
+    return web.merged_list(rows.filter("place % 2 = 0"), rows)
 
 
 @query("SELECT host, count(*) AS pages, count(DISTINCT url) AS urls, sum(length(html))::BIGINT AS n_chars FROM hosts GROUP BY host")
@@ -687,7 +850,7 @@ def piece_round_trip(spark, sf):
 @query()
 def corpus_build(spark, sf):
     """The whole build: gates, exact and near dedup, budget, split."""
-    return build(documents(spark, sf), BuildConfig(budget=SMALL)).corpus.select("doc_id", "provenance_class", "source", "lang", "n_chars", "split")
+    return build(documents(spark, sf), BuildConfig()).corpus.select("doc_id", "provenance_class", "source", "lang", "n_chars", "split")
 
 
 @query()

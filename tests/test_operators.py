@@ -115,18 +115,29 @@ def test_near_first_is_the_sequential_pass(spark, monkeypatch, seed, parts):
     keys = {d: {(b, rng.randrange(n // 2)) for b in range(3)} for d in range(n)}
     rows = [(d, b, str(k)) for d, ks in keys.items() for b, k in ks]
     member = spark.createDataFrame(rows, "doc_id long, band int, key string").repartition(parts)
-    monkeypatch.setattr(dedup, "bands", lambda df, cfg: member)
+    monkeypatch.setattr(dedup, "bands", lambda df, cfg, carried: member.join(df.select("doc_id", *(c.alias(k) for k, c in carried.items())), "doc_id"))
     docs = spark.createDataFrame([(d, rng.randrange(5)) for d in range(n)], "doc_id long, prio int")
     order = [r.doc_id for r in docs.orderBy("prio", "doc_id").collect()]
-    got = {r.doc_id for r in dedup.near_first(docs, ["prio"]).filter("near_kept").collect()}
-    assert got == _sequential(keys, order)
+    for at_once in (0, 20, 200_000):
+        got = {r.doc_id for r in dedup.near_first(docs, ["prio"], at_once=at_once).filter("near_kept").collect()}
+        assert got == _sequential(keys, order)
+
+
+@pytest.mark.parametrize("at_once", [9_990, 200_000])
+def test_long_chains_end(spark, monkeypatch, at_once):
+    """Each of 5,000 documents shares a bucket with the next: every second one stays, by rounds or at once."""
+    n = 5000
+    chain = spark.range(n).select(F.col("id").alias("doc_id"), F.explode(F.array(F.col("id") - 1, F.col("id"))).alias("at")).select("doc_id", F.lit(0).alias("band"), F.col("at").cast("string").alias("key"))
+    monkeypatch.setattr(dedup, "bands", lambda df, cfg, carried: chain.join(df.select("doc_id", *(c.alias(k) for k, c in carried.items())), "doc_id"))
+    kept = {r.doc_id for r in dedup.near_first(spark.range(n).select(F.col("id").alias("doc_id")), [], at_once=at_once).filter("near_kept").collect()}
+    assert kept == set(range(0, n, 2))
 
 
 def test_chain_keeps_its_third(spark, monkeypatch):
     member = spark.createDataFrame([(1, 0, "x"), (2, 0, "x"), (2, 1, "y"), (3, 1, "y")], "doc_id long, band int, key string")
-    monkeypatch.setattr(dedup, "bands", lambda df, cfg: member)
-    docs = spark.createDataFrame([(1,), (2,), (3,), (4,)], "doc_id long")
-    assert {r.doc_id for r in dedup.near_first(docs, []).filter("near_kept").collect()} == {1, 3, 4}
+    monkeypatch.setattr(dedup, "bands", lambda df, cfg, carried: member.join(df.select("doc_id", *(c.alias(k) for k, c in carried.items())), "doc_id"))
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
+    assert {r.doc_id for r in dedup.near_first(docs, []).filter("near_kept").collect()} == {1, 3}
 
 
 def test_near_duplicates_of_texts(spark):
@@ -148,7 +159,9 @@ def test_jaccard_pairs_of_large_buckets(spark):
         by_band.setdefault((r.band, r.key), []).append(r.doc_id)
     near = {(a, b) for ids in by_band.values() for a in ids for b in ids if a < b}
     assert max(map(len, by_band.values())) > 5
-    want = {(a, b): (len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a, b in near}
+    first = {i: min(j for j in range(len(texts)) if sets[j] == sets[i]) for i in range(len(texts))}
+    assert {r.doc_id: (r.class_id, r.class_size) for r in dedup.shingle_classes(df).collect()} == {i: (c, list(first.values()).count(c)) for i, c in first.items()}
+    want = {(a, b): (len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a, b in near if first[a] == a and first[b] == b}
     for block in (2, 5, 1000):
         rows = dedup.jaccard_pairs(df, block=block).collect()
         assert len(rows) == len(want) and {(r.a, r.b): (r.shared, r.either) for r in rows} == want
@@ -183,7 +196,8 @@ def test_first_fit_is_the_sequential_fill(spark, seed):
     sizes = [(i, rng.choice([0, 1, 5, 20, 100])) for i in range(150)]
     df = spark.createDataFrame(sizes, "i long, n long").repartition(5)
     for limit in (0, 37, 500, 10**6):
-        assert sorted(r.i for r in budget.first_fit(df, ["i"], "n", limit).collect()) == _first_fit(sizes, limit)
+        for at_once in (10, 200_000):
+            assert sorted(r.i for r in budget.first_fit(df, ["i"], "n", limit, at_once).collect()) == _first_fit(sizes, limit)
 
 
 def test_three_caps(spark):
@@ -245,6 +259,10 @@ def test_heuristic_score(spark):
     assert [r.s for r in df.orderBy("i").select(scoring.heuristic_score(F.col("text"), F.col("ws")).alias("s")).collect()] == [s for _, s in rows]
     worse = df.filter("i = 1").select(scoring.heuristic_score(F.col("text"), F.col("ws"), F.lit(-13.0)).alias("s")).head().s
     assert worse == 3.0
+    docs = df.select(F.col("i").alias("doc_id"), F.lit("manual").alias("provenance_class"), "text")
+    assert {r.lp for r in scoring.log_probability(docs, scoring.profile(docs.limit(0))).collect()} == {0.0}
+    by_profile = {r.doc_id: r.score for r in scoring.score_all(docs, scoring.profile(docs.filter("i = 3"))).collect()}
+    assert by_profile[3] == 1.0 and by_profile[1] == 5.0 and by_profile[0] == 0.0
 
 
 def test_scorer_batches_resume_and_survive_failures(spark):
@@ -311,11 +329,14 @@ def test_web(spark):
     html = "<p class=a>One &amp; <b>two</b></p><script>'<p>no</p>'</script><P>three</P><noscript><p>n</p></noscript><a HREF='b?x#y'>"
     df = spark.createDataFrame([(html, "https://h.org/d/a.PDF?q=1")], "html string, url string")
     assert df.select(web.paragraphs(F.col("html"))).head()[0] == ["One & two", "three"]
+    assert df.select(web.paragraphs(F.lit("<p>caf&eacute; &#8217;&ndash; &hellip;</p><p>&nbsp;x&nbsp;</p><p></p>"))).head()[0] == ["café ’– …", "x", ""]
+    assert df.select(web.paragraphs(F.lit("<div>none</div>"))).head()[0] == []
     assert df.select(web.hrefs(F.col("html"))).head()[0] == ["b?x#y"]
     assert [r.link for r in web.links(df.withColumn("page_id", F.lit(1))).collect()] == ["https://h.org/d/b?x"]
     assert df.select(web.unescape(F.lit("&eacute;&#x41;"))).head()[0] == "éA"
-    r = df.select(web.is_pdf(F.col("url")), web.safe_name(F.col("url")), web.authority(F.col("url")), web.valid_pdf(F.lit(b"%PDF" + b"x" * 20_000)), web.fetch_outcome(F.lit(429), F.lit("text/html"), F.lit(1)), web.fetch_outcome(F.lit(200), F.lit("image/png"), F.lit(1))).head()
-    assert r[0] and r[1].startswith("a__") and r[1].endswith(".pdf") and r[2:] == ("h.org", True, "retry_later", "not_text")
+    r = df.select(web.is_pdf(F.col("url")), web.safe_name(F.col("url")), web.authority(F.col("url")), web.valid_pdf(F.lit(b"%PDF" + b"x" * 20_000)), web.fetch_outcome(F.lit(429), F.lit("text/html"), F.lit(1)), web.fetch_outcome(F.lit(200), F.lit("text/plain"), F.lit(1)), web.safe_name(F.lit("https://h.org/My%20Report%202020.pdf")), web.unquoted(F.lit("a%zz%C3%A9+%"))).head()
+    assert r[0] and r[1].startswith("a__") and r[1].endswith(".pdf") and r[2:6] == ("h.org", True, "http_429", "content_type")
+    assert r[6].startswith("My_Report_2020__") and r[7] == "a%zzé+%"
     xml = spark.createDataFrame([("<sitemapindex><loc> a </loc></sitemapindex>",), ("<urlset><loc>b</loc><loc>c</loc></urlset>",), ("http://x\nno\n http://y",)], "x string")
     children, urls = web.sitemap(F.col("x"))
     assert [tuple(r) for r in xml.select(children, urls).collect()] == [(["a"], []), ([], ["b", "c"]), ([], ["http://x", "http://y"])]
