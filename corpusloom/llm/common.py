@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import itertools
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from corpusloom.scratch import Scratch, scratch_root
 from corpusloom.session import ship, spread
 
-__all__ = ["SPACE_CLASS", "Scratch", "components", "partitions", "scratch_root", "slices", "table", "without"]
+__all__ = ["SPACE_CLASS", "Scratch", "components", "fresh", "hot_keys", "keyed_join", "lean", "partitions", "scratch_root", "slices", "table", "without"]
 
 #: Words, as the contracts define them, end at these characters (those of bytes.split()).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -39,44 +42,97 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = 512, size:
         yield batch.slice(begin)
 
 
+Stage = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(run: Stage) -> Stage:
+    """run, after which the worker gives back what it holds no more: workers live on, beside those of later stages."""
+
+    @functools.wraps(run)
+    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return leaner
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where df has columns called so (in any case)."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Rows to leave out are broadcast up to so many (two 8-byte keys each).
 BROADCAST_ROWS = 1_000_000
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows of gone (gone_id, gone_hash): those of that doc_id and xxhash64 of text."""
+    """docs without the rows of gone (gone_id, gone_hash): those of that doc_id (null too) and xxhash64 of text. docs may have any other columns."""
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left_anti")
+    by_id, by_hash = fresh(docs, "gone_id", "gone_hash")
+    gone = gone.select(F.col("gone_id").alias(by_id), F.col("gone_hash").alias(by_hash))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(by_id)) & (F.xxhash64("text") == F.col(by_hash)), "left_anti")
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(scratch: Scratch, edges: DataFrame, name: str = "cc", rounds: int = 64) -> DataFrame:
+#: A key is hot if more than HOT_ROWS rows and more than one in HOT_SHARE of all rows have it; so there are fewer than HOT_SHARE hot keys.
+HOT_ROWS, HOT_SHARE = 200, 50_000
+
+
+def hot_keys(counts: DataFrame, total: int, scratch: Scratch, name: str) -> DataFrame | None:
+    """The hot keys of some rows as a written table (None if there is none). counts: (key under any name, n)."""
+    hot = scratch.table(counts.filter(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).drop("n"), name)
+    return None if hot.isEmpty() else hot
+
+
+def keyed_join(rows: DataFrame, known: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with known (one row a key) by key. The rows of hot keys stay where they are: what is known of those few keys is broadcast."""
+    if hot is None:
+        return rows.join(known, key, how)
+    hot = F.broadcast(hot)
+    few = known.join(hot, key, "left_semi")
+    return rows.join(hot, key, "left_semi").join(F.broadcast(few), key, how).unionByName(rows.join(hot, key, "left_anti").join(known, key, how))
+
+
+def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components: (node, component), component being the smallest node reached.
 
     edges: (a, b) of one orderable type, a != b, in any order and number. Nodes without an edge are not in
     the result. Every round takes, for each node, the smallest label among its neighbours (a partial
     aggregate, so hubs are combined before the shuffle) and then jumps to that label's own label, so the
-    number of rounds follows the logarithm of the longest path. Each round is a written table. Raises if
-    the labels still change after `rounds` rounds.
+    number of rounds follows the logarithm of the longest path; they end when no label changes, as labels only
+    fall. Hubs, and labels that many nodes have, are hot keys of the joins (see keyed_join). Each round is a
+    written table.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct()
     both = scratch.table(both, f"{name}-edges")
+    degrees = both.groupBy("b").agg(F.count("*").alias("n"))
+    hubs = hot_keys(degrees, both.count(), scratch, f"{name}-hubs")
     labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), f"{name}-0")
-    for k in range(1, rounds):
-        seen = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(seen, F.col("node") == F.col("a"), "left").select(
-            "node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label")
-        )
-        up = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        jumped = hooked.join(up, F.col("label") == F.col("via"), "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
+    nodes = labels.count()
+    for k in itertools.count(1):
+        near = keyed_join(both, labels.select(F.col("node").alias("b"), "label"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        hooked = scratch.table(hooked, f"{name}-near-{k}")
+        common = hot_keys(hooked.groupBy("label").agg(F.count("*").alias("n")), nodes, scratch, f"{name}-common-{k}")
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        jumped = keyed_join(hooked, up, "label", common).select("node", "old", F.least("label", "far").alias("label"))
         after = scratch.table(jumped, f"{name}-{k}")
-        changed = after.filter("old <> label").limit(1).count()
-        if k > 1:
-            scratch.drop(f"{name}-{k - 1}")
+        for old in (f"{name}-near-{k}", f"{name}-common-{k}", f"{name}-{k - 1}"):
+            scratch.drop(old)
         labels = after.select("node", "label")
-        if not changed:
+        if after.filter("old <> label").isEmpty():
             return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError(f"components: labels still change after {rounds} rounds")

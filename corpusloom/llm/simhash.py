@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, components, partitions, slices
+from corpusloom.llm.common import Scratch, components, hot_keys, keyed_join, lean, partitions, slices
 
 SHINGLE, SEED, ERRORS = 4, 42, 4
 #: First bit and number of bits of each segment.
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(lean(run), "doc_id long, text_hash long, fp long")
 
 
 @functools.cache
@@ -159,7 +159,7 @@ def links(scratch: Scratch, distinct: DataFrame, block: int = BLOCK) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[rows])], names=["key", "fp"])
 
     # Few bytes make many keys, so the fingerprints are dealt to more tasks than their size asks for.
-    keyed = distinct.repartition(partitions(distinct.sparkSession), "fp").mapInArrow(emit, "key long, fp long")
+    keyed = distinct.repartition(partitions(distinct.sparkSession), "fp").mapInArrow(lean(emit), "key long, fp long")
     sizes = scratch.table(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block), "large")
     spread = keyed
     if large := sizes.count():
@@ -172,7 +172,25 @@ def links(scratch: Scratch, distinct: DataFrame, block: int = BLOCK) -> DataFram
         pairs = marked.filter("n IS NOT NULL").withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         pairs = pairs.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
         spread = small.union(pairs)
-    return spread.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets, "a long, b long")
+    return spread.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_buckets), "a long, b long")
+
+
+def identified(scratch: Scratch, distinct: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """Every row of distinct (key, first_id) as key, component_id: the smallest first_id that edges (a, b) between keys reach.
+
+    A node of the graph is the id that speaks for a key, so a component's label is its id: no group of a
+    component's members gathers again. Nodes without an id come after all others.
+    """
+    edges = scratch.table(edges.select("a", "b").distinct(), "edges")
+    total = edges.count()
+    node = F.struct(F.col("first_id").isNull().alias("no_id"), F.col("first_id").alias("id"), F.col(key).alias("key"))
+    for side in ("a", "b"):
+        hot = hot_keys(edges.groupBy(side).agg(F.count("*").alias("n")), total, scratch, f"hot-{side}")
+        edges = keyed_join(edges, distinct.select(F.col(key).alias(side), node.alias(f"node_{side}")), side, hot)
+    joined = components(scratch, edges.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    joined = joined.select(F.col("node.key").alias(key), F.col("component.id").alias("reached"), F.lit(True).alias("linked"))
+    found = distinct.select(key, "first_id").join(joined, key, "left")
+    return found.select(key, F.when(F.col("linked"), F.col("reached")).otherwise(F.col("first_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -180,13 +198,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty; all texts without a word have fingerprint 0 and are linked like any others.
     Repeated rows come out as often as they go in. A null doc_id stays null and is never a component's id
-    unless the component has no other.
+    unless the component has no other. Other columns are not looked at; an empty table gives none.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.table(fingerprints(docs), "fps")
-    distinct = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    joined = components(scratch, links(scratch, distinct.select("fp")))
-    info = distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    least = info.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    info = scratch.table(info.join(least, "component").select(F.col("fp").alias("known"), "component_id"), "info")
-    return rows.join(info, F.col("fp") == F.col("known")).select("doc_id", "text_hash", "fp", "component_id")
+    distinct = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")
+    info = scratch.table(identified(scratch, distinct, links(scratch, distinct.select("fp")), "fp"), "info")
+    hot = hot_keys(distinct.select("fp", "n"), rows.count(), scratch, "hot")
+    return keyed_join(rows, info, "fp", hot).select("doc_id", "text_hash", "fp", "component_id")

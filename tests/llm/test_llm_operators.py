@@ -48,7 +48,7 @@ def none(spark):
 
 def clashing(df):
     """df with columns that operators might use themselves."""
-    return df.withColumns({c: F.lit(1) for c in ("id", "digest", "normal", "memtable", "row", "rows", "spans", "kept", "fp", "n_words", "others", "key", "start", "n_tokens", "part")})
+    return df.withColumns({c: F.lit(1) for c in ("id", "digest", "normal", "memtable", "row", "rows", "spans", "kept", "fp", "n_words", "others", "key", "start", "n_tokens", "part", "gone_id", "gone_hash", "kept_id", "kept_digest", "own_digest", "own_place", "text_hash", "node", "pick", "component", "log_weight", "good", "quality", "first_id", "passed", "ids")})
 
 
 def key(r):
@@ -428,6 +428,31 @@ def test_exact(docs, none, weak):
     assert exact_dedup.DigestIndex(none).groups().collect() == []
 
 
+def test_levels_of_the_index_and_what_a_lookup_opens(spark, docs):
+    from corpusloom.llm.exact_dedup import DigestIndex, sha256, without_space
+
+    parts = [docs.filter(F.coalesce(F.col("doc_id") % 3 == r, F.lit(r == 0))) for r in range(3)]
+    index = DigestIndex(parts[0], memtable_bits=1, fanout=2)
+    index.add(parts[1])
+    assert len(index.levels) == 2
+    inside = docs.select(sha256(without_space(F.col("text"))).alias("digest")).distinct()
+    outside = spark.range(2000).select(sha256(F.concat(F.lit("none"), "id")).alias("digest"))
+    found, asked = index.lookup(inside.union(outside))
+    # A level is asked for what it has and for hardly anything else.
+    assert all(level.table.count() <= a.count() <= level.table.count() + 20 for level, a in zip(index.levels, asked, strict=True))
+    both = {r.digest for level in index.levels for r in level.table.collect()}
+    assert {bytes(r.digest) for r in found.collect()} == {bytes(d) for d in both}
+    index.add(parts[2])
+    assert len(index.levels) == 1
+    assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in index.groups().collect()), key=key) == sorted((w[:3] for w in brute_exact(TEXTS)), key=key)
+    many = spark.range(20_000).select(sha256(F.col("id").cast("string")).alias("digest"))
+    from corpusloom.llm.common import Scratch
+    from corpusloom.llm.exact_dedup import Filter
+
+    f = Filter(many.filter("true"), 20_000, Scratch(spark, "t"), "f")
+    assert f.passes(many).filter("not passed").isEmpty() and f.passes(outside).filter("passed").count() < 500
+
+
 @pytest.mark.parametrize("repeated", [True, False])
 def test_keep_first(spark, docs, none, repeated):
     from corpusloom.llm.exact_dedup import keep_first
@@ -444,7 +469,7 @@ def test_keep_first(spark, docs, none, repeated):
 def test_near_dedup_of_the_pipeline_reaches_a_similarity_of_0_8(spark, docs, none):
     import corpus_pipeline
     from corpusloom.llm.common import Scratch, components
-    from corpusloom.llm.near import jaccard_duplicates, links, signatures
+    from corpusloom.llm.near import distinct_sets, jaccard_duplicates, links, signatures
 
     rng = np.random.default_rng(3)
     texts = []
@@ -477,7 +502,7 @@ def test_near_dedup_of_the_pipeline_reaches_a_similarity_of_0_8(spark, docs, non
     ids = {r.node: r.doc_id for r in rows.collect()}
     for block, size in ((2, 1 << 20), (2048, 2000)):
         s = Scratch(spark, "t")
-        found = {ids[r.node]: r.component for r in components(s, links(s, df, rows, block, size)).collect()}
+        found = {ids[r.node]: r.component for r in components(s, links(s, df, s.table(distinct_sets(rows), "d"), block, size)).collect()}
         assert Counter(Counter(found.values()).values()) == Counter(n for n in Counter(want).values() if n > 1)
     got = jaccard_duplicates(clashing(docs)).collect()
     by = {(r.doc_id, r.text_hash): r.component_id for r in got}
