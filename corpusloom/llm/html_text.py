@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices
+from corpusloom.llm.common import lean, slices
 
 #: A comment, a declaration, a tag with quoted attributes, or a tag cut off by the page's end.
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+>|[^>]*+(?:>|\Z))|<(?=/?\Z)""", re.S)
@@ -169,4 +169,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [e.text(h) for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

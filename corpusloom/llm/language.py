@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices
+from corpusloom.llm.common import lean, slices
 
 #: About so many labelled texts of each language are learned from (all, where there are fewer).
 TEXTS_PER_LANGUAGE = 2000
@@ -58,7 +58,7 @@ def learn(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, size: int = PROFILE)
         rows = [(k, g, n) for k, c in found.items() for g, n in c.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "gram", "n"])
 
-    total = sample.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    total = sample.mapInArrow(lean(count), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= size)
     profiles: Profiles = {k: [] for k in sorted(counts)}
     for r in sorted(best.collect(), key=lambda r: (r.lang, r.rank)):
@@ -145,4 +145,4 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     types = dict(docs.dtypes)
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in keep) + ", lang_pred string, score double")
+    return docs.select(*keep, "text").mapInArrow(lean(run), ", ".join(f"{c} {types[c]}" for c in keep) + ", lang_pred string, score double")

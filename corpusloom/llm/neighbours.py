@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch
+from corpusloom.llm.common import Scratch, lean
 
 #: The sample that trees are fitted on: at most so many vectors and bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 65_536, 64 << 20
 TREES, RECALL, SEED = 8, 0.97, 7
 #: A leaf is meant to hold 256 vectors, or 4 times the root of their number: what leaves report then grows less than the pairs they compare.
 LEAF, LEAF_ROOTS = 256, 4
+#: Queries of a leaf that one task measures at once, about.
+QUERIES = 2048
 #: Sample vectors that the number of probes is measured with.
 TRIALS = 256
 
@@ -120,12 +122,14 @@ def _matrix(column: pa.Array, kind: type) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, *, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, seed: int = SEED) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, *, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, seed: int = SEED, block: int = QUERIES) -> DataFrame:
     """The k nearest rows of vectors (vec_id, embedding) to each row of queries (likewise), but for those with its own vec_id.
 
     Returns query_id, rank (from 1), vec_id, score (Euclidean distance). Ties go to the smaller vec_id. Rows
     whose vector is null, zero, of unusual length, or holds a null or non-finite component take no part, nor
-    do rows without vec_id. Where a vec_id stands for several vectors, its nearest one counts.
+    do rows without vec_id. Where a vec_id stands for several vectors, its nearest one counts. Repeated rows
+    count once; other columns are not looked at; without rows on either side there is no result. A leaf's
+    queries are measured in blocks of about `block`, so no task holds more than a block of queries and a leaf.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
@@ -149,12 +153,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, *, trees: int =
     forest = spark.sparkContext.broadcast(forest)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A leaf's vectors go to each block of the queries that reach it; leaves without a query hold nothing to measure.
+        parts = dict(blocks.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column("embedding"), np.float32)
             for i, t in enumerate(forest.value.trees):
-                yield pa.RecordBatch.from_pydict({"place": (np.int64(i) << 32) + t.find(x).astype(np.int64), "class_id": batch.column("class_id"), "embedding": batch.column("embedding")})
+                leaf = (np.int64(i) << 32) + t.find(x).astype(np.int64)
+                times = np.array([parts.get(p, 0) for p in leaf.tolist()], np.int64)
+                row = np.repeat(np.arange(len(leaf)), times)
+                block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                for at in range(0, len(row), 4096):
+                    some = pa.array(row[at : at + 4096])
+                    yield pa.RecordBatch.from_pydict({"place": leaf[row[at : at + 4096]], "block": block[at : at + 4096], "class_id": batch.column("class_id").take(some), "embedding": batch.column("embedding").take(some)})
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,11 +174,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, *, trees: int =
                 continue
             for i, x in enumerate(_matrix(batch.column("embedding"), np.float32)):
                 met = np.array(forest.value.probe(x, probes), np.int64).reshape(-1, 2)
-                own = pa.array(np.full(len(met), i))
-                yield pa.RecordBatch.from_pydict({"place": (met[:, 0] << 32) + met[:, 1], "query_id": batch.column("query_id").take(own), "embedding": batch.column("embedding").take(own)})
+                yield pa.RecordBatch.from_pydict({"place": (met[:, 0] << 32) + met[:, 1], "query": batch.column("query").take(pa.array(np.full(len(met), i)))})
 
     def measure(asked: pa.Table, held: pa.Table) -> pa.Table:
-        """Within a leaf: each query's k + 1 nearest classes (one of them may be its own), with exact distances."""
+        """Within a leaf and a block of its queries: each query's k + 1 nearest classes (one of them may be its own), with exact distances."""
         out: list[pa.Table] = []
         if asked.num_rows and held.num_rows:
             held = held.sort_by("class_id")
@@ -181,9 +192,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, *, trees: int =
         return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "class_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
     asked = _usable(queries).filter(F.size("embedding") == dim).distinct().withColumnRenamed("vec_id", "query_id")
-    index = classes.select("class_id", "embedding").mapInArrow(place, "place long, class_id long, embedding array<float>")
-    met = asked.mapInArrow(probe, "place long, query_id long, embedding array<float>")
-    found = met.groupBy("place").cogroup(index.groupBy("place")).applyInArrow(measure, "query_id long, class_id long, score double")
+    asked = scratch.table(asked.withColumn("query", F.monotonically_increasing_id()), "asked")
+    # First only who asks where: the number of queries at each leaf tells into how many blocks they are dealt.
+    met = scratch.table(asked.select("query", "embedding").mapInArrow(lean(probe), "place long, query long"), "met")
+    blocks = {r.place: -(-r.n // block) for r in met.groupBy("place").agg(F.count("*").alias("n")).collect()}  # leaves of the sample's trees: a bounded number
+    blocks = spark.sparkContext.broadcast(blocks)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.array([blocks.value[p] for p in batch.column("place").to_pylist()], np.int64)
+            yield pa.RecordBatch.from_pydict({"place": batch.column("place"), "block": (batch.column("query").to_numpy() * 0x9E3779B1 >> 7) % np.maximum(n, 1), "query": batch.column("query")})
+
+    dealt = met.mapInArrow(deal, "place long, block long, query long").join(asked, "query").select("place", "block", "query_id", "embedding")
+    index = classes.select("class_id", "embedding").mapInArrow(lean(place), "place long, block long, class_id long, embedding array<float>")
+    found = dealt.groupBy("place", "block").cogroup(index.groupBy("place", "block")).applyInArrow(measure, "query_id long, class_id long, score double")
     found = found.groupBy("query_id", "class_id").agg(F.min("score").alias("score")).join(classes.select("class_id", "ids"), "class_id")
     found = found.select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, slices
+from corpusloom.llm.common import Scratch, lean, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -39,7 +39,7 @@ def tokenized(docs: DataFrame, encode: Callable[[list[str | None]], tuple[list[b
             at = int(ends[-1])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return scratch.table(rows.mapInArrow(run, "doc_id long, part int, start long, n_tokens long, width int, ids binary"), "tokens")
+    return scratch.table(rows.mapInArrow(lean(run), "doc_id long, part int, start long, n_tokens long, width int, ids binary"), "tokens")
 
 
 def pack(docs: DataFrame, encode: Callable[[list[str | None]], tuple[list[bytes], str]], length: int = 4096, ids: bool = False) -> DataFrame:
@@ -69,7 +69,7 @@ def pack(docs: DataFrame, encode: Callable[[list[str | None]], tuple[list[bytes]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int64()) if k == "ids" else pa.int64()) for k, c in zip(names, zip(*out, strict=True), strict=True)], names=names)
 
-    return tokens.mapInArrow(cut, PIECES + ", ids array<long>" * ids)
+    return tokens.mapInArrow(lean(cut), PIECES + ", ids array<long>" * ids)
 
 
 def sequences(pieces: DataFrame, length: int = 4096, pad: int = 0) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, slices
+from corpusloom.llm.common import Scratch, lean, slices
 
 #: At most about so many labelled rows are learned from (by a hash of doc_id); they are broadcast.
 LABELS = 20_000
@@ -65,7 +65,7 @@ def log_ratio(docs: DataFrame, target: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"bucket": np.arange(BUCKETS), "raw": n[0], "target": n[1]})
 
     marked = docs.select("doc_id", "text").join(F.broadcast(target.select("doc_id").distinct().withColumn("good", F.lit(True))), "doc_id", "left")
-    found = marked.select("text", "good").mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    found = marked.select("text", "good").mapInArrow(lean(count), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     n = np.ones((2, BUCKETS))
     for r in found:
         n[:, r.bucket] += r.raw, r.target
@@ -127,7 +127,7 @@ def resample(docs: DataFrame, labels: DataFrame, sample: int = LABELS) -> DataFr
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "log_weight": pa.array(weights, pa.float64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    scores = rows.mapInArrow(score, "doc_id long, text_hash long, log_weight double")
+    scores = rows.mapInArrow(lean(score), "doc_id long, text_hash long, log_weight double")
     uniform = (F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     scores = scratch.table(scores.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))), "scores")
     labelled = scores.join(F.broadcast(known), "doc_id").select("log_weight", "quality").collect()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, slices, table
+from corpusloom.llm.common import Scratch, lean, slices, table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -22,13 +22,12 @@ def tokenizer_path(name: str) -> str:
 
 
 def word_encode(end: int) -> Callable[[list[str | None]], tuple[list[bytes], str]]:
-    """Encodes texts with the word BPE file and ends each with the id `end`."""
-    path = tokenizer_path(WORD_BPE)
+    """Encodes texts with the word BPE file, which each worker finds in its own installation, and ends each with the id `end`."""
 
     def encode(texts: list[str | None]) -> tuple[list[bytes], str]:
         from corpusloom.llm.word_bpe import encoder
 
-        return (e := encoder(path)).encode(texts, end), e.dtype.str
+        return (e := encoder(tokenizer_path(WORD_BPE))).encode(texts, end), e.dtype.str
 
     return encode
 
@@ -108,7 +107,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
             })
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")
+    return docs.mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,23 +1,28 @@
 """Substring dedup: words in passages that occur more than once, by compacted De Bruijn paths.
 
-The graph's edges are the windows of 35 consecutive words. Windows that follow each other and agree on the
-8-word k-mer with the smallest hash among their own are one path, known by that k-mer: windows of equal
-words agree on the k-mer and on its place, wherever they stand. So a text of n words becomes about n / 15
-paths, and what repeats is found among paths:
-
-1. Each k-mer's paths are counted, with the smallest and the largest hash of their words. A k-mer seen once
-   holds no repeated window. Where all paths of a k-mer are equal, the path doesn't branch and all of its
-   windows repeat, at every source coordinate (document, word) that carries it.
-2. Joins bring the repeated k-mers back to their coordinates. Only at k-mers whose paths differ, the ends of
-   repeated spans, the windows themselves are hashed and counted.
-3. The coordinates of repeated paths and windows are joined to the texts, where they merge to spans.
-
-A window is identified by 64 bits of its k-mer's hash and 64 of its own.
+The graph's edges are the windows of 35 consecutive words (its token k-mers); an edge follows another where a
+text goes on by one word. What repeats in it is found in four steps, of which three are joins:
+
+1. Edges to paths. Windows that follow each other and agree on the 8-word minimizer with the smallest hash
+   among their own are one path, known by that minimizer: windows of equal words agree on it and on its
+   place, wherever they stand. A text of n words becomes about n / 15 path rows instead of n edge rows.
+   Paths are counted by minimizer, with the smallest and the largest hash of their words. A minimizer seen
+   once holds no repeated edge. Where all its paths are equal, its edges all repeat; where they differ, the
+   edges themselves are the rows: the path is branching, and its windows are hashed and counted.
+2. Compaction. The repeated paths and edges, as (source, place) coordinates, are joined with what follows each
+   of them in its text. A path that is always followed by one and the same, which always follows it, is not
+   branching there: such chains are compacted to one path by pointer jumping, in joins whose number follows
+   the logarithm of the longest chain.
+3. Verification. Every occurrence of a compacted path is cut out of its source at its coordinates, and the
+   words are compared as bytes, once for each path. Hashes only propose: a path whose occurrences differ is
+   resolved by the words of its windows.
+4. The coordinates are joined to the texts, where they merge to spans.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from itertools import compress
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, slices
+from corpusloom.llm.common import Scratch, hot_keys, keyed_join, lean, slices
 
 WINDOW, KMER = 35, 8
 #: Odd bases of the polynomials over word hashes, modulo 2**64.
@@ -49,15 +54,17 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts in a row, with where each text begins."""
+    """The words of some texts in a row, with where each text begins. Of word hashes only `bits` bits count."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], bits: int = 64):
         from xxhash import xxh64_intdigest
 
         split = [(t or "").encode().split() for t in texts]
         self.begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])
         n = int(self.begin[-1])
         self.hash = np.fromiter((xxh64_intdigest(w) for words in split for w in words), np.uint64, n)
+        if bits < 64:
+            self.hash &= np.uint64((1 << bits) - 1)
         self.of = np.repeat(np.arange(len(split)), np.diff(self.begin))
         self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.hash ^ np.uint64(0x5BD1E995)) * powers(PATH_BASE, n), dtype=np.uint64)])
         self.inverse = powers(pow(PATH_BASE, -1, 1 << 64), n + 1)
@@ -81,12 +88,12 @@ class Words:
         return start, place, kmer[place]
 
 
-def paths(docs: DataFrame, size: int = WINDOW, k: int = KMER) -> DataFrame:
+def paths(docs: DataFrame, size: int = WINDOW, k: int = KMER, bits: int = 64) -> DataFrame:
     """The paths of docs (id, text): id, first (word of the first window), n (windows), kmer, path (hash of the words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            words = Words(batch.column("text").to_pylist())
+            words = Words(batch.column("text").to_pylist(), bits)
             start, place, kmer = words.windows(size, k)
             if not len(start):
                 continue
@@ -96,20 +103,22 @@ def paths(docs: DataFrame, size: int = WINDOW, k: int = KMER) -> DataFrame:
             path = words.hashes(first, first + n + size - 1)
             yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(pa.array(of)), "first": (first - words.begin[of]).astype(np.int32), "n": n.astype(np.int32), "kmer": kmer[cut].view(np.int64), "path": path.view(np.int64)})
 
-    return docs.select("id", "text").mapInArrow(run, "id long, first int, n int, kmer long, path long")
+    return docs.select("id", "text").mapInArrow(lean(run), "id long, first int, n int, kmer long, path long")
 
 
-def _marked(docs: DataFrame, scratch: Scratch, size: int, k: int) -> DataFrame:
-    """id, spans: the runs of repeated windows of each text that has any, as (first, n)."""
-    found = scratch.table(paths(docs, size, k), "paths")
+def repeated_edges(docs: DataFrame, scratch: Scratch, size: int, k: int, bits: int) -> DataFrame:
+    """id, first, n, key: the paths whose edges all repeat, and the single repeated edges of the others, at every coordinate; equal keys have equal words unless hashes fail."""
+    found = scratch.table(paths(docs, size, k, bits), "paths")
     counts = found.groupBy("kmer").agg(F.count("*").alias("times"), F.min("path").alias("low"), F.max("path").alias("high"))
-    again = scratch.table(counts.filter("times > 1").select("kmer", (F.col("low") == F.col("high")).alias("whole")), "repeated")
-    met = scratch.table(found.join(again, "kmer").select("id", "first", "n", "whole"), "met")
+    again = scratch.table(counts.filter("times > 1").select("kmer", "times", (F.col("low") == F.col("high")).alias("whole")), "repeated")
+    hot = hot_keys(again.select("kmer", F.col("times").alias("n")), again.agg(F.coalesce(F.sum("times"), F.lit(0))).head()[0], scratch, "hot-kmers")
+    met = scratch.table(keyed_join(found, again.select("kmer", "whole"), "kmer", hot).select("id", "first", "n", "path", "whole"), "met")
+    scratch.drop("paths")
     branching = met.filter("not whole").groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            words = Words(batch.column("text").to_pylist())
+            words = Words(batch.column("text").to_pylist(), bits)
             start, _, kmer = words.windows(size, k)
             if not len(start):
                 continue
@@ -123,20 +132,104 @@ def _marked(docs: DataFrame, scratch: Scratch, size: int, k: int) -> DataFrame:
             of = words.of[start]
             yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(pa.array(of)), "first": (start - words.begin[of]).astype(np.int32), "kmer": kmer.view(np.int64), "own": words.hashes(start, start + size).view(np.int64)})
 
-    hashed = docs.select("id", "text").join(branching.hint("shuffle_hash"), "id").mapInArrow(windows, "id long, first int, kmer long, own long")
-    hashed = scratch.table(hashed, "windows")
-    twice = scratch.table(hashed.groupBy("kmer", "own").agg(F.count("*").alias("times")).filter("times > 1").select("kmer", "own"), "windows-repeated")
-    ends = hashed.join(twice, ["kmer", "own"]).select("id", "first", F.lit(1).alias("n"))
-    return met.filter("whole").select("id", "first", "n").union(ends).groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    edges = docs.select("id", "text").join(branching, "id").mapInArrow(lean(windows), "id long, first int, kmer long, own long")
+    edges = scratch.table(edges, "edges")
+    twice = edges.groupBy("kmer", "own").agg(F.count("*").alias("n")).filter("n > 1")
+    twice = scratch.table(twice, "edges-repeated")
+    hot = hot_keys(twice, twice.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0], scratch, "hot-edges")
+    edge_keys = F.struct("kmer", "own")
+    single = keyed_join(edges.select("id", "first", edge_keys.alias("edge")), twice.select(edge_keys.alias("edge")), "edge", hot and hot.select(edge_keys.alias("edge")))
+    single = single.select("id", "first", F.lit(1).alias("n"), F.xxhash64("edge.kmer", "edge.own").alias("key"))
+    whole = met.filter("whole").select("id", "first", "n", F.xxhash64("path", "n").alias("key"))
+    runs = scratch.table(whole.union(single), "runs")
+    for name in ("met", "edges"):
+        scratch.drop(name)
+    return runs
+
+
+def chains(runs: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, head, ahead of the keys in nonbranching chains of more than one: the chain's first key, and how many windows it has before this one.
+
+    A link joins two keys that follow each other wherever either stands. Each round doubles how far back
+    every key has looked, so the rounds follow the logarithm of the longest chain.
+    """
+    after = runs.select("id", F.col("first").alias("at"), F.col("key").alias("next"))
+    pairs = runs.select("id", (F.col("first") + F.col("n")).alias("at"), "key", "n").join(after, ["id", "at"])
+    pairs = scratch.table(pairs.groupBy("key", "next").agg(F.count("*").alias("times"), F.max("n").alias("n")), "pairs")
+    times = runs.groupBy("key").agg(F.count("*").alias("all"))
+    # As often as both keys stand at all, they stand so together.
+    only = pairs.join(times, "key").filter("times = all").drop("all").join(times.withColumnRenamed("key", "next"), "next").filter("times = all AND key <> next")
+    back = scratch.table(only.select(F.col("next").alias("key"), F.col("key").alias("head"), F.col("n").cast("long").alias("ahead")), "back-0")
+    for k in itertools.count(1):
+        further = back.select(F.col("key").alias("head"), F.col("head").alias("before"), F.col("ahead").alias("more"))
+        back = scratch.table(back.join(further, "head", "left").select("key", F.coalesce("before", "head").alias("head"), (F.col("ahead") + F.coalesce("more", F.lit(0))).alias("ahead"), F.col("before").isNotNull().alias("moved")), f"back-{k}")
+        scratch.drop(f"back-{k - 1}")
+        if back.filter("moved").isEmpty():
+            return back.drop("moved")
+
+
+def compacted(runs: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, first, n, head: every occurrence of every compacted path, n windows from word `first` on."""
+    linked = chains(runs, scratch)
+    first = linked.select(F.col("head").alias("key")).distinct().select("key", F.col("key").alias("head"), F.lit(0).cast("long").alias("ahead"))
+    known = scratch.table(linked.unionByName(first), "chains")
+    counts = runs.groupBy("key").agg(F.count("*").alias("n"))
+    hot = hot_keys(counts, runs.count(), scratch, "hot-runs")
+    at = keyed_join(runs, known, "key", hot, "left").select("id", "n", F.coalesce("head", "key").alias("head"), (F.col("first") - F.coalesce("ahead", F.lit(0))).alias("first"))
+    # In one text a path's parts are few rows, whatever the number of texts.
+    return at.groupBy("id", "first", "head").agg(F.sum("n").cast("int").alias("n"))
+
+
+def disagreeing(marked: DataFrame, size: int, scratch: Scratch) -> DataFrame | None:
+    """head of the paths whose words differ between their occurrences in marked (text, spans); None if there is none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            heads, cut = [], []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                words = text.encode().split()
+                for s in spans:
+                    heads.append(s["head"])
+                    cut.append(b" ".join(words[s["first"] : s["first"] + s["n"] + size - 1]))
+            # Copies within a batch needn't leave it.
+            both = pa.table({"head": pa.array(heads, pa.int64()), "words": pa.array(cut, pa.large_binary())})
+            for part in both.group_by(["head", "words"]).aggregate([]).to_batches():
+                yield pa.RecordBatch.from_arrays([part.column("head"), part.column("words").cast(pa.binary())], names=["head", "words"])
+
+    found = marked.filter("spans IS NOT NULL").select("text", "spans").mapInArrow(lean(run), "head long, words binary")
+    # Equal words are combined before the shuffle and are one row after it.
+    texts = found.groupBy("head", "words").agg(F.lit(1).alias("one")).groupBy("head").agg(F.count("one").alias("n"))
+    bad = scratch.table(texts.filter("n > 1").select("head"), "disagreeing")
+    return None if bad.isEmpty() else bad
+
+
+def by_words(marked: DataFrame, bad: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """id, first, n of the windows of the paths in bad whose words do stand elsewhere, by the words themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", rows=16):
+            for i, text, spans in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "spans")), strict=True):
+                words = text.encode().split()
+                at = [(s["head"], j) for s in spans for j in range(s["first"], s["first"] + s["n"])]
+                for a in range(0, len(at), 4096):
+                    part = at[a : a + 4096]
+                    yield pa.RecordBatch.from_pydict({"id": pa.array([i] * len(part), pa.int64()), "head": pa.array([h for h, _ in part], pa.int64()), "first": pa.array([j for _, j in part], pa.int32()), "words": pa.array([b" ".join(words[j : j + size]) for _, j in part], pa.binary())})
+
+    rows = marked.filter("spans IS NOT NULL").select("id", "text", "spans").mapInArrow(lean(run), "id long, head long, first int, words binary")
+    rows = scratch.table(rows.join(bad, "head").select("id", "first", "words"), "windows-by-words")
+    again = rows.groupBy("words").agg(F.count("*").alias("times")).filter("times > 1").select("words")
+    return rows.join(again, "words").select("id", "first", F.lit(1).alias("n"))
 
 
-def remove_repeats(docs: DataFrame, size: int = WINDOW, k: int = KMER, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = WINDOW, k: int = KMER, texts: bool = False, bits: int = 64) -> DataFrame:
     """Every row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256, and with texts kept_text and the struct others of all other columns.
 
     A word goes if some window of `size` words that covers it also starts elsewhere, in the same text or
     another. Windows are judged on the input. kept_sha256 is of the kept words joined by one space; the kept
     text keeps its own white space, and is the text itself where nothing goes. Null texts have no words (and
-    stay null), texts shorter than a window lose none; repeated rows repeat each other's windows.
+    stay null), texts shorter than a window lose none; repeated rows repeat each other's windows. The other
+    columns may have any names. bits: how many bits of word hashes count (fewer make false matches, which the
+    comparison of words sets right).
     """
     scratch = Scratch(docs.sparkSession, "substring")
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL")
@@ -147,8 +240,16 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, k: int = KMER, texts: bo
         own = own.withColumn("id", F.col("doc_id").cast("long"))
     else:
         own = scratch.table(own.withColumn("id", F.monotonically_increasing_id()), "numbered")
-    spans = _marked(own, scratch, size, k)
-    rows = own.join(spans.hint("shuffle_hash"), "id", "left").drop("id")
+    whole = compacted(repeated_edges(own.select("id", "text"), scratch, size, k, bits), scratch)
+    spans = whole.groupBy("id").agg(F.collect_list(F.struct("first", "n", "head")).alias("spans"))
+    marked = scratch.table(own.join(spans, "id", "left"), "marked")
+    scratch.drop("runs")
+    if (bad := disagreeing(marked, size, scratch)) is not None:
+        # The paths in bad give way to what their words say.
+        each = marked.select("id", F.explode("spans").alias("s")).select("id", "s.*").join(bad, "head", "left_anti").select("id", "first", "n")
+        right = each.union(by_words(marked, bad, size, scratch)).groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+        marked = scratch.table(own.join(right, "id", "left"), "verified")
+    rows = marked.drop("id")
     carried = [c for c in rows.columns if c not in ("text", "spans")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,4 +278,4 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, k: int = KMER, texts: bo
             yield pa.RecordBatch.from_pydict(columns | ({"kept_text": pa.array(kept_texts, pa.string())} if texts else {}))
 
     types = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in carried) + ", n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
+    return rows.mapInArrow(lean(run), ", ".join(f"{c} {types[c]}" for c in carried) + ", n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)

@@ -21,7 +21,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import partitions, slices
+from corpusloom.llm.common import lean, partitions, slices
 
 #: Stands for a null doc_id in `.doc` files.
 NULL_ID = -(1 << 63)
@@ -92,7 +92,7 @@ def write_tokens(docs: DataFrame, to: str, encode: Callable[[list[str | None]],
 
     text_hash = F.xxhash64("text")
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id", text_hash).sortWithinPartitions("doc_id", text_hash)
-    found = sorted(ordered.mapInArrow(shard, "shard long, docs long, tokens long, kind string").collect())
+    found = sorted(ordered.mapInArrow(lean(shard), "shard long, docs long, tokens long, kind string").collect())
     bases = accumulate((r.tokens for r in found), initial=0)
     manifest = {"dtype": next((r.kind for r in found if r.tokens), "<u2"), "shards": [{"shard": r.shard, "docs": r.docs, "tokens": r.tokens, "base": b} for r, b in zip(found, bases, strict=False)]}
     put(fs, f"{path}/manifest.json", lambda out: out.write(json.dumps(manifest).encode()))
@@ -108,7 +108,7 @@ def write_tokens(docs: DataFrame, to: str, encode: Callable[[list[str | None]],
                     put(fs, f"{path}/{k}.idx", lambda out, x=offsets: out.write(x.astype("<u8").tobytes()))
         yield pa.RecordBatch.from_pydict({"id": pa.array([], pa.int64())})
 
-    spark.range(0, n, 1, min(n, 64)).mapInArrow(index, "id long").count()
+    spark.range(0, n, 1, min(n, 64)).mapInArrow(lean(index), "id long").count()
     return manifest
 
 
@@ -143,4 +143,4 @@ def read_tokens(spark: SparkSession, source: str, ids: bool = False) -> DataFram
                     columns["ids"] = pa.array([x.tolist() for x in cut], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return spark.range(0, n, 1, max(1, n)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
+    return spark.range(0, n, 1, max(1, n)).mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)

@@ -25,7 +25,7 @@ class WordEncoder:
     remembered (some 200 bytes a word).
     """
 
-    def __init__(self, path: str, words: int = 600_000, special: bool = False):
+    def __init__(self, path: str, words: int = 200_000, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -218,6 +218,33 @@ def test_substrings(spark, docs, none, size, k):
     assert texts[10] == "alpha beta gamma" and texts[9] == "a b c" and texts[2] is None
 
 
+@pytest.mark.parametrize("bits", [1, 2, 5])
+def test_false_matches_of_hashes_are_set_right_by_the_words(spark, bits):
+    """With so few bits, windows of different words have equal hashes in great number."""
+    from corpusloom.llm.substring import remove_repeats
+
+    rng = np.random.default_rng(bits)
+    base = [f"v{i}" for i in rng.integers(0, 40, 1500)]
+    rows = [(i, " ".join(base[a : a + n])) for i, (a, n) in enumerate(zip(rng.integers(0, 1300, 25).tolist(), rng.integers(0, 90, 25).tolist(), strict=True))]
+    rows += [(100, " ".join(f"x{i}" for i in rng.integers(0, 40, 80))), (101, " ".join(f"y{i}" for i in rng.integers(0, 40, 80))), (102, None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = sorted((tuple(r) for r in remove_repeats(df, 6, 3, bits=bits).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=key)
+    assert got == brute_substrings(rows, 6)
+
+
+def test_chains_are_compacted(spark):
+    """Two copies of a long passage are one path, but where a third text shares the middle of it, there are three."""
+    from corpusloom.llm.common import Scratch
+    from corpusloom.llm.substring import compacted, repeated_edges
+
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(["a", *words, "b"])), (2, " ".join(["c", *words])), (3, " ".join(["d", *words[150:250], "e"]))]
+    for some, want in ((rows[:2], [(1, 1, 366), (2, 1, 366)]), (rows, [(1, 1, 150), (1, 151, 66), (1, 217, 150), (2, 1, 150), (2, 151, 66), (2, 217, 150), (3, 1, 66)])):
+        scratch = Scratch(spark, "t")
+        found = compacted(repeated_edges(spark.createDataFrame(some, "id long, text string"), scratch, 35, 8, 64), scratch)
+        assert sorted((r.id, r.first, r.n) for r in found.collect()) == want
+
+
 # --- 5: neighbours ---
 
 
