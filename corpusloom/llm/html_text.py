@@ -1,10 +1,11 @@
 """Main text of web pages as a maximum-scoring subsequence.
 
-A page is read as a row of words and tags. Words score positive, tags negative, and words within elements
-that look like menus, adverts and the like score nothing; a linear scan finds the contiguous region with the
-best sum. The text is what the region holds outside such elements. All weights come from labelled pages:
-those of tags from how often each stands outside main text, those of an element's name, classes, id and role
-from the elements that hold main text and those that don't.
+A page is read as a row of words and tags, each with a score: words by where they stand (the block around
+them, in a link or not, in an article or not), tags below zero. A linear scan finds the contiguous region with
+the best sum; what it holds is the text, but for elements in it that look like adverts, forms and the like.
+All weights come from labelled pages: those of words from how often words that stand so are main text, those
+of tags from how often each stands outside main text, those of an element's name, classes, id and role from
+the elements that hold main text and those that don't.
 """
 
 from __future__ import annotations
@@ -35,13 +36,39 @@ ROOTS = {"html", "body", "main", "article"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 
 
+class Place:
+    """Where something stands: in an element left out, in an article or main element, in labelled main text; the block around it, and whether it is in a link."""
+
+    __slots__ = ("block", "inside", "link", "main", "out")
+
+    def __init__(self, out: bool = False, inside: bool = False, main: bool = False, block: str = "", link: bool = False):
+        self.out, self.inside, self.main, self.block, self.link = out, inside, main, block, link
+
+
 class Run:
-    """Some text between two tags, or a tag (a start tag of an element: with what the element is called)."""
+    """Some text between two tags, or a tag (a start tag of an element: with what the element is called), and where it stands."""
+
+    __slots__ = ("at", "name", "open", "text")
+
+    def __init__(self, name: str, text: str, at: Place, opens: bool = False):
+        self.name, self.text, self.at, self.open = name, text, at, opens
+
 
-    __slots__ = ("inside", "main", "name", "open", "out", "text")
+def n_words(text: str) -> int:
+    """Words, and at least one for each 40 characters (scripts without spaces)."""
+    return 0 if text.isspace() else max(len(text.split()), len(text) // 40)
 
-    def __init__(self, name: str, text: str, out: bool, inside: bool, main: bool, opens: bool = False):
-        self.name, self.text, self.out, self.inside, self.main, self.open = name, text, out, inside, main, opens
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """begin and end of the contiguous region with the greatest sum (the first of equals; empty if none is above zero), by one scan."""
+    best, begin, end, total, since = 0.0, 0, 0, 0.0, 0
+    for k, x in enumerate(scores):
+        total += x
+        if total <= 0:
+            total, since = 0.0, k + 1
+        elif total > best:
+            best, begin, end = total, since, k + 1
+    return begin, end
 
 
 def names(tag: str, attributes: str, inside: bool) -> list[str]:
@@ -56,18 +83,19 @@ def names(tag: str, attributes: str, inside: bool) -> list[str]:
 
 
 def runs(html: str, weight: dict[str, float]) -> Iterator[Run]:
-    """The page's texts and tags in order. out: it is in an element left out; inside: in an article or main element."""
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, out, inside, main
-    out = inside = main = False
+    """The page's texts and tags in order, with where each stands."""
+    top = Place()
+    stack: list[tuple[str, Place]] = []
     at, raw = 0, ""
     for m in MARKUP.finditer(html):
+        here = stack[-1][1] if stack else top
         if raw:
             if m[1] == "/" and m[2] and m[2].lower() == raw:
                 raw = ""
             at = m.end()
             continue
         if m.start() > at:
-            yield Run("", html[at : m.start()], out, inside, main)
+            yield Run("", html[at : m.start()], here)
         at = m.end()
         if not m[2]:
             continue
@@ -79,8 +107,7 @@ def runs(html: str, weight: dict[str, float]) -> Iterator[Run]:
                 if stack[k][0] == tag:
                     del stack[k:]
                     break
-            yield Run(tag, "", out, inside, main)
-            out, inside, main = stack[-1][1:] if stack else (False, False, False)
+            yield Run(tag, "", here)
             continue
         if tag in RAW:
             raw = "" if m[3].endswith("/>") else tag
@@ -91,19 +118,22 @@ def runs(html: str, weight: dict[str, float]) -> Iterator[Run]:
                     return
             continue
         if tag in VOID:
-            yield Run(tag, "", out, inside, main)
+            yield Run(tag, "", here)
             continue
         while stack and stack[-1][0] in CLOSES.get(tag, ()):
             stack.pop()
-        out, inside, main = stack[-1][1:] if stack else (False, False, False)
-        called = names(tag, m[3], inside)
+        here = stack[-1][1] if stack else top
+        called = names(tag, m[3], here.inside)
         score = sum(weight.get(x, 0.0) for x in called)
-        out = out or (score < -1 and (tag not in ROOTS or (tag == "article" and score < -2)))
-        inside, main = inside or (tag in ("main", "article") and not out), (main or "data-main" in m[3]) and "data-out" not in m[3]
-        stack.append((tag, out, inside, main))
-        yield Run(tag, " ".join(called), out, inside, main, True)
+        out = here.out or (score < -1 and (tag not in ROOTS or (tag == "article" and score < -2)))
+        inside = here.inside or (tag in ("main", "article") and not out)
+        main = (here.main or "data-main" in m[3]) and "data-out" not in m[3]
+        # A link ends where a block begins, as links are often left open.
+        block, link = (here.block, here.link or tag == "a") if tag in INLINE else (tag, False)
+        stack.append((tag, Place(out, inside, main, block, link)))
+        yield Run(tag, " ".join(called), stack[-1][1], True)
     if not raw and at < len(html):
-        yield Run("", html[at:], out, inside, main)
+        yield Run("", html[at:], stack[-1][1] if stack else top)
 
 
 class Extractor:
@@ -112,42 +142,73 @@ class Extractor:
         pages = list(pages)
         held: dict[bool, Counter] = {True: Counter(), False: Counter()}
         for page in pages:
-            for r in runs(page, {}):
-                if r.open and r.name not in ROOTS:
-                    held[r.main].update(x for x in set(r.text.split()) if x not in ("data", "main", "out"))
+            rows = list(runs(page, {}))
+            for k, r in enumerate(rows):
+                # What stands around main text and other things alike says nothing.
+                if r.open and r.name not in ROOTS and (r.at.main or not self._holds_main(rows, k)):
+                    held[r.at.main].update(x for x in set(r.text.split()) if x not in ("data", "main", "out"))
         self.weight = {x: log((held[True][x] + 0.5) / (held[False][x] + 0.5)) for x in held[True] | held[False]}
         # Elements that stand in main text and elsewhere alike say nothing about what they hold, nor do inline ones.
         self.weight = {x: w for x, w in self.weight.items() if not (x[0] == "<" and (held[True][x] or x.strip("<>+") in INLINE))}
-        tags: Counter = Counter()
-        outside: Counter = Counter()
+        tags, outside, words, in_main = Counter(), Counter(), Counter(), Counter()
         for page in pages:
-            for r in runs(page, self.weight):
-                if r.name and not r.out:
-                    tags[r.name, r.inside] += 1
-                    outside[r.name, r.inside] += not r.main
-        #: What a tag adds to a region, inside and outside of articles.
-        self.tag = {k: -0.1 - 5 * outside[k] / n for k, n in tags.items()}
+            rows = list(runs(page, self.weight))
+            for k, r in enumerate(rows):
+                if r.at.out:
+                    continue
+                if r.open:
+                    tags[self.kind(rows, k)] += 1
+                    outside[self.kind(rows, k)] += not r.at.main
+                elif not r.name:
+                    key, n = (r.at.block, r.at.link, r.at.inside), n_words(r.text)
+                    words[key] += n
+                    in_main[key] += n * r.at.main
+        #: What a start tag adds to a region.
+        self.tag = {k: -0.1 - 10 * outside[k] / n for k, n in tags.items() if k[0] not in INLINE}
+        #: What a word adds, by its block, whether it is in a link, and whether it is in an article.
+        self.word = {k: max(-1.0, min(1.0, log((in_main[k] + 0.5) / (n - in_main[k] + 0.5)))) for k, n in words.items() if n}
+
+    @staticmethod
+    def _holds_main(rows: list[Run], k: int) -> bool:
+        """Whether main text begins between a start tag and its end tag."""
+        depth = 1
+        for r in rows[k + 1 :]:
+            if r.name == rows[k].name:
+                depth += 1 if r.open else -1
+            if not depth:
+                return False
+            if r.open and r.at.main:
+                return True
+        return False
+
+    @staticmethod
+    def kind(rows: list[Run], k: int) -> tuple[str, bool, bool]:
+        """Of a start tag: its element, whether it is in an article, and whether it begins with a link."""
+        return rows[k].name, rows[k].at.inside, k + 1 < len(rows) and rows[k + 1].name == "a"
+
+    def scores(self, rows: list[Run]) -> list[float]:
+        """What each text and tag of a page adds to a region; what is in elements left out adds nothing."""
+        out = []
+        for k, r in enumerate(rows):
+            at = r.at
+            if at.out:
+                x = 0.0
+            elif r.name:
+                x = self.tag.get(self.kind(rows, k), -0.1 if at.inside or r.name in INLINE else -1.0) if r.open else -0.1
+            else:
+                x = n_words(r.text) * self.word.get((at.block, at.link, at.inside), -0.5 if at.link and not at.inside else 1.0)
+            out.append(x)
+        return out
 
     def text(self, html: str | None) -> str:
         """The main text; empty if there is none."""
         rows = list(runs(html or "", self.weight))
-        best, begin, end, total, since = 0.0, 0, 0, 0.0, 0
-        for k, r in enumerate(rows):
-            if r.out:
-                continue
-            if r.name:
-                total += self.tag.get((r.name, r.inside), -0.1 if r.inside or r.name in INLINE else -1.0)
-                if total < 0:
-                    total, since = 0.0, k + 1
-            else:
-                total += max(len(r.text.split()), len(r.text) // 40) if not r.text.isspace() else 0
-                if total > best:
-                    best, begin, end = total, since, k + 1
+        begin, end = best_region(self.scores(rows))
         found = []
         for r in rows[begin:end]:
             if r.name and r.name not in INLINE:
                 found.append(" ")
-            elif not r.name and not r.out:
+            elif not r.name and not r.at.out:
                 found.append(unescape(r.text) if "&" in r.text else r.text)
         return " ".join("".join(found).split())
 
@@ -161,7 +222,12 @@ def extractor() -> Extractor:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Every row of pages (page_id, url, html): page_id, url, text, n_chars (code points). Null html counts as empty."""
+    """Every row of pages (page_id, url, html): page_id, url, text, n_chars (code points).
+
+    Null html counts as empty; a page without main text gives the empty text. Null page_ids and urls stay null,
+    repeated rows come out as often as they go in, other columns (of any name) are not looked at, and an empty
+    table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = extractor()

@@ -9,4 +9,10 @@ PAGES = """
 <html><body><div class="cookie consent popup modal"><p>W W</p></div><header><h2>W</h2><p>W</p></header><menu><li>W</li></menu><article class="entry story" data-main><header><h1>W W</h1><p>W</p></header><section><h2>W</h2><p>W W W W W</p></section><section><p>W W W</p></section></article><div class="notice alert"><p>W W W</p></div><div class="replies discussion"><p>W W W W</p></div><form class="search login"><p>W</p></form><footer><p>W</p></footer></body></html>
 <html><body><div class="header masthead"><p>W</p></div><div class="toolbar nav navigation"><a>W</a></div><div id="main" class="main content" data-main><p>W W W</p><p>W W W W</p><p>W</p></div><div class="advert sponsor promo"><p>W W</p></div><div class="subscribe newsletter signup"><p>W</p></div><div class="share"><p>W</p></div><div class="comments"><div class="comment reply"><p>W W</p></div></div><div class="footer"><p>W W</p></div></body></html>
 <html><body><dialog><p>W W</p></dialog><nav class="breadcrumb"><a>W</a></nav><article data-main><h1>W</h1><p>W W W W</p><p>W <a>W W</a> W</p></article><article class="comment"><p>W W W</p></article><section id="comments" class="reader-comments"><p>W W</p></section><div class="widget sidebar"><h4>W</h4><p>W W</p></div><div class="disclaimer notice"><p>W W</p></div><footer><p>W</p></footer></body></html>
+<html><body><div class="c1"><a>W</a> | <a>W</a> | <a>W</a> | <a>W</a></div><div class="c2" data-main><h1>W W W</h1><p>W W W W W W W W</p><p>W W W <a>W W</a> W W W W W</p><h2>W W W</h2><p>W W W W W W</p><h3>W W W</h3><p>W W <a>W W W</a> W W W</p></div><div class="c3"><a>W W</a><br><a>W W</a><br><a>W W W</a></div><div class="c4">W W W</div></body></html>
+<html><body><table><tr><td><a>W</a><br><a>W</a><br><a>W</a></td><td data-main><h2>W W W</h2><p>W W W W W W W W W</p><h3>W W W W</h3><p>W W W W W</p><p>W W W W W W W</p></td><td><a>W W</a> <a>W</a></td></tr></table><div>W W</div></body></html>
+<html><body><div class="row"><div class="col"><ul><li><a>W</a></li><li><a>W W</a></li><li><a>W</a></li></ul></div><div class="col" data-main><h2>W W</h2><p>W W W W W W W</p><ul><li>W W W W</li><li>W W W <a>W</a> W</li></ul><p>W W W W W W W W</p></div></div><div class="row"><span>W</span> <span>W W</span></div></body></html>
+<html><body><div id="x1"><h3>W W</h3><div><a>W</a></div><div><a>W</a></div></div><div id="x2" data-main><div>W W W W W W W W W W W</div><h3>W W W</h3><div>W W W W W W <b>W</b> W W W</div><p>W W <a>W W W W</a> W W</p><h2>W W W</h2><div>W W W W W W W</div></div><div id="x3"><h3>W</h3><p><a>W W W</a></p><p><a>W W</a></p><p><a>W W W W</a></p></div></body></html>
+<html><body><center><a>W</a> <a>W</a> <a>W</a></center><h1 data-main>W W W W</h1><div data-main><p>W W W W W W W W<p>W W W W W W<p>W W W W W W W W W</div><p><a>W</a> - <a>W</a></p><center>W W</center></body></html>
+<html><body><ul><li><a>W</a></li><li><a>W</a></li></ul><section data-main><h1>W W</h1><p>W W W W W W W W W W</p><blockquote>W W W W W</blockquote><p>W W W W W W W</p></section><section><h2>W W</h2><ul><li><a>W W W</a></li><li><a>W W W W</a></li></ul></section><div>W W <a>W</a></div></body></html>
 """.replace("W", "word").strip().split("\n")

@@ -135,7 +135,12 @@ class Identifier:
 
 
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """docs (doc_id, text, and held_out if it is there) with lang_pred and score."""
+    """docs (doc_id, text, and held_out if it is there) with lang_pred and score.
+
+    A null text or one without a letter is `und` with score 0, as is every text where there are no profiles.
+    Ties go to the language first in the alphabet. A null doc_id stays null, repeated rows come out as often as
+    they go in, other columns (of any name) are dropped, and an empty table gives none.
+    """
     keep = [c for c in ("doc_id", "held_out") if c in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,8 +10,14 @@ from __future__ import annotations
 
 import functools
 import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.llm.common import lean, slices
 
 SPACE = "▁".encode()
 #: Texts longer than this many bytes are encoded in parts, cut at single spaces between words.
@@ -64,7 +70,6 @@ class PieceCodec:
         self.plain = not self.map.units and not self.own and not self.spec.remove_extra_whitespaces and self.spec.escape_whitespaces and self.spec.add_dummy_prefix and not self.suffix
         inside = any("▁" in p.piece.lstrip("▁") for p in proto.pieces)
         self.cuttable = self.plain and not inside
-        self.digits = [str(i).encode() for i in range(len(proto.pieces))]
 
     def _parts(self, text: str) -> list[str]:
         """text, or parts whose ids in turn are the text's: no piece goes on after a space, and the dummy prefix stands for the one that is cut out."""
@@ -164,3 +169,26 @@ class PieceCodec:
 def codec(path: str) -> PieceCodec:
     """One codec for each file and worker process."""
     return PieceCodec(path)
+
+
+def encoded(docs: DataFrame, find: Callable[[], str]) -> DataFrame:
+    """Every row of docs (doc_id, text): doc_id, ids, begins, ends (of each piece, in the text's UTF-8 bytes) and decoded.
+
+    find gives the model file's path, in each worker. Null texts count as empty, which have no piece and decode
+    to the empty text; a null doc_id stays null; repeated rows come out as often as they go in; other columns
+    (of any name) are not looked at; an empty table gives none. Texts of any length are encoded whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(find())
+        for batch in slices(batches, "text", rows=128):
+            texts = batch.column("text").to_pylist()
+            ids = c.encode(texts)
+            spans = [c.spans(t, x) for t, x in zip(texts, ids, strict=True)]
+            at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
+            both = np.concatenate([s.reshape(-1, 2) for s in spans])
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (np.concatenate([np.array(x, np.int32) for x in ids]), both[:, 0].astype(np.int64), both[:, 1].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists, pa.array([c.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "begins", "ends", "decoded"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(lean(run), "doc_id long, ids array<int>, begins array<long>, ends array<long>, decoded string")

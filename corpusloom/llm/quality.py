@@ -112,7 +112,7 @@ def resample(docs: DataFrame, labels: DataFrame, sample: int = LABELS) -> DataFr
     labels: (doc_id, quality: 1 good, 0 bad; null is no label); of repeated or contradicting labels the
     smallest counts. Null texts count as empty, with weight 0. Rows equal in doc_id and text get the same
     noise, so they stay or go together; rows that tie with the k-th key stay. Without labels of both
-    classes nothing is rejected.
+    classes nothing is rejected. Other columns of either table are not looked at; an empty table gives none.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -130,7 +130,8 @@ def resample(docs: DataFrame, labels: DataFrame, sample: int = LABELS) -> DataFr
     scores = rows.mapInArrow(lean(score), "doc_id long, text_hash long, log_weight double")
     uniform = (F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     scores = scratch.table(scores.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))), "scores")
-    labelled = scores.join(F.broadcast(known), "doc_id").select("log_weight", "quality").collect()
+    # One row a label, however often its doc_id stands in docs.
+    labelled = scores.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("log_weight"), F.min("quality").alias("quality")).collect()
     least = border([(r.log_weight, r.quality) for r in labelled])
     n = scores.filter(F.col("log_weight") > least).count()
     cut = top_k_border(scores.select("key"), n) if n else np.inf

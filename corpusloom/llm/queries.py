@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, lean, slices, table
+from corpusloom.llm.common import Scratch, table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -88,26 +85,20 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path(PIECE_BPE)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from corpusloom.llm.pieces import codec
-
-        c = codec(path)
-        for batch in slices(batches, "text", rows=128):
-            texts = batch.column("text").to_pylist()
-            ids = c.encode(texts)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"),
-                "n_tokens": pa.array(map(len, ids), pa.int64()),
-                "ids_sha256": [hashlib.sha256(b",".join([c.digits[i] for i in x])).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids],
-                # Begins and ends of all pieces in the original bytes, as little-endian unsigned 64-bit integers.
-                "spans_crc32": pa.array([zlib.crc32(c.spans(t, x).astype("<u8").tobytes()) for t, x in zip(texts, ids, strict=True)], pa.int64()),
-            })
-
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")
+    from corpusloom.llm.pieces import encoded
+
+    rows = encoded(table(spark, sf_dir, "documents"), lambda: tokenizer_path(PIECE_BPE))
+
+    def joined(numbers: str) -> Column:
+        return F.concat_ws(",", F.col(numbers).cast("array<string>"))
+
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(joined("ids"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.crc32(F.concat_ws(";", joined("begins"), joined("ends")).cast("binary")).alias("spans_crc32"),
+    )
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,8 +150,8 @@ def repeated_edges(docs: DataFrame, scratch: Scratch, size: int, k: int, bits: i
 def chains(runs: DataFrame, scratch: Scratch) -> DataFrame:
     """key, head, ahead of the keys in nonbranching chains of more than one: the chain's first key, and how many windows it has before this one.
 
-    A link joins two keys that follow each other wherever either stands. Each round doubles how far back
-    every key has looked, so the rounds follow the logarithm of the longest chain.
+    A link joins two keys that follow each other wherever either stands. Every join doubles how far back each
+    key has looked, so their number follows the logarithm of the longest chain.
     """
     after = runs.select("id", F.col("first").alias("at"), F.col("key").alias("next"))
     pairs = runs.select("id", (F.col("first") + F.col("n")).alias("at"), "key", "n").join(after, ["id", "at"])
@@ -161,13 +161,19 @@ def chains(runs: DataFrame, scratch: Scratch) -> DataFrame:
     only = pairs.join(times, "key").filter("times = all").drop("all").join(times.withColumnRenamed("key", "next"), "next").filter("times = all AND key <> next")
     back = scratch.table(only.select(F.col("next").alias("key"), F.col("key").alias("head"), F.col("n").cast("long").alias("ahead")), "back-0")
     for k in itertools.count(1):
-        further = back.select(F.col("key").alias("head"), F.col("head").alias("before"), F.col("ahead").alias("more"))
-        back = scratch.table(back.join(further, "head", "left").select("key", F.coalesce("before", "head").alias("head"), (F.col("ahead") + F.coalesce("more", F.lit(0))).alias("ahead"), F.col("before").isNotNull().alias("moved")), f"back-{k}")
+        # Two doublings for each table that is written.
+        back = scratch.table(_further(_further(back)), f"back-{k}")
         scratch.drop(f"back-{k - 1}")
         if back.filter("moved").isEmpty():
             return back.drop("moved")
 
 
+def _further(back: DataFrame) -> DataFrame:
+    """back (key, head, ahead), every key looking on from where it looked, with moved: whether that was further."""
+    on = back.select(F.col("key").alias("head"), F.col("head").alias("before"), F.col("ahead").alias("more"))
+    return back.join(on, "head", "left").select("key", F.coalesce("before", "head").alias("head"), (F.col("ahead") + F.coalesce("more", F.lit(0))).alias("ahead"), F.col("before").isNotNull().alias("moved"))
+
+
 def compacted(runs: DataFrame, scratch: Scratch) -> DataFrame:
     """id, first, n, head: every occurrence of every compacted path, n windows from word `first` on."""
     linked = chains(runs, scratch)

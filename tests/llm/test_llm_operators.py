@@ -298,6 +298,70 @@ def test_quality(spark, none):
     assert [top_k_border(keys, k) for k in (1, 3, 4, 15_000, 30_000)] == [9999.0, 9999.0, 9998.0, 5000.0, 0.0]
 
 
+def test_quality_by_brute_force(spark):
+    """Weights, noise, k and what stays, again by hand."""
+    import math
+    import struct
+
+    import xxhash
+
+    from corpusloom.llm.quality import AGAIN, BUCKETS, SEED, TOKEN, resample
+
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words[: 40 if i % 3 else 60], rng.integers(0, 30)).tolist()) + (" !" if i % 3 == 0 else ".")) for i in range(90)] + [(500, None), (501, ""), (7, "w1 w1 w2 w1")]
+    labels = [(i, int(i % 3 > 0)) for i in range(0, 90, 2)] + [(3, None)]
+
+    def buckets(text):
+        tokens = TOKEN.findall((text or "").lower())
+        h = [xxhash.xxh32_intdigest(t.encode()) for t in tokens]
+        pairs = [((a * 0x9E3779B1 + b * 0x85EBCA77) % 2**64) >> 7 for a, b in zip(h, h[1:], strict=False)]
+        return [x % AGAIN[0] for x in h + pairs] + [AGAIN[0]] * sum(a == b for a, b in zip(h, h[1:], strict=False)) + [AGAIN[1]] * sum(a == b for a, b in zip(h, h[2:], strict=False))
+
+    good = {d for d, q in labels if q == 1}
+    raw, target = Counter(), Counter()
+    for d, t in rows:
+        raw.update(buckets(t))
+        if d in good:
+            target.update(buckets(t))
+    n_raw, n_target = sum(raw.values()) + BUCKETS, sum(target.values()) + BUCKETS
+    weight = [sum(math.log((target[b] + 1) / n_target) - math.log((raw[b] + 1) / n_raw) for b in buckets(t)) for _, t in rows]
+
+    def noise(d, t):
+        h = 42 if t is None else xxhash.xxh64_intdigest(t.encode(), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<Q", h), xxhash.xxh64_intdigest(struct.pack("<q", d), 42))
+        h = xxhash.xxh64_intdigest(struct.pack("<i", SEED), h)
+        return -math.log(-math.log((h % 2**52 + 0.5) / 2**52))
+
+    keys = [w + noise(d, t) for w, (d, t) in zip(weight, rows, strict=True)]
+    by_id = {}
+    for w, (d, _) in zip(weight, rows, strict=True):
+        by_id[d] = min(w, by_id.get(d, w))
+    marked = sorted((by_id[d], q) for d, q in labels if q is not None)
+    borders = [-math.inf] + [(a[0] + b[0]) / 2 for a, b in zip(marked, marked[1:], strict=False)] + [math.inf]
+    ones = sum(q for _, q in marked)
+    right = [sum(1 - q for w, q in marked if w <= b) / (len(marked) - ones) + sum(q for w, q in marked if w > b) / ones for b in borders]
+    least = borders[right.index(max(right))]
+    k = sum(w > least for w in weight)
+    kth = sorted(keys, reverse=True)[k - 1]
+    got = resample(spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    side = lambda d, t, w, x, kept: (d, t, round(w, 6), round(x, 6), kept)
+    hashes = {r.doc_id: 0 for r in got}
+    assert 0 < k < len(rows) and len(hashes) == len({d for d, _ in rows})
+    assert sorted(side(r.doc_id, None, r.log_weight, r.key, r.kept) for r in got) == sorted(side(d, None, w, x, x >= kth) for (d, _), w, x in zip(rows, weight, keys, strict=True))
+
+
+def test_quality_on_labels_that_were_held_out(spark, sf):
+    from corpusloom.llm.quality import border, resample
+
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    found = resample(docs, labels.filter(~held)).join(labels, "doc_id").withColumn("held", held).collect()
+    least = border([(r.log_weight, r.quality) for r in found if not r.held])
+    rest = [r for r in found if r.held]
+    assert len(rest) > 10 and sum((r.log_weight > least) == bool(r.quality) for r in rest) >= 0.9 * len(rest)
+
+
 # --- 7: pages ---
 
 
@@ -319,6 +383,43 @@ def test_html(spark):
     assert {k: r.text for k, r in got.items() if k != 7} == {1: "", 2: "", 3: "A é!& Hello world a b x End.", 4: "Title one two three x last", 5: "cut off", 6: "", 8: "1 < 2 and 3 > 2"}
     assert all(r.n_chars == len(r.text) for r in got.values()) and got[7].n_chars == 249_999 and got[3].url is None
     assert extract(df.limit(0)).collect() == []
+    twice = extract(clashing(df.filter("page_id IN (3, 5)").unionByName(df.filter("page_id = 5"))).withColumns({"link": F.lit(1), "block": F.lit(1)})).collect()
+    assert sorted(r.page_id for r in twice) == [3, 5, 5] and {r.text for r in twice} == {got[3].text, got[5].text}
+
+
+NAMELESS = [
+    ("<div class=a1><a href=/>Home</a> <a href=/n>News</a> <a href=/s>Sport today</a></div><div class=b7><h2>The title here</h2><p>First words of a text that goes on for some time.</p><p>And more <a href=x>with a link</a> in it, as texts have.</p></div><div class=c2><a href=1>Other story one</a><br><a href=2>Other story two</a></div><div>All rights</div>", "The title here First words of a text that goes on for some time. And more with a link in it, as texts have."),
+    ("<ul><li><a>one</a></li><li><a>two</a></li></ul><section><h1>Head</h1><p>Some sentences that are long enough to count as text.</p><p>Short.</p></section><section><h2>More</h2><ul><li><a>a link of words</a></li><li><a>yet another link</a></li></ul></section>", "Head Some sentences that are long enough to count as text. Short."),
+    ("<table><tr><td><a>x</a><br><a>y</a></td><td><p>The cell that holds the text of this old page, in words.</p><p>It goes on here.</p></td></tr></table><div>made in 1999</div>", "The cell that holds the text of this old page, in words. It goes on here."),
+]
+
+
+def test_the_scan_finds_text_without_telling_names():
+    from corpusloom.llm.html_text import extractor, runs
+
+    e = extractor()
+    for html, want in NAMELESS:
+        assert e.text(html) == want
+        # Without the scan, everything outside of the elements left out is there.
+        everything = " ".join("".join(" " if r.name else r.text for r in runs(html, e.weight) if r.name or not r.at.out).split())
+        assert everything != want and want.split()[0] in everything
+
+
+def test_the_scan_is_the_best_of_all_regions(spark, sf):
+    from corpusloom.llm.html_text import best_region, extractor, runs
+
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        x = np.round(rng.normal(-0.2, 1, rng.integers(0, 40)), 3).tolist()
+        sums = {(i, j): sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
+        begin, end = best_region(x)
+        assert abs(sum(x[begin:end]) - max([0.0, *sums.values()])) < 1e-9
+    e = extractor()
+    for r in spark.read.parquet(f"{sf}/pages.parquet").limit(10).collect():
+        x = e.scores(list(runs(r.html, e.weight)))
+        total = np.concatenate([[0.0], np.cumsum(x)])
+        begin, end = best_region(x)
+        assert abs(sum(x[begin:end]) - max((total[None, :] - total[:, None])[np.triu_indices(len(total))])) < 1e-6
 
 
 # --- 8: simhash ---
@@ -427,6 +528,19 @@ def test_pieces(spark, docs, tmp_path, monkeypatch):
         assert (np.diff(spans.ravel()) >= 0).all()
 
 
+def test_pieces_of_a_table(spark, docs, none):
+    from sentencepiece import SentencePieceProcessor
+
+    from corpusloom.llm.pieces import encoded
+
+    library = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = encoded(clashing(docs), lambda: public_tokenizers.path("piece_bpe_32k.model")).collect()
+    want = Counter((d, tuple(library.encode(t or "")), library.decode(library.encode(t or ""))) for d, t in TEXTS)
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in rows) == want
+    assert all(len(r.begins) == len(r.ends) == len(r.ids) for r in rows)
+    assert encoded(none, lambda: public_tokenizers.path("piece_bpe_32k.model")).collect() == []
+
+
 # --- 10: exact ---
 
 
@@ -490,7 +604,31 @@ def test_keep_first(spark, docs, none, repeated):
     assert keep_first(none).collect() == []
 
 
-# --- the pipeline's near duplicates ---
+# --- the pipeline ---
+
+
+def test_stages_on_odd_tables(spark, docs, none, sf):
+    """Nulls, empty and very long texts, ties, repeated rows, columns of any name, and no rows, in every stage."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, clashing(none), sf).collect() == []
+        odd = clashing(docs).withColumn("n_chars", F.length("text").cast("long"))
+        out = stage(spark, odd, sf)
+        rows = out.collect()
+        ids = {r.doc_id for r in rows}
+        if name == "packing":
+            assert ids == {d for d, _ in TEXTS}
+            continue
+        assert out.columns == odd.columns
+        if name == "exact_dedup":
+            assert len(rows) == len({w[3] for w in brute_exact(TEXTS)})
+        if name == "near_dedup":
+            assert ids == {1, 2, 5, 6, 7, 9, 10, 12}
+        if name == "substring_dedup":
+            assert len(rows) == len(TEXTS) and all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+
+
 
 
 def test_near_dedup_of_the_pipeline_reaches_a_similarity_of_0_8(spark, docs, none):
