@@ -99,12 +99,14 @@ def hot_keys(counts: DataFrame, total: int, scratch: Scratch, name: str) -> Data
 
 
 def keyed_join(rows: DataFrame, known: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
-    """rows joined with known (one row a key) by key. The rows of hot keys stay where they are: what is known of those few keys is broadcast."""
+    """rows joined (inner or left) with known (one row a key) by key. The rows of hot keys stay where they are: what is known of those few keys is broadcast."""
     if hot is None:
         return rows.join(known, key, how)
-    hot = F.broadcast(hot)
-    few = known.join(hot, key, "left_semi")
-    return rows.join(hot, key, "left_semi").join(F.broadcast(few), key, how).unionByName(rows.join(hot, key, "left_anti").join(known, key, how))
+    is_hot, is_known = fresh(rows.join(known.limit(0), key), "is_hot", "is_known")
+    few = hot.join(known.withColumn(is_known, F.lit(True)), key, "left").withColumn(is_hot, F.lit(True))
+    met = rows.join(F.broadcast(few), key, "left")
+    stay = met.filter(is_hot if how == "left" else f"{is_hot} AND {is_known}").drop(is_hot, is_known)
+    return stay.unionByName(met.filter(f"{is_hot} IS NULL").select(*rows.columns).join(known, key, how))
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
