@@ -9,10 +9,10 @@ text goes on by one word. What repeats in it is found in four steps, of which th
    Paths are counted by minimizer, with the smallest and the largest hash of their words. A minimizer seen
    once holds no repeated edge. Where all its paths are equal, its edges all repeat; where they differ, the
    edges themselves are the rows: the path is branching, and its windows are hashed and counted.
-2. Compaction. The repeated paths and edges, as (source, place) coordinates, are joined with what follows each
-   of them in its text. A path that is always followed by one and the same, which always follows it, is not
-   branching there: such chains are compacted to one path by pointer jumping, in joins whose number follows
-   the logarithm of the longest chain.
+2. Compaction. Of the repeated paths and edges, as (source, place) coordinates, it is counted what follows each
+   in its text. A path that is always followed by one and the same, which always follows it, is not branching
+   there: a join of both finds these links, and a second one takes them back to the coordinates, where linked
+   paths are one.
 3. Verification. Every occurrence of a compacted path is cut out of its source at its coordinates, and the
    words are compared as bytes, once for each path. Hashes only propose: a path whose occurrences differ is
    resolved by the words of its windows.
@@ -22,14 +22,13 @@ text goes on by one word. What repeats in it is found in four steps, of which th
 from __future__ import annotations
 
 import hashlib
-import itertools
 import re
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Scratch, hot_keys, keyed_join, lean, slices
@@ -147,43 +146,27 @@ def repeated_edges(docs: DataFrame, scratch: Scratch, size: int, k: int, bits: i
     return runs
 
 
-def chains(runs: DataFrame, scratch: Scratch) -> DataFrame:
-    """key, head, ahead of the keys in nonbranching chains of more than one: the chain's first key, and how many windows it has before this one.
+def compacted(runs: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, first, n, head: every occurrence of every compacted path, n windows from word `first` on; head is its first key.
 
-    A link joins two keys that follow each other wherever either stands. Every join doubles how far back each
-    key has looked, so their number follows the logarithm of the longest chain.
+    A link joins two keys that follow each other wherever either of them stands: one join of the keys with what
+    always follows them. So a chain of links stands whole wherever one of its keys does, and once the joins have
+    brought the links back to the coordinates, it is the run of linked rows there.
     """
-    after = runs.select("id", F.col("first").alias("at"), F.col("key").alias("next"))
-    pairs = runs.select("id", (F.col("first") + F.col("n")).alias("at"), "key", "n").join(after, ["id", "at"])
-    pairs = scratch.table(pairs.groupBy("key", "next").agg(F.count("*").alias("times"), F.max("n").alias("n")), "pairs")
-    times = runs.groupBy("key").agg(F.count("*").alias("all"))
-    # As often as both keys stand at all, they stand so together.
-    only = pairs.join(times, "key").filter("times = all").drop("all").join(times.withColumnRenamed("key", "next"), "next").filter("times = all AND key <> next")
-    back = scratch.table(only.select(F.col("next").alias("key"), F.col("key").alias("head"), F.col("n").cast("long").alias("ahead")), "back-0")
-    for k in itertools.count(1):
-        # Two doublings for each table that is written.
-        back = scratch.table(_further(_further(back)), f"back-{k}")
-        scratch.drop(f"back-{k - 1}")
-        if back.filter("moved").isEmpty():
-            return back.drop("moved")
-
-
-def _further(back: DataFrame) -> DataFrame:
-    """back (key, head, ahead), every key looking on from where it looked, with moved: whether that was further."""
-    on = back.select(F.col("key").alias("head"), F.col("head").alias("before"), F.col("ahead").alias("more"))
-    return back.join(on, "head", "left").select("key", F.coalesce("before", "head").alias("head"), (F.col("ahead") + F.coalesce("more", F.lit(0))).alias("ahead"), F.col("before").isNotNull().alias("moved"))
-
-
-def compacted(runs: DataFrame, scratch: Scratch) -> DataFrame:
-    """id, first, n, head: every occurrence of every compacted path, n windows from word `first` on."""
-    linked = chains(runs, scratch)
-    first = linked.select(F.col("head").alias("key")).distinct().select("key", F.col("key").alias("head"), F.lit(0).cast("long").alias("ahead"))
-    known = scratch.table(linked.unionByName(first), "chains")
-    counts = runs.groupBy("key").agg(F.count("*").alias("n"))
-    hot = hot_keys(counts, runs.count(), scratch, "hot-runs")
-    at = keyed_join(runs, known, "key", hot, "left").select("id", "n", F.coalesce("head", "key").alias("head"), (F.col("first") - F.coalesce("ahead", F.lit(0))).alias("first"))
-    # In one text a path's parts are few rows, whatever the number of texts.
-    return at.groupBy("id", "first", "head").agg(F.sum("n").cast("int").alias("n"))
+    order = Window.partitionBy("id").orderBy("first")
+    end = F.col("first") + F.col("n")
+    following = F.when(F.lead("first").over(order) == end, F.lead("key").over(order))
+    before = F.when(F.lag(end).over(order) == F.col("first"), F.lag("key").over(order))
+    met = runs.select("key", following.alias("next"), before.alias("prev")).groupBy("key")
+    met = met.agg(F.count("*").alias("n"), *(f(c).alias(f"{name}_{c}") for c in ("next", "prev") for name, f in (("n", F.count), ("low", F.min), ("high", F.max))))
+    keys = scratch.table(met, "keys")
+    always = {c: keys.filter(f"n_{c} = n AND low_{c} = high_{c}") for c in ("next", "prev")}
+    ahead = always["next"].select(F.col("key").alias("of"), F.col("low_next").alias("key"))
+    back = always["prev"].select("key", F.col("low_prev").alias("of"))
+    linked = scratch.table(ahead.join(back, ["key", "of"]).filter("key <> of").select("key", F.lit(True).alias("linked")), "linked")
+    hot = hot_keys(keys.select("key", "n"), runs.count(), scratch, "hot-runs")
+    at = keyed_join(runs, linked, "key", hot, "left").withColumn("part", F.count_if(F.col("linked").isNull()).over(order))
+    return at.groupBy("id", "part").agg(F.min("first").alias("first"), F.sum("n").cast("int").alias("n"), F.min_by("key", "first").alias("head")).drop("part")
 
 
 def disagreeing(marked: DataFrame, size: int, scratch: Scratch) -> DataFrame | None:
