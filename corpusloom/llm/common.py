@@ -93,20 +93,26 @@ HOT_ROWS, HOT_SHARE = 200, 50_000
 
 
 def hot_keys(counts: DataFrame, total: int, scratch: Scratch, name: str) -> DataFrame | None:
-    """The hot keys of some rows as a written table (None if there is none). counts: (key under any name, n)."""
-    hot = scratch.table(counts.filter(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).drop("n"), name)
+    """The hot keys of some rows, with copies, as a written table (None if there is none). counts: (key under any name, n).
+
+    copies is how many shares of a hot key's size its rows make; all copies together are fewer than 2 * HOT_SHARE.
+    """
+    share = max(HOT_ROWS, total // HOT_SHARE)
+    hot = counts.filter(F.col("n") > share).withColumn("copies", F.ceil(F.col("n") / share).cast("int")).drop("n")
+    hot = scratch.table(hot, name)
     return None if hot.isEmpty() else hot
 
 
 def keyed_join(rows: DataFrame, known: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
-    """rows joined (inner or left) with known (one row a key) by key. The rows of hot keys stay where they are: what is known of those few keys is broadcast."""
+    """rows joined (inner or left) with known (one row a key) by key. The rows of a hot key are dealt to as many tasks as it has copies, and what is known of it goes to each."""
     if hot is None:
         return rows.join(known, key, how)
-    is_hot, is_known = fresh(rows.join(known.limit(0), key), "is_hot", "is_known")
-    few = hot.join(known.withColumn(is_known, F.lit(True)), key, "left").withColumn(is_hot, F.lit(True))
-    met = rows.join(F.broadcast(few), key, "left")
-    stay = met.filter(is_hot if how == "left" else f"{is_hot} AND {is_known}").drop(is_hot, is_known)
-    return stay.unionByName(met.filter(f"{is_hot} IS NULL").select(*rows.columns).join(known, key, how))
+    copies, deal = fresh(rows.join(known.limit(0), key), "copies", "deal")
+    hot = F.broadcast(hot.withColumnRenamed("copies", copies))
+    others = [f"`{c}`" for c in rows.columns if c != key]
+    dealt = rows.join(hot, key, "left").withColumn(deal, F.coalesce(F.pmod(F.xxhash64(*others), F.col(copies)).cast("int"), F.lit(0))).drop(copies)
+    everywhere = known.join(hot, key, "left").withColumn(deal, F.explode(F.sequence(F.lit(0), F.coalesce(copies, F.lit(1)) - 1))).drop(copies)
+    return dealt.join(everywhere, [key, deal], how).drop(deal)
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:

@@ -137,7 +137,7 @@ def repeated_edges(docs: DataFrame, scratch: Scratch, size: int, k: int, bits: i
     twice = scratch.table(twice, "edges-repeated")
     hot = hot_keys(twice, twice.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0], scratch, "hot-edges")
     edge_keys = F.struct("kmer", "own")
-    single = keyed_join(edges.select("id", "first", edge_keys.alias("edge")), twice.select(edge_keys.alias("edge")), "edge", hot and hot.select(edge_keys.alias("edge")))
+    single = keyed_join(edges.select("id", "first", edge_keys.alias("edge")), twice.select(edge_keys.alias("edge")), "edge", hot and hot.select(edge_keys.alias("edge"), "copies"))
     single = single.select("id", "first", F.lit(1).alias("n"), F.xxhash64("edge.kmer", "edge.own").alias("key"))
     whole = met.filter("whole").select("id", "first", "n", F.xxhash64("path", "n").alias("key"))
     runs = scratch.table(whole.union(single), "runs")

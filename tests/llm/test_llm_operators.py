@@ -422,6 +422,24 @@ def test_the_scan_is_the_best_of_all_regions(spark, sf):
         assert abs(sum(x[begin:end]) - max((total[None, :] - total[:, None])[np.triu_indices(len(total))])) < 1e-6
 
 
+# --- hot keys ---
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_are_dealt(spark, monkeypatch, how):
+    from corpusloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.createDataFrame([(i, i % 7 if i % 3 else 1) for i in range(300)] + [(1000, 99)], "x long, k long")
+    known = spark.createDataFrame([(k, f"v{k}") for k in range(6)], "k long, copies string")
+    scratch = common.Scratch(spark, "t")
+    hot = common.hot_keys(rows.groupBy("k").agg(F.count("*").alias("n")), 301, scratch, "hot")
+    assert max(r.copies for r in hot.collect()) > 5
+    want = rows.join(known, "k", how)
+    got = common.keyed_join(rows, known, "k", hot, how)
+    assert got.columns == want.columns and Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
 # --- 8: simhash ---
 
 
