@@ -18,7 +18,7 @@ def with_options(default, args: argparse.Namespace, given: dict):
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="corpusloom", description=__doc__)
-    parser.add_argument("stages", nargs="+", help="ingest, build, count, verify, audit, report, all or every")
+    parser.add_argument("stages", nargs="+", help="ingest, build, rebuild (budget and split from an earlier build's documents), count, verify, audit, report, all or every")
     parser.add_argument("--raw", required=True)
     parser.add_argument("--root", required=True)
     parser.add_argument("--config", help="YAML with gates, budget and ingest values")

@@ -51,3 +51,8 @@ def score_summary(scores: DataFrame, by: str | None = None) -> DataFrame:
 def silent_hosts(wanted: DataFrame, got: DataFrame) -> DataFrame:
     """Hosts that were asked and gave nothing."""
     return wanted.select("host").distinct().join(got.select("host"), "host", "left_anti")
+
+
+def slow_hosts(delays: DataFrame, usual: float, top: int = 4) -> DataFrame:
+    """The hosts (host, delay) that ask for more than twice the usual delay, slowest first."""
+    return delays.filter(F.col("delay") > 2 * usual).orderBy(F.desc("delay"), "host").limit(top)

@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.config import DOWNLOADED_NAMES, MANUAL_NAMES
@@ -171,3 +171,70 @@ def drift(measured: Column, used: Column, most: float = 0.05) -> Column:
 def training_lines(df: DataFrame) -> DataFrame:
     """line: the non-empty trimmed lines of texts, as training input for a tokenizer."""
     return df.select(F.explode(F.split("text", "\n")).alias("line")).select(F.btrim("line").alias("line")).filter("line <> ''")
+
+
+def vocabulary(spark: SparkSession, model: str) -> DataFrame:
+    """id, piece, is_byte, is_unknown of a SentencePiece model file: tens of thousands of rows, made on the driver."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=model)
+    rows = [(i, m.id_to_piece(i), m.is_byte(i), m.is_unknown(i)) for i in range(m.get_piece_size())]
+    return spark.createDataFrame(rows, "id int, piece string, is_byte boolean, is_unknown boolean")
+
+
+def piece_measures(df: DataFrame, ids: Column, vocab: DataFrame, by: list[str] | None = None, least: int = 1) -> DataFrame:
+    """What a model makes of texts (text): documents, tokens, fertility, characters and bytes a token, tokens a document, and the rates of unknown and byte pieces.
+
+    vocab: (id, is_byte, is_unknown); the ids of either kind, a few hundred, go into the plan. Texts without a
+    word don't count; of groups only those with enough documents.
+    """
+    marked = vocab.filter("is_byte OR is_unknown").select("id", "is_byte").collect()
+    unknown, byte = ([r.id for r in marked if r.is_byte == b] for b in (False, True))
+    rows = df.select(*(by or []), F.size(words(F.col("text"))).alias("w"), F.length("text").alias("c"), F.octet_length("text").alias("b"), ids.alias("ids")).filter("w > 0")
+    count = lambda of: F.size(F.filter("ids", lambda i: i.isin(*of))) if of else F.lit(0)
+    rows = rows.select(*(by or []), "w", "c", "b", F.size("ids").alias("t"), count(unknown).alias("u"), count(byte).alias("f"))
+    total = lambda c: F.sum(c)
+    out = rows.groupBy(*(by or [])).agg(
+        F.count("*").alias("documents"), total("t").alias("tokens"),
+        F.try_divide(total("t"), total("w")).alias("fertility"),
+        F.try_divide(total("c"), total("t")).alias("chars_per_token"),
+        F.try_divide(total("b"), total("t")).alias("bytes_per_token"),
+        F.try_divide(total("t"), F.count("*")).alias("tokens_per_document"),
+        F.try_divide(total("u"), total("t")).alias("unk_rate"),
+        F.try_divide(total("f"), total("t")).alias("byte_fallback_rate"),
+    )
+    return out.filter(F.col("documents") >= least)
+
+
+def named(freq: DataFrame, vocab: DataFrame) -> DataFrame:
+    """freq (token: an id, n, ...) with each id's piece and whether it is a byte; the vocabulary is broadcast (it is bounded by the model)."""
+    return freq.join(F.broadcast(vocab.select(F.col("id").alias("token"), "piece", "is_byte")), "token")
+
+
+def piece_lengths(freq: DataFrame, vocab: DataFrame, top: int = 20) -> DataFrame:
+    """length, n: tokens by the characters of their pieces without word marks, the shortest lengths."""
+    bare = F.length(F.replace("piece", F.lit("\u2581"), F.lit("")))
+    return named(freq, vocab).groupBy(bare.alias("length")).agg(F.sum("n").alias("n")).orderBy("length").limit(top)
+
+
+def not_nfc(df: DataFrame) -> DataFrame:
+    """One row: documents, and how many of their texts are not in NFC."""
+
+    @F.pandas_udf("boolean")
+    def odd(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import unicodedata
+
+        for s in parts:
+            yield pd.Series([t is not None and not unicodedata.is_normalized("NFC", t) for t in s], dtype="bool")
+
+    return df.select(odd("text").alias("odd")).agg(F.count("*").alias("documents"), F.count_if("odd").alias("not_nfc"))
+
+
+def choose(metrics: DataFrame, forced: int | None = None, reason: str | None = None) -> DataFrame:
+    """One row of a sweep's metrics (vocab_size, model_type, fertility, selected, ...): the selected size or, with a reason, a forced one that was swept; of several types the one of least fertility."""
+    sizes = {r.vocab_size for r in metrics.select("vocab_size").distinct().collect()}
+    if forced is not None and forced not in sizes:
+        raise ValueError(f"{forced} was not swept; there are {sorted(sizes)}")
+    rows = metrics.filter(F.col("vocab_size") == forced if forced is not None else F.col("selected"))
+    why = F.lit(f"forced: {reason or 'on grounds of the parameter budget'}" if forced is not None else "elbow")
+    return rows.orderBy("fertility", "vocab_size", "model_type").limit(1).withColumn("reason", why)

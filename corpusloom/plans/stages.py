@@ -13,9 +13,10 @@ from corpusloom.config import BuildConfig, IngestConfig
 from corpusloom.functions.text import words
 from corpusloom.operators import stats, tokens, verify
 from corpusloom.operators.gates import cheap_reason
-from corpusloom.plans.build import build, with_provenance
+from corpusloom.plans.build import build, from_clean, with_provenance
 from corpusloom.plans.report import report
-from corpusloom.sources import sinks
+from corpusloom.scratch import Scratch
+from corpusloom.sources import records, sinks
 
 
 @dataclass
@@ -54,6 +55,13 @@ def make(c: Corpus) -> None:
     built.reasons.write.mode("overwrite").parquet(c.at("stats/reasons"))
 
 
+def rebuild(c: Corpus) -> None:
+    """Budget and split again from the deduplicated documents of an earlier build."""
+    scratch = Scratch(c.spark, "rebuild")
+    corpus, _ = from_clean(c.read("clean"), c.config, scratch)
+    sinks.write_splits(corpus, c.at("splits"))
+
+
 def count(c: Corpus) -> None:
     """Tokens by split and class, and whether the requirements hold."""
     rows = c.read("splits").withColumn("n", F.size(words(F.col("text"))))
@@ -81,15 +89,14 @@ def describe(c: Corpus) -> None:
     """A Markdown report of whatever has been measured."""
 
     def there(name: str) -> DataFrame | None:
-        path = c.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(c.at(name))
-        return c.read(name) if path.getFileSystem(c.spark.sparkContext._jsc.hadoopConfiguration()).exists(path) else None
+        return c.read(name) if records.exists(c.spark, c.at(name)) else None
 
     text = report("Corpus", {n: there(f"stats/{n}") for n in ("ingest", "reasons", "tokens", "requirements", "checks", "audit")})
     c.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(c.at("report"))
 
 
-STAGES: dict[str, Callable[[Corpus], None]] = {"ingest": ingest, "build": make, "count": count, "verify": check, "audit": audit, "report": describe}
-#: What `all` runs; `every` runs all stages.
+STAGES: dict[str, Callable[[Corpus], None]] = {"ingest": ingest, "build": make, "rebuild": rebuild, "count": count, "verify": check, "audit": audit, "report": describe}
+#: What `all` runs; `every` runs all stages. rebuild takes the place of build where only budget or split change.
 USUAL = ("ingest", "build", "count", "verify", "report")
 
 

@@ -13,7 +13,7 @@ from corpusloom.operators import budget, dedup, gates, scoring, stats, tokens, v
 from corpusloom.plans.build import ORDER, build, cleaned, with_provenance
 from corpusloom.scratch import Scratch
 from corpusloom.session import ship, spread
-from corpusloom.sources import records
+from corpusloom.sources import records, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -733,9 +733,106 @@ def provenance_names(spark, sf):
 
 @query("SELECT conv_id, turn // 3 AS page_group, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS pages FROM conversations GROUP BY ALL")
 def page_groups(spark, sf):
-    rows = table(spark, sf, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 3).alias("page_group"))
-    texts = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
-    return rows.agg(F.array_join(texts, "\n").alias("text"), F.count("*").alias("pages"))
+    return records.page_groups(table(spark, sf, "conversations"), "conv_id", "turn", "text", 3)
+
+
+def json_lines(spark: SparkSession, df: DataFrame, name: str, compression: str = "none") -> str:
+    """A folder of JSON lines of df in the shared folder."""
+    to = f"{Scratch(spark, 'json').path}/{name}"
+    df.write.option("compression", compression).json(to)
+    return to
+
+
+_RECORD = "doc_id string, text string, source string"
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, md5(text) AS text_md5, source FROM documents")
+def json_scan(spark, sf):
+    """Documents written as gzipped JSON lines, and read again."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "source")
+    return records.read_records(spark, json_lines(spark, docs, "docs", "gzip"), _RECORD).select("doc_id", F.md5("text").alias("text_md5"), "source")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'bad_json' WHEN doc_id % 3 = 1 THEN 'not_object' ELSE 'ok' END AS record_reason FROM documents")
+def audited_scan(spark, sf):
+    """Lines of a file, a third of them broken and a third no objects."""
+    r = F.col("doc_id") % 3
+    line = F.when(r == 0, F.concat(F.lit('{"doc_id": '), "doc_id")).when(r == 1, F.concat(F.lit("["), "doc_id", F.lit("]"))).otherwise(F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"))))
+    to = f"{Scratch(spark, 'lines').path}/lines"
+    table(spark, sf, "documents").select(line.alias("value")).write.text(to)
+    lines = spark.read.text(to)
+    return records.parse_lines(lines.withColumn("id", F.regexp_extract("value", "[0-9]+", 0).cast("long")), _RECORD).select(F.col("id").alias("doc_id"), "record_reason")
+
+
+@query("SELECT lang, count(*) AS lines, count(*) FILTER (WHERE doc_id % 3 < 2) AS failures FROM documents GROUP BY lang")
+def line_integrity(spark, sf):
+    r = F.col("doc_id") % 3
+    line = F.when(r == 0, '{"doc_id": ').when(r == 1, "[1]").otherwise('{"doc_id": "1"}')
+    return records.integrity(table(spark, sf, "documents").select("lang", line.alias("value")), ["lang"], _RECORD)
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN source_number % 5 = 0 THEN 0 ELSE 1 END, doc_id) AS place FROM (SELECT doc_id, CAST(substr(source, 4) AS INT) AS source_number FROM documents)")
+def ordered_scan(spark, sf):
+    """The place of each document where files are read in order, manual ones first."""
+    root = Scratch(spark, "ordered").path
+    docs = documents(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), "source", "class_rank")
+    for rank, name in ((0, "manual_pages"), (1, "downloaded")):
+        docs.filter(F.col("class_rank") == rank).drop("class_rank").coalesce(1).write.json(f"{root}/{name}")
+    rows = records.read_ordered(spark, [f"{root}/manual_pages", f"{root}/downloaded"], "doc_id string, source string")
+    # Spark names the files itself, so the folder stands for the file here.
+    rows = rows.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -2)).select((~F.col("file").startswith("manual")).cast("int").alias("late"), F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).alias("one"))
+    ranked = budget.running_total(rows, ["late", "doc_id"], "one", Scratch(spark, "place"), "place")
+    return ranked.select("doc_id", F.col("total").cast("long").alias("place"))
+
+
+@query("SELECT 'https://' || split_part(url, '://', 2) AS url FROM pages WHERE page_id % 4 > 1")
+def url_list(spark, sf):
+    """A list of hosts and URLs with comments and blank lines."""
+    r = F.col("page_id") % 4
+    line = F.when(r == 0, F.concat(F.lit("# "), "url")).when(r == 1, "  ").when(r == 2, F.concat(F.lit(" https://"), F.substring_index("url", "://", -1))).otherwise(F.substring_index("url", "://", -1))
+    to = f"{Scratch(spark, 'list').path}/list"
+    table(spark, sf, "pages").select(line.alias("value")).write.text(to)
+    return records.read_list(spark, to)
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, lang FROM documents")
+def shard_append(spark, sf):
+    """A shard that is appended to twice, the second time with ids that it has."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang")
+    to = f"{Scratch(spark, 'shard').path}/shard"
+    sinks.append_records(docs.filter("crc32(doc_id) % 2 = 0"), to, ["lang"])
+    sinks.append_records(docs, to, ["lang"])
+    return spark.read.parquet(to)
+
+
+@query("SELECT split, count(*) AS documents FROM split GROUP BY split")
+def split_sink(spark, sf):
+    """Documents written by split, and each split read by itself."""
+    to = f"{Scratch(spark, 'splits').path}/splits"
+    sinks.write_splits(budget.stratified_split(kept(spark, sf).select("doc_id", "provenance_class", "source"), ["provenance_class", "source"]), to)
+    parts = [spark.read.parquet(to).filter(F.col("split") == s).groupBy("split").agg(F.count("*").alias("documents")) for s in ("train", "val", "test")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE '' END AS content FROM pages")
+def gunzip_by_content(spark, sf):
+    """Fetched files, here none of them compressed: what isn't gzip stays as it is."""
+    ship(spark)
+    rows = table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise("").cast("binary").alias("content"))
+    return rows.select("page_id", records.gunzipped(F.col("content")).cast("string").alias("content"))
+
+
+@query("SELECT host, delay FROM (SELECT host, 1.5 * (1 + count(*) % 4)::DOUBLE AS delay FROM hosts GROUP BY host) WHERE delay > 3.0 ORDER BY delay DESC, host LIMIT 4")
+def slow_hosts(spark, sf):
+    rows = table(spark, sf, "pages").groupBy(web.authority(F.col("url")).alias("host")).agg((1.5 * (1 + F.count("*") % 4)).alias("delay"))
+    return stats.slow_hosts(rows, 1.5)
+
+
+@query("SELECT page_id, page_id % 2 = 0 AS valid FROM pages")
+def valid_files(spark, sf):
+    """Fetched files of which every second is too small or of another kind."""
+    content = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("%PDF"), F.repeat(F.lit("x"), F.lit(25_000)))).when(F.col("page_id") % 4 == 1, F.lit("%PDF")).otherwise(F.repeat(F.lit("x"), F.lit(25_000)))
+    return table(spark, sf, "pages").select("page_id", web.valid_pdf(content.cast("binary")).alias("valid"))
 
 
 # --- tokens ---
@@ -847,6 +944,31 @@ def piece_round_trip(spark, sf):
     return rows.groupBy("same").agg(F.count("*").alias("documents"))
 
 
+@query()
+def piece_efficiency(spark, sf):
+    """What the model makes of each class, with its rates of unknown and byte pieces."""
+    rows = kept(spark, sf)
+    return tokens.piece_measures(rows, tokens.piece_ids(_model())(F.col("text")), tokens.vocabulary(spark, _model()), ["provenance_class"], 20)
+
+
+@query()
+def piece_table(spark, sf):
+    """The most frequent pieces by name, with ranks and shares."""
+    freq = Scratch(spark, "pieces").table(tokens.frequency(kept(spark, sf), tokens.piece_ids(_model())(F.col("text"))), "freq")
+    total = freq.agg(F.sum("n")).head()[0] or 1
+    return tokens.named(tokens.ranked(freq, 1000), tokens.vocabulary(spark, _model())).withColumn("share", F.col("n") / F.lit(total))
+
+
+@query()
+def piece_length_histogram(spark, sf):
+    return tokens.piece_lengths(tokens.frequency(kept(spark, sf), tokens.piece_ids(_model())(F.col("text"))), tokens.vocabulary(spark, _model()))
+
+
+@query("SELECT count(*) AS documents, count(*) FILTER (WHERE nfc_normalize(text) <> text) AS not_nfc FROM documents")
+def nfc_audit(spark, sf):
+    return tokens.not_nfc(table(spark, sf, "documents"))
+
+
 @query()
 def corpus_build(spark, sf):
     """The whole build: gates, exact and near dedup, budget, split."""

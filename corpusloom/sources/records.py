@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,3 +89,47 @@ def resolve_sources(spark: SparkSession, configured: list[dict] | None, default:
     """key, priority, path: the configured sources, or the default ones, in order of priority."""
     rows = [(s["key"], int(s["priority"]), s["path"]) for s in (configured or default)]
     return spark.createDataFrame(rows, "key string, priority int, path string").orderBy("priority", "key")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at a path, on any store that Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def discover(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".zip", ".jsonl", ".json", ".jsonl.gz")) -> DataFrame:
+    """path and n_bytes of the files below a folder, at any depth, whose names end so. Their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    wanted = reduce(lambda a, b: a | b, (F.lower("path").endswith(s) for s in suffixes))
+    return files.filter(wanted).select("path", F.col("length").alias("n_bytes"))
+
+
+def folder_bytes(spark: SparkSession, folder: str) -> int:
+    """The bytes of all files below a folder; 0 where there is none."""
+    if not exists(spark, folder):
+        return 0
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).agg(F.coalesce(F.sum("length"), F.lit(0))).head()[0]
+
+
+def integrity(lines: DataFrame, by: list[str], schema: str = DOCUMENT) -> DataFrame:
+    """lines, failures of each group: how many lines (value, ...) there are, and how many are no JSON object."""
+    return parse_lines(lines, schema).groupBy(*by).agg(F.count("*").alias("lines"), F.count_if(F.col("record_reason") != "ok").alias("failures"))
+
+
+def page_groups(pages: DataFrame, by: str, page: str, text: str, size: int) -> DataFrame:
+    """by, page_group, text, pages: each `size` consecutive pages (counted from 0) of a document as one text, in order, by lines."""
+    rows = pages.groupBy(by, F.floor(F.col(page) / size).alias("page_group"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct(page, text))), lambda x: x[text])
+    return rows.agg(F.array_join(texts, "\n").alias("text"), F.count("*").alias("pages"))
+
+
+def _gunzip(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    import gzip
+
+    for s in parts:
+        yield pd.Series([gzip.decompress(b) if b is not None and b[:2] == b"\x1f\x8b" else b for b in s], dtype=object)
+
+
+def gunzipped(content: Column) -> Column:
+    """Binary content, decompressed where its first bytes say it is gzip, whatever its name."""
+    return F.pandas_udf(_gunzip, "binary")(content)

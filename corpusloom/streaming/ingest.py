@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from corpusloom.config import IngestConfig
 from corpusloom.functions.text import content_hash
 from corpusloom.operators.gates import cheap_reason
-from corpusloom.sources.records import DOCUMENT
+from corpusloom.sources.records import DOCUMENT, exists
 
 
 def ingest(spark: SparkSession, source: str, to: str, checkpoint: str, script: str, cfg: IngestConfig = IngestConfig(), budget: int | None = None, schema: str = DOCUMENT, files_per_batch: int = 100) -> StreamingQuery:
@@ -18,24 +18,36 @@ def ingest(spark: SparkSession, source: str, to: str, checkpoint: str, script: s
     Ids already seen in this or earlier runs are dropped by the stream's state. With a budget of characters,
     what comes once the table holds that many is read but not written; the batch that crosses it is written whole.
     """
+    # The ids seen grow with the source, so they are kept on disk.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
     rows = rows.filter(cheap_reason(F.col("text"), script, cfg) == "ok")
     rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.substring(content_hash(F.col("text")), 1, 20))).dropDuplicates(["doc_id"])
 
     def write(batch: DataFrame, number: int) -> None:
-        if budget is not None and held(batch.sparkSession, to) >= budget:
+        if budget is not None and held(batch.sparkSession, to, number) >= budget:
             # The batch must be read for the stream's state to be kept.
             batch.write.format("noop").mode("overwrite").save()
             return
-        # A batch that runs again after a failure replaces its own folder.
+        # A batch that runs again after a failure replaces its own folder, and its own sum.
         batch.write.mode("overwrite").parquet(f"{to}/batch={number}")
+        own = batch.sparkSession.read.parquet(f"{to}/batch={number}").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars"))
+        own.coalesce(1).write.mode("overwrite").parquet(f"{to}_held/batch={number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def held(spark: SparkSession, to: str) -> int:
-    """Characters in the table so far."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+def held(spark: SparkSession, to: str, before: int | None = None) -> int:
+    """Characters in the table so far (of batches before a number), from the one-row sums that batches leave beside it."""
+    if not exists(spark, f"{to}_held"):
         return 0
-    return spark.read.parquet(to).agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).head()[0]
+    sums = spark.read.parquet(f"{to}_held")
+    return (sums if before is None else sums.filter(F.col("batch") < before)).agg(F.coalesce(F.sum("n_chars"), F.lit(0))).head()[0]
+
+
+def run_until(query: StreamingQuery, hours: float) -> bool:
+    """Wait for a stream, but not longer than so; whether it ended by itself. What is left is taken up by the next run."""
+    ended = query.awaitTermination(int(hours * 3600))
+    if not ended:
+        query.stop()
+    return bool(ended)

@@ -302,6 +302,16 @@ def test_elbow(spark):
     assert tokens.scaling_law_vocab(15_000_000, 512) == 3311
 
 
+def test_a_forced_size_keeps_its_reason(spark):
+    rows = [("a", 1000, 2.0, False), ("b", 1000, 1.9, False), ("a", 2000, 1.5, True)]
+    df = spark.createDataFrame(rows, "model_type string, vocab_size int, fertility double, selected boolean")
+    assert tokens.choose(df).head().vocab_size == 2000
+    forced = tokens.choose(df, 1000, "small model").head()
+    assert (forced.model_type, forced.reason) == ("b", "forced: small model")
+    with pytest.raises(ValueError, match="swept"):
+        tokens.choose(df, 3000)
+
+
 def test_frequency_measures(spark):
     df = spark.createDataFrame([("a a a b b c",)], "text string")
     freq = tokens.frequency(df)
@@ -365,6 +375,11 @@ def test_sources(spark, tmp_path):
     assert [r.value for r in records.read_archives(spark, str(tmp_path / "z")).collect()] == ['{"text": "x"}', '{"text": "y"}', "line"]
     assert [r.key for r in records.resolve_sources(spark, None, [{"key": "b", "priority": 2, "path": "p"}, {"key": "a", "priority": 1, "path": "q"}]).collect()] == ["a", "b"]
     assert pick(None, 0, 3) == 0
+    found = {Path(r.path).name: r.n_bytes for r in records.discover(spark, str(tmp_path)).collect()}
+    assert set(found) == {"b.jsonl", "manual_x.jsonl.gz", "a.zip"} and found["a.zip"] == len(data.getvalue())
+    assert records.folder_bytes(spark, str(tmp_path / "z")) == len(data.getvalue()) and records.folder_bytes(spark, str(tmp_path / "no")) == 0
+    blobs = spark.createDataFrame([(gzip.compress(b"abc"),), (b"abc",), (None,)], "b binary")
+    assert [r[0] and bytes(r[0]) for r in blobs.select(records.gunzipped(F.col("b"))).collect()] == [b"abc", b"abc", None]
 
 
 def test_sinks(spark, tmp_path):

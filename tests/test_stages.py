@@ -12,7 +12,7 @@ from corpusloom.plans.stages import Corpus, resolve, run
 def test_stages(spark, sf, tmp_path):
     c = Corpus(spark, f"file://{tmp_path}/c", f"{sf}/documents.parquet", target=1000)
     took = run(c, ["every"])
-    assert list(took) == ["ingest", "build", "count", "verify", "audit", "report"]
+    assert list(took) == ["ingest", "build", "rebuild", "count", "verify", "audit", "report"]
     splits = c.read("splits")
     assert splits.count() == c.read("clean").count() > 0 and {r.split for r in splits.select("split").distinct().collect()} <= {"train", "val", "test"}
     text = "\n".join(r.value for r in spark.read.text(c.at("report")).collect())
