@@ -174,11 +174,16 @@ def distil(labelled: DataFrame, docs: DataFrame, least: int = 200, vocabulary: i
     model = LinearRegression(regParam=alpha / max(1, fitted.count()), elasticNetParam=0.0, standardization=False, solver="l-bfgs", maxIter=50).fit(fitted)
     held = model.transform(rows.filter("part = 'test'"))
     mae = RegressionEvaluator(metricName="mae").evaluate(held)
-    r = held.select(F.corr("prediction", "label")).head()[0]
+    r = held.agg(pearson(F.col("prediction"), F.col("label"))).head()[0]
     scored = model.transform(unit.transform(idf.transform(vectors(docs.select("doc_id", "text"), "all"))))
     return scored.select("doc_id", F.round("prediction", 3).alias("quality_score")), {"mae": mae, "pearson_r": r, "labels": n}
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """The correlation of two columns; null where one of them doesn't vary (as few held-out labels may not)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def apply_threshold(docs: DataFrame, scores: DataFrame, least: float = 2.5) -> DataFrame:
     """docs with quality_score that reach the threshold; those without a score stay."""
     return docs.join(scores.select("doc_id", "quality_score"), "doc_id", "left").filter(F.coalesce(F.col("quality_score") >= least, F.lit(True)))

@@ -574,7 +574,7 @@ def threshold_apply(spark, sf):
 @query("SELECT round(avg(abs(score / 5 - quality)), 6) AS mae, round(corr(score / 5, quality), 6) AS r FROM score JOIN labels USING (doc_id)")
 def held_out_fit(spark, sf):
     rows = scored(spark, sf).select("doc_id", (F.col("score") / 5).alias("p")).join(table(spark, sf, "labels"), "doc_id")
-    return rows.agg(F.round(F.avg(F.abs(F.col("p") - F.col("quality"))), 6).alias("mae"), F.round(F.corr("p", F.col("quality").cast("double")), 6).alias("r"))
+    return rows.agg(F.round(F.avg(F.abs(F.col("p") - F.col("quality"))), 6).alias("mae"), F.round(scoring.pearson(F.col("p"), F.col("quality").cast("double")), 6).alias("r"))
 
 
 @query("SELECT doc_id, CAST(nullif(regexp_extract(text, '[0-5]'), '') AS DOUBLE) AS rating FROM documents")

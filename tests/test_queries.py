@@ -10,8 +10,6 @@ import pytest
 
 from corpusloom import queries as core
 
-SLOW = {"distil_ridge"}
-
 
 def plain(v):
     if isinstance(v, float):
@@ -37,7 +35,7 @@ def test_same_rows(spark, sf, con, name):
     assert sorted(rows, key=repr) == sorted((tuple(map(plain, r)) for r in want.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", [n for n in core.QUERIES if n not in core.ORACLE and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in core.QUERIES if n not in core.ORACLE])
 def test_rows_only(spark, sf, name):
     if name.startswith(("token_count", "piece_")):
         pytest.importorskip("public_tokenizers")
