@@ -18,7 +18,7 @@ def with_options(default, args: argparse.Namespace, given: dict):
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="corpusloom", description=__doc__)
-    parser.add_argument("stages", nargs="+", help="ingest, build, rebuild (budget and split from an earlier build's documents), count, verify, audit, report, all or every")
+    parser.add_argument("stages", nargs="+", help="existing, ingest, build, rebuild (budget and split from an earlier build's documents), score, apply, count, tokenizers, verify, audit, plan, report, all or every")
     parser.add_argument("--raw", required=True)
     parser.add_argument("--root", required=True)
     parser.add_argument("--config", help="YAML with gates, budget and ingest values")
@@ -28,6 +28,18 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--dry-run", action="store_true")
     parser.add_argument("--seed", type=int)
     parser.add_argument("--target", type=int, default=500_000_000)
+    parser.add_argument("--strided", action="store_true", help="ingest windows over each source up to its share of characters")
+    parser.add_argument("--existing", help="folder of JSON lines to take in")
+    parser.add_argument("--provenance", choices=("manual", "downloaded"), default="downloaded")
+    parser.add_argument("--justification", help="why existing files count as manual")
+    parser.add_argument("--labels", help="table of ratings (doc_id, score) to distil")
+    parser.add_argument("--min-score", type=float, default=2.5)
+    parser.add_argument("--models", nargs="*", default=[], help="SentencePiece model files to measure")
+    parser.add_argument("--force-size", type=int)
+    parser.add_argument("--force-reason")
+    parser.add_argument("--sample-split", choices=("train", "val", "test"), default="test")
+    parser.add_argument("--sample", type=int, default=20_000)
+    parser.add_argument("--other", help="corpus folder of another language, for verify")
     for kind in (GateConfig, BudgetConfig, IngestConfig):
         for f in dataclasses.fields(kind):
             option = f"--{f.name.replace('_', '-')}"
@@ -49,7 +61,8 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from pyspark.sql import SparkSession
 
-    corpus = Corpus(SparkSession.builder.getOrCreate(), args.root, args.raw, config, ingest, target=args.target, min_manual_fraction=budget.min_manual_fraction)
+    given = {n: getattr(args, n) for n in ("target", "strided", "existing", "provenance", "justification", "labels", "min_score", "force_size", "force_reason", "sample_split", "sample", "other")}
+    corpus = Corpus(SparkSession.builder.getOrCreate(), args.root, args.raw, config, ingest, min_manual_fraction=budget.min_manual_fraction, models=tuple(args.models), **given)
     for name, seconds in run(corpus, args.stages).items():
         print(f"{name}: {seconds:.1f} s")
     return 0 if corpus.passed else 1

@@ -12,7 +12,7 @@ from corpusloom.plans.stages import Corpus, resolve, run
 def test_stages(spark, sf, tmp_path):
     c = Corpus(spark, f"file://{tmp_path}/c", f"{sf}/documents.parquet", target=1000)
     took = run(c, ["every"])
-    assert list(took) == ["ingest", "build", "rebuild", "count", "verify", "audit", "report"]
+    assert list(took) == ["existing", "ingest", "build", "rebuild", "score", "apply", "count", "tokenizers", "verify", "audit", "plan", "report"]
     splits = c.read("splits")
     assert splits.count() == c.read("clean").count() > 0 and {r.split for r in splits.select("split").distinct().collect()} <= {"train", "val", "test"}
     text = "\n".join(r.value for r in spark.read.text(c.at("report")).collect())
@@ -22,6 +22,47 @@ def test_stages(spark, sf, tmp_path):
     assert c.read("stats/checks").count() == 4
 
 
+def test_optional_inputs(spark, sf, tmp_path):
+    import public_tokenizers
+
+    (tmp_path / "files" / "deep").mkdir(parents=True)
+    prose = [" ".join(f"word{(i * 7 + j * j) % 97} and then the people of place{j} said it was well" for j in range(40)) for i in range(3)]
+    lines = [f'{{"content": "{p}", "language": "en", "source": "own{i}"}}' for i, p in enumerate(prose)] + ["no json", '["list"]', '{"text": "short"}']
+    (tmp_path / "files" / "deep" / "oscar-part.jsonl").write_text("\n".join(lines))
+    c = Corpus(spark, f"file://{tmp_path}/c", f"{sf}/documents.parquet", existing=f"file://{tmp_path}/files", provenance="manual", models=(public_tokenizers.path("piece_bpe_32k.model"),), sample_split="train", sample=50, strided=True)
+    with pytest.raises(ValueError, match="justification"):
+        run(c, ["existing"])
+    c.justification = "typed by hand"
+    with pytest.warns(UserWarning, match="public corpora"):
+        run(c, ["existing"])
+    assert {r.justification for r in c.read("existing").collect()} == {"typed by hand"} and c.read("existing").count() == 3
+    assert {r.reason: r.documents for r in c.read("stats/existing").filter("source = 'oscar'").collect()}.keys() >= {"bad_json", "not_object"}
+    c.provenance, c.justification = "downloaded", None
+    run(c, ["existing", "ingest", "build", "tokenizers", "report"])
+    one = c.read("stats/tokenizer").head()
+    assert one.vocab_size == 32_000 and one.reason == "elbow" and one.documents > 0 and c.read("stats/pieces").count() == 50
+    run(c, ["score", "apply"])
+    assert c.read("scores").count() == c.read("clean").count() and c.read("filtered").count() <= c.read("splits").count()
+    labels = c.read("clean").selectExpr("doc_id", "CAST(length(text) % 6 AS DOUBLE) AS score")
+    labels.write.parquet(f"file://{tmp_path}/labels")
+    c.labels = f"file://{tmp_path}/labels"
+    if labels.count() >= 200:
+        run(c, ["score"])
+        assert c.read("stats/distilled").head().labels == labels.count()
+
+
+def test_strided_ingest(spark, sf, tmp_path):
+    from corpusloom.config import IngestConfig
+
+    small = IngestConfig(windows=2, target_tokens=500, overcollect=1.0)
+    whole, part = (Corpus(spark, f"file://{tmp_path}/{n}", f"{sf}/documents.parquet", ingest=small, strided=n == "part") for n in ("whole", "part"))
+    for c in (whole, part):
+        run(c, ["ingest"])
+    kept = part.read("raw")
+    assert 0 < kept.count() < whole.read("raw").count()
+    assert kept.join(whole.read("raw"), "doc_id", "left_anti").isEmpty()
+
+
 def test_command_line(tmp_path, capsys, spark, sf):
     assert main(["--raw", "x", "--root", "y", "--dry-run", "--min-chars", "10", "all"]) == 0
     assert capsys.readouterr().out.split() == ["ingest", "build", "count", "verify", "report"]
