@@ -33,6 +33,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--provenance", choices=("manual", "downloaded"), default="downloaded")
     parser.add_argument("--justification", help="why existing files count as manual")
     parser.add_argument("--labels", help="table of ratings (doc_id, score) to distil")
+    parser.add_argument("--least-labels", type=int, default=200)
     parser.add_argument("--min-score", type=float, default=2.5)
     parser.add_argument("--models", nargs="*", default=[], help="SentencePiece model files to measure")
     parser.add_argument("--force-size", type=int)
@@ -61,7 +62,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from pyspark.sql import SparkSession
 
-    given = {n: getattr(args, n) for n in ("target", "strided", "existing", "provenance", "justification", "labels", "min_score", "force_size", "force_reason", "sample_split", "sample", "other")}
+    given = {n: getattr(args, n) for n in ("target", "strided", "existing", "provenance", "justification", "labels", "least_labels", "min_score", "force_size", "force_reason", "sample_split", "sample", "other")}
     corpus = Corpus(SparkSession.builder.getOrCreate(), args.root, args.raw, config, ingest, min_manual_fraction=budget.min_manual_fraction, models=tuple(args.models), **given)
     for name, seconds in run(corpus, args.stages).items():
         print(f"{name}: {seconds:.1f} s")

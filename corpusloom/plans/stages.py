@@ -39,8 +39,9 @@ class Corpus:
     existing: str | None = None
     provenance: str = "downloaded"
     justification: str | None = None
-    #: A table of ratings (doc_id, score) to distil, and the least score that stays.
+    #: A table of ratings (doc_id, score) to distil, how many it must have, and the least score that stays.
     labels: str | None = None
+    least_labels: int = 200
     min_score: float = 2.5
     #: SentencePiece model files to measure, a vocabulary size to force and why, and the documents they are measured on.
     models: tuple[str, ...] = ()
@@ -124,7 +125,7 @@ def score(c: Corpus) -> None:
     rows = c.read("clean")
     if c.labels is not None:
         labels = c.spark.read.parquet(c.labels).select(F.col("doc_id").cast(dict(rows.dtypes)["doc_id"]).alias("doc_id"), "score").filter("score IS NOT NULL")
-        scores, measured = scoring.distil(rows.select("doc_id", "text").join(labels, "doc_id"), rows)
+        scores, measured = scoring.distil(rows.select("doc_id", "text").join(labels, "doc_id"), rows, least=c.least_labels)
         scores.write.mode("overwrite").parquet(c.at("scores"))
         c.spark.createDataFrame([(float(measured["mae"]), measured["pearson_r"], int(measured["labels"]))], "mae double, pearson_r double, labels long").write.mode("overwrite").parquet(c.at("stats/distilled"))
     else:
