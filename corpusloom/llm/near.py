@@ -1,11 +1,17 @@
-"""Near duplicates by the Jaccard similarity of five-word shingle sets.
-
-Two texts link when their sets have a similarity of at least 0.8. MinHash bands propose, the sets decide: of
-40 bands of 6 minima, a pair at 0.8 shares one but for a chance of 5 in a million. (64 bits of SimHash would
-not do: at 0.8 about 10 of them differ.) Texts that bands join, directly or through others, are one group;
-in each group every pair is compared that isn't joined by links already, so a group of near copies takes one
-comparison a text. Groups beyond `BLOCK` texts or `BLOCK_BYTES` are cut into blocks and searched by pairs
-of blocks.
+"""Near duplicates by Golay-code fuzzy hashing of five-word shingles, decided by their Jaccard similarity.
+
+Two texts link when their shingle sets have a similarity of at least 0.8. As in `simhash`, a fingerprint is the
+bitwise majority of shingle hashes, and codewords of the binary Golay code are its keys; but at 0.8 some 15 % of
+the bits differ, too many for the codewords within a bit or two. So there are 192 bits, of which 7 segments of 23
+are decoded by the counts behind the bits (a bit that nearly tied says little): the keys of a segment are the 4
+codewords that agree best with its counts. A pair at 0.8 shares one of the 4 with a chance of 0.85, so it shares
+none in 7 segments with one of 2 in a million. A key also holds a class of set sizes, which similar sets share.
+
+Equal keys propose, the distance of whole fingerprints thins out (at most `FAR` bits; at 0.8 they differ in 29, by
+chance in 96), and the sets decide. Texts that proposals join, directly or through others, are one group; in each
+group every pair is compared that isn't joined by links already, so a group of near copies takes one comparison
+a text. Buckets and groups beyond `BLOCK` texts (groups also beyond `BLOCK_BYTES`) are cut into blocks and
+searched by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -18,17 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import BROADCAST_ROWS, Scratch, components, hot_keys, keyed_join, lean, slices
-from corpusloom.llm.simhash import identified
+from corpusloom.llm.simhash import codewords, identified
+from corpusloom.llm.substring import mix
 
 SHINGLE, SEED = 5, 42
 #: The least similarity, as a fraction.
 LEAST = (4, 5)
-BANDS, ROWS = 40, 6
+#: 64-bit words of a fingerprint; segments of 23 bits and codewords of each; the most bits in which proposals differ.
+WORDS, SEGMENTS, CODEWORDS, FAR = 3, 7, 4, 60
+#: Set sizes are classed by two grids of this width (of logarithms) that lie half of it apart, so sets of a ratio up to 1.26 share a class.
+SIZE_CLASS = 2 * np.log(1.26)
 BLOCK, BLOCK_BYTES = 2048, 16 << 20
 
-_random = np.random.default_rng(SEED)
-FACTORS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
-OFFSETS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+SALTS = np.random.default_rng(SEED).integers(0, 1 << 64, WORDS, np.uint64)
+LANES, EACH = np.arange(8, dtype=np.uint64), np.uint64(0x0101010101010101)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -44,14 +53,40 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)], np.uint64))
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """A signed key for each band of the minima of shingle hashes."""
-    from xxhash import xxh64_intdigest
-
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(found), 256):
-        least = np.minimum(least, (found[at : at + 256, None] * FACTORS + OFFSETS).min(axis=0))
-    return np.array([xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+def margins(found: np.ndarray) -> np.ndarray:
+    """For each bit of the fingerprint, in how many more shingle hashes it is 1 than 0."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(found), 255):
+        # Each byte of a lane counts one bit, so 255 hashes at a time.
+        words = mix(found[at : at + 255, None] ^ SALTS)
+        ones += (words[:, :, None] >> LANES & EACH).sum(axis=0, dtype=np.uint64).astype("<u8").view(np.uint8).reshape(WORDS, 8, 8).transpose(0, 2, 1).reshape(-1)
+    return 2 * ones - len(found)
+
+
+def _sums(part: np.ndarray) -> np.ndarray:
+    """Of each row of k numbers its 2**k sums: at each place, those at the place's 1 bits less the others."""
+    out = np.zeros((len(part), 1), np.int32)
+    for k in range(part.shape[1]):
+        out = np.concatenate([out - part[:, k, None], out + part[:, k, None]], axis=1)
+    return out
+
+
+def golay_keys(margin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The keys of each row of margins, of sets of these sizes: of size class, segment and codeword."""
+    near, rest = [], (codewords() & 2047).astype(np.intp)
+    for at in range(0, len(margin), 16):
+        part = margin[at : at + 16, : 23 * SEGMENTS].astype(np.int32).reshape(-1, 23)
+        # How well each codeword agrees: its 12 data bits and its 11 others.
+        part = _sums(part[:, 11:]) + _sums(part[:, :11]).take(rest, axis=1)
+        best = np.empty((len(part), CODEWORDS), np.int32)
+        for k in range(CODEWORDS):
+            best[:, k] = part.argmax(axis=1)
+            part[np.arange(len(part)), best[:, k]] = np.iinfo(np.int32).min
+        near.append(best.reshape(-1, SEGMENTS, CODEWORDS))
+    word = np.concatenate(near) | (np.arange(SEGMENTS, dtype=np.int32) << 12)[:, None]
+    place = np.log(size) / SIZE_CLASS
+    classes = np.stack([2 * np.floor(place), 2 * np.floor(place + 0.5) + 1], axis=1).astype(np.int32)
+    return (classes[:, :, None] << 15 | word.reshape(len(word), 1, -1)).reshape(len(word), -1)
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -66,15 +101,65 @@ def _node(found: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash (xxhash64), node (a hash of the set) and keys of every row of docs (doc_id, text)."""
+    """doc_id, text_hash (xxhash64), node (a hash of the set), bits (the fingerprint) and keys of every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = [shingles(t) for t in batch.column("text").to_pylist()]
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([band_keys(x) for x in found])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(map(_node, found), pa.int64()), keys], names=["doc_id", "text_hash", "node", "keys"])
+            margin = np.array([margins(x) for x in found])
+            bits = np.packbits(margin > 0, axis=1, bitorder="little").view("<i8")
+            keys = golay_keys(margin, np.array([len(x) for x in found]))
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1))) for x in (bits, keys)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(map(_node, found), pa.int64()), *lists], names=["doc_id", "text_hash", "node", "bits", "keys"])
+
+    return _hashed(docs).mapInArrow(lean(run), "doc_id long, text_hash long, node long, bits array<long>, keys array<int>")
+
+
+def proposals(key: np.ndarray, node: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join all nodes that pairs of rows of one key, with fingerprints at most FAR apart, join; key is sorted."""
+    known, at = np.unique(node, return_inverse=True)
+    label, left, right = np.arange(len(known)), [node[:0]], [node[:0]]
+    rows, step = np.arange(len(key)), 0
+    while True:
+        # Each row and the one `step` further on, while that has its key.
+        step += 1
+        rows = rows[: np.searchsorted(rows, len(key) - step)]
+        rows = rows[key[rows + step] == key[rows]]
+        if not len(rows):
+            return np.concatenate(left), np.concatenate(right)
+        new = rows[label[at[rows]] != label[at[rows + step]]]
+        new = new[np.bitwise_count(bits[new] ^ bits[new + step]).sum(axis=1) <= FAR]
+        if not len(new):
+            continue
+        a, b = label[at[new]], label[at[new + step]]
+        _, once = np.unique(np.minimum(a, b) * len(known) + np.maximum(a, b), return_index=True)
+        left.append(node[new[once]])
+        right.append(node[new[once] + step])
+        while (a != b).any():
+            above = np.arange(len(known))
+            np.minimum.at(above, np.maximum(a, b), np.minimum(a, b))
+            while (above != above[above]).any():
+                above = above[above]
+            label, a, b = above[label], above[a], above[b]
 
-    return _hashed(docs).mapInArrow(lean(run), "doc_id long, text_hash long, node long, keys array<long>")
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, bits) sorted by key, each key's at most two blocks: edges of proposals."""
+    key, node, bits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64)
+
+    def found(n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in proposals(key[:n], node[:n], bits[:n])], names=["a", "b"])
+
+    for batch in batches:
+        key = np.concatenate([key, batch.column("key").to_numpy()])
+        node = np.concatenate([node, batch.column("node").to_numpy()])
+        bits = np.concatenate([bits, np.stack([batch.column(f"bits{k}").to_numpy().view(np.uint64) for k in range(WORDS)], axis=1)])
+        if len(key):
+            # The last key may go on in the next batch.
+            last = int(np.searchsorted(key, key[-1]))
+            yield found(last)
+            key, node, bits = key[last:], node[last:], bits[last:]
+    yield found(len(key))
 
 
 def sets(docs: DataFrame, picks: DataFrame) -> DataFrame:
@@ -132,15 +217,24 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield found()
 
 
+def proposed(scratch: Scratch, distinct: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that join the nodes of distinct (node, bits, keys) just as all proposals do."""
+    keyed = distinct.select(F.explode(F.col("keys").cast("array<long>")).alias("key"), "node", *(F.col("bits")[k].alias(f"bits{k}") for k in range(WORDS)))
+    sizes = scratch.table(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block), "large-keys")
+    searched = keyed
+    if n := sizes.count():
+        sizes = F.broadcast(sizes) if n <= 100_000 else sizes
+        marked = keyed.join(sizes, "key", "left")
+        blocks = F.ceil(F.col("n") / block).cast("long")
+        pairs = marked.filter("n IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        pairs = pairs.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+        searched = marked.filter("n IS NULL").select(keyed.columns).union(pairs.select(keyed.columns))
+    return searched.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_buckets), "a long, b long")
+
+
 def links(scratch: Scratch, docs: DataFrame, distinct: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Edges (a, b) that connect the sets of docs, with their signatures distinct (node, pick, keys), just as all links between those that bands join do."""
-    keyed = scratch.table(distinct.select("node", F.explode("keys").alias("key")), "keyed")
-    # Each band key joins its nodes to the smallest of them.
-    firsts = scratch.table(keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1"), "firsts")
-    hot = hot_keys(firsts.select("key", "n"), keyed.count(), scratch, "hot-bands")
-    stars = keyed_join(keyed, firsts.select("key", "first"), "key", hot).filter("node <> first")
-    joined = components(scratch, stars.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "groups")
-    scratch.drop("keyed")
+    """Edges (a, b) that connect the sets of docs, with their signatures distinct (node, pick, bits, keys), just as all links between those that proposals join do."""
+    joined = components(scratch, proposed(scratch, distinct, block).distinct(), "groups")
     # Sets are made again for the texts in groups, a few of all: one text a set, and copies are combined before the shuffle.
     picks = distinct.join(joined, "node").select("pick", "component")
     member = sets(docs, scratch.table(picks, "picks")).groupBy("node").agg(F.first("component").alias("component"), F.first("set").alias("set"))
@@ -158,8 +252,8 @@ def links(scratch: Scratch, docs: DataFrame, distinct: DataFrame, block: int = B
 
 
 def distinct_sets(rows: DataFrame) -> DataFrame:
-    """node, first_id, n (rows), pick (a text_hash) and keys of each set among signatures."""
-    return rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.min("text_hash").alias("pick"), F.first("keys").alias("keys"))
+    """node, first_id, n (rows), pick (a text_hash), bits and keys of each set among signatures."""
+    return rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.min("text_hash").alias("pick"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
 
 
 def jaccard_duplicates(docs: DataFrame) -> DataFrame:
@@ -175,4 +269,4 @@ def jaccard_duplicates(docs: DataFrame) -> DataFrame:
     info = scratch.table(identified(scratch, distinct, links(scratch, docs, distinct), "node"), "info")
     scratch.drop("members")
     hot = hot_keys(distinct.select("node", "n"), rows.count(), scratch, "hot")
-    return keyed_join(rows.drop("keys"), info, "node", hot).select("doc_id", "text_hash", "component_id")
+    return keyed_join(rows.drop("bits", "keys"), info, "node", hot).select("doc_id", "text_hash", "component_id")

@@ -62,13 +62,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 @functools.cache
-def decoder() -> np.ndarray:
-    """For each 23-bit word the 12 data bits of the codeword within 3 bits of it (perfect Golay code, generator 0xC75)."""
+def codewords() -> np.ndarray:
+    """The 4096 codewords of the perfect Golay code (generator 0xC75), by their 12 data bits."""
     data = np.arange(1 << 12, dtype=np.uint32)
     rest = data << 11
     for k in range(22, 10, -1):
         rest = np.where(rest >> k & 1, rest ^ np.uint32(0xC75 << (k - 11)), rest)
-    words = data << 11 | rest
+    return data << 11 | rest
+
+
+@functools.cache
+def decoder() -> np.ndarray:
+    """For each 23-bit word the 12 data bits of the codeword within 3 bits of it."""
+    words, data = codewords(), np.arange(1 << 12, dtype=np.uint32)
     table = np.zeros(1 << 23, np.uint16)
     one = 1 << np.arange(23, dtype=np.uint32)
     errors = [np.uint32(0), *one, *(one[i] | one[j] for i in range(23) for j in range(i)), *(one[i] | one[j] | one[k] for i in range(23) for j in range(i) for k in range(j))]

@@ -691,3 +691,47 @@ def test_near_dedup_of_the_pipeline_reaches_a_similarity_of_0_8(spark, docs, non
     by = {(r.doc_id, r.text_hash): r.component_id for r in got}
     assert len(got) == len(TEXTS) and Counter(by.values())[2] == 4 and {c for (d, _), c in by.items() if d in (7, 8)} == {7}
     assert {c for (d, _), c in by.items() if d in (9, 13)} == {9} and jaccard_duplicates(none).collect() == []
+
+
+def test_near_dedup_proposes_by_golay_codewords():
+    from corpusloom.llm import near
+    from corpusloom.llm.simhash import codewords, decoder
+
+    words = codewords()
+    assert (decoder()[words] == np.arange(4096)).all() and min(np.bitwise_count(words[1:] ^ words[0])) == 7
+    rng = np.random.default_rng(5)
+    # Pairs of sets at a similarity of 0.8, small and large, share a key and are near enough; others hardly ever.
+    for first, second, shared, most in ((1, 1, 1, 0), (4, 5, 4, 0), (9, 9, 8, 0), (80, 100, 80, 0), (700, 700, 623, 0), (90, 90, 10, 2)):
+        missed = 0
+        for _ in range(60):
+            x = rng.integers(0, 1 << 64, first + second - shared, np.uint64)
+            margin = np.array([near.margins(x[:first]), near.margins(x[first - shared :])])
+            a, b = near.golay_keys(margin, np.array([first, second]))
+            assert len(set(a.tolist())) == len(a) == 2 * near.SEGMENTS * near.CODEWORDS
+            missed += bool(set(a.tolist()) & set(b.tolist())) and np.count_nonzero((margin[0] > 0) != (margin[1] > 0)) <= near.FAR
+        assert missed <= most if shared < first / 2 else missed == 60
+    # The counts are those of the bits, and the codewords of a segment those that agree best with its counts.
+    x = rng.integers(0, 1 << 64, 700, np.uint64)
+    bits = near.mix(x[:, None] ^ near.SALTS)[:, :, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)
+    margin = near.margins(x)
+    assert (margin == 2 * bits.sum(axis=0).reshape(-1).astype(int) - 700).all()
+    keys = near.golay_keys(margin[None], np.array([700]))[0]
+    for segment in range(near.SEGMENTS):
+        part = margin[23 * segment : 23 * segment + 23]
+        score = [sum(int(m) if w >> k & 1 else -int(m) for k, m in enumerate(part)) for w in words.tolist()]
+        own = {int(k) & 4095 for k in keys if int(k) >> 12 & 7 == segment}
+        assert sorted(score[c] for c in own) == sorted(score)[-near.CODEWORDS :]
+    # Proposals join what all pairs of a key would.
+    n, near_by = 1500, rng.integers(0, 1 << 64, (700, near.WORDS), np.uint64)
+    near_by[::7], near_by[1::11] = near_by[0], near_by[1]
+    key, node = np.sort(rng.integers(0, 100, n)), rng.integers(0, 700, n)
+
+    def groups(edges):
+        label = np.arange(700)
+        for a, b in edges:
+            label[label == label[a]] = label[b]
+        return {frozenset(np.nonzero(label == v)[0].tolist()) for v in label.tolist()}
+
+    pairs = [(node[i], node[j]) for i in range(n) for j in range(i) if key[i] == key[j] and np.bitwise_count(near_by[node[i]] ^ near_by[node[j]]).sum() <= near.FAR]
+    found = list(zip(*near.proposals(key, node, near_by[node]), strict=True))
+    assert groups(found) == groups(pairs) and len(found) < len(pairs)
