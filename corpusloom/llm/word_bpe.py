@@ -15,6 +15,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 class WordEncoder:
@@ -46,8 +48,8 @@ class WordEncoder:
     def _ids(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """The ids of words of letters only: many in one text, parted by a mark whose id none of them has. Less work than a text for each."""
+    def _together(self, words: list[str]) -> list[bytes]:
+        """The ids of words without the mark `|`: many in one text, parted by that mark. Less work than a text for each."""
         out: list[bytes] = []
         width, groups = self.dtype.itemsize, [words[i : i + 200] for i in range(0, len(words), 200)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" | ".join(g) for g in groups], add_special_tokens=False), strict=True):
@@ -76,32 +78,41 @@ class WordEncoder:
                 young[w] = ids
         plain.extend({w for w in stems if w not in young}.difference(plain))
         texts = [w.decode() for w in plain]
-        letters = [t for t in texts if t.isalpha()]
-        others = [t for t in texts if not t.isalpha()]
-        young.update(zip(map(str.encode, letters), self._letters(letters), strict=True))
+        many = [t for t in texts if "|" not in t]
+        others = [t for t in texts if "|" in t]
+        young.update(zip(map(str.encode, many), self._together(many), strict=True))
         young.update(zip(map(str.encode, others), self._ids(others), strict=True))
         for w in tailed:
             young[w] = young[w[:-1]] + self.ends[w[-1]]
 
-    def _split(self, text: str) -> list[bytes]:
-        """The words, with ASCII letters lowered as the file's normaliser does, but for words set apart."""
-        # bytes.lower() and bytes.split() know ASCII only.
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word."""
+        if missing := set(words).difference(self.young):
+            self._learn(missing)
+        return list(map(self.young.__getitem__, words))
+
+    def _apart(self, text: str) -> bytes:
+        """The ids of a text some of whose words are set apart, and not lowered as the file's normaliser does."""
         data = text.encode()
-        lowered = data.lower()
-        words = lowered.split()
-        if any(s in lowered for s in self.strings) or (not text.isascii() and self.apart(data)):
-            return [a if a == b or not self.apart(b) else b for a, b in zip(words, data.split(), strict=True)]
-        return words
+        return b"".join(self._known([a if a == b or not self.apart(b) else b for a, b in zip(data.lower().split(), data.split(), strict=True)]))
 
     def encode(self, texts: list[str | None], end: int | None = None) -> list[bytes]:
         """The ids of each text, followed by `end` if given."""
-        split = [self._split(t or "") for t in texts]
         if len(self.young) > self.words:
             self.old, self.young = self.young, {}
-        if missing := {w for words in split for w in words}.difference(self.young):
-            self._learn(missing)
-        tail, of = b"" if end is None else np.array([end], dtype=self.dtype).tobytes(), self.young.__getitem__
-        return [b"".join(map(of, words)) + tail for words in split]
+        tail = b"" if end is None else np.array([end], dtype=self.dtype).tobytes()
+        whole = pc.fill_null(pa.array(texts, pa.string()), "")
+        lowered = pc.ascii_lower(whole)
+        apart = pc.match_substring_regex(whole, "[A-Z][^\\x00-\\x7f]")
+        for s in self.strings:
+            apart = pc.or_(apart, pc.match_substring(lowered, s.decode()))
+        # Words of a batch are looked up once each. Next to white space at its ends a text has an empty word, which has no ids.
+        split = pc.ascii_split_whitespace(pc.if_else(apart, "", lowered))
+        words = split.flatten().dictionary_encode()
+        ids = pa.array(self._known(words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(words.indices)
+        begin, data = np.frombuffer(ids.buffers()[1], "<i8", len(ids) + 1, 8 * ids.offset), memoryview(ids.buffers()[2] or b"")
+        cuts = begin[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [(self._apart(t) if other else bytes(data[a:b])) + tail for t, other, a, b in zip(texts, apart.to_pylist(), cuts[:-1], cuts[1:], strict=True)]
 
 
 @functools.cache

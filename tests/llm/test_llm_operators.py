@@ -102,6 +102,32 @@ def test_words_have_the_ids_of_an_untouched_tokenizer():
             assert np.frombuffer(ids[0], kind).tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 7], text
 
 
+def test_words_of_a_batch_are_encoded_together():
+    from corpusloom.llm.word_bpe import WordEncoder
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), WordEncoder(path, words=500, special=True)
+    rng = np.random.default_rng(9)
+    letters = [*"abYZ09-'.|éß̌漢", "\x1c", " ", " ", "  ", "\n", "\t\v", "\f\r", "<|endoftext|>"]
+    for _ in range(20):
+        texts = ["".join(rng.choice(letters, 40)) for _ in range(100)] + [None, "", " ", " a ", "a"]
+        for text, ids in zip(texts, e.encode(texts, 7), strict=True):
+            assert np.frombuffer(ids, e.dtype).tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 7], text
+    assert e.encode([]) == [] and e.encode([None]) == [b""]
+
+    class Counted:
+        asked = 0
+
+        def encode_batch_fast(self, words, **options):
+            self.asked += len(words)
+            return t.encode_batch_fast(words, **options)
+
+    e.tokenizer, e.young, e.old = Counted(), {}, {}
+    e.encode([f"a{i}-b é{i}" for i in range(500)])
+    assert e.tokenizer.asked <= 10
+
+
 def test_token_files(spark, docs, none, word_ids):
     from corpusloom.llm.common import Scratch
     from corpusloom.llm.token_files import read_tokens, write_tokens
