@@ -719,6 +719,27 @@ def test_near_dedup_of_the_pipeline_reaches_a_similarity_of_0_8(spark, docs, non
     assert {c for (d, _), c in by.items() if d in (9, 13)} == {9} and jaccard_duplicates(none).collect() == []
 
 
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from corpusloom.llm.common import Scratch
+    from corpusloom.scratch import CLEANUP
+
+    def files() -> set[str]:
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("|")
+        return {f for f in found.split("|") if "shuffle_" in f}
+
+    spark._jvm.System.gc()
+    time.sleep(1)
+    old, set_before = files(), spark.conf.get(CLEANUP, None)
+    table = Scratch(spark, "t").table(spark.range(1000).repartition(5).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    for _ in range(50):
+        if not files() - old:
+            break
+        time.sleep(0.1)
+    assert not files() - old and table.agg(F.sum("count")).head()[0] == 1000 and spark.conf.get(CLEANUP, None) == set_before
+
+
 def test_near_dedup_proposes_by_golay_codewords():
     from corpusloom.llm import near
     from corpusloom.llm.simhash import codewords, decoder
