@@ -116,9 +116,12 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def proposals(key: np.ndarray, node: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join all nodes that pairs of rows of one key, with fingerprints at most FAR apart, join; key is sorted."""
+    """Edges that join all nodes that pairs of rows of one key, with fingerprints at most FAR apart, join; key is sorted.
+
+    Each node is joined to the smallest it reaches, so that the many keys of a group of near copies give much the same edges.
+    """
     known, at = np.unique(node, return_inverse=True)
-    label, left, right = np.arange(len(known)), [node[:0]], [node[:0]]
+    label = np.arange(len(known))
     rows, step = np.arange(len(key)), 0
     while True:
         # Each row and the one `step` further on, while that has its key.
@@ -126,15 +129,13 @@ def proposals(key: np.ndarray, node: np.ndarray, bits: np.ndarray) -> tuple[np.n
         rows = rows[: np.searchsorted(rows, len(key) - step)]
         rows = rows[key[rows + step] == key[rows]]
         if not len(rows):
-            return np.concatenate(left), np.concatenate(right)
+            joined = label != np.arange(len(known))
+            return known[joined], known[label[joined]]
         new = rows[label[at[rows]] != label[at[rows + step]]]
         new = new[np.bitwise_count(bits[new] ^ bits[new + step]).sum(axis=1) <= FAR]
         if not len(new):
             continue
         a, b = label[at[new]], label[at[new + step]]
-        _, once = np.unique(np.minimum(a, b) * len(known) + np.maximum(a, b), return_index=True)
-        left.append(node[new[once]])
-        right.append(node[new[once] + step])
         while (a != b).any():
             above = np.arange(len(known))
             np.minimum.at(above, np.maximum(a, b), np.minimum(a, b))

@@ -782,3 +782,10 @@ def test_near_dedup_proposes_by_golay_codewords():
     pairs = [(node[i], node[j]) for i in range(n) for j in range(i) if key[i] == key[j] and np.bitwise_count(near_by[node[i]] ^ near_by[node[j]]).sum() <= near.FAR]
     found = list(zip(*near.proposals(key, node, near_by[node]), strict=True))
     assert groups(found) == groups(pairs) and len(found) < len(pairs)
+    # A group of near copies gives much the same edges under each of its keys.
+    copies = rng.integers(0, 1 << 62, 50)
+    edges = set()
+    for _ in range(40):
+        some = rng.permutation(copies)[:40]
+        edges.update(zip(*(x.tolist() for x in near.proposals(np.zeros(40, np.int64), some, np.zeros((40, near.WORDS), np.uint64))), strict=True))
+    assert len(edges) <= 6 * 50
