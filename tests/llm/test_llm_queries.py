@@ -12,7 +12,7 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 pytest.importorskip("public_tokenizers")
 
-ALL = ["op1_token_files", "op2_language_id", "op3_packing", "op4_substring_dedup", "op5_neighbours", "op6_quality", "op7_html_text", "op8_simhash", "op9_pieces", "op10_exact_dedup"]
+ALL = ["op1_token_files", "op2_language_id", "op3_packing", "op4_substring_dedup", "op5_neighbours", "op6_quality", "op7_html_text", "op8_simhash", "op9_pieces", "op10_exact_dedup", "op11_token_counts", "op12_spelling", "op13_prefix_trie"]
 
 
 def test_names():
@@ -21,7 +21,7 @@ def test_names():
     assert list(QUERIES) == ALL and set(ORACLE) <= set(ALL)
 
 
-@pytest.mark.parametrize("name", ["op4_substring_dedup", "op10_exact_dedup"])
+@pytest.mark.parametrize("name", ["op4_substring_dedup", "op10_exact_dedup", "op12_spelling", "op13_prefix_trie"])
 def test_against_sql(spark, sf, name):
     from corpusloom.llm.queries import ORACLE, QUERIES
 
