@@ -1,4 +1,4 @@
-"""Token counts and tokenizer measures. Tokens are whitespace words here, or pieces of a given model."""
+"""Token counts and tokenizer measures. Tokens are whitespace words here; `pieces` encodes with a given vocabulary."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.config import DOWNLOADED_NAMES, MANUAL_NAMES
@@ -19,49 +19,6 @@ def classify(value: Column) -> Column:
     return F.when(F.coalesce(value, F.lit("")) == "", "unlabelled").when(v.isin(*MANUAL_NAMES), "manual").when(v.isin(*DOWNLOADED_NAMES), "downloaded").otherwise(v)
 
 
-def piece_counter(model: str):
-    """A column function text -> number of pieces of a SentencePiece model file that all workers can read."""
-
-    @F.pandas_udf("long")
-    def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import sentencepiece
-
-        processor = sentencepiece.SentencePieceProcessor(model_file=model)
-        for s in parts:
-            yield pd.Series([len(ids) for ids in processor.encode(s.fillna("").tolist(), num_threads=1)], dtype="int64")
-
-    return count
-
-
-def piece_ids(model: str):
-    """A column function text -> ids of a SentencePiece model file."""
-
-    @F.pandas_udf("array<int>")
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import sentencepiece
-
-        processor = sentencepiece.SentencePieceProcessor(model_file=model)
-        for s in parts:
-            yield pd.Series(processor.encode(s.fillna("").tolist(), num_threads=1))
-
-    return encode
-
-
-def round_trips(model: str):
-    """A column function text -> whether decoding gives the text again."""
-
-    @F.pandas_udf("boolean")
-    def same(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import sentencepiece
-
-        processor = sentencepiece.SentencePieceProcessor(model_file=model)
-        for s in parts:
-            texts = s.fillna("").tolist()
-            yield pd.Series([processor.decode(processor.encode(t)) == t for t in texts])
-
-    return same
-
-
 def totals(df: DataFrame, tokens: Column, by: list[str]) -> DataFrame:
     """documents, n_tokens, n_chars, n_bytes by the given columns."""
     return df.withColumn("_n", tokens).groupBy(*by).agg(F.count("*").alias("documents"), F.sum("_n").alias("n_tokens"), F.sum(F.length("text")).alias("n_chars"), F.sum(F.octet_length("text")).alias("n_bytes"))
@@ -173,39 +130,6 @@ def training_lines(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.split("text", "\n")).alias("line")).select(F.btrim("line").alias("line")).filter("line <> ''")
 
 
-def vocabulary(spark: SparkSession, model: str) -> DataFrame:
-    """id, piece, is_byte, is_unknown of a SentencePiece model file: tens of thousands of rows, made on the driver."""
-    import sentencepiece
-
-    m = sentencepiece.SentencePieceProcessor(model_file=model)
-    rows = [(i, m.id_to_piece(i), m.is_byte(i), m.is_unknown(i)) for i in range(m.get_piece_size())]
-    return spark.createDataFrame(rows, "id int, piece string, is_byte boolean, is_unknown boolean")
-
-
-def piece_measures(df: DataFrame, ids: Column, vocab: DataFrame, by: list[str] | None = None, least: int = 1) -> DataFrame:
-    """What a model makes of texts (text): documents, tokens, fertility, characters and bytes a token, tokens a document, and the rates of unknown and byte pieces.
-
-    vocab: (id, is_byte, is_unknown); the ids of either kind, a few hundred, go into the plan. Texts without a
-    word don't count; of groups only those with enough documents.
-    """
-    marked = vocab.filter("is_byte OR is_unknown").select("id", "is_byte").collect()
-    unknown, byte = ([r.id for r in marked if r.is_byte == b] for b in (False, True))
-    rows = df.select(*(by or []), F.size(words(F.col("text"))).alias("w"), F.length("text").alias("c"), F.octet_length("text").alias("b"), ids.alias("ids")).filter("w > 0")
-    count = lambda of: F.size(F.filter("ids", lambda i: i.isin(*of))) if of else F.lit(0)
-    rows = rows.select(*(by or []), "w", "c", "b", F.size("ids").alias("t"), count(unknown).alias("u"), count(byte).alias("f"))
-    total = lambda c: F.sum(c)
-    out = rows.groupBy(*(by or [])).agg(
-        F.count("*").alias("documents"), total("t").alias("tokens"),
-        F.try_divide(total("t"), total("w")).alias("fertility"),
-        F.try_divide(total("c"), total("t")).alias("chars_per_token"),
-        F.try_divide(total("b"), total("t")).alias("bytes_per_token"),
-        F.try_divide(total("t"), F.count("*")).alias("tokens_per_document"),
-        F.try_divide(total("u"), total("t")).alias("unk_rate"),
-        F.try_divide(total("f"), total("t")).alias("byte_fallback_rate"),
-    )
-    return out.filter(F.col("documents") >= least)
-
-
 def named(freq: DataFrame, vocab: DataFrame) -> DataFrame:
     """freq (token: an id, n, ...) with each id's piece and whether it is a byte; the vocabulary is broadcast (it is bounded by the model)."""
     return freq.join(F.broadcast(vocab.select(F.col("id").alias("token"), "piece", "is_byte")), "token")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import SOURCE_MARKERS, TEXT_KEYS, BuildConfig, IngestConfig
 from corpusloom.functions.text import content_hash, words
-from corpusloom.operators import budget, scoring, stats, tokens, verify
+from corpusloom.operators import budget, pieces, scoring, stats, tokens, verify
 from corpusloom.operators.gates import cheap_reason
 from corpusloom.plans.build import build, from_clean, with_provenance
 from corpusloom.plans.report import report
@@ -150,9 +150,9 @@ def tokenizers(c: Corpus) -> None:
     rows = scratch.table(budget.sample(c.read("splits").filter(F.col("split") == c.sample_split), c.sample).select("doc_id", "provenance_class", "text"), "sample")
     measured, vocabularies = [], {}
     for m in c.models:
-        vocabularies[m] = tokens.vocabulary(c.spark, m)
+        vocabularies[m] = pieces.vocabulary(c.spark, m)
         size = vocabularies[m].count()
-        measured.append(tokens.piece_measures(rows, tokens.piece_ids(m)(F.col("text")), vocabularies[m]).select("*", F.lit(m).alias("model"), F.lit(os.path.basename(m).split("_")[0]).alias("model_type"), F.lit(size).alias("vocab_size")))
+        measured.append(pieces.piece_measures(rows, m, []).select("*", F.lit(m).alias("model"), F.lit(os.path.basename(m).split("_")[0]).alias("model_type"), F.lit(size).alias("vocab_size")))
     every = measured[0]
     for more in measured[1:]:
         every = every.unionByName(more)
@@ -161,14 +161,14 @@ def tokenizers(c: Corpus) -> None:
     chosen.write.mode("overwrite").parquet(c.at("stats/tokenizer"))
     if (best := chosen.head()) is None:
         return
-    ids, vocab = tokens.piece_ids(best.model)(F.col("text")), vocabularies[best.model]
-    freq = scratch.table(tokens.frequency(rows, ids), "freq")
+    vocab = vocabularies[best.model]
+    freq = scratch.table(pieces.piece_frequency(rows, best.model), "freq")
     tables = {
         "pieces": tokens.named(tokens.ranked(freq, 50), vocab).orderBy("rank"),
         "piece_use": tokens.vocabulary_use(freq).crossJoin(tokens.zipf_slope(freq)),
         "piece_coverage": tokens.coverage(freq),
         "piece_lengths": tokens.piece_lengths(freq, vocab),
-        "piece_classes": tokens.piece_measures(rows, ids, vocab, ["provenance_class"]),
+        "piece_classes": pieces.piece_measures(rows, best.model, ["provenance_class"]),
     }
     for name, t in tables.items():
         t.write.mode("overwrite").parquet(c.at(f"stats/{name}"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import BOILERPLATE, DENY_LINK, DENY_URL, DEVANAGARI, DOWNLOADED_METHODS, DOWNLOADED_NAMES, FETCH_HINDI, FETCH_NEPALI, HINDI, MANUAL_METHODS, MANUAL_NAMES, NEPALI, PROFILES, SEED, SOURCE_MARKERS, BudgetConfig, BuildConfig, GateConfig
 from corpusloom.functions import text as T
-from corpusloom.operators import budget, dedup, gates, scoring, stats, tokens, verify, web
+from corpusloom.operators import budget, dedup, gates, pieces, scoring, stats, tokens, verify, web
 from corpusloom.plans.build import ORDER, build, cleaned, with_provenance
 from corpusloom.scratch import Scratch
 from corpusloom.session import ship, spread
@@ -929,39 +929,40 @@ def _model() -> str:
 
 @query()
 def token_count_sp(spark, sf):
-    return tokens.totals(kept(spark, sf), tokens.piece_counter(_model())(F.col("text")), ["provenance_class"])
+    return pieces.piece_totals(kept(spark, sf), _model(), ["provenance_class"])
+
+
+def piece_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return Scratch(spark, "pieces").table(pieces.piece_frequency(kept(spark, sf), _model()), "freq")
 
 
 @query()
 def piece_frequency(spark, sf):
-    freq = tokens.frequency(kept(spark, sf), tokens.piece_ids(_model())(F.col("text")))
-    return tokens.ranked(freq, 1000)
+    return tokens.ranked(piece_counts(spark, sf), 1000)
 
 
 @query()
 def piece_round_trip(spark, sf):
-    rows = kept(spark, sf).select("doc_id", tokens.round_trips(_model())(F.col("text")).alias("same"))
-    return rows.groupBy("same").agg(F.count("*").alias("documents"))
+    return pieces.round_trips(kept(spark, sf), _model()).groupBy("same").agg(F.count("*").alias("documents"))
 
 
 @query()
 def piece_efficiency(spark, sf):
     """What the model makes of each class, with its rates of unknown and byte pieces."""
-    rows = kept(spark, sf)
-    return tokens.piece_measures(rows, tokens.piece_ids(_model())(F.col("text")), tokens.vocabulary(spark, _model()), ["provenance_class"], 20)
+    return pieces.piece_measures(kept(spark, sf), _model(), ["provenance_class"], 20)
 
 
 @query()
 def piece_table(spark, sf):
     """The most frequent pieces by name, with ranks and shares."""
-    freq = Scratch(spark, "pieces").table(tokens.frequency(kept(spark, sf), tokens.piece_ids(_model())(F.col("text"))), "freq")
+    freq = piece_counts(spark, sf)
     total = freq.agg(F.sum("n")).head()[0] or 1
-    return tokens.named(tokens.ranked(freq, 1000), tokens.vocabulary(spark, _model())).withColumn("share", F.col("n") / F.lit(total))
+    return tokens.named(tokens.ranked(freq, 1000), pieces.vocabulary(spark, _model())).withColumn("share", F.col("n") / F.lit(total))
 
 
 @query()
 def piece_length_histogram(spark, sf):
-    return tokens.piece_lengths(tokens.frequency(kept(spark, sf), tokens.piece_ids(_model())(F.col("text"))), tokens.vocabulary(spark, _model()))
+    return tokens.piece_lengths(piece_counts(spark, sf), pieces.vocabulary(spark, _model()))
 
 
 @query("SELECT count(*) AS documents, count(*) FILTER (WHERE nfc_normalize(text) <> text) AS not_nfc FROM documents")
