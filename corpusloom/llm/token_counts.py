@@ -31,11 +31,12 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE, LETTER, NUMBER, OTHER, LONE, CLOSED = range(6)
 #: After an apostrophe: letters that close a contraction, and those that need one more.
 SHORT, LONG = "stmd", {"r": "e", "v": "e", "l": "l"}
-#: Words of these letters (which never compose with what stands before them), with one mark at most.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)").fullmatch
+#: Words whose pre-tokens are found by a pattern: these letters never compose with what stands before them, and neither apostrophes nor special tokens are among the marks.
+PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+").fullmatch
+RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿ0-9]+").findall
 NEVER = 1 << 40
 #: White space in ASCII parts words; each such character is a step of 0.
-BLANKS = dict.fromkeys(b"\t\n\x0b\x0c\r", " ")
+BLANKS = "\t\n\x0b\x0c\r"
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -60,15 +61,16 @@ def _seconds() -> frozenset[str]:
 
 
 class _Words(dict):
-    """Steps of words met before; forgotten together once there are many."""
+    """Steps of words met before, in two generations."""
 
     def __init__(self, make: Callable[[str], bytes | None], most: int):
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, word: str) -> bytes | None:
-        found = self.make(word)
+        found = self.old[word] if word in self.old else self.make(word)
         if len(word) <= 64:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[word] = found
         return found
@@ -77,7 +79,8 @@ class _Words(dict):
 class PrefixCounter:
     """Counts as the tokenizers library gives them with the file's defaults (strings of special tokens are those tokens), without added ids."""
 
-    def __init__(self, path: str, words: int = 400_000):
+    def __init__(self, path: str, words: int = 250_000):
+        import ahocorasick
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -90,6 +93,11 @@ class PrefixCounter:
         self.special = re.compile("|".join(sorted((re.escape(t["content"]) for t in spec["added_tokens"]), key=len, reverse=True)) or r"(?!)")
         self._load(model)
         self.longest = max(map(len, [*self.inner, *self.final]))
+        #: Finds all tokens that end at each byte: (length, id inside a word or -1, id at its end or -1).
+        self.tokens = ahocorasick.Automaton()
+        for b in {*self.inner, *self.final}:
+            self.tokens.add_word(b.decode("latin-1"), (len(b), self.inner.get(b, -1), self.final.get(b, -1)))
+        self.tokens.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.words = _Words(self._word, words)
 
@@ -162,24 +170,31 @@ class PrefixCounter:
                 return count[j] + 1
         raise ValueError("no token ends here")
 
-    def _letters(self, letters: str) -> array:
-        data = letters.encode()
-        last, count, out, i, before = [-1], [0], array("b"), 0, 0
-        self._grow(data, last, count)
-        for c in letters:
-            i += 1 if c < "\x80" else 2
-            n = self._ended(data, i, last, count)
-            out.append(n - before)
-            before = n
-        return out
+    def _run(self, run: str) -> list[int]:
+        """The count of each prefix of one pre-token: at each byte, the one token that stays apart from the last token before it."""
+        data = run.encode()
+        size, pairs, apart = len(data) + 1, self.pairs, self._apart
+        last, count, ended = [-1] * size, [0] * size, [0] * size
+        for end, (n, inner, final) in self.tokens.iter(data.decode("latin-1")):
+            i = end + 1
+            j = i - n
+            before = last[j]
+            if inner >= 0 and not count[i] and (not j or ((ok := pairs.get(before << 20 | inner)) is None and apart(before, inner)) or ok):
+                last[i], count[i] = inner, count[j] + 1
+            if final >= 0 and not ended[i] and (not j or ((ok := pairs.get(before << 20 | final)) is None and apart(before, final)) or ok):
+                ended[i] = count[j] + 1
+        return ended[1:] if len(data) == len(run) else [e for e, b in zip(ended[1:], data[1:] + b"a", strict=True) if b & 192 != 128]
 
     def _word(self, word: str) -> bytes | None:
         """What each code point of a word without ASCII white space adds, as signed bytes (None if one doesn't fit)."""
         try:
-            if plain := PLAIN(word):
-                stem, mark = plain.groups()
-                return (self.words[stem] + b"\x01") if mark else self._letters(stem.lower()).tobytes()
-            return array("b", self.wide(word)).tobytes()
+            if not PLAIN(word):
+                return array("b", self.wide(word)).tobytes()
+            runs = RUNS(word)
+            if len(runs) > 1:
+                return None if None in (found := [self.words[r] for r in runs]) else b"".join(found)
+            counts = self._run("".join(map(str.lower, word)))
+            return array("b", map(int.__sub__, counts, [0, *counts[:-1]])).tobytes()
         except OverflowError:
             return None
 
@@ -225,7 +240,9 @@ class PrefixCounter:
 
     def steps(self, text: str | None) -> tuple[bytes, int]:
         """How many tokens each code point of text adds, as little-endian signed integers, and the bytes of one (1, or 4 where one doesn't fit)."""
-        text = (text or "").translate(BLANKS) if text and not text.isprintable() else text or ""
+        text = text or ""
+        for c in BLANKS:
+            text = text.replace(c, " ")
         if text.isascii() and not self.special.search(text):
             text = text.lower()
         words = text.split(" ")
