@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,12 +51,18 @@ def unescape(text: Column) -> Column:
 
 
 def sitemap(xml: Column) -> tuple[Column, Column]:
-    """A sitemap's child maps and page URLs: loc elements, or the http lines of a plain text."""
+    """A sitemap's child maps and page URLs: loc elements, or the http lines of a plain text, or loc elements with a prefix."""
     locs = F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), lambda x: F.btrim(x))
     plain = F.filter(F.transform(F.split(xml, r"\r\n|[\n\r]"), lambda x: F.btrim(x)), lambda x: x.startswith("http"))
     index = F.lower(F.substring(xml, 1, 2000)).contains("<sitemapindex")
     none = F.array().cast("array<string>")
-    return F.when(index, locs).otherwise(none), F.when(index & (F.size(locs) > 0), none).when(F.size(locs) > 0, locs).otherwise(plain)
+    # A document whose elements have a prefix is read as XML: its first element tells what it is, and references are decoded.
+    root = F.lower(F.regexp_extract(xml, r"(?s)\A\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*)*<(?:[\w.-]+:)?([\w.-]+)", 1))
+    prefixed = F.filter(F.transform(F.regexp_extract_all(xml, F.lit(r"(?s)<([\w.-]+):loc\b[^>]*>([^<]*)</\1:loc>"), F.lit(2)), lambda x: F.btrim(reduce(lambda t, r: F.replace(t, F.lit(r[0]), F.lit(r[1])), REFERENCES, x))), lambda x: x != "")
+    named = (F.size(locs) == 0) & (F.size(plain) == 0)
+    children = F.when(index & (F.size(locs) > 0), locs).when(named & root.endswith("sitemapindex"), prefixed).otherwise(none)
+    urls = F.when(F.size(locs) > 0, F.when(index, none).otherwise(locs)).when(F.size(plain) > 0, plain).when(~root.endswith("sitemapindex"), prefixed).otherwise(none)
+    return children, urls
 
 
 def hrefs(html: Column) -> Column:

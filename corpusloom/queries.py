@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import BOILERPLATE, DENY_LINK, DENY_URL, DEVANAGARI, DOWNLOADED_METHODS, DOWNLOADED_NAMES, FETCH_HINDI, FETCH_NEPALI, HINDI, MANUAL_METHODS, MANUAL_NAMES, NEPALI, PROFILES, SEED, SOURCE_MARKERS, BudgetConfig, BuildConfig, GateConfig
 from corpusloom.functions import text as T
-from corpusloom.operators import budget, dedup, gates, pieces, scoring, stats, tokens, verify, web
+from corpusloom.operators import budget, dedup, gates, pieces, scoring, stats, tokens, verify, walk, web
 from corpusloom.plans.build import ORDER, build, cleaned, with_provenance
 from corpusloom.scratch import Scratch
 from corpusloom.session import ship, spread
-from corpusloom.sources import records, sinks
+from corpusloom.sources import hub, ranges, records, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -632,6 +632,46 @@ def sitemap_parse(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.array_join(children, " ").alias("children"), F.array_join(urls, " ").alias("urls"))
 
 
+_SITES = """p AS (SELECT 'https://host' || page_id % 3 || '.example/p/' || page_id AS url,
+    html || '<a href="https://host' || (page_id + 6) % 3 || '.example/p/' || (page_id + 6) || '">' || '<a href="/p/' || page_id * 4 || '"><a href="https://host' || (page_id + 1) % 3 || '.example/p/' || (page_id + 1) || '"><a href="https://files.example/' || page_id % 10 || '.pdf#page=2">' AS html FROM pages)"""
+
+
+@query(f"""WITH RECURSIVE {_SITES},
+    hrefs AS (SELECT url, unnest(range(len(l))) AS pos, unnest(l) AS href FROM (SELECT url, regexp_extract_all(html, '(?i)href\\s*=\\s*["'']([^"'']+)["'']', 1) AS l FROM p)),
+    found AS (SELECT url, pos, split_part(CASE WHEN href LIKE 'http%' THEN href ELSE regexp_extract(url, '^https://[^/]*') || href END, '#', 1) AS link FROM hrefs),
+    e AS (SELECT url AS source, link AS target, min(pos) AS pos FROM found WHERE NOT lower(link) LIKE '%.pdf' AND split_part(link, '/', 3) = split_part(url, '/', 3) AND NOT regexp_matches(link, '{DENY_LINK}') GROUP BY ALL),
+    w AS (SELECT url AS node, 0 AS depth, NULL::VARCHAR AS parent, [split_part(url, '/', 5)::BIGINT] AS ord FROM p WHERE split_part(url, '/', 5)::BIGINT % 25 = 0
+          UNION ALL SELECT target, depth + 1, node, list_append(ord, pos) FROM w JOIN e ON source = node WHERE depth < 4),
+    r AS (SELECT node, min(depth) AS depth, first(parent ORDER BY depth, ord) AS parent, first(ord ORDER BY depth, ord) AS ord FROM w GROUP BY node),
+    files AS (SELECT link, first(depth ORDER BY depth, ord, pos) AS depth, first(node ORDER BY depth, ord, pos) AS parent FROM r JOIN (SELECT * FROM found WHERE lower(link) LIKE '%.pdf') f ON f.url = r.node WHERE depth < 4 GROUP BY link)
+    SELECT node AS url, 'page' AS kind, depth::INT AS depth, parent, node IN (SELECT url FROM p) AS fetched FROM r UNION ALL SELECT link, 'pdf', depth::INT, parent, false FROM files""")
+def page_walk(spark, sf):
+    """Four steps over pages, each of which links to two of its host, one of another, and a file."""
+    i = F.col("page_id")
+    at = lambda k: F.concat(F.lit("https://host"), (k % 3).cast("string"), F.lit(".example/p/"), k.cast("string"))
+    more = F.concat(F.lit('<a href="'), at(i + 6), F.lit('"><a href="/p/'), (i * 4).cast("string"), F.lit('"><a href="'), at(i + 1), F.lit('"><a href="https://files.example/'), (i % 10).cast("string"), F.lit('.pdf#page=2">'))
+    pages = table(spark, sf, "pages").select(at(i).alias("url"), F.concat("html", more).alias("html"), i.alias("place"))
+    return walk.page_walk(pages, pages.filter("place % 25 = 0").select("url", "place"), 4)
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT DISTINCT 'https://s' || page_id % 7 AS o FROM pages),
+    e AS (SELECT o, o || '/index.xml' AS source, k AS pos, o || '/m' || k || '.xml' AS target FROM m, range(2) t(k) UNION ALL SELECT o, o || '/m0.xml', k, o || '/m' || k + 2 || '.xml' FROM m, range(2) t(k) UNION ALL SELECT o, o || '/m0.xml', 2, o || '/index.xml' FROM m),
+    w AS (SELECT o, o || '/index.xml' AS node, 0 AS depth FROM m UNION ALL SELECT w.o, target, depth + 1 FROM w JOIN e ON source = node WHERE depth < 5)
+    SELECT r.o AS origin, p.url, r.node AS map, r.depth::INT AS depth FROM (SELECT o, node, min(depth) AS depth FROM (SELECT * FROM w) GROUP BY ALL) r
+    JOIN (SELECT 'https://s' || page_id % 7 || '/m' || page_id % 3 + 1 || '.xml' AS node, min(url) AS url FROM pages WHERE NOT regexp_matches(url, '{DENY_URL}') GROUP BY page_id, page_id % 7) p ON p.node = r.node""")
+def sitemap_walk(spark, sf):
+    """Sitemaps of seven origins made of the pages' URLs: an index, an index in it, and three maps."""
+    pages = table(spark, sf, "pages").select("url", F.concat(F.lit("https://s"), (F.col("page_id") % 7).cast("string")).alias("o"), (F.col("page_id") % 3 + 1).alias("k"))
+    locs = lambda tag, urls: F.concat(F.lit(f"<{tag}>"), F.array_join(F.transform(urls, lambda u: F.concat(F.lit("<loc>"), u, F.lit("</loc>"))), ""), F.lit(f"</{tag}>"))
+    to = lambda *names: F.array(*(F.concat("o", F.lit(f"/{n}.xml")) for n in names))
+    origins = pages.select("o").distinct()
+    index = origins.select(F.concat("o", F.lit("/index.xml")).alias("url"), locs("sitemapindex", to("m0", "m1")).alias("xml"))
+    inner = origins.select(F.concat("o", F.lit("/m0.xml")), locs("sitemapindex", to("m2", "m3", "index")))
+    leaves = pages.groupBy("o", "k").agg(F.sort_array(F.collect_set("url")).alias("urls")).select(F.concat("o", F.lit("/m"), "k", F.lit(".xml")), locs("urlset", F.col("urls")))
+    starts = origins.select(F.col("o").alias("origin"), F.concat("o", F.lit("/index.xml")).alias("node"), F.lit(0).alias("place"))
+    return walk.sitemap_walk(index.union(inner).union(leaves), starts)
+
+
 @query(f"SELECT page_id, NOT regexp_matches(url, '{DENY_URL}') AS article, NOT regexp_matches(url, '{DENY_LINK}') AS follow FROM pages")
 def url_deny(spark, sf):
     return table(spark, sf, "pages").select("page_id", web.is_article(F.col("url")).alias("article"), web.may_follow(F.col("url")).alias("follow"))
@@ -753,6 +793,42 @@ def json_scan(spark, sf):
     return records.read_records(spark, json_lines(spark, docs, "docs", "gzip"), _RECORD).select("doc_id", F.md5("text").alias("text_md5"), "source")
 
 
+@query("SELECT doc_id::VARCHAR AS doc_id, md5(text) AS text_md5 FROM documents")
+def byte_windows(spark, sf):
+    """Documents written as JSON lines, and read again by windows of 64 KB."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    lines = ranges.read_windows(spark, json_lines(spark, docs, "docs"), windowBytes=1 << 16)
+    return records.parse_lines(lines, _RECORD).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+_TEXT_ENDS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)"
+
+
+def hub_of(spark: SparkSession, sf: str) -> tuple[str, list[hub.Spec]]:
+    """A hub of three sets of documents by language, and two that aren't there for all."""
+    root = Scratch(spark, "hub").path
+    docs = table(spark, sf, "documents").select("text", "lang", "doc_id")
+    for part, (to, column) in enumerate((("open/prose/2024.en", "text"), ("open/web/verified/en", "content"), ("open/multi/en", "text"))):
+        docs.filter((F.col("lang") == "en") & (F.col("doc_id") % 3 == part)).select(F.col("text").alias(column)).write.option("compression", "gzip" if part else "none").json(f"{root}/{to}")
+    codes = {"english": "en"}
+    return root, [
+        hub.Spec("prose", "open/prose", codes, "config", "2024.{code}"),
+        hub.Spec("web", "open/web", codes, "data_dir", "verified/{code}", "content"),
+        hub.Spec("multi", "open/multi", codes, "data_files", "{code}/part-*.json.gz"),
+        hub.Spec("walled", "closed/walled", codes, gated=True),
+        hub.Spec("scripted", "closed/scripted", codes, needs_trust=True),
+        hub.Spec("lost", "open/lost", codes),
+        hub.Spec("other", "open/other", {"german": "de"}),
+    ]
+
+
+@query(f"SELECT CASE doc_id % 3 WHEN 0 THEN 'prose' WHEN 1 THEN 'web' ELSE 'multi' END AS source, md5(t) AS text_md5 FROM (SELECT doc_id, trim(text, {_TEXT_ENDS}) AS t FROM documents WHERE lang = 'en') WHERE length(t) >= 200")
+def hub_read(spark, sf):
+    """Three sets of a hub, one by a named configuration, one by a folder and one by a pattern, beside four that fail."""
+    root, specs = hub_of(spark, sf)
+    return hub.read_hub(spark, root, specs, "english").select("source", F.md5("text").alias("text_md5"))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'bad_json' WHEN doc_id % 3 = 1 THEN 'not_object' ELSE 'ok' END AS record_reason FROM documents")
 def audited_scan(spark, sf):
     """Lines of a file, a third of them broken and a third no objects."""

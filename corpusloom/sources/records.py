@@ -1,4 +1,4 @@
-"""Reading records: JSON lines, text lists, archives; and what they are called."""
+"""Reading records: JSON lines and text lists; and what they are called."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,30 +60,6 @@ def source_of(path: Column) -> Column:
     return reduce(lambda c, m: c.when(plain.contains(m), m), rest, F.when(plain.contains(first), first)).otherwise(stem)
 
 
-def read_archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """path, member, value: the lines of .jsonl and .txt members and the whole of .json members in zip files.
-
-    Archives are read by Spark (so from any store), each whole by one task.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-        import zipfile
-
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in sorted(z.namelist()):
-                        if not member.endswith((".jsonl", ".txt", ".json")):
-                            continue
-                        data = z.read(member).decode("utf-8", "replace")
-                        values = [data] if member.endswith(".json") else [x for x in data.splitlines() if x.strip()]
-                        yield pa.RecordBatch.from_pydict({"path": [name] * len(values), "member": [member] * len(values), "value": values}, schema=pa.schema([("path", pa.string()), ("member", pa.string()), ("value", pa.string())]))
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, member string, value string")
-
-
 def resolve_sources(spark: SparkSession, configured: list[dict] | None, default: list[dict]) -> DataFrame:
     """key, priority, path: the configured sources, or the default ones, in order of priority."""
     rows = [(s["key"], int(s["priority"]), s["path"]) for s in (configured or default)]
