@@ -60,8 +60,8 @@ def _fill(gap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     return run
 
 
-#: So many rows that may still fit one task fills at once, in order.
-FILLED_AT_ONCE = 200_000
+#: So few rows that may still fit one task fills at once, in order; and up to LONG_TAIL where a round settles less than a tenth of them.
+FILLED_AT_ONCE, LONG_TAIL = 100, 200_000
 
 
 def first_fit(df: DataFrame, order: list[str], size: str, budget: int, at_once: int = FILLED_AT_ONCE) -> DataFrame:
@@ -69,13 +69,15 @@ def first_fit(df: DataFrame, order: list[str], size: str, budget: int, at_once:
 
     If all fit together, all are taken. Else all rows before the first that doesn't fit are taken at once by a
     running total; of the rows after it only those can fit that are no larger than what is left, and they are
-    filled in the same way again, in as many rounds as it takes. Once few are left, one task fills them in order.
+    filled in the same way again, in as many rounds as it takes. Once few are left, or rounds get on slowly, one
+    task fills them in order.
     """
     scratch = Scratch(df.sparkSession, "fit")
-    left, gap, taken = df.filter(F.col(size) <= budget), budget, []
+    left, gap, taken, before = df.filter(F.col(size) <= budget), budget, [], None
     for k in itertools.count():
         n, total = left.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).head()
-        if total <= gap or n <= at_once:
+        slow, before = before is not None and n <= LONG_TAIL and n > 0.9 * before, n
+        if total <= gap or n <= at_once or slow:
             if n and total > gap:
                 one = left.withColumn("_size", F.col(size).cast("long")).repartition(1).sortWithinPartitions(*order)
                 left = one.mapInArrow(_fill(gap), left.schema)

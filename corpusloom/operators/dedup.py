@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.config import DedupConfig
@@ -105,8 +106,8 @@ def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([doc], kind)], names=["doc_id"])
 
 
-#: So many undecided rows (document, bucket) one task settles at once, in order (some 50 MB).
-SETTLED_AT_ONCE = 200_000
+#: So few undecided rows (document, bucket) one task settles at once, in order; and up to LONG_TAIL (some 50 MB) where a round decides less than a tenth of them.
+SETTLED_AT_ONCE, LONG_TAIL = 100, 200_000
 
 
 def near_first(df: DataFrame, order: list[str], cfg: DedupConfig = DedupConfig(), among: DataFrame | None = None, at_once: int = SETTLED_AT_ONCE) -> DataFrame:
@@ -115,8 +116,8 @@ def near_first(df: DataFrame, order: list[str], cfg: DedupConfig = DedupConfig()
     A document stays unless an earlier one that stays shares a band key. Each round keeps, of the undecided
     documents, those that come first in all of their buckets, then drops those that share a bucket with
     a kept one: the outcome is that of the one-by-one pass for any partitioning. Every round decides at least
-    the first undecided document, so the rounds end; and once few rows are left (long chains of documents take
-    a round for each two), one task makes the pass itself over them. Buckets of one document are left out at
+    the first undecided document, so the rounds end. Once at_once rows are left, or a long chain (which takes a
+    round for each two documents), one task makes the pass itself over them. Buckets of one document are left out at
     once. among: only these doc_ids take part, and are in the result.
     """
     scratch = Scratch(df.sparkSession, "near")
@@ -129,12 +130,13 @@ def near_first(df: DataFrame, order: list[str], cfg: DedupConfig = DedupConfig()
     every = member.select("doc_id").distinct()
     shared = member.groupBy("bucket").agg(F.count_distinct("doc_id").alias("n")).filter("n > 1").select("bucket")
     left = scratch.table(member.join(shared, "bucket"), "left-0")
-    dropped = None
+    dropped, before = None, None
     for k in itertools.count(1):
         n = left.count()
         if not n:
             break
-        if n <= at_once:
+        slow, before = before is not None and n <= LONG_TAIL and n > 0.9 * before, n
+        if n <= at_once or slow:
             kind = dict(member.dtypes)["doc_id"]
             gone = left.repartition(1).sortWithinPartitions("rank").select("doc_id", "bucket").mapInArrow(_one_by_one, f"doc_id {kind}")
             gone = scratch.table(gone, f"gone-{k}")
@@ -164,28 +166,38 @@ def shingle_classes(df: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFram
     return member.join(classes, "set").select("doc_id", "class_id", "class_size", "n_shingles")
 
 
-def jaccard_pairs(df: DataFrame, cfg: DedupConfig = DedupConfig(), block: int = 1000) -> DataFrame:
-    """Pairs (a, b), a < b, of class representatives that share a band key, with the Jaccard similarity of their shingle sets.
+def jaccard_pairs(df: DataFrame, cfg: DedupConfig = DedupConfig(), threshold: float = 0.8, block: int = 1000) -> DataFrame:
+    """All pairs (a, b), a < b, of class representatives whose shingle sets have a Jaccard similarity of at least threshold, with that similarity.
 
     Documents of one set are one class (see shingle_classes, which tells the members): copies are never paired,
-    and no link between different sets is lost. Buckets of more than `block` classes are cut into blocks that
-    are paired block by block.
+    and no link between different sets is lost. Shingles are ordered by how few sets have them. Of two sets that
+    are alike enough, each has one of the other's among its first n - ceil(threshold n) + 1, so only those few,
+    which are rare ones, propose pairs; sets whose sizes differ too much aren't compared. Shingles that more than
+    `block` sets have among their first are cut into blocks that are paired block by block.
     """
-    scratch = Scratch(df.sparkSession, "pairs")
+    scratch, t = Scratch(df.sparkSession, "pairs"), Fraction(str(threshold))
+    above = lambda part, whole: F.lit(t.denominator) * part >= F.lit(t.numerator) * whole
     # Written: what it is joined with twice reads it, not df again.
     first = scratch.table(shingle_classes(df, cfg).filter("doc_id = class_id").select("doc_id"), "first")
     rows = df.select("doc_id", "text").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = scratch.table(rows.select("doc_id", "text", F.inline(F.array(F.struct(words(F.col("text")).alias("ws"))))).select("doc_id", "text", shingles(F.col("ws"), cfg.shingle).alias("s")), "rows")
-    b = scratch.table(bands(rows.select("doc_id", "text"), cfg), "bands")
-    shared = b.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
-    own = b.join(shared, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    rows = rows.select("doc_id", F.inline(F.array(F.struct(words(F.col("text")).alias("ws"))))).select("doc_id", shingles(F.col("ws"), cfg.shingle).alias("s"))
+    rows = scratch.table(rows.select("doc_id", F.transform("s", lambda x: F.unhex(F.md5(x))).alias("s")), "rows")
+    each = rows.select("doc_id", F.size("s").cast("long").alias("n"), F.explode("s").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count("*").alias("sets"))
+    few = F.col("n") - F.ceil(F.col("n") * t.numerator / t.denominator) + 1
+    # As many as a set has of first shingles: the sorted list is cut, and set sizes are those of documents.
+    ordered = each.join(common, "shingle").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("sets", "shingle"))).alias("s"))
+    starts = scratch.table(ordered.select("doc_id", "n", F.explode(F.slice("s", F.lit(1), few.cast("int"))).alias("x")).select("doc_id", "n", "x.*").filter("sets > 1").drop("sets"), "starts")
+    shared = starts.groupBy("shingle").agg(F.count("*").alias("m")).filter("m > 1").select("shingle", F.ceil(F.col("m") / block).cast("long").alias("blocks"))
+    own = starts.join(shared, "shingle").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = scratch.table(dealt.select("band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id"), "blocks")
-    x, y = (dealt.select("band", "key", "low", "high", F.col("own").alias(f"own_{c}"), F.col("doc_id").alias(c)) for c in "ab")
-    pairs = x.join(y, ["band", "key", "low", "high"]).filter("a < b AND (low = high OR own_a <> own_b)").select("a", "b").distinct()
+    dealt = scratch.table(dealt.select("shingle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "n"), "blocks")
+    x, y = (dealt.select("shingle", "low", "high", F.col("own").alias(f"own_{c}"), F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+    like = above(F.least("n_a", "n_b"), F.greatest("n_a", "n_b"))
+    pairs = x.join(y, ["shingle", "low", "high"]).filter(F.expr("a < b AND (low = high OR own_a <> own_b)") & like).select("a", "b").distinct()
     of_a, of_b = (rows.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     pairs = pairs.join(of_a, "a").join(of_b, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    pairs = pairs.select("a", "b", "shared", (F.size("sa") + F.size("sb") - F.col("shared")).cast("long").alias("either"))
+    pairs = pairs.select("a", "b", "shared", (F.size("sa") + F.size("sb") - F.col("shared")).cast("long").alias("either")).filter(above(F.col("shared"), F.col("either")))
     return pairs.withColumn("jaccard", F.col("shared") / F.col("either"))
 
 
@@ -200,7 +212,6 @@ def first_seen(df: DataFrame, key: str, position: list[Column | str]) -> DataFra
 
 
 def append_new(df: DataFrame, existing: DataFrame, order: list[Column | str], key: str = "doc_id") -> DataFrame:
-    """Rows to append to a shard: one for each key that it doesn't have, the first in order."""
-    w = Window.partitionBy(key).orderBy(*order)
-    new = df.join(existing.select(key), key, "left_anti")
-    return new.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """Rows to append to a shard: one for each key that it doesn't have, the first in order (rows are combined by key before they are shuffled)."""
+    new = df.join(existing.select(key), key, "left_anti").select(F.struct(*order).alias("_order"), F.struct(*df.columns).alias("_row"), F.col(key).alias("_key"))
+    return new.groupBy("_key").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")

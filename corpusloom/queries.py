@@ -343,9 +343,10 @@ def shingle_classes(spark, sf):
     return dedup.shingle_classes(kept(spark, sf))
 
 
-@query("""SELECT a, b, shared, either, shared / either AS jaccard FROM (SELECT a, b, len(list_intersect(x.s, y.s)) AS shared, len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)) AS either
-    FROM (SELECT DISTINCT l.doc_id AS a, r.doc_id AS b FROM banded l JOIN banded r ON l.band = r.band AND l.key = r.key AND l.doc_id < r.doc_id
-          WHERE l.doc_id IN (SELECT min(doc_id) FROM shingled GROUP BY list_sort(s)) AND r.doc_id IN (SELECT min(doc_id) FROM shingled GROUP BY list_sort(s))) JOIN shingled x ON x.doc_id = a JOIN shingled y ON y.doc_id = b)""")
+_SETS = "(SELECT doc_id, len(s) AS n, unnest(s) AS x FROM shingled WHERE doc_id IN (SELECT min(doc_id) FROM shingled GROUP BY list_sort(s)))"
+
+
+@query(f"SELECT *, shared / either AS jaccard FROM (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS shared, any_value(l.n) + any_value(r.n) - count(*) AS either FROM {_SETS} l JOIN {_SETS} r ON l.x = r.x AND l.doc_id < r.doc_id GROUP BY ALL) WHERE 5 * shared >= 4 * either")
 def jaccard_pairs(spark, sf):
     return dedup.jaccard_pairs(kept(spark, sf))
 

@@ -149,23 +149,27 @@ def test_near_duplicates_of_texts(spark):
     assert kept[1] and not kept[2] and kept[3] and kept[4] and kept[5] and not kept[6]
 
 
-def test_jaccard_pairs_of_large_buckets(spark):
+def test_jaccard_pairs_are_all_pairs(spark):
+    rng = random.Random(8)
     texts = ["one two three four five six seven eight"] * 3 + [" ".join(f"w{i}" for i in range(60))] * 2
-    texts += [" ".join(f"w{i}" for i in range(60)) + f" end{k}" for k in range(12)] + ["alone among all of these texts here"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
-    by_band = {}
-    for r in dedup.bands(df).collect():
-        by_band.setdefault((r.band, r.key), []).append(r.doc_id)
-    near = {(a, b) for ids in by_band.values() for a in ids for b in ids if a < b}
-    assert max(map(len, by_band.values())) > 5
+    texts += [" ".join(f"w{i}" for i in range(60)) + f" end{k}" for k in range(12)] + ["alone among all of these texts here", "", "", "a b", "a b"]
+    base = [f"v{i}" for i in range(40)]
+    for _ in range(60):
+        new = list(base)
+        for _ in range(rng.randint(0, 3)):
+            new[rng.randrange(len(new))] = rng.choice(["x", "y", "z"])
+        texts.append(" ".join(new[: rng.randint(25, 40)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
     first = {i: min(j for j in range(len(texts)) if sets[j] == sets[i]) for i in range(len(texts))}
     assert {r.doc_id: (r.class_id, r.class_size) for r in dedup.shingle_classes(df).collect()} == {i: (c, list(first.values()).count(c)) for i, c in first.items()}
-    want = {(a, b): (len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a, b in near if first[a] == a and first[b] == b}
-    for block in (2, 5, 1000):
-        rows = dedup.jaccard_pairs(df, block=block).collect()
-        assert len(rows) == len(want) and {(r.a, r.b): (r.shared, r.either) for r in rows} == want
+    ids = sorted(set(first.values()))
+    for threshold, block in ((0.8, 2), (0.8, 1000), (0.5, 5), (1, 1000)):
+        want = {(a, b): (len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) * 10 >= threshold * 10 * len(sets[a] | sets[b])}
+        rows = dedup.jaccard_pairs(df, threshold=threshold, block=block).collect()
+        assert len(rows) == len(want) and {(r.a, r.b): (r.shared, r.either) for r in rows} == want and (want or threshold == 1)
         assert all(r.jaccard == r.shared / r.either for r in rows)
+    assert dedup.jaccard_pairs(df.limit(0)).count() == 0
 
 
 def test_exact_first_and_shards(spark):
