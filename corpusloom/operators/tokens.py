@@ -114,10 +114,11 @@ def elbow(metrics: DataFrame, least_gain: float = 0.02, max_byte_fallback: float
     return rows.withColumn("selected", F.col("vocab_size") == chosen).drop("_good", "_next")
 
 
-def scaling_law_vocab(parameters: int, width: int) -> int:
+def scaling_law_vocab(parameters: Column, width: Column) -> Column:
     """The vocabulary k * parameters**0.83 / width, k set so that 65e9 parameters of width 8192 get 216,000."""
     k = 216_000 * 8192 / math.pow(65e9, 0.83)
-    return int(k * max(1, parameters) ** 0.83 / max(1, width))
+    least = lambda c: F.greatest(F.lit(1), c).cast("double")
+    return F.floor(F.lit(k) * F.pow(least(parameters), F.lit(0.83)) / least(width)).cast("long")
 
 
 def drift(measured: Column, used: Column, most: float = 0.05) -> Column:

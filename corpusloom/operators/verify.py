@@ -32,13 +32,14 @@ def cross_checks(docs: DataFrame, other: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("passed", F.col("violations") == 0)
 
 
-def lineage_check(spark: SparkSession, trained_on: set[str]) -> DataFrame:
-    """name, violations, passed: splits other than train that a tokenizer's own record says it saw."""
-    n = len(trained_on - {"train"})
-    return spark.createDataFrame([("tokenizer saw train only", n, n == 0)], "name string, violations long, passed boolean")
+def lineage_check(spark: SparkSession, models: list[str], allowed: tuple[str, ...] = ("train",)) -> DataFrame:
+    """name, violations, passed of each model: how many other splits than the allowed ones were among the files that were read for it (see sinks.write_model)."""
+    rows = reduce(DataFrame.unionByName, (spark.read.parquet(f"{m}_lineage") for m in models))
+    other = F.array_except("splits", F.array(*map(F.lit, allowed)))
+    return rows.select("name", F.size(other).cast("long").alias("violations"), (F.size(other) == 0).alias("passed"))
 
 
-def checks(docs: DataFrame, other: DataFrame | None = None, tokens: DataFrame | None = None, min_fraction: float = 0.20, trained_on: set[str] | None = None) -> DataFrame:
+def checks(docs: DataFrame, other: DataFrame | None = None, tokens: DataFrame | None = None, min_fraction: float = 0.20, models: list[str] | None = None) -> DataFrame:
     """name, violations, passed. docs: (doc_id, text, provenance_class, split); other: another language's; tokens: (provenance_class, n_tokens)."""
     docs = docs.withColumn("content", content_hash(F.col("text")))
     parts = [
@@ -53,4 +54,4 @@ def checks(docs: DataFrame, other: DataFrame | None = None, tokens: DataFrame |
     found = reduce(DataFrame.unionByName, parts).withColumn("passed", F.col("violations") == 0)
     if other is not None:
         found = found.unionByName(cross_checks(docs, other))
-    return found if trained_on is None else found.unionByName(lineage_check(docs.sparkSession, trained_on))
+    return found if models is None else found.unionByName(lineage_check(docs.sparkSession, models))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +87,15 @@ def sql_shuffle(key: str) -> str:
     return f"md5('{SEED}:' || {key})"
 
 
+def sql_near(rows: str) -> str:
+    """The one-by-one choice as a fold over the ordered rows: a document stays unless one that stays has one of its band keys."""
+    return f"""SELECT unnest(f.kept).doc_id AS doc_id, unnest(f.kept).near_kept AS near_kept FROM (SELECT list_reduce(list({{'doc_id': doc_id, 'keys': keys}} ORDER BY class_rank, priority, source, doc_id),
+        lambda acc, x: CASE WHEN list_has_any(acc.owned, x.keys) THEN {{'owned': acc.owned, 'kept': list_append(acc.kept, {{'doc_id': x.doc_id, 'near_kept': false}})}}
+            ELSE {{'owned': list_concat(acc.owned, x.keys), 'kept': list_append(acc.kept, {{'doc_id': x.doc_id, 'near_kept': true}})}} END,
+        {{'owned': []::VARCHAR[], 'kept': []::STRUCT(doc_id BIGINT, near_kept BOOLEAN)[]}}) AS f
+    FROM (SELECT r.doc_id, class_rank, priority, source, keys FROM {rows} r JOIN (SELECT doc_id, list(band || ':' || key) AS keys FROM banded GROUP BY doc_id) b ON b.doc_id = r.doc_id))"""
+
+
 G = GateConfig()
 FURNITURE_SQL = "(?i)" + BOILERPLATE
 _b, _r = dedup.geometry()
@@ -130,6 +141,12 @@ CTE: dict[str, tuple[str, tuple[str, ...]]] = {
     "hashed": ("SELECT doc_id, ('0x' || substr(md5(unnest(s)), 1, 8))::BIGINT % 2147483648 AS h FROM shingled", ("shingled",)),
     "signed": ("SELECT doc_id, " + ", ".join(f"min((h * {a} + {c}) % {dedup.PRIME})::VARCHAR AS m{i}" for i, (a, c) in enumerate(dedup.permutations(_b * _r))) + " FROM hashed GROUP BY doc_id", ("hashed",)),
     "banded": (" UNION ALL ".join(f"SELECT doc_id, {k} AS band, md5(concat_ws(',', {', '.join(f'm{i}' for i in range(k * _r, k * _r + _r))})) AS key FROM signed" for k in range(_b)), ("signed",)),
+    "uniq": (
+        rf"SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY md5(regexp_replace(regexp_replace(lower(text), '[\x{{964}}\x{{965}}\x{{970}}]', '', 'g'), '{NW}', '', 'g')) ORDER BY class_rank, priority, source, doc_id) = 1",
+        ("k",),
+    ),
+    "near": (f"SELECT doc_id FROM ({sql_near('uniq')}) WHERE near_kept", ("uniq", "banded")),
+    "c": ("SELECT * FROM uniq WHERE doc_id IN (SELECT doc_id FROM near)", ("near",)),
     "grams": (f"SELECT doc_id, unnest(list_transform(range(1, length(flat) - 3), lambda i: substr(flat, i, 5))) AS gram FROM (SELECT doc_id, regexp_replace(text, '[{WS}]+', ' ', 'g') AS flat FROM k WHERE provenance_class = 'manual')", ("k",)),
     "profile": ("SELECT gram, count(*) AS n FROM grams GROUP BY gram", ("grams",)),
     "lps": (
@@ -214,33 +231,23 @@ def cheap_reject(spark, sf):
     return table(spark, sf, "documents").select("doc_id", gates.cheap_reason(F.col("text"), "[A-Za-z]").alias("reason"))
 
 
-def devanagari_rows() -> list[tuple[str, str, str]]:
-    """name, language, text: one made text for each outcome of the Devanagari gates."""
-    letters = [chr(0x0915 + i) for i in range(30)]
-    plain = [f"शब्द{letters[i % 30]}{letters[i // 30]}" for i in range(80)]
-    hindi, nepali = list(HINDI), list(NEPALI)
-    rows = {
-        "short": ["क" * 10],
-        "few": ["क" * 500],
-        "latin": [f"मान{'abcdefgh'[i % 8]}{'xyzwvuts' * 2}{i}" for i in range(60)],
-        "mixed": [*plain, *hindi[:6], *["latin"] * 16],
-        "unmarked": plain,
-        "tied": [*plain, *hindi[:3], *nepali[:3]],
-        "repeats": [*hindi[:4], *["शब्दशब्द", "दूसराशब्द"] * 60],
-        "long words": [*("क" * 20 + letters[i % 30] + letters[i // 30] for i in range(60)), *hindi[:4]],
-        "symbols": [*plain[:60], *hindi[:6], *(f"चिह्न{letters[i]}#" for i in range(15))],
-        "lines": [*plain, *hindi[:6], *(f"\nछोटी पंक्ति {letters[i % 2]}" for i in range(8))],
-        "hindi": [*plain, *hindi[:6], "है।", "(था)"],
-        "nepali": [*plain, *nepali[:6], "छ।", "नेपाल"],
-        # The last two markers of each language are unknown to the check of fetched pages.
-        "fetched": [*plain, hindi[-1], nepali[-1], hindi[0], hindi[1]],
-    }
-    rows = {k: " ".join(v).replace(" \n", "\n") for k, v in rows.items()} | {"blank": " \u00a0\n", "nothing": ""}
-    return [(k, lang, t) for k, t in rows.items() for lang in ("hindi", "nepali", "other")]
-
-
-_DEV = ", ".join(f"({', '.join(chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for x in r)})" for r in devanagari_rows())
-_DEV_WORDS = f"SELECT name, lang, text, {sql_words('text')} AS ws, regexp_replace(text, '[{WS}]+', '', 'g') AS dense, string_split(text, chr(10)) AS ls FROM (VALUES {_DEV}) r(name, lang, text)"
+#: Latin letters become these; in every seventh document e stays. Documents get markers of Hindi, of Nepali, of both, or none.
+_LATIN_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_INDIC_LETTERS = "".join(chr(0x0915 + i) for i in range(26)) * 2
+_MIXED = "".join(c for c in _LATIN_LETTERS if c not in "eE"), "".join(i for c, i in zip(_LATIN_LETTERS, _INDIC_LETTERS, strict=True) if c not in "eE")
+_ADDED = (" ".join(HINDI[:6]), " ".join(NEPALI[:6]), " ".join(HINDI[:3] + NEPALI[:3]), " ".join((HINDI[-1], NEPALI[-1], *HINDI[:2])))
+_INDIC_SQL = f"""SELECT doc_id, CASE WHEN doc_id % 5 < 2 THEN 'hindi' WHEN doc_id % 5 < 4 THEN 'nepali' ELSE 'other' END AS lang,
+    CASE WHEN doc_id % 7 = 3 THEN translate(text, '{_MIXED[0]}', '{_MIXED[1]}') ELSE translate(text, '{_LATIN_LETTERS}', '{_INDIC_LETTERS}') END || CASE doc_id % 6 {' '.join(f"WHEN {k} THEN ' {w}'" for k, w in enumerate(_ADDED))} ELSE '' END AS text FROM norm"""
+_DEV_WORDS = f"SELECT *, {sql_words('text')} AS ws, regexp_replace(text, '[{WS}]+', '', 'g') AS dense, string_split(text, chr(10)) AS ls FROM ({_INDIC_SQL})"
+
+
+def indic(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written in Devanagari, letter by letter, with words of either language."""
+    i = F.col("doc_id")
+    text = F.when(i % 7 == 3, F.translate("text", *_MIXED)).otherwise(F.translate("text", _LATIN_LETTERS, _INDIC_LETTERS))
+    added = reduce(lambda c, kw: c.when(i % 6 == kw[0], f" {kw[1]}"), enumerate(_ADDED), F.when(F.lit(False), "")).otherwise("")
+    lang = F.when(i % 5 < 2, "hindi").when(i % 5 < 4, "nepali").otherwise("other")
+    return T.normalize(documents(spark, sf)).select("doc_id", lang.alias("lang"), F.concat(text, added).alias("text"))
 
 
 def sql_chars(pattern: str) -> str:
@@ -252,20 +259,14 @@ def sql_marked(markers: tuple[str, ...]) -> str:
     return f"len(list_filter(ws, lambda w: trim(w, '{trim}') IN {quoted(markers)}))"
 
 
-def made(spark: SparkSession) -> DataFrame:
-    ship(spark)
-    return spark.createDataFrame(devanagari_rows(), "name string, lang string, text string")
-
-
-@query(f"""SELECT name, lang, CASE WHEN length(text) < {G.min_chars} THEN 'too_short_chars' WHEN len(ws) < {G.min_words} THEN 'too_few_words' WHEN length(dense) = 0 THEN 'empty'
+@query(f"""SELECT doc_id, lang, CASE WHEN length(text) < {G.min_chars} THEN 'too_short_chars' WHEN len(ws) < {G.min_words} THEN 'too_few_words' WHEN length(dense) = 0 THEN 'empty'
         WHEN lang = 'other' OR {sql_chars(DEVANAGARI)} / length(dense) < {G.min_script_ratio} THEN 'low_script' WHEN {sql_chars('[A-Za-z]')} / length(dense) > {G.max_foreign_ratio} THEN 'code_mixed'
         WHEN hi + ne < {G.min_markers} THEN 'no_language_markers' WHEN CASE lang WHEN 'hindi' THEN hi <= ne ELSE ne <= hi END THEN 'wrong_language'
         WHEN len(list_distinct(ws)) / len(ws) < {G.min_unique_word_ratio} THEN 'repetitive' WHEN NOT (length(dense) / len(ws) BETWEEN {G.min_mean_word} AND {G.max_mean_word}) THEN 'bad_mean_word_length'
         WHEN len(list_filter(ws, lambda w: regexp_matches(w, '{gates.SYMBOL_WORD}'))) / len(ws) > {G.max_symbol_ratio} THEN 'symbol_heavy' WHEN 1 - len(list_distinct(ls)) / len(ls) > {G.max_duplicate_line_ratio} THEN 'duplicate_lines' ELSE 'ok' END AS reason
     FROM (SELECT *, {sql_marked(HINDI)} AS hi, {sql_marked(NEPALI)} AS ne FROM ({_DEV_WORDS}))""")
 def devanagari_gates(spark, sf):
-    """Every reason of the cascade, over made texts."""
-    return gates.gated(made(spark), "devanagari").select("name", "lang", "reason")
+    return gates.gated(indic(spark, sf), "devanagari").select("doc_id", "lang", "reason")
 
 
 def sql_fetched(lang: str) -> str:
@@ -274,10 +275,9 @@ def sql_fetched(lang: str) -> str:
         WHEN hi + ne < 3 THEN 'no_language_markers' WHEN {own} <= {other} THEN '{name}' ELSE 'ok' END"""
 
 
-@query(f"SELECT name, lang, {sql_fetched('hindi')} AS for_hindi, {sql_fetched('nepali')} AS for_nepali FROM (SELECT *, {sql_marked(FETCH_HINDI)} AS hi, {sql_marked(FETCH_NEPALI)} AS ne FROM ({_DEV_WORDS}))")
+@query(f"SELECT doc_id, {sql_fetched('hindi')} AS for_hindi, {sql_fetched('nepali')} AS for_nepali FROM (SELECT *, {sql_marked(FETCH_HINDI)} AS hi, {sql_marked(FETCH_NEPALI)} AS ne FROM ({_DEV_WORDS}))")
 def fetched_devanagari(spark, sf):
-    """Every reason of the check of fetched pages, over made texts."""
-    return made(spark).select("name", "lang", gates.fetched_reason(F.col("text"), "hindi").alias("for_hindi"), gates.fetched_reason(F.col("text"), "nepali").alias("for_nepali"))
+    return indic(spark, sf).select("doc_id", gates.fetched_reason(F.col("text"), "hindi").alias("for_hindi"), gates.fetched_reason(F.col("text"), "nepali").alias("for_nepali"))
 
 
 @query(f"SELECT doc_id, {sql_fetched('hindi')} AS reason FROM (SELECT *, {sql_marked(FETCH_HINDI)} AS hi, {sql_marked(FETCH_NEPALI)} AS ne FROM (SELECT doc_id, {sql_words('text')} AS ws, regexp_replace(text, '[{WS}]+', '', 'g') AS dense FROM documents))")
@@ -329,11 +329,7 @@ def minhash_bands(spark, sf):
     return dedup.bands(kept(spark, sf))
 
 
-@query("""SELECT unnest(f.kept).doc_id AS doc_id, unnest(f.kept).near_kept AS near_kept FROM (SELECT list_reduce(list({'doc_id': doc_id, 'keys': keys} ORDER BY class_rank, priority, source, doc_id),
-        lambda acc, x: CASE WHEN list_has_any(acc.owned, x.keys) THEN {'owned': acc.owned, 'kept': list_append(acc.kept, {'doc_id': x.doc_id, 'near_kept': false})}
-            ELSE {'owned': list_concat(acc.owned, x.keys), 'kept': list_append(acc.kept, {'doc_id': x.doc_id, 'near_kept': true})} END,
-        {'owned': []::VARCHAR[], 'kept': []::STRUCT(doc_id BIGINT, near_kept BOOLEAN)[]}) AS f
-    FROM (SELECT k.doc_id, class_rank, priority, source, keys FROM k JOIN (SELECT doc_id, list(band || ':' || key) AS keys FROM banded GROUP BY doc_id) b ON b.doc_id = k.doc_id))""")
+@query(sql_near("k"))
 def near_dup_kept(spark, sf):
     return dedup.near_first(kept(spark, sf), ORDER)
 
@@ -386,12 +382,15 @@ def sql_fill(rows: str, limit: str) -> str:
 _budget = BudgetConfig()
 _f = _budget.min_manual_fraction + _budget.margin
 _manual = int(_budget.manual_target_tokens * _budget.manual_chars_per_token)
-_other = f"least({int(_budget.downloaded_target_tokens * _budget.downloaded_chars_per_token)}, (SELECT floor(sum(n_chars) / {_budget.manual_chars_per_token}::DOUBLE * {1 - _f}::DOUBLE / {_f}::DOUBLE * {_budget.downloaded_chars_per_token}::DOUBLE)::BIGINT FROM k WHERE doc_id IN (SELECT doc_id FROM manual)))"
+def sql_budget(rows: str) -> str:
+    """The ids of rows that a budget keeps: manual ones first, whose characters cap the others."""
+    other = f"least({int(_budget.downloaded_target_tokens * _budget.downloaded_chars_per_token)}, (SELECT floor(sum(n_chars) / {_budget.manual_chars_per_token}::DOUBLE * {1 - _f}::DOUBLE / {_f}::DOUBLE * {_budget.downloaded_chars_per_token}::DOUBLE)::BIGINT FROM {rows} WHERE doc_id IN (SELECT doc_id FROM manual)))"
+    return f"""WITH manual AS MATERIALIZED ({sql_fill(f"{rows} WHERE provenance_class = 'manual'", str(_manual))}),
+    cap AS MATERIALIZED (SELECT {other} AS n), other AS ({sql_fill(f"{rows}, cap WHERE provenance_class <> 'manual'", "cap.n")})
+    SELECT doc_id FROM manual UNION ALL SELECT doc_id FROM other"""
 
 
-@query(f"""SELECT doc_id, n_chars, provenance_class, priority, source FROM k WHERE doc_id IN (WITH manual AS MATERIALIZED ({sql_fill("k WHERE provenance_class = 'manual'", str(_manual))}),
-    cap AS MATERIALIZED (SELECT {_other} AS n), other AS ({sql_fill("k, cap WHERE provenance_class <> 'manual'", "cap.n")})
-    SELECT doc_id FROM manual UNION ALL SELECT doc_id FROM other)""")
+@query(f"SELECT doc_id, n_chars, provenance_class, priority, source FROM k WHERE doc_id IN ({sql_budget('k')})")
 def budget_fill(spark, sf):
     rows = kept(spark, sf).select("doc_id", "n_chars", "provenance_class", "priority", "source")
     return budget.apply_budget(rows, BudgetConfig())[0]
@@ -529,10 +528,30 @@ def cross_language_checks(spark, sf):
     return verify.cross_checks(rows.filter("lang IN ('en', 'de')"), rows.filter("lang NOT IN ('en', 'es')"))
 
 
-@query("SELECT 'tokenizer saw train only' AS name, 1::BIGINT AS violations, false AS passed")
+@query("SELECT * FROM (SELECT 'trained on train' AS name, 0::BIGINT AS violations, true AS passed UNION ALL SELECT 'trained on train and val', v, v = 0 FROM (SELECT count(DISTINCT split) AS v FROM split WHERE split = 'val'))")
 def training_lineage(spark, sf):
-    ship(spark)
-    return verify.lineage_check(spark, {"train", "val"})
+    """Two profiles, of train and of train with val; what each was made of is told by the files that were read for it."""
+    scratch = Scratch(spark, "lineage")
+    rows = kept(spark, sf).select("doc_id", "provenance_class", "source", "text")
+    split = budget.stratified_split(rows.select("doc_id", "provenance_class", "source"), ["provenance_class", "source"])
+    sinks.write_splits(rows.select("doc_id", "text").join(split.select("doc_id", "split"), "doc_id"), f"{scratch.path}/splits")
+    splits = spark.read.parquet(f"{scratch.path}/splits")
+    for name, read in (("train", splits.filter("split = 'train'")), ("train and val", splits.filter("split IN ('train', 'val')"))):
+        sinks.write_model(scoring.profile, read, f"{scratch.path}/{name}", f"trained on {name}")
+    return verify.lineage_check(spark, [f"{scratch.path}/{name}" for name in ("train", "train and val")])
+
+
+@query("SELECT lang, split, count(*) AS documents, sum(length(text))::BIGINT AS n_chars FROM split GROUP BY ALL")
+def counted_sink(spark, sf):
+    """Splits written by language, each with the counts that its own writing pass took."""
+    scratch = Scratch(spark, "counted")
+    rows = budget.stratified_split(kept(spark, sf), ["provenance_class", "source"]).select("doc_id", "lang", "split", "text")
+    rows = scratch.table(rows, "rows")
+    made = [(r.lang, r.split) for r in rows.select("lang", "split").distinct().collect()]
+    for k, (lang, split) in enumerate(made):
+        part = rows.filter((F.col("lang") == lang) & (F.col("split") == split))
+        sinks.write_counted(part, f"{scratch.path}/part-{k}", {"lang": F.max("lang"), "split": F.max("split"), "documents": F.count("*"), "n_chars": F.sum(F.length("text"))})
+    return sinks.read_counts(spark, [f"{scratch.path}/part-{k}" for k in range(len(made))])
 
 
 # --- quality scores ---
@@ -891,12 +910,20 @@ def split_sink(spark, sf):
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE '' END AS content FROM pages")
+def gzipped(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    import gzip
+
+    for part in parts:
+        yield pd.Series([gzip.compress(x) for x in part], dtype=object)
+
+
+@query("SELECT page_id, md5(CASE WHEN page_id % 3 = 2 THEN url ELSE html END) AS content_md5 FROM pages")
 def gunzip_by_content(spark, sf):
-    """Fetched files, here none of them compressed: what isn't gzip stays as it is."""
-    ship(spark)
-    rows = table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise("").cast("binary").alias("content"))
-    return rows.select("page_id", records.gunzipped(F.col("content")).cast("string").alias("content"))
+    """Pages as they were fetched: a third compressed, a third not, and a third short answers of a few bytes."""
+    r = F.col("page_id") % 3
+    html = F.col("html").cast("binary")
+    rows = table(spark, sf, "pages").select("page_id", F.when(r == 0, F.pandas_udf(gzipped, "binary")(html)).when(r == 1, html).otherwise(F.col("url").cast("binary")).alias("content"))
+    return rows.select("page_id", F.md5(records.gunzipped(F.col("content"))).alias("content_md5"))
 
 
 @query("SELECT host, delay FROM (SELECT host, 1.5 * (1 + count(*) % 4)::DOUBLE AS delay FROM hosts GROUP BY host) WHERE delay > 3.0 ORDER BY delay DESC, host LIMIT 4")
@@ -987,9 +1014,12 @@ def manual_plan(spark, sf):
     return one.select(*((F.round(c, 9) if k == "url_headroom" else c).alias(k) for k, c in made.items()))
 
 
-@query("SELECT s AS d_model, floor(216000 * 8192 / pow(65e9, 0.83) * pow(15000000, 0.83) / s)::BIGINT AS vocab_size FROM (SELECT unnest([256, 512, 1024]) AS s)")
+@query("SELECT lang, d_model, floor(216000::DOUBLE * 8192 / pow(65e9::DOUBLE, 0.83::DOUBLE) * pow(greatest(1, tokens // 20)::DOUBLE, 0.83::DOUBLE) / d_model)::BIGINT AS vocab_size FROM (SELECT lang, sum(nw)::BIGINT AS tokens FROM k GROUP BY lang), (SELECT unnest([16, 32, 64]) AS d_model)")
 def scaling_law(spark, sf):
-    return spark.createDataFrame([(s, tokens.scaling_law_vocab(15_000_000, s)) for s in (256, 512, 1024)], "d_model int, vocab_size long")
+    """The vocabulary for a model of a parameter for each twenty words of a language, in three widths."""
+    words = kept(spark, sf).groupBy("lang").agg(F.sum(F.size(T.words(F.col("text")))).alias("tokens"))
+    sized = words.select("lang", F.explode(F.array(*map(F.lit, (16, 32, 64)))).alias("d_model"), F.expr("tokens div 20").alias("parameters"))
+    return sized.select("lang", "d_model", tokens.scaling_law_vocab(F.col("parameters"), F.col("d_model")).alias("vocab_size"))
 
 
 @query("SELECT provenance_class, abs(sum(n_chars) / sum(nw) - 6.0) > 0.05 AS drifted FROM k GROUP BY provenance_class")
@@ -1047,13 +1077,15 @@ def nfc_audit(spark, sf):
     return tokens.not_nfc(table(spark, sf, "documents"))
 
 
-@query()
+@query(f"""SELECT doc_id, provenance_class, source, lang, n_chars, CASE WHEN n < 20 THEN 'train' WHEN rn <= greatest(1, floor(n * 0.01)) THEN 'val' WHEN rn <= greatest(1, floor(n * 0.01)) * 2 THEN 'test' ELSE 'train' END AS split
+    FROM (SELECT *, count(*) OVER (PARTITION BY provenance_class, source) AS n, row_number() OVER (PARTITION BY provenance_class, source ORDER BY {sql_shuffle('doc_id')}, doc_id) AS rn FROM c WHERE doc_id IN ({sql_budget('c')}))""")
 def corpus_build(spark, sf):
     """The whole build: gates, exact and near dedup, budget, split."""
     return build(documents(spark, sf), BuildConfig()).corpus.select("doc_id", "provenance_class", "source", "lang", "n_chars", "split")
 
 
-@query()
+@query("""SELECT lang, reason, count(*) AS documents, sum(n_boilerplate)::BIGINT AS boilerplate_lines FROM (SELECT lang, n_boilerplate, CASE WHEN reason <> 'ok' THEN reason WHEN doc_id NOT IN (SELECT doc_id FROM uniq) THEN 'exact_duplicate' WHEN doc_id NOT IN (SELECT doc_id FROM c) THEN 'near_duplicate' ELSE 'ok' END AS reason FROM gated)
+    GROUP BY lang, reason""")
 def dedup_build(spark, sf):
     """The build without a budget, as a table of reasons."""
     return build(documents(spark, sf), BuildConfig(budget=None)).reasons

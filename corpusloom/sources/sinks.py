@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.dedup import append_new
@@ -20,6 +22,35 @@ def append_records(df: DataFrame, to: str, order: list[str]) -> None:
     append_new(df, existing, order).write.mode("append").parquet(to)
 
 
+def write_counted(df: DataFrame, to: str, counts: dict[str, Column]) -> dict:
+    """Write df, and beside it (at `to`_counts) one row of aggregates that the same pass took."""
+    watch = Observation()
+    df.observe(watch, *(c.alias(k) for k, c in counts.items())).write.mode("overwrite").parquet(to)
+    found = watch.get
+    df.sparkSession.createDataFrame([tuple(found[k] for k in counts)], list(counts)).coalesce(1).write.mode("overwrite").parquet(f"{to}_counts")
+    return found
+
+
+def read_counts(spark: SparkSession, written: list[str]) -> DataFrame:
+    """The rows of counts beside written tables."""
+    return reduce(DataFrame.unionByName, (spark.read.parquet(f"{w}_counts") for w in written))
+
+
+#: The folder of a split in the path of a file.
+SPLIT = "/split=([^/]*)/"
+
+
+def write_model(make: Callable[[DataFrame], DataFrame], rows: DataFrame, to: str, name: str) -> None:
+    """Write what `make` makes of rows read from splits, and beside it (at `to`_lineage) its name, the rows that it read and the splits that their files belong to, as seen while it was made."""
+    watch = Observation()
+    seen = F.regexp_extract(F.col("_metadata.file_path"), SPLIT, 1)
+    watched = rows.withColumn("_split", seen).observe(watch, F.count("*").alias("n_rows"), F.collect_set("_split").alias("splits")).drop("_split")
+    make(watched).write.mode("overwrite").parquet(to)
+    found = watch.get
+    one = rows.sparkSession.createDataFrame([(name, found["n_rows"], sorted(found["splits"] or []))], "name string, n_rows long, splits array<string>")
+    one.coalesce(1).write.mode("overwrite").parquet(f"{to}_lineage")
+
+
 def write_splits(df: DataFrame, to: str, form: str = "parquet") -> None:
     """Write df by its split column, so that a split is read without the others."""
     df.write.mode("overwrite").partitionBy("split").format(form).save(to)

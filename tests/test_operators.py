@@ -19,7 +19,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.config import HINDI, NEPALI, BudgetConfig, DedupConfig, IngestConfig, pick
+from corpusloom.config import HINDI, NEPALI, PROFILES, BudgetConfig, DedupConfig, IngestConfig, pick
 from corpusloom.functions import text as T
 from corpusloom.operators import budget, dedup, gates, scoring, stats, tokens, verify, web
 from corpusloom.sources import records, sinks
@@ -246,14 +246,58 @@ def test_answers_do_not_depend_on_partitions(spark, parts):
 # --- verification, scores, tokens ---
 
 
-def test_checks_find_what_is_wrong(spark):
+def test_lineage_and_counts_come_from_the_writing_pass(spark, tmp_path):
+    to, reads = str(tmp_path), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    df = spark.range(100).withColumn("split", F.when(F.col("id") < 90, "train").otherwise("val"))
+    found = sinks.write_counted(df.mapInArrow(count, df.schema), f"{to}/t", {"n": F.count("*"), "total": F.sum("id")})
+    assert found == {"n": 100, "total": 4950} and reads.value == 100
+    assert sinks.read_counts(spark, [f"{to}/t", f"{to}/t"]).collect() == [(100, 4950)] * 2
+    sinks.write_splits(df, f"{to}/splits")
+    splits = spark.read.parquet(f"{to}/splits")
+    sinks.write_model(lambda rows: rows.groupBy().agg(F.sum("id").alias("x")), splits.filter("split = 'train'"), f"{to}/m", "m")
+    assert spark.read.parquet(f"{to}/m_lineage").collect() == [("m", 90, ["train"])] and spark.read.parquet(f"{to}/m").collect() == [(4005,)]
+
+
+def test_devanagari_gates(spark):
+    """Each outcome of the cascade, for the language of the text, the other one, and one without a profile."""
+    hindi, nepali = (p.markers for p in PROFILES["devanagari"])
+    letters = [chr(0x0915 + i) for i in range(30)]
+    plain = [f"शब्द{letters[i % 30]}{letters[i // 30]}" for i in range(80)]
+    rows = {
+        "too_short_chars": ["क" * 10],
+        "too_few_words": ["क" * 500],
+        "low_script": [f"मान{'abcdefgh'[i % 8]}{'xyzwvuts' * 2}{i}" for i in range(60)],
+        "code_mixed": [*plain, *hindi[:6], *["latin"] * 16],
+        "no_language_markers": plain,
+        "wrong_language": [*plain, *hindi[:3], *nepali[:3]],
+        "repetitive": [*hindi[:4], *["शब्दशब्द", "दूसराशब्द"] * 60],
+        "bad_mean_word_length": [*("क" * 20 + letters[i % 30] + letters[i // 30] for i in range(60)), *hindi[:4]],
+        "symbol_heavy": [*plain[:60], *hindi[:6], *(f"चिह्न{letters[i]}#" for i in range(15))],
+        "duplicate_lines": [*plain, *hindi[:6], *(f"\nछोटी पंक्ति {letters[i % 2]}" for i in range(8))],
+        "ok": [*plain, *hindi[:6], "है।", "(था)"],
+    }
+    made = spark.createDataFrame([(k, " ".join(v).replace(" \n", "\n"), lang) for k, v in rows.items() for lang in ("hindi", "nepali", "other")], "name string, text string, lang string")
+    got = {(r.name, r.lang): r.reason for r in gates.gated(made, "devanagari").collect()}
+    assert all(got[k, "hindi"] == k for k in rows) and got["ok", "nepali"] == "wrong_language" and got["ok", "other"] == "low_script"
+
+
+def test_checks_find_what_is_wrong(spark, tmp_path):
+    trained = {"train": f"{tmp_path}/a", "all": f"{tmp_path}/b"}
+    spark.createDataFrame([("tokenizer", ["train"])], "name string, splits array<string>").write.parquet(f"{tmp_path}/a_lineage")
+    spark.createDataFrame([("tokenizer", ["train", "val"])], "name string, splits array<string>").write.parquet(f"{tmp_path}/b_lineage")
     good = [(1, "abc", "manual", "train"), (2, "abd", "downloaded", "val")]
     schema = "doc_id long, text string, provenance_class string, split string"
-    ok = verify.checks(spark.createDataFrame(good, schema), spark.createDataFrame([(9, "zz", "manual", "train")], schema), trained_on={"train"})
+    ok = verify.checks(spark.createDataFrame(good, schema), spark.createDataFrame([(9, "zz", "manual", "train")], schema), models=[trained["train"]])
     assert all(r.passed for r in ok.collect()) and ok.count() == 6
     bad = spark.createDataFrame([*good, (1, "x", None, "test"), (3, "A B C", "manual", "test")], schema)
     tokens_ = spark.createDataFrame([("manual", 19_996), ("downloaded", 80_004)], "provenance_class string, n_tokens long")
-    failed = {r.name for r in verify.checks(bad, spark.createDataFrame(good[:1], schema), tokens_, trained_on={"train", "val"}).collect() if not r.passed}
+    failed = {r.name for r in verify.checks(bad, spark.createDataFrame(good[:1], schema), tokens_, models=[trained["all"]]).collect() if not r.passed}
     assert len(failed) == 7
 
 
@@ -303,7 +347,7 @@ def test_elbow(spark):
     rows = [("a", 1000, 2.0, 0.0, 0.0), ("a", 2000, 1.5, 0.0, 0.0), ("a", 4000, 1.49, 0.0, 0.0), ("b", 1000, 2.0, 0.5, 0.0), ("b", 2000, 1.0, 0.4, 0.0), ("c", 1, 2.0, 0.0, 0.0), ("c", 2, 2.1, 0.0, 0.0), ("d", 1, 2.0, 0.0, 0.0), ("d", 2, 1.0, 0.0, 0.0)]
     df = spark.createDataFrame(rows, "model_type string, vocab_size int, fertility double, byte_fallback_rate double, unk_rate double")
     assert {(r.model_type, r.vocab_size) for r in tokens.elbow(df).filter("selected").collect()} == {("a", 2000), ("b", 2000), ("c", 1), ("d", 2)}
-    assert tokens.scaling_law_vocab(15_000_000, 512) == 3311
+    assert spark.range(1).select(tokens.scaling_law_vocab(F.lit(15_000_000), F.lit(512))).head()[0] == 3311
 
 
 def test_a_forced_size_keeps_its_reason(spark):
