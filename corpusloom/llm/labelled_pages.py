@@ -15,4 +15,11 @@ PAGES = """
 <html><body><div id="x1"><h3>W W</h3><div><a>W</a></div><div><a>W</a></div></div><div id="x2" data-main><div>W W W W W W W W W W W</div><h3>W W W</h3><div>W W W W W W <b>W</b> W W W</div><p>W W <a>W W W W</a> W W</p><h2>W W W</h2><div>W W W W W W W</div></div><div id="x3"><h3>W</h3><p><a>W W W</a></p><p><a>W W</a></p><p><a>W W W W</a></p></div></body></html>
 <html><body><center><a>W</a> <a>W</a> <a>W</a></center><h1 data-main>W W W W</h1><div data-main><p>W W W W W W W W<p>W W W W W W<p>W W W W W W W W W</div><p><a>W</a> - <a>W</a></p><center>W W</center></body></html>
 <html><body><ul><li><a>W</a></li><li><a>W</a></li></ul><section data-main><h1>W W</h1><p>W W W W W W W W W W</p><blockquote>W W W W W</blockquote><p>W W W W W W W</p></section><section><h2>W W</h2><ul><li><a>W W W</a></li><li><a>W W W W</a></li></ul></section><div>W W <a>W</a></div></body></html>
+<html><body><div id="page" class="site wrapper"><header class="site-header"><p>W</p></header><div class="site-content container row"><article data-main><header class="entry-header"><h1>W W</h1><div class="byline meta">W W</div></header><div class="entry-content"><p>W W W W</p><div class="text-widget"><p>W W W</p></div><p>W W</p><div class="row"><div class="col"><p>W W W</p></div></div><div class="note box"><p>W W</p></div><div class="ad-slot sponsored" data-out><p>W</p></div><div class="related recommended" data-out><p>W W</p></div><div class="newsletter promo signup" data-out><p>W</p></div></div></article></div><div id="disqus_thread" class="responses"><p>W W W W</p></div><footer><p>W</p></footer></div></body></html>
+<html><body><div class="layout has-sidebar page"><div class="primary column"><article data-main class="hentry"><h1>W</h1><div><p>W W W W W</p></div><div><p>W W W</p><table><tr><td>W W</td></tr></table></div><div class="share social" data-out><p>W</p></div><div class="comments" data-out><p>W W W</p></div></article></div><div class="secondary sidebar"><p>W W</p></div></div><div class="gdpr bar"><p>W W</p></div></body></html>
+<html><body><form id="form" class="page"><div class="top"><a>W</a><a>W</a></div><div class="middle" data-main><h2>W W W</h2><p>W W W W W W W</p><p>W W W W W W</p></div><div class="bottom"><p>W W</p></div></form></body></html>
+<html><body><div class="reader header-fixed social"><main data-main><h1>W W</h1><p>W W W W</p><div class="text"><p>W W W W</p></div><section class="widget"><p>W W W</p></section></main></div><div class="outbrain taboola"><p>W W W</p></div><div class="recommended trending popular"><p>W W W</p></div></body></html>
+<html><body><main class="site-main"><article data-main class="post"><p>W W W</p><div class="body"><div class="legal-text"><p>W W W</p></div><p>W W W</p></div></article><div class="responses feedback opinions"><div><p>W W W W</p></div><div><p>W W W W</p></div></div><div class="outbrain sponsored-links"><p>W W</p></div></main></body></html>
+<html><body><div class="container"><div class="row"><div class="post-body" data-main><div class="paragraph">W W W W W W</div><div class="paragraph">W W W W W</div><div class="advert" data-out>W W</div><div class="paragraph">W W W W</div></div><div class="sidebar"><div class="widget"><p>W W</p></div></div></div><div class="row"><div id="disqus_thread"><p>W W W</p></div></div><div class="gdpr consent privacy"><p>W W</p></div></div></body></html>
+<html><body><section class="layout site"><div class="wrapper"><h1 data-main>W W W</h1><div class="story-text" data-main><p>W W W W W W</p><p>W W W W</p><figure><figcaption>W W</figcaption></figure><div class="pullquote"><p>W W</p></div></div><div class="opinions thread replies"><div class="reply"><p>W W</p></div><div class="reply"><p>W W</p></div></div></div><footer><p>W</p></footer></section></body></html>
 """.replace("W", "word").strip().split("\n")
