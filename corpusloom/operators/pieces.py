@@ -72,8 +72,8 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("*", (F.col("kind") == BYTE).alias("is_byte"), (F.col("kind") == UNKNOWN).alias("is_unknown"))
 
 
-def merged(word: str, scores: dict[str, float]) -> list[str]:
-    """The parts of a word after all merges: of all neighbours that are a piece together those with the highest score first, the leftmost of equal ones."""
+def merged(word: str, scores: dict[str, float], used: list[str] | None = None) -> list[str]:
+    """The parts of a word after all merges: of all neighbours that are a piece together those with the highest score first, the leftmost of equal ones. used takes every piece that was made."""
     parts: list[str | None] = list(word)
     after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
     open_: list[tuple[float, int, str, str]] = []
@@ -90,6 +90,8 @@ def merged(word: str, scores: dict[str, float]) -> list[str]:
         if parts[i] != left or j >= len(parts) or parts[j] != right:
             continue
         parts[i], parts[j], after[i] = left + right, None, after[j]
+        if used is not None:
+            used.append(left + right)
         if after[i] < len(parts):
             before[after[i]] = i
         offer(before[i], i)
@@ -140,6 +142,52 @@ def encoded_words(found: DataFrame, path: str) -> DataFrame:
     return found.select("word").mapInArrow(run, "word string, ids array<int>, n_bytes long, n_unknown long")
 
 
+def sweep(df: DataFrame, path: str, sizes: tuple[int, ...]) -> DataFrame:
+    """vocab_size, words, tokens, fertility, unk_rate, byte_fallback_rate of df (text) under a vocabulary cut to each size.
+
+    A smaller vocabulary of the same merges has the first of them, and all single characters and bytes. The texts
+    are read once, for the counts of their words; each distinct word is then encoded with every size, anew only
+    where the next larger size made a piece that the smaller one lacks.
+    """
+    vocab, sizes = read_vocabulary(path), tuple(sorted(sizes, reverse=True))
+    own = [(p, s) for _, p, s, kind in vocab if kind in (NORMAL, UNUSED)]
+    made, has_bytes = [x for x in own if len(x[0]) > 1], sum(kind == BYTE for *_, kind in vocab) == 256
+    turn = {p: k for k, (p, _) in enumerate(made)}
+    most = {size: max(0, size - len(vocab) + len(made)) for size in sizes}
+    scores = {size: dict([x for x in own if len(x[0]) == 1] + made[: most[size]]) for size in sizes}
+
+    def measure(word: str) -> list[tuple[int, int, int, int]]:
+        out, last, row = [], None, None
+        for size in sizes:
+            if last is None or last >= most[size]:
+                used: list[str] = []
+                parts, known = merged(word, scores[size], used), scores[size]
+                last = max((turn[p] for p in used), default=-1)
+                lost = [p for p in parts if p not in known]
+                n_bytes = sum(len(p.encode()) for p in lost) if has_bytes else 0
+                gaps = 0 if has_bytes else sum(p not in known and (not i or parts[i - 1] in known) for i, p in enumerate(parts))
+                row = (len(parts) - len(lost) + n_bytes + gaps, n_bytes, gaps)
+            out.append((size, *row))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(n, *m) for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True) for m in measure(word)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["n", "vocab_size", "tokens", "n_bytes", "n_unknown"])
+
+    rows = df.select("text", F.size(words(F.col("text"))).alias("_w")).filter("_w > 0")
+    scratch = Scratch(df.sparkSession, "sweep")
+    counts = scratch.table(rows.select(F.explode(marked_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
+    total = lambda c: F.sum(F.col("n") * F.col(c))
+    found = counts.mapInArrow(run, "n long, vocab_size long, tokens long, n_bytes long, n_unknown long")
+    found = found.groupBy("vocab_size").agg(total("tokens").alias("tokens"), total("n_bytes").alias("f"), total("n_unknown").alias("u"))
+    # One row for all texts beside each size.
+    worded = rows.agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("words"))
+    share = lambda a, b: F.try_divide(F.col(a), F.col(b))
+    return found.crossJoin(F.broadcast(worded)).select("vocab_size", "words", "tokens", share("tokens", "words").alias("fertility"), share("u", "tokens").alias("unk_rate"), share("f", "tokens").alias("byte_fallback_rate"))
+
+
 def word_pieces(df: DataFrame, path: str, by: list[str], scratch: Scratch) -> DataFrame:
     """by, word, n, ids, n_bytes, n_unknown: the marked words of df (text) in each group, and what each distinct one is encoded as. A written table."""
     counts = df.select(*by, F.explode(marked_words(F.col("text"))).alias("word")).groupBy(*by, "word").agg(F.count("*").alias("n"))

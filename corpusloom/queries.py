@@ -1072,6 +1072,13 @@ def piece_length_histogram(spark, sf):
     return tokens.piece_lengths(piece_counts(spark, sf), pieces.vocabulary(spark, _model()))
 
 
+@query()
+def vocab_sweep(spark, sf):
+    """The given vocabulary cut to six sizes: what each makes of the texts, and which one is chosen."""
+    rows = pieces.sweep(kept(spark, sf), _model(), (4000, 6000, 8000, 12_000, 16_000, 32_000))
+    return tokens.elbow(rows.withColumn("model_type", F.lit("bpe")), 0.06, 0.02)
+
+
 @query("SELECT count(*) AS documents, count(*) FILTER (WHERE nfc_normalize(text) <> text) AS not_nfc FROM documents")
 def nfc_audit(spark, sf):
     return tokens.not_nfc(table(spark, sf, "documents"))

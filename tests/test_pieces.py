@@ -74,3 +74,31 @@ def test_merges_go_by_score_then_from_the_left():
     assert merged("aaa", {"aa": 0.0}) == ["aa", "a"]
     assert merged("abc", {"ab": -2.0, "bc": -1.0}) == ["a", "bc"]
     assert merged("abab", {"ab": -1.0, "abab": -2.0}) == ["abab"] and merged("", {}) == []
+
+
+def test_sweep_equals_an_encoder_for_each_size(spark, texts, tmp_path):
+    """Each size of the sweep gives what a model file cut to that size gives."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    from corpusloom.operators.pieces import sweep
+
+    more = [*texts, "Restes bleble the ersteres übernommen heines thingtible", "la eaux des ñandú que vient inheedblein"]
+    df = spark.createDataFrame([(t,) for t in more], "text string").repartition(3)
+    sizes = (3600, 5000, 9000, 32_000)
+    got = {r.vocab_size: r for r in sweep(df, PATH, sizes).collect()}
+    worded = [t for t in more if any(w for w in (t or "").replace("\n", " ").split(" "))]
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(open(PATH, "rb").read())
+    for size in sizes:
+        cut = sentencepiece_model_pb2.ModelProto()
+        cut.CopyFrom(proto)
+        made = [p for p in proto.pieces if p.type == 1 and len(p.piece) > 1]
+        gone = {p.piece for p in made[max(0, size - len(proto.pieces) + len(made)) :]}
+        del cut.pieces[:]
+        cut.pieces.extend(p for p in proto.pieces if p.piece not in gone)
+        assert len(cut.pieces) == size
+        library = spm.SentencePieceProcessor(model_proto=cut.SerializeToString())
+        ids = [library.encode(t) for t in worded]
+        n = sum(map(len, ids))
+        assert got[size].tokens == n and got[size].byte_fallback_rate == pytest.approx(sum(library.is_byte(i) for x in ids for i in x) / n) and got[size].unk_rate == 0
+    assert sweep(df.limit(0), PATH, sizes).count() == 0
