@@ -183,12 +183,17 @@ def plan(c: Corpus) -> None:
 
 
 def count(c: Corpus) -> None:
-    """Tokens by split and class, and whether the requirements hold."""
-    rows = c.read("splits").withColumn("n", F.size(words(F.col("text"))))
-    tokens.rollup(rows, F.col("n")).write.mode("overwrite").parquet(c.at("stats/tokens"))
-    counted = tokens.totals(rows, F.col("n"), ["provenance_class"])
-    verdict = tokens.requirements(counted, c.target, c.min_manual_fraction)
-    verdict.write.mode("overwrite").parquet(c.at("stats/requirements"))
+    """Tokens by split and class, and whether the requirements hold: pieces of the chosen model, or else of the first one given; words without any."""
+    rows, by = c.read("splits"), ["split", "provenance_class"]
+    if c.models:
+        chosen = c.read("stats/tokenizer").head() if records.exists(c.spark, c.at("stats/tokenizer")) else None
+        found = pieces.piece_totals(rows, chosen.model if chosen else c.models[0], by)
+    else:
+        found = tokens.totals(rows, F.size(words(F.col("text"))), by)
+    found = Scratch(c.spark, "count").table(found, "tokens")
+    sums = [F.sum(n).alias(n) for n in ("documents", "n_tokens", "n_chars")]
+    found.rollup(*by).agg(*sums).write.mode("overwrite").parquet(c.at("stats/tokens"))
+    tokens.requirements(found.groupBy("provenance_class").agg(*sums), c.target, c.min_manual_fraction).write.mode("overwrite").parquet(c.at("stats/requirements"))
     r = c.read("stats/requirements").head()
     c.passed = c.passed and not (r.fails_unlabelled or r.fails_fraction)
 

@@ -466,6 +466,50 @@ def test_streaming_ingest(spark, tmp_path):
     assert spark.read.parquet(str(to)).count() == 3
 
 
+def test_streaming_ingest_by_source(spark, tmp_path, monkeypatch):
+    from corpusloom.streaming import ingest as module
+
+    source, to, state = tmp_path / "in", f"{tmp_path}/out", f"{tmp_path}/state"
+    source.mkdir()
+    text = REASONS["ok"]
+    n, taken = len(text), []
+
+    def put(name, rows):
+        (source / name).write_text("".join(json.dumps({"text": text, "doc_id": d, "source": s, "collected_at": at}) + "\n" for d, s, at in rows))
+
+    def run():
+        module.ingest_sources(spark, str(source), to, state, gates.DEVANAGARI, budget=3 * n, expire="10 days").awaitTermination()
+        return sorted((r.source, r.doc_id) for r in spark.read.parquet(to).collect())
+
+    day = lambda d: f"2024-01-{d:02d}T00:00:00Z"
+    put("1.jsonl", [("a", "x", day(1)), ("a", "x", day(1)), ("b", "x", day(2)), ("a", "y", day(1)), (None, "y", day(2)), ("c", None, day(2))])
+    taken = run()
+    assert len(taken) == 5 and ("unknown", "c") in taken and taken.count(("x", "a")) == 1
+    # Two more of x, of which the first crosses its budget; a is known still.
+    put("2.jsonl", [("d", "x", day(4)), ("e", "x", day(5)), ("a", "x", day(3)), ("z", "y", day(4))])
+    real, calls = module.running_total, []
+
+    def fails_once(*args):
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("lost")
+        return real(*args)
+
+    monkeypatch.setattr(module, "running_total", fails_once)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    again = run()
+    assert sorted(set(again) - set(taken)) == [("x", "d"), ("y", "z")] and len(again) == 7
+    sums = {r.source: (r.documents, r.n_chars, r.reached.day) for r in module.held_by_source(spark, to).collect()}
+    assert sums == {"x": (3, 3 * n, 4), "y": (3, 3 * n, 4), "unknown": (1, n, 2)}
+    # Much later the ids of the first days are forgotten; sources whose budget is used up get nothing more.
+    put("3.jsonl", [("q", "new", day(28)), ("g", "x", day(28))])
+    run()
+    put("4.jsonl", [("c", None, day(29)), ("q", "new", day(29))])
+    last = run()
+    assert last.count(("unknown", "c")) == 2 and last.count(("new", "q")) == 1 and ("x", "g") not in last
+
+
 def test_all_else_works_without_the_training_data_operators(tmp_path):
     to = tmp_path / "repo"
     shutil.copytree(ROOT, to, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
