@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import BOILERPLATE, DENY_LINK, DENY_URL, DEVANAGARI, DOWNLOADED_METHODS, DOWNLOADED_NAMES, FETCH_HINDI, FETCH_NEPALI, HINDI, MANUAL_METHODS, MANUAL_NAMES, NEPALI, PROFILES, SEED, SOURCE_MARKERS, BudgetConfig, BuildConfig, GateConfig
 from corpusloom.functions import text as T
-from corpusloom.operators import budget, dedup, gates, pieces, scoring, stats, tokens, verify, walk, web
+from corpusloom.operators import budget, dedup, gates, maintext, pieces, scoring, stats, tokens, verify, walk, web
 from corpusloom.plans.build import ORDER, build, cleaned, with_provenance
 from corpusloom.scratch import Scratch
 from corpusloom.session import ship, spread
@@ -634,6 +634,13 @@ def html_paragraphs(spark, sf):
     return table(spark, sf, "pages").select("page_id", web.paragraph_text(F.col("html")).alias("text"))
 
 
+@query()
+def main_text(spark, sf):
+    """The main text of every page, and the pass that found it."""
+    rows = table(spark, sf, "pages").select("page_id", maintext.main_text(F.col("html")).alias("m"))
+    return rows.select("page_id", "m.text", "m.extractor")
+
+
 @query("SELECT page_id, href FROM links")
 def hrefs(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode(web.hrefs(F.col("html"))).alias("href"))
