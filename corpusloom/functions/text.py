@@ -18,15 +18,15 @@ FURNITURE = "(?iu)" + BOILERPLATE
 NOT_WORD = r"[^\p{L}\p{N}_\x{0900}-\x{097F}]+"
 
 
-def _tidied(drop_first: str, drop_after: str, danda: bool) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+def tidied(drop_first: str, drop_after: str, danda: bool) -> Callable[[str | None], str | None]:
+    """The normal form of a text: NFC, without some characters (before or after that), lines trimmed, white space collapsed, empty lines dropped."""
     first, after = (dict.fromkeys(map(ord, x)) for x in (drop_first, drop_after))
     spaced = re.compile(r"\s*([।॥])\s*")
 
-    def tidied(text: str | None) -> str | None:
+    def tidy(text: str | None) -> str | None:
         if text is None:
             return None
-        plain = text.isascii()
-        if not plain:
+        if not text.isascii():
             if first:
                 text = text.translate(first)
             if not unicodedata.is_normalized("NFC", text):
@@ -37,13 +37,25 @@ def _tidied(drop_first: str, drop_after: str, danda: bool) -> Callable[[Iterator
                 text = spaced.sub(r"\1 ", text)
         return "\n".join([line for x in text.splitlines() if (line := " ".join(x.split()))])
 
+    return tidy
+
+
+def _tidied(drop_first: str, drop_after: str, danda: bool) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+    tidy = tidied(drop_first, drop_after, danda)
+
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
-            yield pd.Series([tidied(t) for t in s], dtype=object)
+            yield pd.Series([tidy(t) for t in s], dtype=object)
 
     return run
 
 
+def furniture_lines() -> Callable[[str], bool]:
+    """Whether a line is page furniture, as strip_boilerplate has it."""
+    found = re.compile(BOILERPLATE.replace(r"\p{Nd}", r"\d"), re.I).search
+    return lambda line: len(line) < 120 and found(line) is not None
+
+
 def normalize(df: DataFrame, column: str = "text") -> DataFrame:
     """Without zero-width characters and soft hyphens, in NFC, dandas with one space after and none before, lines trimmed, white space collapsed, empty lines dropped.
 

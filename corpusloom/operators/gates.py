@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.config import DEVANAGARI, FETCH_HINDI, FETCH_NEPALI, PROFILES, SYMBOLS, GateConfig, IngestConfig, Profile
-from corpusloom.functions.text import SPACE, count_chars, dense, lines, words
+from corpusloom.functions.text import SPACE, count_chars, furniture_lines, lines, tidied, words
 
 SYMBOL_WORD = "[" + re.sub(r"([\\\\^\]\[-])", r"\\\1", SYMBOLS) + "]"
 
@@ -33,53 +35,107 @@ def ratio(part: Column, whole: Column) -> Column:
     return part / F.nullif(whole, F.lit(0))
 
 
-def gated(df: DataFrame, group: str = "latin", cfg: GateConfig = GateConfig()) -> DataFrame:
+def _python(pattern: str) -> str:
+    """A character class in Python's syntax."""
+    return re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), pattern)
+
+
+def _kinds(profiles: tuple[Profile, ...]) -> list[str]:
+    """The different scripts that the languages of a group have or don't want."""
+    return list(dict.fromkeys(k for p in profiles for k in (p.script, p.foreign) if k))
+
+
+def _fields(profiles: tuple[Profile, ...]) -> list[str]:
+    """What a text is measured by: characters, words, characters without spaces, distinct words, words with symbols, lines, distinct lines; characters of each script; markers of each language."""
+    return ["n_chars", "n_words", "n_dense", "n_distinct", "n_symbols", "n_lines", "n_distinct_lines", *(f"kind_{i}" for i in range(len(_kinds(profiles)))), *(f"markers_{p.lang}" for p in profiles)]
+
+
+def _measurer(profiles: tuple[Profile, ...]) -> Callable[[str], tuple[int, ...]]:
+    """Takes the measures of a tidied text, in which single spaces and line ends part words."""
+    kinds = [re.compile(f"{_python(k)}+") for k in _kinds(profiles)]
+    symbol, trim, markers = re.compile(_python(SYMBOL_WORD)).search, profiles[0].trim, [frozenset(p.markers) for p in profiles]
+    every = frozenset().union(*markers)
+
+    def measure(text: str) -> tuple[int, ...]:
+        ws = [w for w in text.replace("\n", " ").split(" ") if w]
+        ls = text.split("\n")
+        found = [b for b in [w.strip(trim) for w in ws] if b in every]
+        n, odd = len(text), sum(1 for w in ws if symbol(w)) if symbol(text) else 0
+        return (n, len(ws), n - text.count(" ") - text.count("\n"), len(set(ws)), odd, len(ls), len(set(ls)), *(n - len(k.sub("", text)) for k in kinds), *(sum(b in m for b in found) for m in markers))
+
+    return measure
+
+
+def _measured(group: str, clean: bool) -> Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]]:
+    profiles = PROFILES[group]
+    tidy, furniture, names = tidied("\ufeff\u200b\xad", "", True), furniture_lines(), ["text", "n_boilerplate", *_fields(profiles)]
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        measure = _measurer(profiles)
+        for s in parts:
+            rows = []
+            for text in s:
+                if text is None:
+                    rows.append((None,) * len(names))
+                    continue
+                gone = 0
+                if clean:
+                    text = tidy(text)
+                    ls = text.split("\n")
+                    kept = [x for x in ls if not furniture(x)]
+                    gone = len(ls) - len(kept)
+                    text = "\n".join(kept) if gone else text
+                rows.append((text if clean else "", gone, *measure(text)))
+            found = pd.DataFrame(rows, columns=names)
+            found["text"] = found["text"].astype(object)
+            yield found.astype({c: "Int32" for c in names[1:]})
+
+    return run
+
+
+def gated(df: DataFrame, group: str = "latin", cfg: GateConfig = GateConfig(), clean: bool = False) -> DataFrame:
     """df (tidied text, lang) with reason: why a text is not for the corpus, by the profile of its language in the group.
 
-    Each measure is a column that is made once, in one pass over the rows: the words, those that are markers
-    of any language, and the number of markers of each. The reason comes from a generator, which filters on it
-    don't pass: pushed down, they would repeat all expressions below. A language outside the group has no
-    script or markers, and is rejected as low_script.
+    All measures of a text are taken in one pass over it in an Arrow batch, and the cascade is an expression of
+    those numbers: lambdas over a text's words take some twenty times as long in the JVM, where they are
+    interpreted. With clean, the same pass tidies raw texts and takes out furniture lines first, and n_boilerplate
+    tells how many; so texts go to Python and back once. A language outside the group has no script or markers,
+    and is rejected as low_script.
     """
-    profiles = PROFILES[group]
-    every = sorted({m for p in profiles for m in p.markers})
-    rows = df.withColumns({"_words": words(F.col("text")), "_total": F.length(dense(F.col("text")))})
-    rows = rows.withColumn("_markers", F.filter(trimmed(F.col("_words"), profiles[0]), lambda w: w.isin(*every)))
-    rows = rows.withColumn("_counts", F.struct(*(marker_count(F.col("_markers"), p).alias(p.lang) for p in profiles)))
-    reason = gate_reason(F.col("text"), F.col("lang"), F.col("_words"), {p.lang: F.col("_counts")[p.lang] for p in profiles}, F.col("_total"), group, cfg)
-    return rows.select("*", F.inline(F.array(F.struct(reason.alias("reason"))))).drop("_words", "_markers", "_counts", "_total")
+    schema = ", ".join(["text string", *(f"{c} int" for c in ("n_boilerplate", *_fields(PROFILES[group])))])
+    rows = df.withColumn("_m", F.pandas_udf(_measured(group, clean), schema)("text"))
+    if clean:
+        rows = rows.withColumns({"n_boilerplate": F.col("_m.n_boilerplate"), "text": F.col("_m.text")})
+    # The reason comes from a generator, which filters on it don't pass: pushed down, they would take the measures again.
+    reason = gate_reason(F.col("lang"), lambda c: F.col(f"_m.{c}"), group, cfg)
+    return rows.select("*", F.inline(F.array(F.struct(reason.alias("reason"))))).drop("_m")
 
 
-def gate_reason(text: Column, lang: Column, ws: Column, counts: dict[str, Column], total: Column, group: str = "latin", cfg: GateConfig = GateConfig()) -> Column:
-    """The cascade over a tidied text, its words, the markers of each language among them, and its characters without spaces."""
-    profiles = PROFILES[group]
-    n = F.size(ws)
+def gate_reason(lang: Column, of: Callable[[str], Column], group: str = "latin", cfg: GateConfig = GateConfig()) -> Column:
+    """The cascade over the measures of a text, which `of` gives by name."""
+    profiles, kinds = PROFILES[group], _kinds(PROFILES[group])
 
-    def of_lang(values: dict[str, Column], otherwise: int | float) -> Column:
+    def of_lang(values: dict[str, Column], otherwise: int) -> Column:
         pairs = list(values.items())
         return reduce(lambda c, p: c.when(lang == p[0], p[1]), pairs[1:], F.when(lang == pairs[0][0], pairs[0][1])).otherwise(otherwise) if pairs else F.lit(otherwise)
 
     def share(kind: str) -> Column:
-        patterns = {p.lang: getattr(p, kind) for p in profiles if getattr(p, kind)}
-        by_pattern = {k: [lg for lg, q in patterns.items() if q == k] for k in dict.fromkeys(patterns.values())}
-        found = [(lang.isin(*langs), count_chars(text, k)) for k, langs in by_pattern.items()]
-        return ratio(reduce(lambda c, p: c.when(*p), found[1:], F.when(*found[0])).otherwise(0), total) if found else F.lit(0.0)
+        return ratio(of_lang({p.lang: of(f"kind_{kinds.index(k)}") for p in profiles if (k := getattr(p, kind))}, 0), of("n_dense"))
 
-    own = of_lang(counts, 0)
+    n, counts = of("n_words"), {p.lang: of(f"markers_{p.lang}") for p in profiles}
     best_other = F.greatest(*(F.when(lang == k, F.lit(-1)).otherwise(c) for k, c in counts.items()))
-    symbols = F.when(text.rlike(SYMBOL_WORD), F.size(F.filter(ws, lambda w: w.rlike(SYMBOL_WORD)))).otherwise(0)
     return cascade(
-        ("too_short_chars", F.length(text) < cfg.min_chars),
+        ("too_short_chars", of("n_chars") < cfg.min_chars),
         ("too_few_words", n < cfg.min_words),
-        ("empty", total == 0),
+        ("empty", of("n_dense") == 0),
         ("low_script", share("script") < cfg.min_script_ratio),
         ("code_mixed", share("foreign") > cfg.max_foreign_ratio),
         ("no_language_markers", reduce(lambda a, b: a + b, counts.values()) < cfg.min_markers),
-        ("wrong_language", own <= best_other),
-        ("repetitive", ratio(F.size(F.array_distinct(ws)), n) < cfg.min_unique_word_ratio),
-        ("bad_mean_word_length", ~ratio(total, n).between(cfg.min_mean_word, cfg.max_mean_word)),
-        ("symbol_heavy", ratio(symbols, n) > cfg.max_symbol_ratio),
-        ("duplicate_lines", 1 - ratio(F.size(F.array_distinct(lines(text))), F.size(lines(text))) > cfg.max_duplicate_line_ratio),
+        ("wrong_language", of_lang(counts, 0) <= best_other),
+        ("repetitive", ratio(of("n_distinct"), n) < cfg.min_unique_word_ratio),
+        ("bad_mean_word_length", ~ratio(of("n_dense"), n).between(cfg.min_mean_word, cfg.max_mean_word)),
+        ("symbol_heavy", ratio(of("n_symbols"), n) > cfg.max_symbol_ratio),
+        ("duplicate_lines", 1 - ratio(of("n_distinct_lines"), of("n_lines")) > cfg.max_duplicate_line_ratio),
     )
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,36 +20,65 @@ from corpusloom.scratch import Scratch
 GRAM = 5
 
 
-def flat(text: Column) -> Column:
-    """A text with single spaces for white space."""
-    return F.regexp_replace(text, f"[{SPACE}]+", " ")
+#: Distinct n-grams that a task holds before it hands their counts on.
+HELD = 300_000
+#: The most bytes of n-grams and counts that are broadcast, as they lie in memory; a row takes some 100 bytes beside its string.
+BROADCAST_BYTES, ROW_BYTES = 256 << 20, 100
+WHITE = re.compile(r"\s+")
 
 
-def grams(flat: Column, n: int = GRAM) -> Column:
-    """All character n-grams of a flat text (a column, as lambdas would make an expression again for each n-gram), as an array."""
-    return F.when(F.length(flat) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(flat) - n + 1, F.lit(1))), lambda i: F.substring(flat, i, n))).otherwise(F.array().cast("array<string>"))
+def profile(df: DataFrame, n: int = GRAM) -> DataFrame:
+    """gram, n over the texts of df (trusted ones), white space being single spaces: counted in each task, then summed."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
 
-def profile(df: DataFrame) -> DataFrame:
-    """gram, n over the texts of df (trusted ones)."""
-    return df.select(flat(F.col("text")).alias("flat")).select(F.explode(grams(F.col("flat"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+        def drain() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["gram", "n"])
+            held.clear()
+            return rows
 
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                if text:
+                    flat = WHITE.sub(" ", text)
+                    held.update([flat[i : i + n] for i in range(len(flat) - n + 1)])
+                if len(held) > HELD:
+                    yield drain()
+        yield drain()
 
-def log_probability(df: DataFrame, reference: DataFrame, head: int = 4000, bounded: int = 2_000_000) -> DataFrame:
+    return df.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def log_probability(df: DataFrame, reference: DataFrame, head: int = 4000, bounded: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id and lp: the mean log-probability of the n-grams of a text's head under a profile; -20 under 10 characters, 0 without a profile.
 
-    N-grams that the profile lacks count half an occurrence. The profile is written once; up to `bounded`
-    n-grams (some 60 MB) it is broadcast, so that the n-grams of the documents aren't shuffled to it.
+    N-grams that the profile lacks count half an occurrence. A document's n-grams are counted in one pass, so each
+    is looked up once a document. The profile is written once and its bytes are measured: up to `bounded` it is
+    broadcast, so that the n-grams of the documents aren't shuffled to it.
     """
     profile = Scratch(df.sparkSession, "profile").table(reference.select("gram", "n"), "grams")
-    size, total = profile.agg(F.count("*"), F.sum("n")).head()
-    heads = df.select("doc_id", F.inline(F.array(F.struct(F.substring(flat(F.col("text")), 1, head).alias("flat")))))
+    size, total = profile.agg(F.coalesce(F.sum(F.octet_length("gram") + ROW_BYTES), F.lit(0)), F.sum("n")).head()
     if not total:
-        return heads.select("doc_id", F.lit(0.0).alias("lp"))
-    own = heads.select("doc_id", (F.length("flat") < 10).alias("short"), F.explode_outer(grams(F.col("flat"))).alias("gram"))
+        return df.select("doc_id", F.lit(0.0).alias("lp"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for place, text in enumerate(batch.column("text").to_pylist()):
+                flat = WHITE.sub(" ", text)[:head] if text is not None else ""
+                found = Counter([flat[i : i + GRAM] for i in range(len(flat) - GRAM + 1)]) if len(flat) >= 10 else {None: 0}
+                rows += [(place, gram, n) for gram, n in found.items()]
+            if rows:
+                places, grams, times = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(places)), pa.array(grams, pa.string()), pa.array(times, pa.int64())], names=["doc_id", "gram", "times"])
+
+    kind = dict(df.dtypes)["doc_id"]
+    own = df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, gram string, times long")
     met = own.join(F.broadcast(profile) if size <= bounded else profile, "gram", "left")
-    lp = met.groupBy("doc_id").agg(F.max("short").alias("short"), F.avg(F.log(F.coalesce("n", F.lit(0.5)) / F.lit(total))).alias("lp"))
-    return lp.select("doc_id", F.when(F.coalesce("short", F.lit(True)), -20.0).otherwise(F.col("lp")).alias("lp"))
+    log = F.col("times") * F.log(F.coalesce("n", F.lit(0.5)) / F.lit(total))
+    lp = met.groupBy("doc_id").agg(F.sum("times").alias("times"), F.sum(log).alias("log"))
+    return lp.select("doc_id", F.when(F.col("times") == 0, -20.0).otherwise(F.col("log") / F.col("times")).alias("lp"))
 
 
 def score_all(df: DataFrame, reference: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.config import BuildConfig
-from corpusloom.functions.text import hash_form, normalize, strip_boilerplate
+from corpusloom.functions.text import hash_form
 from corpusloom.operators.budget import apply_budget, stratified_split
 from corpusloom.operators.dedup import exact_first, near_first
 from corpusloom.operators.gates import gated
@@ -27,9 +27,7 @@ def with_provenance(docs: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame, cfg: BuildConfig = BuildConfig()) -> DataFrame:
     """docs with tidied text, n_boilerplate and the gates' reason."""
-    text, n = strip_boilerplate(F.col("text"))
-    rows = normalize(docs).withColumn("n_boilerplate", n).withColumn("text", text)
-    return gated(rows, cfg.group, cfg.gates)
+    return gated(docs, cfg.group, cfg.gates, clean=True)
 
 
 @dataclass
