@@ -8,8 +8,8 @@ once, and exact distances in double precision rank them. How many leaves are eno
 sample: so many that the queue meets the wanted share of the true neighbours there, found by brute force.
 
 Many trees of small leaves are used: for one recall they propose far fewer candidates than few trees of large
-ones. Only ids go through the forest's joins. Vectors lie in blocks of those that are near each other in the first
-tree; a query comes to a block with the candidates that it has there, and both meet once.
+ones. Only ids are looked up in the forest, a row of leaves at a time. Vectors lie in blocks of those that are near
+each other in the first tree; a query comes to a block with the list of candidates that it has there, each once.
 
 Equal vectors are one class in the index, with the smallest of their ids (no more of one class can be among
 a query's nearest), so a leaf's size doesn't grow with the number of copies.
@@ -27,15 +27,17 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, lean
+from corpusloom.llm.common import Scratch, Stage, lean, partitions
 
 #: The sample that trees are fitted on: at most so many vectors and bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 32_768, 64 << 20
 TREES, LEAF, RECALL, SEED = 96, 16, 0.96, 7
-#: Vectors of a block, about, and queries that one task measures against it at once.
-BLOCK, QUERIES = 4096, 512
+#: Bytes of a block of vectors, about, and queries that one task measures against it at once.
+BLOCK_BYTES, QUERIES = 8 << 20, 512
+#: Vectors whose leaves of one tree are searched together, about.
+TOGETHER = 65_536
 #: Sample vectors that the number of probes is measured with.
-TRIALS = 256
+TRIALS = 128
 
 
 class Tree:
@@ -132,6 +134,11 @@ class Forest:
             self._listed = [t.kids.tolist() for t in self.trees]
         return self._listed
 
+    def rows(self, leaves: np.ndarray, row: int) -> np.ndarray:
+        """The row of each leaf: `row` neighbouring leaves of a tree stand in one."""
+        tree = np.searchsorted(self.first, leaves, side="right") - 1
+        return (tree << 32) + (leaves - self.first[tree]) // row
+
     def keys(self, query: np.ndarray) -> np.ndarray:
         """What each leaf is worth in the queue, at once: the most that the query is beyond a border on the way to it. Leaves are met in this order."""
         return np.concatenate([np.max(-t.sides * m[t.nodes], axis=1, where=t.sides != 0, initial=-np.inf) if len(m) else np.full(1, -np.inf) for t, m in zip(self.trees, self.margins(query), strict=True)])
@@ -195,7 +202,25 @@ def measure(asked: pa.Table, held: pa.Table, k: int) -> pa.Table:
     return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "class_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, *, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, seed: int = SEED, block: int = BLOCK, at_once: int = QUERIES, work: dict | None = None) -> DataFrame:
+def looked_up(met: pa.Table, placed: pa.Table) -> pa.Table:
+    """Of one row of leaves: who meets which (place, query), and what they hold (place, class_id, block). For each query and block, the ids there."""
+    if not met.num_rows or not placed.num_rows:
+        return pa.table({"query": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64()))})
+    placed = placed.sort_by("place")
+    place, ids, block = (placed.column(c).to_numpy() for c in ("place", "class_id", "block"))
+    wanted, query = met.column("place").to_numpy(), met.column("query").to_numpy()
+    begin, end = np.searchsorted(place, wanted), np.searchsorted(place, wanted, side="right")
+    n = end - begin
+    of = np.repeat(query, n)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+    order = np.lexsort((block[at], of))
+    of, at = of[order], at[order]
+    new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (block[at[1:]] != block[at[:-1]])]) if len(of) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(of)].astype(np.int32)), pa.array(ids[at]))
+    return pa.table({"query": of[new], "block": block[at[new]], "ids": lists})
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, *, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, seed: int = SEED, block_bytes: int = BLOCK_BYTES, at_once: int = QUERIES, work: dict | None = None) -> DataFrame:
     """The k nearest rows of vectors (vec_id, embedding) to each row of queries (likewise), but for those with its own vec_id.
 
     Returns query_id, rank (from 1), vec_id, score (Euclidean distance). Ties go to the smaller vec_id. Rows
@@ -217,13 +242,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, *, trees: int =
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = len(classes.head().embedding)
     asked = _usable(queries).filter(F.size("embedding") == dim).distinct().withColumnRenamed("vec_id", "query_id")
-    asked = scratch.table(asked.withColumn("query", F.monotonically_increasing_id()), "asked")
+    asked = scratch.table(asked.repartition(partitions(spark)).withColumn("query", F.monotonically_increasing_id()), "asked")
     forest, probes = _forest(classes, n, dim, k, trees, leaf, recall, seed)
-    shared, n_blocks = spark.sparkContext.broadcast(forest), -(-n // block)
+    shared, n_blocks = spark.sparkContext.broadcast(forest), -(-8 * dim * n // block_bytes)
+    row = max(1, TOGETHER * forest.trees[0].leaves // n)
 
-    met = scratch.table(asked.select("query", "embedding").mapInArrow(lean(_probing(shared, probes)), "place long, query long"), "met")
-    placed = scratch.table(classes.select("class_id", "embedding").mapInArrow(lean(_placing(shared, n_blocks)), "place long, class_id long, block long"), "placed")
-    candidates = placed.join(met, "place").groupBy("query", "block").agg(F.collect_set("class_id").alias("candidates"))
+    met = scratch.table(asked.select("query", "embedding").mapInArrow(lean(_probing(shared, probes, row)), "leaves long, place long, query long"), "met")
+    placed = scratch.table(classes.select("class_id", "embedding").mapInArrow(lean(_placing(shared, n_blocks, row)), "leaves long, place long, class_id long, block long"), "placed")
+    listed = met.groupBy("leaves").cogroup(placed.groupBy("leaves")).applyInArrow(looked_up, "query long, block long, ids array<long>")
+    candidates = listed.groupBy("query", "block").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("candidates"))
     candidates = scratch.table(candidates, "candidates")
     if work is not None:
         distances, n_queries = candidates.agg(F.coalesce(F.sum(F.size("candidates")), F.lit(0))).head()[0], asked.count()
@@ -253,19 +280,19 @@ def _forest(classes: DataFrame, n: int, dim: int, k: int, trees: int, leaf: int,
     return forest, forest.probes(k, recall)
 
 
-def _probing(forest: Broadcast, probes: int):  # noqa: ANN202
+def _probing(forest: Broadcast, probes: int, row: int) -> Stage:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             for i, x in enumerate(_matrix(batch.column("embedding"), np.float32)):
                 met = np.array(forest.value.probe(x, probes), np.int64)
-                yield pa.RecordBatch.from_pydict({"place": met, "query": batch.column("query").take(pa.array(np.full(len(met), i)))})
+                yield pa.RecordBatch.from_pydict({"leaves": forest.value.rows(met, row), "place": met, "query": batch.column("query").take(pa.array(np.full(len(met), i)))})
 
     return run
 
 
-def _placing(forest: Broadcast, n_blocks: int):  # noqa: ANN202
+def _placing(forest: Broadcast, n_blocks: int, row: int) -> Stage:
     """The leaf of each vector in every tree, and the block of those near it: its place among the leaves of the first tree, which stand in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,6 +304,6 @@ def _placing(forest: Broadcast, n_blocks: int):  # noqa: ANN202
                 leaf = t.find(x, f.sample).astype(np.int64)
                 if not i:
                     block = leaf * n_blocks // t.leaves
-                yield pa.RecordBatch.from_pydict({"place": f.first[i] + leaf, "class_id": batch.column("class_id"), "block": block})
+                yield pa.RecordBatch.from_pydict({"leaves": f.rows(f.first[i] + leaf, row), "place": f.first[i] + leaf, "class_id": batch.column("class_id"), "block": block})
 
     return run
