@@ -177,23 +177,54 @@ def sets(docs: DataFrame, picks: DataFrame) -> DataFrame:
 
 
 def forest(nodes: list[int], data: list[bytes]) -> list[tuple[int, int]]:
-    """Edges that join all nodes that links join, fewer than there are nodes."""
+    """Edges that join all nodes that links join, fewer than there are nodes.
+
+    Only pairs that can link are compared. Hashes go by how few of the sets have them; of two sets that link, each
+    has one of the other's among its first n - ceil(0.8 n) + 1, and where they first meet enough must be left of
+    both. So sets that share a template of less than that are never compared, and sets that are joined already
+    aren't either.
+    """
     size = np.array([len(d) // 8 for d in data])
     ends = np.cumsum(size)
     starts = ends - size
-    known, at = np.unique(np.frombuffer(b"".join(data), "<u8"), return_inverse=True)
+    known, at, common = np.unique(np.frombuffer(b"".join(data), "<u8"), return_inverse=True, return_counts=True)
     label, edges, has = np.arange(len(nodes)), [], np.zeros(len(known), bool)
     above, below = LEAST
+    # The rank of each hash, and each set's hashes by rank.
+    rank = np.empty(len(known), np.int64)
+    rank[np.argsort(common, kind="stable")] = np.arange(len(known))
+    order = np.lexsort((rank[at], np.repeat(np.arange(len(nodes)), size)))
+    first = size - -(-size * above // below) + 1
+    place = np.arange(len(at)) - np.repeat(starts, size)
+    early = np.flatnonzero((place < np.repeat(first, size)) & (common[at[order]] > 1))
+    # Who has each hash among its first, and where.
+    token, holder, where = at[order][early], np.repeat(np.arange(len(nodes)), size)[early], place[early]
+    by = np.argsort(token, kind="stable")
+    token, holder, where = token[by], holder[by], where[by]
+    begin, end = np.searchsorted(token, np.arange(len(known))), np.searchsorted(token, np.arange(len(known)), side="right")
     for i in range(len(nodes) - 1):
         rest = slice(i + 1, None)
         # Sets whose sizes differ more can't be that similar.
-        if not ((label[rest] != label[i]) & (np.minimum(size[rest], size[i]) * below >= np.maximum(size[rest], size[i]) * above)).any():
+        open_ = (label[rest] != label[i]) & (np.minimum(size[rest], size[i]) * below >= np.maximum(size[rest], size[i]) * above)
+        if not open_.any():
+            continue
+        found = []
+        for p, t in enumerate(at[order[starts[i] : starts[i] + first[i]]].tolist()):
+            if common[t] > 1 and end[t] - begin[t] > 1:
+                other, q = holder[begin[t] : end[t]], where[begin[t] : end[t]]
+                later = int(np.searchsorted(other, i, side="right"))
+                other, q = other[later:], q[later:]
+                left = np.minimum(size[i] - p, size[other] - q)
+                found.append(other[open_[other - i - 1] & ((above + below) * left >= above * (size[i] + size[other]))])
+        if not found or not len(some := np.unique(np.concatenate(found))):
             continue
         own = at[starts[i] : ends[i]]
         has[own] = True
-        shared = np.add.reduceat(has[at[ends[i] :]].astype(np.int64), starts[rest] - ends[i])
+        n = size[some]
+        members = at[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[some], n)]
+        shared = np.add.reduceat(has[members].astype(np.int64), np.cumsum(n) - n)
         has[own] = False
-        for j in i + 1 + np.nonzero(shared * below >= (size[rest] + size[i] - shared) * above)[0]:
+        for j in some[shared * below >= (n + size[i] - shared) * above].tolist():
             if label[j] != label[i]:
                 label[label == label[j]] = label[i]
                 edges.append((nodes[i], nodes[j]))
