@@ -29,6 +29,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--seed", type=int)
     parser.add_argument("--target", type=int, default=500_000_000)
     parser.add_argument("--strided", action="store_true", help="ingest windows over each source up to its share of characters")
+    parser.add_argument("--lines", action="store_true", help="the raw documents are files of JSON lines, read by windows of bytes")
+    parser.add_argument("--variant", help="build below variants/NAME from the same raw documents")
     parser.add_argument("--existing", help="folder of JSON lines to take in")
     parser.add_argument("--provenance", choices=("manual", "downloaded"), default="downloaded")
     parser.add_argument("--justification", help="why existing files count as manual")
@@ -62,7 +64,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from pyspark.sql import SparkSession
 
-    given = {n: getattr(args, n) for n in ("target", "strided", "existing", "provenance", "justification", "labels", "least_labels", "min_score", "force_size", "force_reason", "sample_split", "sample", "other")}
+    given = {n: getattr(args, n) for n in ("target", "strided", "lines", "variant", "existing", "provenance", "justification", "labels", "least_labels", "min_score", "force_size", "force_reason", "sample_split", "sample", "other")}
     corpus = Corpus(SparkSession.builder.getOrCreate(), args.root, args.raw, config, ingest, min_manual_fraction=budget.min_manual_fraction, models=tuple(args.models), **given)
     for name, seconds in run(corpus, args.stages).items():
         print(f"{name}: {seconds:.1f} s")

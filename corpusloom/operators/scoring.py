@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import SPACE, dense, lines, words
 from corpusloom.operators.budget import label_split
+from corpusloom.operators.budget import sample as fixed_sample
 from corpusloom.operators.gates import SYMBOL_WORD, ratio
 from corpusloom.scratch import Scratch
+from corpusloom.sources.records import exists
 
 GRAM = 5
 
@@ -155,6 +158,40 @@ def score_with(df: DataFrame, make: Callable[[], Scorer], done: DataFrame | None
     return todo.mapInPandas(run, f"doc_id {dict(df.dtypes)['doc_id']}, score double")
 
 
+class TooSlow(RuntimeError):
+    """A scorer would take longer than it may."""
+
+
+def rate(df: DataFrame, make: Callable[[], Scorer], to: str, sample: int = 30_000, max_hours: float = 6.0, trial: int = 64, chunk: int = 5000, batch: int = 8) -> DataFrame:
+    """Append scores of a sample of df (doc_id, text) to the Parquet table `to`, without the doc_ids that it has; what the table has then.
+
+    The sample is the same in every run, so a run that was stopped goes on where it was. The first `trial`
+    documents tell how long the rest would take; above max_hours nothing more is rated (TooSlow). The rest
+    comes in chunks, each of which is written whole or not at all; a batch that fails is scored null, and is
+    asked again by the next run.
+    """
+    spark, scratch = df.sparkSession, Scratch(df.sparkSession, "rate")
+    schema = f"doc_id {dict(df.dtypes)['doc_id']}, score double"
+
+    def known() -> DataFrame:
+        return spark.read.schema(schema).parquet(to).filter("score IS NOT NULL") if exists(spark, to) else spark.createDataFrame([], schema)
+
+    todo = fixed_sample(df.select("doc_id", "text"), sample).join(known().select("doc_id"), "doc_id", "left_anti")
+    todo = scratch.table(todo, "todo")
+    n = todo.count()
+    parts = -(-max(0, n - trial) // chunk)
+    first = scratch.table(fixed_sample(todo, trial).select("doc_id"), "trial")
+    rest = todo.join(first, "doc_id", "left_anti").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, parts))))
+    began = time.monotonic()
+    score_with(todo.join(first, "doc_id", "left_semi"), make, batch=batch).write.mode("append").parquet(to)
+    hours = (time.monotonic() - began) / 3600 * max(0, n - trial) / max(1, min(trial, n))
+    if hours > max_hours:
+        raise TooSlow(f"{n - trial} documents would take {hours:.1f} hours, above {max_hours}")
+    for k in range(parts):
+        score_with(rest.filter(F.col("part") == k).drop("part"), make, batch=batch).write.mode("append").parquet(to)
+    return known()
+
+
 def word_grams(text: Column, low: int = 2, high: int = 4) -> Column:
     """Character n-grams within words, each word between spaces."""
     ws = F.transform(F.filter(F.split(F.lower(text), f"[{SPACE}]+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))

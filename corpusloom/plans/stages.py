@@ -18,7 +18,7 @@ from corpusloom.operators.gates import cheap_reason
 from corpusloom.plans.build import build, from_clean, with_provenance
 from corpusloom.plans.report import report
 from corpusloom.scratch import Scratch
-from corpusloom.sources import records, sinks
+from corpusloom.sources import ranges, records, sinks
 
 
 @dataclass
@@ -35,6 +35,10 @@ class Corpus:
     min_manual_fraction: float = 0.20
     #: Read raw documents by windows over each source, up to the characters that the ingest configuration asks for.
     strided: bool = False
+    #: Build below variants/<name>, with settings of its own, from the raw documents of this corpus.
+    variant: str | None = None
+    #: The raw documents are files of JSON lines, read by windows of bytes where they hold much more than is asked for.
+    lines: bool = False
     #: A folder of JSON lines to take in beside the raw table, their provenance, and why they count as manual.
     existing: str | None = None
     provenance: str = "downloaded"
@@ -54,7 +58,8 @@ class Corpus:
     passed: bool = True
 
     def at(self, name: str) -> str:
-        return f"{self.root.rstrip('/')}/{name}"
+        shared = self.variant is None or name.split("/")[0] in ("raw", "existing")
+        return f"{self.root.rstrip('/')}/{name}" if shared else f"{self.root.rstrip('/')}/variants/{self.variant}/{name}"
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.at(name))
@@ -91,7 +96,15 @@ def wanted_chars(cfg: IngestConfig) -> int:
 
 def ingest(c: Corpus) -> None:
     """Raw documents that pass the shallow gate, and why the others don't."""
-    rows = with_provenance(c.spark.read.parquet(c.raw)).withColumn("reason", cheap_reason(F.col("text"), c.script, c.ingest))
+    if c.lines:
+        lines = ranges.read_budget(c.spark, c.raw, wanted_chars(c.ingest), c.ingest.windows).filter(F.btrim("value") != "")
+        rows = records.parse_lines(lines, records.DOCUMENT).filter("record_reason = 'ok'").drop("path", "offset", "record_reason")
+        rows = rows.withColumns({"source": F.coalesce("source", F.lit("unknown")), "lang": F.col("language"), "doc_id": F.coalesce("doc_id", F.substring(content_hash(F.col("text")), 1, 20))})
+        manual = F.coalesce(F.col("provenance_class") == "manual", F.lit(False))
+        rows = rows.withColumns({"provenance_class": F.coalesce("provenance_class", F.lit("downloaded")), "priority": F.when(manual, 0).otherwise(1), "class_rank": F.when(manual, 0).otherwise(1)})
+    else:
+        rows = with_provenance(c.spark.read.parquet(c.raw))
+    rows = rows.withColumn("reason", cheap_reason(F.col("text"), c.script, c.ingest))
     good = rows.filter("reason = 'ok'").drop("reason")
     if c.strided:
         # Windows are chosen on ids and sizes; the texts are joined once.

@@ -505,7 +505,7 @@ def leakage_ids(spark, sf):
 @query(f"""SELECT name, violations, violations = 0 AS passed FROM (
     SELECT 'no doc_id in two splits' AS name, count(*) AS violations FROM (SELECT doc_id FROM split GROUP BY doc_id HAVING count(DISTINCT split) > 1)
     UNION ALL SELECT 'no content in two splits', count(*) FROM (SELECT md5(regexp_replace(lower(text), '{NW}', '', 'g')) FROM split GROUP BY 1 HAVING count(DISTINCT split) > 1)
-    UNION ALL SELECT 'provenance is manual or downloaded', 0
+    UNION ALL SELECT 'provenance is manual or downloaded', count(*) FROM (SELECT coalesce(provenance_class, 'MISSING') AS c FROM split GROUP BY 1) WHERE c NOT IN ('manual', 'downloaded')
     UNION ALL SELECT 'manual share of tokens', (SELECT (sum(CASE WHEN provenance_class = 'manual' THEN nw ELSE 0 END) / sum(nw) < 0.2)::BIGINT FROM split))""")
 def verification(spark, sf):
     rows = budget.stratified_split(kept(spark, sf), ["provenance_class", "source"])
@@ -646,7 +646,7 @@ def hrefs(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode(web.hrefs(F.col("html"))).alias("href"))
 
 
-@query()
+@query("SELECT DISTINCT page_id, url, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || split_part(href, '#', 1) ELSE href END AS link FROM links JOIN pages USING (page_id)")
 def absolute_links(spark, sf):
     return web.links(table(spark, sf, "pages"))
 

@@ -174,6 +174,21 @@ def read_windows(spark: SparkSession, path: str | list[str], **options: int) ->
     return spark.read.format("byte_windows").options(path=path if isinstance(path, str) else json.dumps(path), **options).load()
 
 
+def read_budget(spark: SparkSession, path: str | list[str], chars: int, windows: int = 200) -> DataFrame:
+    """path, offset, value of so much of files of lines that about `chars` characters can be kept of each.
+
+    A kept character is reckoned at 4 bytes (of text, structure and rejected records). Files of more than half as
+    much again are read by windows spread over all of them, so that a file put together of several sources is
+    sampled, not its first one read; smaller ones and compressed ones are read whole.
+    """
+    need = 4 * chars
+    files = [f for p in ([path] if isinstance(path, str) else path) for f in listed(p)]
+    large = [f for f, size in files if size > 1.5 * need and not f.endswith(".gz")]
+    small = [f for f, _ in files if f not in set(large)]
+    parts = ([read_windows(spark, large, windows=windows, takeBytes=max(1, need // windows))] if large else []) + ([read_windows(spark, small)] if small else [])
+    return parts[0].union(parts[1]) if len(parts) == 2 else parts[0] if parts else spark.createDataFrame([], "path string, offset long, value string")
+
+
 # --- archives ---
 
 MEMBERS = (".jsonl", ".json", ".jsonl.gz", ".txt")

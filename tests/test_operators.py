@@ -328,6 +328,28 @@ def test_scorer_batches_resume_and_survive_failures(spark):
     assert "Passage:\nabc" in docs.select(scoring.rating_prompt(F.lit(" abc "), "Hindi")).head()[0]
 
 
+def test_rating_goes_on_and_stops_when_too_slow(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    class Rater:
+        def score_batch(self, texts):
+            asked.add(len(texts))
+            if any(t == "t7" for t in texts):
+                raise ValueError("no answer")
+            return [float(t[1:]) for t in texts]
+
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(60)], "doc_id long, text string")
+    to = f"{tmp_path}/scores"
+    with pytest.raises(scoring.TooSlow):
+        scoring.rate(docs, Rater, to, sample=40, max_hours=0.0, trial=10, chunk=7, batch=1)
+    assert asked.value == 10
+    got = scoring.rate(docs, Rater, to, sample=40, trial=10, chunk=7, batch=1).collect()
+    again = scoring.rate(docs, Rater, to, sample=40, trial=10, chunk=7, batch=1)
+    wanted = {r.doc_id for r in budget.sample(docs, 40).collect()} - {7}
+    assert {r.doc_id: r.score for r in got} == {i: float(i) for i in wanted} and again.count() == len(wanted) == len(got)
+    assert asked.value <= 40 + 3
+
+
 def test_thresholds_keep_the_unscored(spark):
     docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
     scores = spark.createDataFrame([(1, 3.0), (2, 1.0)], "doc_id long, quality_score double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.__main__ import main
 from corpusloom.plans.report import MISSING, report
@@ -66,6 +67,25 @@ def test_strided_ingest(spark, sf, tmp_path):
     assert kept.join(whole.read("raw"), "doc_id", "left_anti").isEmpty()
 
 
+def test_lines_by_windows_and_variants(spark, sf, tmp_path):
+    from corpusloom.config import BuildConfig, IngestConfig
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "source", F.col("lang").alias("language"), F.when(F.col("doc_id") % 3 == 0, "manual").otherwise("downloaded").alias("provenance_class"))
+    kept.coalesce(1).write.json(f"{tmp_path}/lines")
+    make = lambda n, **k: Corpus(spark, f"file://{tmp_path}/{n}", f"{tmp_path}/lines", lines=True, **k)
+    whole, part = make("whole"), make("part", ingest=IngestConfig(windows=5, target_tokens=3000, overcollect=1.0))
+    for c in (whole, part):
+        run(c, ["ingest"])
+    every = {r.doc_id for r in whole.read("raw").collect()}
+    some = {r.doc_id for r in part.read("raw").collect()}
+    assert 0 < len(some) < len(every) and some < every
+    assert {r.provenance_class for r in whole.read("raw").select("provenance_class").distinct().collect()} == {"manual", "downloaded"}
+    other = make("whole", variant="nocap", config=BuildConfig(budget=None, near_dup=False))
+    run(other, ["build"])
+    assert other.read("splits").count() > 0 and (tmp_path / "whole" / "variants" / "nocap" / "splits").is_dir() and not (tmp_path / "whole" / "splits").exists()
+
+
 def test_command_line(tmp_path, capsys, spark, sf):
     assert main(["--raw", "x", "--root", "y", "--dry-run", "--min-chars", "10", "all"]) == 0
     assert capsys.readouterr().out.split() == ["ingest", "build", "count", "verify", "report"]
