@@ -6,7 +6,7 @@ import argparse
 import dataclasses
 import sys
 
-from corpusloom.config import PROFILES, BudgetConfig, BuildConfig, GateConfig, IngestConfig, pick
+from corpusloom.config import PROFILES, BudgetConfig, BuildConfig, DedupConfig, GateConfig, IngestConfig, pick
 from corpusloom.plans.stages import Corpus, resolve, run
 
 
@@ -42,8 +42,12 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--force-reason")
     parser.add_argument("--sample-split", choices=("train", "val", "test"), default="test")
     parser.add_argument("--sample", type=int, default=20_000)
+    parser.add_argument("--manual-tokens", type=int, help="measured, in place of an estimate, for plan")
+    parser.add_argument("--urls", help="list of URLs whose crawl plan is made of")
+    for rate in ("delay", "hours", "acceptance", "tokens-per-doc"):
+        parser.add_argument(f"--{rate}", type=float)
     parser.add_argument("--other", help="corpus folder of another language, for verify")
-    for kind in (GateConfig, BudgetConfig, IngestConfig):
+    for kind in (GateConfig, BudgetConfig, IngestConfig, DedupConfig):
         for f in dataclasses.fields(kind):
             option = f"--{f.name.replace('_', '-')}"
             if option not in parser._option_string_actions:
@@ -55,8 +59,9 @@ def main(argv: list[str] | None = None) -> int:
 
         with open(args.config, encoding="utf-8") as f:
             given = yaml.safe_load(f) or {}
-    gates, budget, ingest = (with_options(d, args, given.get(k) or {}) for d, k in ((GateConfig(), "gates"), (BudgetConfig(), "budget"), (IngestConfig(), "ingest")))
-    config = BuildConfig(group=args.group, near_dup=not args.no_near_dedup, gates=gates, budget=None if args.no_budget else budget)
+    defaults = {"gates": GateConfig(), "budget": BudgetConfig(), "ingest": IngestConfig(), "dedup": DedupConfig()}
+    gates, budget, ingest, dedup = (with_options(d, args, given.get(k) or {}) for k, d in defaults.items())
+    config = BuildConfig(group=args.group, near_dup=not args.no_near_dedup, gates=gates, dedup=dedup, budget=None if args.no_budget else budget)
     if args.seed is not None:
         config = dataclasses.replace(config, seed=args.seed)
     if args.dry_run:
@@ -64,7 +69,8 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from pyspark.sql import SparkSession
 
-    given = {n: getattr(args, n) for n in ("target", "strided", "lines", "variant", "existing", "provenance", "justification", "labels", "least_labels", "min_score", "force_size", "force_reason", "sample_split", "sample", "other")}
+    given = {n: getattr(args, n) for n in ("target", "strided", "lines", "variant", "existing", "provenance", "justification", "labels", "least_labels", "min_score", "force_size", "force_reason", "sample_split", "sample", "manual_tokens", "urls", "other")}
+    given["crawl"] = {n: v for n in ("delay", "hours", "acceptance", "tokens_per_doc") if (v := getattr(args, n)) is not None}
     corpus = Corpus(SparkSession.builder.getOrCreate(), args.root, args.raw, config, ingest, min_manual_fraction=budget.min_manual_fraction, models=tuple(args.models), **given)
     for name, seconds in run(corpus, args.stages).items():
         print(f"{name}: {seconds:.1f} s")

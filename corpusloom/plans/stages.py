@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import SOURCE_MARKERS, TEXT_KEYS, BuildConfig, IngestConfig
 from corpusloom.functions.text import content_hash, words
-from corpusloom.operators import budget, pieces, scoring, stats, tokens, verify
+from corpusloom.operators import budget, pieces, scoring, stats, tokens, verify, web
 from corpusloom.operators.gates import cheap_reason
 from corpusloom.plans.build import build, from_clean, with_provenance
 from corpusloom.plans.report import report
@@ -53,6 +53,10 @@ class Corpus:
     force_reason: str | None = None
     sample_split: str = "test"
     sample: int = 20_000
+    #: Manual tokens that were measured, a list of URLs to plan a crawl of, and its rates (delay, hours, acceptance, tokens_per_doc).
+    manual_tokens: int | None = None
+    urls: str | None = None
+    crawl: dict[str, float] = field(default_factory=dict)
     #: The corpus folder of another language, compared if it has splits.
     other: str | None = None
     passed: bool = True
@@ -188,11 +192,19 @@ def tokenizers(c: Corpus) -> None:
 
 
 def plan(c: Corpus) -> None:
-    """The largest corpus that the manual characters collected so far permit at the least manual share."""
+    """The largest corpus that the manual characters collected so far permit at the least manual share; and, with a list of URLs, what crawling them can yield by the given rates.
+
+    Manual tokens that were measured take the place of the estimates by characters.
+    """
     chars = c.read("raw").agg(F.coalesce(F.sum(F.when(F.col("provenance_class") == "manual", F.length("text"))), F.lit(0)).alias("manual_chars"))
-    found = stats.ceiling(F.col("manual_chars"), c.ingest.chars_per_token, c.min_manual_fraction)
+    measured = F.col("manual_chars") if c.manual_tokens is None else F.lit(c.manual_tokens * c.ingest.chars_per_token)
+    found = stats.ceiling(measured, c.ingest.chars_per_token, c.min_manual_fraction)
     short = F.greatest(F.lit(0.0), F.lit(float(c.target)) - found["ceiling"])
     chars.select("manual_chars", *(v.alias(k) for k, v in found.items()), short.alias("short_of_target")).write.mode("overwrite").parquet(c.at("stats/plan"))
+    if c.urls is not None:
+        one = records.read_list(c.spark, c.urls).agg(F.count_distinct("url").alias("urls"), F.count_distinct(web.authority(F.col("url"))).alias("hosts"))
+        yields = stats.plan(F.col("urls"), F.col("hosts"), fraction=c.min_manual_fraction, target=float(c.target), **c.crawl)
+        one.select("urls", "hosts", *(v.alias(k) for k, v in yields.items())).write.mode("overwrite").parquet(c.at("stats/crawl_plan"))
 
 
 def count(c: Corpus) -> None:

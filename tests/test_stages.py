@@ -96,5 +96,16 @@ def test_command_line(tmp_path, capsys, spark, sf):
         resolve(["nothing"])
 
 
+def test_plans_by_measured_tokens_and_urls(spark, sf, tmp_path):
+    (tmp_path / "urls").mkdir()
+    (tmp_path / "urls" / "u.txt").write_text("".join(f"https://h{i % 4}.org/{i}\n" for i in range(1000)))
+    c = Corpus(spark, f"file://{tmp_path}/c", f"{sf}/documents.parquet", manual_tokens=1000, urls=f"{tmp_path}/urls", crawl={"hours": 1, "delay": 20.0, "acceptance": 0.5, "tokens_per_doc": 100.0}, target=10_000_000)
+    run(c, ["ingest", "plan"])
+    own = c.read("stats/plan").head()
+    assert (own.manual_tokens, own.ceiling) == (1000, pytest.approx(5000))
+    r = c.read("stats/crawl_plan").head()
+    assert (r.urls, r.hosts, r.fetchable, r.manual_tokens, r.max_total) == (1000, 4, 720.0, 36_000.0, pytest.approx(180_000.0))
+
+
 def test_report_says_what_is_missing():
     assert MISSING in report("t", {"a": None, "b": {"x": None, "y": 1200}}) and "1,200" in report("t", {"b": {"y": 1200}})
