@@ -119,28 +119,41 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
     """Connected components: (node, component), component being the smallest node reached.
 
     edges: (a, b) of one orderable type, a != b, in any order and number. Nodes without an edge are not in
-    the result. Every round takes, for each node, the smallest label among its neighbours (a partial
-    aggregate, so hubs are combined before the shuffle) and then jumps to that label's own label, so the
-    number of rounds follows the logarithm of the longest path; they end when no label changes, as labels only
-    fall. Hubs, and labels that many nodes have, are hot keys of the joins (see keyed_join). Each round is a
-    written table.
+    the result. Each round contracts the graph: a node goes to the neighbour that comes first in the round's own
+    random order, if that comes before itself (a partial aggregate, so hubs are combined before the shuffle),
+    and the edges are renamed, once each; those within one node are gone. As edges shrink by a factor a round,
+    whatever the graph's shape, all rounds together read a few times what the first does. Hubs, and nodes that
+    many go to, are hot keys of the joins (see keyed_join). Each round is a written table.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct()
-    both = scratch.table(both, f"{name}-edges")
-    degrees = both.groupBy("b").agg(F.count("*").alias("n"))
-    hubs = hot_keys(degrees, both.count(), scratch, f"{name}-hubs")
-    labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), f"{name}-0")
-    nodes = labels.count()
-    for k in itertools.count(1):
-        near = keyed_join(both, labels.select(F.col("node").alias("b"), "label"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        hooked = scratch.table(hooked, f"{name}-near-{k}")
-        common = hot_keys(hooked.groupBy("label").agg(F.count("*").alias("n")), nodes, scratch, f"{name}-common-{k}")
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        jumped = keyed_join(hooked, up, "label", common).select("node", "old", F.least("label", "far").alias("label"))
-        after = scratch.table(jumped, f"{name}-{k}")
-        for old in (f"{name}-near-{k}", f"{name}-common-{k}", f"{name}-{k - 1}"):
-            scratch.drop(old)
-        labels = after.select("node", "label")
-        if after.filter("old <> label").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
+
+    def renamed(rows: DataFrame, to: DataFrame, key: str, tag: str) -> DataFrame:
+        """rows with key taken over to the root that it went to (some don't go)."""
+        hot = hot_keys(rows.groupBy(key).agg(F.count("*").alias("n")), rows.count(), scratch, f"{name}-hot-{tag}")
+        joined = keyed_join(rows, to.select(F.col("node").alias(key), F.col("root").alias("to_")), key, hot, "left")
+        return joined.withColumn(key, F.coalesce("to_", key)).drop("to_")
+
+    def tidy(rows: DataFrame, k: int) -> DataFrame:
+        pair = rows.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return scratch.table(pair, f"{name}-edges-{k}")
+
+    left, went = tidy(edges, 0), []
+    for k in itertools.count():
+        if left.isEmpty():
+            break
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
+        turn = lambda c, k=k: F.struct(F.xxhash64(F.lit(k), c).alias("turn"), F.col(c).alias("x"))
+        first = both.groupBy("node").agg(F.min(turn("other")).alias("first"))
+        went.append(scratch.table(first.select("node", F.when(F.col("first") < turn("node"), F.col("first.x")).otherwise(F.col("node")).alias("root")), f"{name}-went-{k}"))
+        moved = scratch.table(renamed(left, went[-1], "a", f"a-{k}"), f"{name}-moved-{k}")
+        after = tidy(renamed(moved, went[-1], "b", f"b-{k}"), k + 1)
+        scratch.drop(f"{name}-moved-{k}")
+        scratch.drop(f"{name}-edges-{k}")
+        left = after
+    if not went:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    # Where the nodes of each round end up, from the last round back to the first.
+    ends = went[-1]
+    for k in range(len(went) - 2, -1, -1):
+        ends = scratch.table(renamed(went[k], ends, "root", f"root-{k}"), f"{name}-ends-{k}")
+    least = ends.groupBy("root").agg(F.min(F.least("node", "root")).alias("least"))
+    return renamed(ends, least.select(F.col("root").alias("node"), F.col("least").alias("root")), "root", "least").select("node", F.col("root").alias("component"))
