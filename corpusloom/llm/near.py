@@ -264,65 +264,6 @@ def proposed(scratch: Scratch, distinct: DataFrame, block: int = BLOCK) -> DataF
     return searched.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_buckets), "a long, b long")
 
 
-def _can_meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (component, token, n, at, times) sorted by component and token: those of which two sets can link, if this is the first token that they share."""
-    above, below = LEAST
-    names = ["component", "token", "n", "at"]
-    held: list[np.ndarray] = [np.zeros(0, np.int64)] * 5
-
-    def found(rows: list[np.ndarray]) -> pa.RecordBatch:
-        key = np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])] if len(rows[0]) else np.zeros(0, bool)
-        cuts, good = [*np.flatnonzero(key).tolist(), len(rows[0])], np.zeros(len(rows[0]), bool)
-        for b, e in zip(cuts[:-1], cuts[1:], strict=True):
-            n, left, times = rows[2][b:e], rows[2][b:e] - rows[3][b:e], rows[4][b:e]
-            for i in range(e - b):
-                fits = ((above + below) * np.minimum(left, left[i]) >= above * (n + n[i])) & (np.minimum(n, n[i]) * below >= np.maximum(n, n[i]) * above)
-                good[b + i] = times[fits].sum() > 1 if fits[i] else fits.any()
-        return pa.RecordBatch.from_arrays([pa.array(r[good]) for r in rows[:4]], names=names)
-
-    for batch in batches:
-        held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, [*names, "times"], strict=True)]
-        if len(held[0]):
-            # The last token may go on in the next batch.
-            last = len(held[0]) - int(np.argmax((held[0] != held[0][-1])[::-1] | (held[1] != held[1][-1])[::-1]))
-            last = 0 if (held[0] == held[0][-1]).all() and (held[1] == held[1][-1]).all() else last
-            yield found([h[:last] for h in held])
-            held = [h[last:] for h in held]
-    yield found(held)
-
-
-def finer(scratch: Scratch, member: DataFrame) -> DataFrame:
-    """node, finer: smaller groups of the sets of large groups (component, node, set), which part no two sets that link.
-
-    The hashes of a group go by how few of its sets have them. Two sets that link share one of their first
-    n - ceil(0.8 n) + 1, and where they first meet enough is left of both; sets that can't meet anyone so are left
-    out. So texts of one template that are less alike than 0.8 part again, in work proportional to their words.
-    """
-    above, below = LEAST
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "set", rows=256):
-            found = [np.frombuffer(x, "<i8") for x in batch.column("set").to_pylist()]
-            n = np.array([len(x) for x in found])
-            row = pa.array(np.repeat(np.arange(len(n)), n))
-            yield pa.RecordBatch.from_arrays([batch.column("component").take(row), batch.column("node").take(row), pa.array(np.repeat(n, n)), pa.array(np.concatenate(found))], names=["component", "node", "n", "token"])
-
-    each = scratch.table(member.select("component", "node", "set").mapInArrow(lean(spread), "component long, node long, n long, token long"), "tokens")
-    common = each.groupBy("component", "token").agg(F.count("*").alias("sets")).filter("sets > 1")
-    # What only one set has comes first, so a common token's place is after those.
-    shared = each.join(common, ["component", "token"]).groupBy("component", "node", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("s"))
-    alone = F.col("n") - F.size("s")
-    first = F.col("n") - F.ceil(F.col("n") * above / below) + 1
-    early = shared.filter(alone < first).select("component", "node", "n", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), (first - alone).cast("int"))).alias("k", "x"))
-    early = scratch.table(early.select("component", "node", "n", (F.col("alone") + F.col("k")).cast("long").alias("at"), F.col("x.token").alias("token")), "early")
-    kinds = early.groupBy("component", "token", "n", "at").agg(F.count("*").alias("times"))
-    kinds = kinds.repartition("component", "token").sortWithinPartitions("component", "token").mapInArrow(lean(_can_meet), "component long, token long, n long, at long")
-    meets = scratch.table(early.join(kinds, ["component", "token", "n", "at"], "left_semi").select("component", "token", "node"), "meets")
-    least = meets.groupBy("component", "token").agg(F.min("node").alias("least"))
-    edges = meets.join(least, ["component", "token"]).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    return components(scratch, edges, "finer").select("node", F.col("component").alias("finer"))
-
-
 def links(scratch: Scratch, docs: DataFrame, distinct: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Edges (a, b) that connect the sets of docs, with their signatures distinct (node, pick, bits, keys), just as all links between those that proposals join do."""
     joined = components(scratch, proposed(scratch, distinct, block).distinct(), "groups")
@@ -332,11 +273,6 @@ def links(scratch: Scratch, docs: DataFrame, distinct: DataFrame, block: int = B
     member = scratch.table(member, "members")
     blocks = F.ceil(F.greatest(F.count("*") / block, F.sum(F.length("set")) / block_bytes)).cast("long")
     large = scratch.table(member.groupBy("component").agg(blocks.alias("blocks")).filter("blocks > 1"), "large")
-    if not large.isEmpty():
-        few = member.join(large, "component", "left_anti").select("component", "node", "set")
-        rest = member.join(finer(scratch, member.join(large, "component", "left_semi")), "node").select(F.col("finer").alias("component"), "node", "set")
-        member = scratch.table(few.union(rest), "members-finer")
-        large = scratch.table(member.groupBy("component").agg(blocks.alias("blocks")).filter("blocks > 1"), "large-finer")
     searched = member.select(F.col("component").alias("key"), "node", "set")
     if n := large.count():
         large = F.broadcast(large) if n <= 100_000 else large

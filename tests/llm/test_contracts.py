@@ -172,38 +172,3 @@ def test_a_template_below_the_threshold_is_not_compared_pair_by_pair():
     began = time.process_time()
     assert forest(list(range(len(data))), data) == []
     assert time.process_time() - began < 2
-
-
-@pytest.mark.parametrize("changed", [0, 1, 3, 4, 6, 9, 20])
-def test_large_groups_part_without_losing_links(spark, changed):
-    """Templates at similarities from 1 down to 0.3, in groups that are cut into blocks of 15."""
-    from corpusloom.llm.common import Scratch
-    from corpusloom.llm.near import distinct_sets, finer, links, shingles, signatures
-
-    rng = np.random.default_rng(changed)
-    texts = [t for words in (40, 80) for t in templated(rng, 50, words, changed)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    scratch = Scratch(spark, "test")
-    rows = scratch.table(signatures(docs), "signatures")
-    sets = {r.node: set(shingles(texts[r.doc_id]).tolist()) for r in rows.collect()}
-    nodes = sorted(sets)
-    linked = {(a, b) for a in nodes for b in nodes if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
-    member = spark.createDataFrame([(1, n, np.array(sorted(sets[n]), "<u8").tobytes()) for n in nodes], "component long, node long, set binary")
-    group = {r.node: r.finer for r in finer(Scratch(spark, "test"), member).collect()}
-    assert all(group.get(a, a) == group.get(b, b + 1) for a, b in linked)
-    assert not group or changed < 6
-    found = {tuple(sorted((r.a, r.b))) for r in links(scratch, docs, scratch.table(distinct_sets(rows), "distinct"), block=15).collect()}
-
-    def groups(edges):
-        root = {n: n for n in nodes}
-
-        def find(n):
-            while root[n] != n:
-                n = root[n]
-            return n
-
-        for a, b in edges:
-            root[find(a)] = find(b)
-        return {frozenset(m for m in nodes if find(m) == find(n)) for n in nodes}
-
-    assert found <= linked and groups(found) == groups(linked)
