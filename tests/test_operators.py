@@ -149,6 +149,26 @@ def test_near_duplicates_of_texts(spark):
     assert kept[1] and not kept[2] and kept[3] and kept[4] and kept[5] and not kept[6]
 
 
+def test_jaccard_pairs_read_once_by_hashes(spark):
+    """The documents are read once, and long sets are compared by hashed numbers: arrays of binary values are compared each with each."""
+    words = [f"w{i * 7919 % 30011}" for i in range(30_000)]
+    texts = [" ".join(words), " ".join(words[:29_000]), " ".join(words[:14_000]), "a b", "", None]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(parts):
+        for part in parts:
+            read.add(len(part))
+            yield part
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").mapInPandas(seen, "doc_id long, text string")
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (x or "" for x in texts)]
+    assert {r.doc_id: len(set(r.hashes)) for r in dedup.shingle_sets(df).collect()} == {i: len(s) for i, s in enumerate(sets)}
+    before = read.value
+    rows = dedup.jaccard_pairs(df).collect()
+    assert read.value - before == len(texts)
+    assert [(r.a, r.b, r.shared, r.either) for r in rows] == [(0, 1, len(sets[0] & sets[1]), len(sets[0] | sets[1]))]
+
+
 def test_jaccard_pairs_are_all_pairs(spark):
     rng = random.Random(8)
     texts = ["one two three four five six seven eight"] * 3 + [" ".join(f"w{i}" for i in range(60))] * 2
