@@ -64,12 +64,12 @@ def page_walk(pages: DataFrame, seeds: DataFrame, depth: int, per_host: int | No
     return walked.union(files.select(F.col("link").alias("url"), F.lit("pdf"), F.col("way.depth"), F.col("way.parent"), F.lit(False)))
 
 
-def sitemap_walk(maps: DataFrame, starts: DataFrame, max_maps: int = 200, max_urls: int = 100_000) -> DataFrame:
+def sitemap_walk(maps: DataFrame, starts: DataFrame, max_maps: int = 200, max_urls: int | None = 100_000) -> DataFrame:
     """origin, url, map, depth: the page URLs that each origin's sitemaps name, nested ones too.
 
     maps: (url, xml), what the addresses serve. starts: (origin, node, place), where each origin's walk begins:
     what its robots file names, then the usual places. Of an origin, the first max_maps addresses in the order of
-    the walk are asked, and the first max_urls URLs taken, each where it comes first; denied ones don't count.
+    the walk are asked, and the first max_urls URLs (None: all) taken, each where it comes first; denied ones don't count.
     """
     scratch = Scratch(maps.sparkSession, "sitemaps")
     children, urls = web.sitemap(F.col("xml"))
@@ -80,6 +80,8 @@ def sitemap_walk(maps: DataFrame, starts: DataFrame, max_maps: int = 200, max_ur
     named = asked.join(parsed, F.col("node") == F.col("url")).select("origin", F.col("node").alias("map"), "depth", F.col("rank").alias("turn"), F.posexplode("urls").alias("at", "url"))
     named = named.filter(web.is_article(F.col("url"))).groupBy("origin", "url").agg(F.min(F.struct("turn", "at", "map", "depth")).alias("way"))
     rows = named.select("origin", "url", "way.*")
+    if max_urls is None:
+        return rows.select("origin", "url", "map", "depth")
     return ranked(rows, ["origin"], ["turn", "at"], scratch, "taken").filter(F.col("rank") <= max_urls).select("origin", "url", "map", "depth")
 
 

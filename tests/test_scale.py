@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections import Counter
 
-from corpusloom.operators import scoring
+import duckdb
+
+from corpusloom import queries as core
+from corpusloom.operators import budget, scoring
 
 
 def test_own_grams_come_in_bounded_batches():
@@ -22,3 +25,29 @@ def test_own_grams_come_in_bounded_batches():
     for i, t in enumerate(texts[:60]):
         want.update((i, t[k : k + 5]) for k in range(3996))
     assert got == want | Counter({(i, None): 0 for i in (60, 61, 62)}) and all((i, None) in got for i in (60, 61, 62))
+
+
+def _shared_urls(spark, tmp_path):
+    """Pages of which many have another's URL."""
+    urls = [f"https://h{i % 3}.example/{'tag/' if i % 5 == 0 else 'a/'}{i}" for i in range(40)]
+    rows = [(i, urls[i * 7 % (11 if i % 2 else 40)], "") for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{next((tmp_path / 'pages.parquet').glob('part-*'))}'")
+    return pages, con
+
+
+def test_sitemap_walk_has_every_page(spark, tmp_path):
+    _, con = _shared_urls(spark, tmp_path)
+    got = core.QUERIES["sitemap_walk"](spark, str(tmp_path)).select("origin", "url", "map", "depth").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(core.ORACLE["sitemap_walk"]).fetchall())
+
+
+def test_host_interleave_orders_pages_of_one_url(spark, tmp_path):
+    pages, con = _shared_urls(spark, tmp_path)
+    sql = core.ORACLE["host_interleave"].replace("url) AS turn", "url, page_id) AS turn")
+    want = sorted(con.execute(sql).fetchall())
+    assert sorted(map(tuple, core.QUERIES["host_interleave"](spark, str(tmp_path)).collect())) == want
+    rows = pages.withColumn("host", core.web.authority(core.F.col("url"))).orderBy(core.F.desc("page_id"))
+    assert sorted(map(tuple, budget.interleave(rows, "host", "url", ties=["page_id"]).select("page_id", "turn", "place").collect())) == want
