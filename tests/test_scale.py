@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import duckdb
+import pytest
 
 from corpusloom import queries as core
 from corpusloom.operators import budget, scoring
@@ -51,3 +52,31 @@ def test_host_interleave_orders_pages_of_one_url(spark, tmp_path):
     assert sorted(map(tuple, core.QUERIES["host_interleave"](spark, str(tmp_path)).collect())) == want
     rows = pages.withColumn("host", core.web.authority(core.F.col("url"))).orderBy(core.F.desc("page_id"))
     assert sorted(map(tuple, budget.interleave(rows, "host", "url", ties=["page_id"]).select("page_id", "turn", "place").collect())) == want
+
+
+def _passes(spark, monkeypatch, name, sf):
+    """How many times a query has its texts tidied and measured, by rows."""
+    seen, made = spark.sparkContext.accumulator(0), core.clean
+
+    def counted(parts):
+        for part in parts:
+            seen.add(part.num_rows)
+            yield part
+
+    def clean(spark, sf):
+        rows = made(spark, sf)
+        return rows.mapInArrow(counted, rows.schema)
+
+    monkeypatch.setattr(core, "clean", clean)
+    core.QUERIES[name](spark, sf).collect()
+    return seen.value / made(spark, sf).count()
+
+
+READ_ONCE = ("stratified_split", "split_class_stats", "leakage_text", "leakage_ids", "verification", "training_lineage", "counted_sink", "split_sink", "token_rollup", "budget_prefix", "budget_fill", "token_count_sp", "piece_efficiency", "vocab_sweep")
+
+
+@pytest.mark.parametrize("name", READ_ONCE)
+def test_texts_are_measured_once(spark, monkeypatch, sf, name):
+    if name in ("token_count_sp", "piece_efficiency", "vocab_sweep"):
+        pytest.importorskip("public_tokenizers")
+    assert _passes(spark, monkeypatch, name, sf) == 1
