@@ -95,11 +95,17 @@ def text(line: bytes) -> str:
     return line.removesuffix(b"\r").decode("utf-8", "replace")
 
 
+#: So many tasks read windows, at most: neighbours in a file are dealt to one task beyond that, as tasks cost more than windows of some kilobytes.
+TASKS = 2000
+
+
 @dataclass
 class Window(InputPartition):
     path: str
     start: int
     end: int
+    #: Bytes of each of the windows that the task reads one after the other; 0: one window.
+    step: int = 0
 
 
 class ByteWindows(DataSource):
@@ -133,15 +139,16 @@ class ByteWindowReader(DataSourceReader):
         self.size, self.windows, self.take = int(low.get("windowbytes", 64 << 20)), int(low.get("windows", 0)), int(low.get("takebytes", 1 << 20))
 
     def partitions(self) -> list[InputPartition]:
-        out = []
-        for path, size in (f for p in self.paths for f in listed(p)):
+        out, files = [], [f for p in self.paths for f in listed(p)]
+        together = self.size * max(1, -(-sum(-(-size // self.size) for _, size in files) // TASKS))
+        for path, size in files:
             if path.endswith(".gz"):
                 out.append(Window(path, 0, -1))
             elif self.windows:
                 starts = sorted({i * size // self.windows for i in range(self.windows)})
                 out += [Window(path, a, min(a + self.take, b)) for a, b in itertools.pairwise([*starts, size]) if b > a]
             else:
-                out += [Window(path, a, min(a + self.size, size)) for a in range(0, size, self.size)]
+                out += [Window(path, a, min(a + together, size), self.size) for a in range(0, size, together)]
         return out or [Window("", 0, 0)]
 
     def read(self, window: Window) -> Iterator[pa.RecordBatch]:
@@ -152,7 +159,9 @@ class ByteWindowReader(DataSourceReader):
             if window.end < 0:
                 found = lines_between(_Forward(gzip.GzipFile(fileobj=f)), 0, 1 << 62)
             else:
-                found = lines_between(f, window.start, window.end)
+                step = window.step or max(1, window.end - window.start)
+                starts = range(window.start, window.end, step)
+                found = (x for a in starts for x in lines_between(f, a, min(a + step, window.end)))
             yield from batches(((window.path, at, text(line)) for at, line in found), schema)
 
 
