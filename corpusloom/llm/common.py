@@ -97,6 +97,8 @@ def hot_keys(counts: DataFrame, total: int, scratch: Scratch, name: str) -> Data
 
     copies is how many shares of a hot key's size its rows make; all copies together are fewer than 2 * HOT_SHARE.
     """
+    if total <= HOT_ROWS:
+        return None
     share = max(HOT_ROWS, total // HOT_SHARE)
     hot = counts.filter(F.col("n") > share).withColumn("copies", F.ceil(F.col("n") / share).cast("int")).drop("n")
     hot = scratch.table(hot, name)
@@ -115,7 +117,32 @@ def keyed_join(rows: DataFrame, known: DataFrame, key: str, hot: DataFrame | Non
     return dealt.join(everywhere, [key, deal], how).drop(deal)
 
 
-def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
+#: So few edges one task joins at once, some MB of them.
+SETTLED_AT_ONCE = 5_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b): each of their nodes with one node of its component, the same for all of that, as root."""
+    held = list(batches)
+    if not held:
+        return
+    nodes = pa.concat_arrays([batch.column(c) for c in ("a", "b") for batch in held])
+    known: dict = {}
+    # Structs come as dicts. The place where a node comes first stands for it.
+    place = [known.setdefault(tuple(x.values()) if isinstance(x, dict) else x, i) for i, x in enumerate(nodes.to_pylist())]
+    above = {i: i for i in known.values()}
+
+    def root(i: int) -> int:
+        while above[i] != i:
+            above[i] = i = above[above[i]]
+        return i
+
+    for a, b in zip(place[: len(place) // 2], place[len(place) // 2 :], strict=True):
+        above[root(b)] = root(a)
+    yield pa.RecordBatch.from_arrays([nodes.take(pa.array(x, pa.int64())) for x in (list(above), list(map(root, above)))], names=["node", "root"])
+
+
+def components(scratch: Scratch, edges: DataFrame, name: str = "cc", at_once: int = SETTLED_AT_ONCE) -> DataFrame:
     """Connected components: (node, component), component being the smallest node reached.
 
     edges: (a, b) of one orderable type, a != b, in any order and number. Nodes without an edge are not in
@@ -123,12 +150,14 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
     random order, if that comes before itself (a partial aggregate, so hubs are combined before the shuffle),
     and the edges are renamed, once each; those within one node are gone. As edges shrink by a factor a round,
     whatever the graph's shape, all rounds together read a few times what the first does. Hubs, and nodes that
-    many go to, are hot keys of the joins (see keyed_join). Each round is a written table.
+    many go to, are hot keys of the joins (see keyed_join). Each round is a written table, deleted once nothing
+    reads it. When at_once edges or fewer are left one task joins them: a round costs some ten jobs however few
+    edges it has, and the last rounds halve a handful.
     """
 
-    def renamed(rows: DataFrame, to: DataFrame, key: str, tag: str) -> DataFrame:
-        """rows with key taken over to the root that it went to (some don't go)."""
-        hot = hot_keys(rows.groupBy(key).agg(F.count("*").alias("n")), rows.count(), scratch, f"{name}-hot-{tag}")
+    def renamed(rows: DataFrame, to: DataFrame, key: str, tag: str, n: int | None = None) -> DataFrame:
+        """rows (n of them) with key taken over to the root that it went to (some don't go)."""
+        hot = hot_keys(rows.groupBy(key).agg(F.count("*").alias("n")), rows.count() if n is None else n, scratch, f"{name}-hot-{tag}")
         joined = keyed_join(rows, to.select(F.col("node").alias(key), F.col("root").alias("to_")), key, hot, "left")
         return joined.withColumn(key, F.coalesce("to_", key)).drop("to_")
 
@@ -138,14 +167,20 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
 
     left, went = tidy(edges, 0), []
     for k in itertools.count():
-        if left.isEmpty():
+        n = left.count()
+        if not n:
+            break
+        if n <= at_once:
+            kind = dict(left.dtypes)["a"]
+            went.append(scratch.table(left.coalesce(1).mapInArrow(lean(_joined), f"node {kind}, root {kind}"), f"{name}-went-{k}"))
+            scratch.drop(f"{name}-edges-{k}")
             break
         both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
         turn = lambda c, k=k: F.struct(F.xxhash64(F.lit(k), c).alias("turn"), F.col(c).alias("x"))
         first = both.groupBy("node").agg(F.min(turn("other")).alias("first"))
         went.append(scratch.table(first.select("node", F.when(F.col("first") < turn("node"), F.col("first.x")).otherwise(F.col("node")).alias("root")), f"{name}-went-{k}"))
-        moved = scratch.table(renamed(left, went[-1], "a", f"a-{k}"), f"{name}-moved-{k}")
-        after = tidy(renamed(moved, went[-1], "b", f"b-{k}"), k + 1)
+        moved = scratch.table(renamed(left, went[-1], "a", f"a-{k}", n), f"{name}-moved-{k}")
+        after = tidy(renamed(moved, went[-1], "b", f"b-{k}", n), k + 1)
         scratch.drop(f"{name}-moved-{k}")
         scratch.drop(f"{name}-edges-{k}")
         left = after
@@ -155,5 +190,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
     ends = went[-1]
     for k in range(len(went) - 2, -1, -1):
         ends = scratch.table(renamed(went[k], ends, "root", f"root-{k}"), f"{name}-ends-{k}")
+        scratch.drop(f"{name}-went-{k}")
+        scratch.drop(f"{name}-went-{k + 1}" if k == len(went) - 2 else f"{name}-ends-{k + 1}")
     least = ends.groupBy("root").agg(F.min(F.least("node", "root")).alias("least"))
     return renamed(ends, least.select(F.col("root").alias("node"), F.col("least").alias("root")), "root", "least").select("node", F.col("root").alias("component"))

@@ -320,7 +320,10 @@ def finer(scratch: Scratch, member: DataFrame) -> DataFrame:
     meets = scratch.table(early.join(kinds, ["component", "token", "n", "at"], "left_semi").select("component", "token", "node"), "meets")
     least = meets.groupBy("component", "token").agg(F.min("node").alias("least"))
     edges = meets.join(least, ["component", "token"]).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    return components(scratch, edges, "finer").select("node", F.col("component").alias("finer"))
+    joined = components(scratch, edges, "finer")
+    for name in ("tokens", "early", "meets"):
+        scratch.drop(name)
+    return joined.select("node", F.col("component").alias("finer"))
 
 
 def links(scratch: Scratch, docs: DataFrame, distinct: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -336,6 +339,7 @@ def links(scratch: Scratch, docs: DataFrame, distinct: DataFrame, block: int = B
         few = member.join(large, "component", "left_anti").select("component", "node", "set")
         rest = member.join(finer(scratch, member.join(large, "component", "left_semi")), "node").select(F.col("finer").alias("component"), "node", "set")
         member = scratch.table(few.union(rest), "members-finer")
+        scratch.drop("members")
         large = scratch.table(member.groupBy("component").agg(blocks.alias("blocks")).filter("blocks > 1"), "large-finer")
     searched = member.select(F.col("component").alias("key"), "node", "set")
     if n := large.count():
@@ -363,6 +367,8 @@ def jaccard_duplicates(docs: DataFrame) -> DataFrame:
     rows = scratch.table(signatures(docs), "signatures")
     distinct = scratch.table(distinct_sets(rows), "distinct")
     info = scratch.table(identified(scratch, distinct, links(scratch, docs, distinct), "node"), "info")
-    scratch.drop("members")
+    for name in ("members", "members-finer", "picks", "edges"):
+        scratch.drop(name)
     hot = hot_keys(distinct.select("node", "n"), rows.count(), scratch, "hot")
+    scratch.drop("distinct")
     return keyed_join(rows.drop("bits", "keys"), info, "node", hot).select("doc_id", "text_hash", "component_id")

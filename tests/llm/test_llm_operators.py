@@ -789,3 +789,25 @@ def test_near_dedup_proposes_by_golay_codewords():
         some = rng.permutation(copies)[:40]
         edges.update(zip(*(x.tolist() for x in near.proposals(np.zeros(40, np.int64), some, np.zeros((40, near.WORDS), np.uint64))), strict=True))
     assert len(edges) <= 6 * 50
+
+
+def test_small_graphs_take_one_round(spark):
+    """The last edges are joined at once, whatever the graph's shape, and the tables of the rounds don't stay."""
+    from pathlib import Path
+
+    from corpusloom.llm.common import Scratch, components
+
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(203, 201), (202, 203)]
+    expected = {k: 0 for k in range(41)} | {k: 100 for k in range(100, 130)} | {k: 201 for k in range(201, 204)}
+    plain = spark.createDataFrame(edges, "a long, b long")
+    node = lambda c: F.struct((F.col(c) < 0).alias("no_id"), F.when(F.col(c) >= 0, F.col(c)).alias("id"), (-F.col(c)).alias("key"))
+    for at_once, rounds in ((None, 1), (0, 99)):
+        limit = {} if at_once is None else {"at_once": at_once}
+        scratch = Scratch(spark, "one-round")
+        found = components(scratch, plain, **limit)
+        names = {p.name for p in Path(scratch.path.removeprefix("file://")).iterdir()}
+        assert len([n for n in names if "went" in n or "ends" in n]) == 1
+        assert len([n for n in names if "hot" in n]) < rounds
+        assert {r.node: r.component for r in found.collect()} == expected
+        of_structs = components(Scratch(spark, "one-round"), plain.select(node("a").alias("a"), node("b").alias("b")), **limit)
+        assert {r.node.id: r.component.id for r in of_structs.collect()} == expected
