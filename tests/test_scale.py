@@ -94,3 +94,35 @@ def test_small_windows_are_dealt_to_few_tasks(spark, tmp_path, monkeypatch):
     assert len(parts) <= 8 and all(p.step == 300 for p in parts)
     got = [(x["path"], x["value"]) for p in parts for b in reader.read(p) for x in b.to_pylist()]
     assert got == [(str(tmp_path / f"{name}.jsonl"), line) for name in "ab" for line in lines]
+
+
+@pytest.mark.parametrize("of", ["tidied", "measured", "measured as they are"])
+def test_text_passes_hold_a_slice_of_a_batch(of):
+    """Strings of one slice at a time: what a batch has more is not made until the slice before was handed on."""
+    import pyarrow as pa
+
+    from corpusloom.functions import text
+    from corpusloom.operators import gates
+
+    run = text._tidied("", "", True) if of == "tidied" else gates._measured("latin", of == "measured")
+    long = "a  b\n" * (text.BYTES // 5 + 1)
+    texts = [f"x  {i}\n\n y" for i in range(3 * text.TEXTS + 7)] + [None, "", *[long] * 3]
+    read = []
+
+    def batches():
+        for k, part in enumerate((texts, [], texts[:5])):
+            read.append(k)
+            yield pa.array(part, pa.string())
+
+    sizes, rows, when = [], [], []
+    for out in run(batches()):
+        when.append(len(read))
+        sizes.append(len(out))
+        rows += out.to_pylist()
+    assert max(sizes) == text.TEXTS and when[:6] == [1] * 6
+    got = [r if of == "tidied" or r is None else r["text"] for r in rows]
+    tidy = text.tidied("", "", True)
+    want = [tidy(t) for t in texts + texts[:5]]
+    assert got == (want if of != "measured as they are" else [None if t is None else "" for t in want])
+    if of != "tidied":
+        assert [r["n_chars"] for r in rows] == [None if t is None else len(tidy(t) if of == "measured" else t) for t in texts + texts[:5]]
