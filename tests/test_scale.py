@@ -126,3 +126,45 @@ def test_text_passes_hold_a_slice_of_a_batch(of):
     assert got == (want if of != "measured as they are" else [None if t is None else "" for t in want])
     if of != "tidied":
         assert [r["n_chars"] for r in rows] == [None if t is None else len(tidy(t) if of == "measured" else t) for t in texts + texts[:5]]
+
+
+ODD_TEXTS = ["a b  a", "", None, " \u3000x\u2028Y ", "नमस्ते दुनिया नमस्ते", "\U0001f600 \U0001f600\U0001f600 ab", "It's  THE the\tthe", "İI ß", "a", "abcdefghij " * 50, "1 22 333 4444"] * 2
+
+
+@pytest.mark.parametrize("most", [40, 10_000])
+def test_gram_vectors_are_those_of_arrays_of_grams(spark, monkeypatch, most):
+    """Vocabulary and counts as CountVectorizer has them from word_grams, and few of them handed on together."""
+    from pyspark.ml.feature import CountVectorizer
+
+    monkeypatch.setattr(scoring, "GRAMS_TOGETHER", 10)
+    monkeypatch.setattr(scoring, "WORDS_TOGETHER", 7)
+    texts = [*ODD_TEXTS, "only here", "only here too: only"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    arrays = df.withColumn("grams", scoring.word_grams(core.F.coalesce("text", core.F.lit(""))))
+    model = CountVectorizer(inputCol="grams", outputCol="counts", minDF=2, vocabSize=most).fit(arrays)
+    known = scoring.gram_vocabulary(df, most)
+    freq = Counter(g for r in arrays.collect() for g in r.grams)
+    assert [freq[g] for g in known] == [freq[g] for g in model.vocabulary] and "too" not in known
+    assert set(known) == set(model.vocabulary) or most == 40
+    want = {r.doc_id: (list(r.counts.indices), list(r.counts.values)) for r in model.transform(arrays).collect()}
+    assert {r.doc_id: (r.indices, r.counts) for r in scoring.gram_counts(df, model.vocabulary).collect()} == want
+
+
+def test_distil_reads_vectors_a_row_at_a_time(spark, monkeypatch):
+    """No task holds the vectors of a batch of rows, and only labelled texts become vectors in a table."""
+    from pyspark.ml.feature import IDF
+    from pyspark.ml.regression import LinearRegression
+
+    plans, written, table = [], [], scoring.Scratch.table
+    for of in (IDF, LinearRegression):
+        monkeypatch.setattr(of, "fit", lambda self, df, f=of.fit: (plans.append(df._jdf.queryExecution().executedPlan().toString()), f(self, df))[1])
+    monkeypatch.setattr(scoring.Scratch, "table", lambda self, df, name, *a, **b: written.append((name, df.count())) or table(self, df, name, *a, **b))
+    before = spark.conf.get(scoring.LISTS_IN_BATCHES)
+    docs = spark.createDataFrame([(i, ("good prose text " if i % 2 else "zzz qqq xxx ") * 5 + f"n{i}") for i in range(240)] + [(240, None), (241, "")], "doc_id long, text string")
+    labelled = docs.filter("doc_id < 60").withColumn("score", (core.F.col("doc_id") % 2 * 5).cast("double"))
+    scored, report = scoring.distil(labelled, docs, least=60)
+    assert written == [("labelled", 60)] and len(plans) == 2 and all("Batched: false" in p for p in plans)
+    assert spark.conf.get(scoring.LISTS_IN_BATCHES) == before
+    got = {r.doc_id: r.quality_score for r in scored.collect()}
+    assert len(got) == 242 and got[240] == got[241] and report["labels"] == 60
+    assert all(abs(got[i] - i % 2 * 5) < 1 for i in range(60, 240))
