@@ -155,9 +155,11 @@ def test_distil_reads_vectors_a_row_at_a_time(spark, monkeypatch):
     from pyspark.ml.feature import IDF
     from pyspark.ml.regression import LinearRegression
 
-    plans, written, table = [], [], scoring.Scratch.table
+    plans, blocks, written, table = [], [], [], scoring.Scratch.table
     for of in (IDF, LinearRegression):
         monkeypatch.setattr(of, "fit", lambda self, df, f=of.fit: (plans.append(df._jdf.queryExecution().executedPlan().toString()), f(self, df))[1])
+    kept = LinearRegression.fit
+    monkeypatch.setattr(LinearRegression, "fit", lambda self, df: (blocks.append(self.getMaxBlockSizeInMB()), kept(self, df))[1])
     monkeypatch.setattr(scoring.Scratch, "table", lambda self, df, name, *a, **b: written.append((name, df.count())) or table(self, df, name, *a, **b))
     before = spark.conf.get(scoring.LISTS_IN_BATCHES)
     docs = spark.createDataFrame([(i, ("good prose text " if i % 2 else "zzz qqq xxx ") * 5 + f"n{i}") for i in range(240)] + [(240, None), (241, "")], "doc_id long, text string")
@@ -165,6 +167,7 @@ def test_distil_reads_vectors_a_row_at_a_time(spark, monkeypatch):
     scored, report = scoring.distil(labelled, docs, least=60)
     assert written == [("labelled", 60)] and len(plans) == 2 and all("Batched: false" in p for p in plans)
     assert spark.conf.get(scoring.LISTS_IN_BATCHES) == before
+    assert 0 < blocks[-1] * 100 <= 16  # what Java holds of blocks that a task reads from disk
     got = {r.doc_id: r.quality_score for r in scored.collect()}
     assert len(got) == 242 and got[240] == got[241] and report["labels"] == 60
     assert all(abs(got[i] - i % 2 * 5) < 1 for i in range(60, 240))
